@@ -6,6 +6,8 @@ form, chosen by a check when a trace is built) and DECIMAL(20,0) otherwise.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,14 +31,14 @@ def byte_sum(col: Column | str) -> Column:
 def saturating_end(addr: Column, span: Column, compact: bool) -> Column:
     if compact:
         return addr + span
-    return F.least(addr.cast(WIDE) + span.cast(WIDE), F.lit(MAX_U64).cast(WIDE)).cast(U64)
+    return F.least(addr.cast(WIDE) + span.cast(WIDE), F.lit(Decimal(MAX_U64)).cast(WIDE)).cast(U64)
 
 
 def div_pow2(col: Column, bits: int, compact: bool) -> Column:
     """col div 2^bits as BIGINT (bits >= 2 when not compact)."""
     if compact:
         return F.shiftright(col, bits)
-    return F.call_function("div", col, F.lit(1 << bits).cast(U64)).cast("bigint")
+    return F.call_function("div", col, F.lit(Decimal(1 << bits)).cast(U64)).cast("bigint")
 
 
 def int_div(col: Column, by: Column | int) -> Column:

@@ -32,3 +32,42 @@ def orders(spark: SparkSession, sf_dir: str) -> Trace:
 
 def dirty(spark: SparkSession, sf_dir: str) -> Trace:
     return trace(spark, sf_dir, "events")
+
+
+def members(t: Trace) -> DataFrame:
+    """Tags used by the registered queries, by rule over the allocations."""
+    from pyspark.sql import functions as F
+
+    a = t.allocations
+    rules = (
+        ("hot", F.col("creator") % 7 == 0),
+        ("cold", F.col("creator") % 11 == 0),
+        ("big", F.col("size") >= 400),
+    )
+    # One pass: each allocation gives a row per rule it meets.
+    given = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
+    return a.select("trace_id", F.explode(given).alias("tag"), "creator")
+
+
+MEMBERS_SQL = """
+mem AS (
+  SELECT trace_id, 'hot' AS tag, creator FROM al WHERE creator % 7 = 0
+  UNION ALL SELECT trace_id, 'cold', creator FROM al WHERE creator % 11 = 0
+  UNION ALL SELECT trace_id, 'big', creator FROM al WHERE size >= 400),
+tagsof AS (SELECT creator, list(tag ORDER BY tag) AS tags FROM mem GROUP BY creator),
+alt AS (SELECT al.*, coalesce(tagsof.tags, []) AS tags FROM al LEFT JOIN tagsof USING (creator))"""
+
+
+def notes(t: Trace) -> DataFrame:
+    """A name for every thousandth creator position, and a colour."""
+    from pyspark.sql import functions as F
+
+    return t.allocations.filter("creator % 1000 = 0").select(
+        "trace_id", "creator", F.concat(F.lit("n"), F.col("creator").cast("string")).alias("name"),
+        F.lit("#aabbcc").alias("color"),
+    )
+
+
+NOTES_SQL = """
+note AS (SELECT trace_id, creator, 'n' || CAST(creator AS VARCHAR) AS name, '#aabbcc' AS color
+         FROM al WHERE creator % 1000 = 0)"""
