@@ -294,7 +294,7 @@ def reject_table(lines: DataFrame, dropped: DataFrame) -> DataFrame:
     )
     return gone.select(
         "trace_id", "ord", "seq", "op", "id", "t_raw", "t_before", "dseq", "site",
-        "extras", reason.alias("reason"),
+        "thr", "extras", reason.alias("reason"),
     ).join(dropped, ["trace_id", "ord"], "left")
 
 

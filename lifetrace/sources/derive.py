@@ -121,7 +121,7 @@ def events_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
         .when(op == "F", F.concat(F.lit('"k":'), text(k), F.lit(',"reason":"r'), text(k % 3), F.lit('"')))
-        .otherwise(F.concat(F.lit('"k":'), text(k), F.lit(',"frame":'), text(e)))
+        .otherwise(F.concat(F.lit('"k":'), text(k), F.lit(',"frame":'), text(e), F.lit(',"ptr":'), text(u * 4096 + k * 32)))
     )
     return as_records(
         base,

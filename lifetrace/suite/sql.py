@@ -57,7 +57,7 @@ rec AS (
                             ELSE CAST(k AS VARCHAR) END
            || CASE WHEN k % 11 = 0 THEN ',"dbg":{"a":' || CAST(k AS VARCHAR) || '}' ELSE '' END
          WHEN op = 'F' THEN '"k":' || CAST(k AS VARCHAR) || ',"reason":"r' || CAST(k % 3 AS VARCHAR) || '"'
-         ELSE '"k":' || CAST(k AS VARCHAR) || ',"frame":' || CAST(e AS VARCHAR) END AS extras,
+         ELSE '"k":' || CAST(k AS VARCHAR) || ',"frame":' || CAST(e AS VARCHAR) || ',"ptr":' || CAST(u*4096 + k*32 AS VARCHAR) END AS extras,
     CASE WHEN e % 1000 = 999 THEN e + 5 END AS dseq,
     CASE WHEN op = 'E' AND k % 4 <> 0 THEN 'phase-' || CAST(k % 5 AS VARCHAR) END AS title,
     CASE WHEN op = 'R' THEN u*4096 END AS old_addr,

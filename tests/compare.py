@@ -46,6 +46,11 @@ def check(spark, con, sf_dir, name, fn, sql):
         return None if got is not None else "no rows"
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
+    same = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+    mine = {n: same.get(t, t) for n, t in df.dtypes}
+    theirs = {d[0]: str(d[1]) for d in cur.description}
+    if mine != theirs:
+        return f"types {[(n, mine.get(n), theirs.get(n)) for n in sorted(set(mine) | set(theirs)) if mine.get(n) != theirs.get(n)]}"
     want = _rows(names, cur.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
