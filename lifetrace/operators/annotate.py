@@ -108,12 +108,15 @@ def tag_counts(allocations: DataFrame, members: DataFrame) -> DataFrame:
     """Members per tag, and ``(untagged)``."""
     creators = allocations.select("trace_id", "creator")
     held = members.select(*MEMBER).distinct().join(creators, ["trace_id", "creator"], "left_semi")
-    bare = creators.join(members.select("trace_id", "creator"), ["trace_id", "creator"], "left_anti")
+    some = members.select("trace_id", "creator", F.lit(True).alias("_some")).distinct()
+    bare = creators.join(some, ["trace_id", "creator"], "left").groupBy("trace_id").agg(
+        F.count(F.when(F.col("_some").isNull(), 1)).alias("allocations")
+    )
+    # The untagged count is reported even when it is zero.
     return (
-        held.select("trace_id", "tag")
-        .unionByName(bare.select("trace_id", F.lit("(untagged)").alias("tag")))
-        .groupBy("trace_id", "tag")
+        held.groupBy("trace_id", "tag")
         .agg(F.count(F.lit(1)).alias("allocations"))
+        .unionByName(bare.withColumn("tag", F.lit("(untagged)")))
     )
 
 

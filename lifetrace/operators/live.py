@@ -90,10 +90,10 @@ def sets_at(playheads: DataFrame, allocations: DataFrame, keep: list[str]) -> Da
     )
     levels = ranges.levels_in(slim, F.col("_tl"))
     first = F.when(F.col("_tl") == ranges.OPEN, F.lit(0).cast("bigint")).otherwise(
-        F.shiftright("creator", F.col("_tl"))
+        F.call_function("shiftright", F.col("creator"), F.col("_tl"))
     )
     last = F.when(F.col("_tl") == ranges.OPEN, F.lit(0).cast("bigint")).otherwise(
-        F.shiftright("death", F.col("_tl"))
+        F.call_function("shiftright", F.col("death"), F.col("_tl"))
     )
     right = slim.withColumn("_b", F.explode(F.sequence(first, last)))
     cells = F.array(

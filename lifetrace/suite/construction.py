@@ -101,7 +101,7 @@ warn AS (
 _add(
     "C9_warnings",
     lambda s, d: warnings.warnings(dirty(s, d)).select(
-        "seq", "kind", "detail", "ord", "emit_rank"
+        "seq", "kind", F.col("detail").cast("bigint").alias("detail"), "ord", "emit_rank"
     ),
     over("events", "SELECT seq, kind, detail, ord, emit_rank FROM warn", _WARN),
 )
@@ -111,7 +111,7 @@ for _kind in (
 ).split():
     _add(
         f"C9_{_kind}",
-        lambda s, d, k=_kind: warnings.of_kind(dirty(s, d), k).select("seq", "detail"),
+        lambda s, d, k=_kind: warnings.of_kind(dirty(s, d), k).select("seq", F.col("detail").cast("bigint").alias("detail")),
         over("events", f"SELECT seq, detail FROM warn WHERE kind = '{_kind}'", _WARN),
     )
 _add(

@@ -42,7 +42,7 @@ def members(t: Trace) -> DataFrame:
     rules = (
         ("hot", F.col("creator") % 7 == 0),
         ("cold", F.col("creator") % 11 == 0),
-        ("big", F.col("size") >= 400),
+        ("odd", F.col("size") % 10 >= 6),
     )
     # One pass: each allocation gives a row per rule it meets.
     given = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
@@ -53,7 +53,7 @@ MEMBERS_SQL = """
 mem AS (
   SELECT trace_id, 'hot' AS tag, creator FROM al WHERE creator % 7 = 0
   UNION ALL SELECT trace_id, 'cold', creator FROM al WHERE creator % 11 = 0
-  UNION ALL SELECT trace_id, 'big', creator FROM al WHERE size >= 400),
+  UNION ALL SELECT trace_id, 'odd', creator FROM al WHERE size % 10 >= 6),
 tagsof AS (SELECT creator, list(tag ORDER BY tag) AS tags FROM mem GROUP BY creator),
 alt AS (SELECT al.*, coalesce(tagsof.tags, []) AS tags FROM al LEFT JOIN tagsof USING (creator))"""
 
