@@ -115,14 +115,17 @@ def layout(occupied: DataFrame, collapse_min: int, pins: DataFrame | None = None
     )
 
 
-def gaps(occupied: DataFrame, collapse_min: int) -> DataFrame:
-    """Collapsed runs as (trace_id, above, below): the rows around each."""
+def gaps(runs: DataFrame, collapse_min: int) -> DataFrame:
+    """Collapsed runs as (trace_id, above, below): the rows around each.
+
+    ``runs`` are row intervals [start, stop); rows are never listed one by one.
+    """
     lagged = prefix.scan(
-        occupied.select("trace_id", "row").distinct(), ["trace_id"], ["row"], prefix.block_of("row"),
-        [prefix.Run("above", "last", F.col("row"), inclusive=False)],
+        runs.select("trace_id", "start", "stop"), ["trace_id"], ["start"], prefix.block_of("start"),
+        [prefix.Run("_end", "last", F.col("stop"), inclusive=False)],
     )
-    return lagged.filter(F.col("row") - F.col("above") - 1 >= collapse_min).select(
-        "trace_id", "above", F.col("row").alias("below")
+    return lagged.filter(F.col("start") - F.col("_end") >= collapse_min).select(
+        "trace_id", (F.col("_end") - 1).alias("above"), F.col("start").alias("below")
     )
 
 
@@ -132,7 +135,8 @@ def covered_gaps(trace: Trace, row_bytes: int, n: int, collapse_min: int) -> Dat
     Only spans over the row cap can hold an unmarked run; the others are
     filtered out before the join.
     """
-    runs = gaps(occupancy(trace, row_bytes, n), collapse_min).join(bases(trace, row_bytes), "trace_id")
+    marked = segments(_marked(placed(trace, row_bytes).filter(live_at(n))), "r0", "r1")
+    runs = gaps(marked, collapse_min).join(bases(trace, row_bytes), "trace_id")
     inner = runs.select(
         "trace_id", "above", "below",
         (F.col("base") + (F.col("above") + 1) * row_bytes).alias("i_addr"),

@@ -23,7 +23,7 @@ def overview(trace: Trace) -> DataFrame:
     """A1: one row of totals per trace."""
     op = F.col("op")
     seen = trace.events.select("trace_id", "ord", "t", "t_raw", "op").unionByName(
-        trace.rejects.filter("reason <> 'malformed'").select(
+        trace.rejects.filter("reason not in ('malformed', 'header')").select(
             "trace_id", "ord", F.col("t_raw").alias("t"), "t_raw", F.lit(None).alias("op")
         )
     )

@@ -1,7 +1,7 @@
 """From decoded records to events and allocations.
 
-``records`` holds one row per line that is neither blank nor comment nor
-header, in stream order:
+``records`` holds one row per line that is neither blank nor comment, in
+stream order (a header line has op H and its version as ``id``):
 
   trace_id, ord (dense line number), op (null: malformed line), id, kid (the
   id a free or resize ends), addr, size, usable, t, dseq (declared seq), thr,
@@ -288,6 +288,7 @@ def reject_table(lines: DataFrame, dropped: DataFrame) -> DataFrame:
     gone = lines.filter(~F.col("ok"))
     reason = (
         F.when(F.col("op").isNull(), "malformed")
+        .when(F.col("op") == "H", "header")
         .when(F.col("op").isin(*CREATORS), "no-addr")
         .when(F.col("op") == "F", "null-free")
         .otherwise("unknown-op")

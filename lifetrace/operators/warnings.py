@@ -47,7 +47,7 @@ def _before(seq: str = "seq") -> Column:
 def _shared(trace: Trace) -> DataFrame:
     """Events and rejected records alike: both pass the time and seq checks."""
     cols = ["trace_id", "seq", "ord", "t_raw", "t_before", "dseq"]
-    gone = trace.rejects.filter("reason <> 'malformed'")
+    gone = trace.rejects.filter("reason not in ('malformed', 'header')")
     return trace.events.select(*cols).unionByName(gone.select(*cols))
 
 
@@ -81,11 +81,8 @@ def of_kind(trace: Trace, kind: str) -> DataFrame:
         where = events.filter("op in ('M','R')").select("trace_id", "seq", "ord", "addr")
         return _as(where.join(met, ["trace_id", "seq"], "left_semi"), kind, F.col("addr"))
     if kind == "unknown_version":
-        odd = trace.headers.filter(F.col("version") != 1)
-        cols = trace.headers.columns
-        seq = F.col("version_seq") if "version_seq" in cols else F.lit(0)
-        ord_ = F.col("version_ord") if "version_ord" in cols else F.lit(0)
-        return _as(odd.withColumn("seq", seq).withColumn("ord", ord_), kind, F.col("version"))
+        odd = rejects.filter((F.col("reason") == "header") & (F.col("id") != 1))
+        return _as(odd, kind, _wrapped(F.col("id")), _before())
     raise ValueError(f"unknown warning kind: {kind}")
 
 

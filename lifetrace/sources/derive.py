@@ -109,7 +109,7 @@ def events_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     load = F.when(
         k % 2 == 0,
-        F.concat(text(F.call_function("div", k, F.lit(4).cast("bigint"))), F.lit("."), text((k % 4) * 25)),
+        F.concat(text(F.call_function("div", k, F.lit(4).cast("bigint"))), F.lit("."), F.when(k % 4 == 0, "0").otherwise("5")),
     ).otherwise(text(k))
     extras = (
         F.when(

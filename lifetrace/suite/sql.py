@@ -53,7 +53,7 @@ rec AS (
            '"k":' || CAST(k AS VARCHAR) || ',"lane":"L' || CAST(k % 3 AS VARCHAR) || '"'
            || CASE WHEN k % 5 = 0 THEN ',"hot":true' WHEN k % 5 = 1 THEN ',"hot":false'
                    WHEN k % 5 = 2 THEN ',"hot":null' ELSE '' END
-           || ',"load":' || CASE WHEN k % 2 = 0 THEN CAST(k // 4 AS VARCHAR) || '.' || CAST((k % 4)*25 AS VARCHAR)
+           || ',"load":' || CASE WHEN k % 2 = 0 THEN CAST(k // 4 AS VARCHAR) || '.' || CASE WHEN k % 4 = 0 THEN '0' ELSE '5' END
                             ELSE CAST(k AS VARCHAR) END
            || CASE WHEN k % 11 = 0 THEN ',"dbg":{"a":' || CAST(k AS VARCHAR) || '}' ELSE '' END
          WHEN op = 'F' THEN '"k":' || CAST(k AS VARCHAR) || ',"reason":"r' || CAST(k % 3 AS VARCHAR) || '"'

@@ -137,18 +137,19 @@ ENTRIES["M5_threshold_in_bytes"] = (
     ).select("row", "gaps_before", "filler"),
     over("orders", "SELECT * FROM lay", _rows_sql(9000, 65536) + "," + _layout_sql(31)),
 )
-# Rows of 1 byte: spans over 65,536 rows leave their middle unmarked.
+# Rows of 8 bytes: spans over 65,536 rows leave their middle unmarked.
 ENTRIES["M6_gap_inside_allocation"] = (
-    lambda s, d: address.covered_gaps(orders(s, d), 4, 3000, 70000).select("above", "below"),
+    lambda s, d: address.covered_gaps(orders(s, d), 8, 9000, 50000).select("above", "below"),
     over(
         "orders",
-        """SELECT DISTINCT above, below FROM g JOIN pl ON pl.addr <= base0 + (above+1)*4 AND pl.end_span >= base0 + below*4""",
+        "SELECT DISTINCT above, below FROM g JOIN pl ON pl.addr <= base0 + (above+1)*8 AND pl.end_span >= base0 + below*8",
         """
-base AS (SELECT min(addr) - min(addr) % 4 AS base0 FROM al),
-pl AS (SELECT al.*, (addr - base0) // 4 AS r0, (end_span - 1 - base0) // 4 AS r1, base0 FROM al, base
-       WHERE creator < 3000 AND (death IS NULL OR death >= 3000)),
-occ AS (SELECT DISTINCT row FROM (SELECT unnest(CASE WHEN r1 - r0 > 65536 THEN [r0, r1] ELSE range(r0, r1 + 1) END) AS row FROM pl)),
-g AS (SELECT * FROM (SELECT row AS below, lag(row) OVER (ORDER BY row) AS above FROM occ) WHERE below - above - 1 >= 70000)""",
+base AS (SELECT min(addr) - min(addr) % 8 AS base0 FROM al),
+pl AS (SELECT al.*, (addr - base0) // 8 AS r0, (end_span - 1 - base0) // 8 AS r1, base0 FROM al, base
+       WHERE creator < 9000 AND (death IS NULL OR death >= 9000)),
+occ AS (SELECT r0, CASE WHEN r1 - r0 > 65536 THEN r0 ELSE r1 END AS r1 FROM pl UNION ALL SELECT r1, r1 FROM pl),
+g AS (SELECT * FROM (SELECT r0 AS below, max(r1) OVER (ORDER BY r0, r1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM occ)
+      WHERE below - above - 1 >= 50000)""",
     ),
 )
 ENTRIES["M7_row_slices"] = (
@@ -169,9 +170,9 @@ for _n, _t in _T.items():
         over(
             _n,
             """SELECT start, stop, depth FROM (
-                 SELECT pos AS start, lead(pos) OVER (ORDER BY pos) AS stop, CAST(sum(by) OVER (ORDER BY pos) AS BIGINT) AS depth
-                 FROM (SELECT pos, sum(by) AS by FROM (
-                   SELECT addr AS pos, 1 AS by FROM al WHERE creator < 9000 AND (death IS NULL OR death >= 9000)
+                 SELECT pos AS start, lead(pos) OVER (ORDER BY pos) AS stop, CAST(sum(step) OVER (ORDER BY pos) AS BIGINT) AS depth
+                 FROM (SELECT pos, sum(step) AS step FROM (
+                   SELECT addr AS pos, 1 AS step FROM al WHERE creator < 9000 AND (death IS NULL OR death >= 9000)
                    UNION ALL SELECT end_span, -1 FROM al WHERE creator < 9000 AND (death IS NULL OR death >= 9000)) GROUP BY pos))
                WHERE depth >= 2""",
         ),
