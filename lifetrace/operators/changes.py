@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifetrace.plans import prefix
+from lifetrace.session import staged
 
 # Change types and the limits on what they carry.
 PUTS = {"tag": "putTag", "bookmark": "putBookmark", "mark": "putAddressMark", "filter": "putSavedFilter"}
@@ -135,6 +137,9 @@ def validated(
     definitions = fine.filter(F.col("type").isin(*kinds)).select(
         *key, "id", (F.col("type") == kinds[0]).alias("defined")
     )
+    excess = staged(_too_many(definitions), "excess-tags")
+    definitions = definitions.join(excess, key, "left_anti")
+    excess = excess.select(*key, F.lit("too many tags").alias("why"))
     known = prefix.scan(
         definitions.unionByName(uses), ["trace_id", "id"], ["revision"],
         prefix.block_of("revision"), [prefix.Run("known", "last", F.col("defined"))],
@@ -142,7 +147,6 @@ def validated(
     unknown = known.filter("defined is null and not coalesce(known, false)").select(
         *key, F.lit("unknown tag").alias("why")
     )
-    excess = _too_many(definitions).select(*key, F.lit("too many tags").alias("why"))
     order = {"allocation not found": 0, "unknown tag": 1, "invalid bookmark": 2, "too many tags": 3}
     rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     found = (
@@ -154,10 +158,12 @@ def validated(
 
 
 def _too_many(definitions: DataFrame, limit: int = MAX_TAGS) -> DataFrame:
-    """New tags while ``limit`` are already defined.
+    """New tags put while ``limit`` are already defined.
 
-    A put counts when its tag is not defined just before, a delete when it is;
-    the running count is the number of tags in force.
+    If every put were accepted the tags in force would be a running count, and
+    a trace where it never passes the limit has no such put. In the others one
+    refused put changes what follows, so their definitions (and no other
+    changes) are read in order with the at most ``limit`` ids in force.
     """
     by_id = prefix.scan(
         definitions, ["trace_id", "id"], ["revision"], prefix.block_of("revision"),
@@ -169,7 +175,28 @@ def _too_many(definitions: DataFrame, limit: int = MAX_TAGS) -> DataFrame:
         by_id.withColumn("step", step.cast("bigint")), ["trace_id"], ["revision"],
         prefix.block_of("revision"), [prefix.Run("tags", "sum", F.col("step"))],
     )
-    return counted.filter((F.col("step") == 1) & (F.col("tags") > limit))
+    full = counted.groupBy("trace_id").agg(F.max("tags").alias("top")).filter(F.col("top") > limit)
+    affected = definitions.join(full.select("trace_id"), "trace_id", "left_semi")
+
+    def refused(batches):
+        trace, ids = None, set()
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                if r.trace_id != trace:
+                    trace, ids = r.trace_id, set()
+                if not r.defined:
+                    ids.discard(r.id)
+                elif r.id in ids or len(ids) < limit:
+                    ids.add(r.id)
+                else:
+                    out.append((r.trace_id, r.revision))
+            yield pd.DataFrame(out, columns=["trace_id", "revision"])
+
+    ordered = affected.select("trace_id", "revision", "id", "defined").repartition(
+        "trace_id"
+    ).sortWithinPartitions("trace_id", "revision")
+    return ordered.mapInPandas(refused, "trace_id string, revision bigint")
 
 
 @dataclass
