@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from lifetrace.functions.u64 import is_compact, saturating_end
 from lifetrace.operators.overlap import births_meeting_live
-from lifetrace.plans import prefix, skew
+from lifetrace.plans import prefix, ranges, skew
 from lifetrace.session import scratch_path, staged
-from lifetrace.trace import Trace
+from lifetrace.trace import Trace, write_table
 
 CREATORS = ("M", "R")
 
@@ -305,17 +305,22 @@ def build(
     path: str | None = None,
     hot_rows: int = skew.HOT_ROWS,
     block_bits: int = prefix.BLOCK_BITS,
+    pair_limit: int = ranges.PAIR_LIMIT,
 ) -> Trace:
     """Resolve records and write the tables of the traces below ``path``.
 
     Narrow decode, one shuffle by order block, one by id, one by address bin.
     Between the steps the rows are written, so a lost executor costs its own
-    tasks and not the whole lineage.
+    tasks and not the whole lineage. The limits only decide how work is cut.
     """
+    spark = records.sparkSession
+    path = path or scratch_path(spark, "trace")
     lines = staged(sequence(records, block_bits), "lines")
     rows = lines.count()
     events, allocations, dropped = resolve(lines, rows, hot_rows, block_bits)
-    path = path or scratch_path(records.sparkSession, "trace")
-    stored = staged(allocations, "allocations")
-    overlaps = births_meeting_live(stored)
-    return Trace(events, stored, overlaps, reject_table(lines, dropped), headers).save(path)
+    write_table(events, path, "events")
+    stored = write_table(allocations, path, "allocations")
+    write_table(births_meeting_live(stored, pair_limit), path, "overlaps")
+    write_table(reject_table(lines, dropped), path, "rejects")
+    write_table(headers, path, "headers")
+    return Trace.load(spark, path)

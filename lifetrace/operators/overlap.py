@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lifetrace.plans import ranges
 
 
-def births_meeting_live(allocations: DataFrame) -> DataFrame:
+def births_meeting_live(allocations: DataFrame, pair_limit: int = ranges.PAIR_LIMIT) -> DataFrame:
     """Creators whose span intersects one that is live when they are born.
 
     The allocation a resize ends is dead by then, so it does not count.
     """
-    return ranges.births_in_live(allocations).select("trace_id", "creator", "addr", "end_span")
+    return ranges.births_in_live(allocations, pair_limit)

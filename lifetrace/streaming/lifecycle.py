@@ -38,6 +38,15 @@ def steps(events: DataFrame) -> DataFrame:
     )
 
 
+def without_id(events: DataFrame) -> DataFrame:
+    """Frees and resizes that name no id: unknown, whatever came before."""
+    return events.filter(F.col("op").isin("F", "R") & F.col("kid").isNull()).select(
+        "trace_id", "seq", F.lit("kill").alias("what"), F.lit("unknown").alias("status"),
+        *[F.lit(None).cast("bigint").alias(c) for c in ("target", "target_t", "target_addr", "target_size")],
+        "t",
+    )
+
+
 def resolved(stream: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
     """One row per step: kills with status and target, creates with reuse.
 

@@ -65,7 +65,7 @@ def _resolved(s, d):
     )
     out = scratch_path(s, "resolved")
     fed(
-        s, events, "seq", lambda df: lifecycle.resolved(lifecycle.steps(df)),
+        s, events, "seq", lambda df: lifecycle.resolved(lifecycle.steps(df)).unionByName(lifecycle.without_id(df)),
         lambda df, n: runs.write_batch(df, out, n),
     )
     return runs.read_batches(s, out).select("seq", "what", "status", "target", "target_size")

@@ -7,6 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("events", "allocations", "overlaps", "rejects", "headers")
+_POSITION = {"events": "seq", "allocations": "creator"}
+
+
+def write_table(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Write one table, rows clustered by (trace_id, position), and read it.
+
+    Clustering keeps the footers' min/max of the position tight, so a page, a
+    context window or one trace reads only its own row groups. Traces are not
+    directories: millions of small traces would be millions of files.
+    """
+    if name in _POSITION:
+        keys = ["trace_id", _POSITION[name]]
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
 @dataclass
@@ -33,25 +48,11 @@ class Trace:
         return self.events.sparkSession
 
     def save(self, path: str) -> "Trace":
-        """Write every table, rows clustered by (trace_id, position).
-
-        Clustering keeps the footers' min/max of ``seq`` tight, so a page, a
-        context window or a trace reads only its own row groups. Traces are
-        not directories: millions of small traces would be millions of files.
-        """
-        order = {"events": "seq", "allocations": "creator"}
+        """Write every table to a new place and go on from there."""
         for name in TABLES:
-            df = getattr(self, name)
-            if name in order:
-                keys = ["trace_id", order[name]]
-                df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-            df.write.mode("errorifexists").parquet(f"{path}/{name}")
-        return Trace.load(self.spark, path, {n: getattr(self, n).schema for n in TABLES})
+            write_table(getattr(self, name), path, name)
+        return Trace.load(self.spark, path)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, schemas: dict | None = None) -> "Trace":
-        def read(name: str) -> DataFrame:
-            reader = spark.read if schemas is None else spark.read.schema(schemas[name])
-            return reader.parquet(f"{path}/{name}")
-
-        return Trace(**{name: read(name) for name in TABLES})
+    def load(spark: SparkSession, path: str) -> "Trace":
+        return Trace(**{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
