@@ -51,8 +51,8 @@ def segments(df: DataFrame, start: str, stop: str) -> DataFrame:
         prefix.Run("depth", "sum", F.col("by"), inclusive=False),
         prefix.Run("begin", "last", F.col("pos"), inclusive=False),
     ]
-    block = int_div(F.col("pos"), F.lit(1 << prefix.BLOCK_BITS).cast(points.schema["pos"].dataType))
-    return prefix.scan(points, ["trace_id"], ["pos"], block.cast("bigint"), runs).filter(
+    block = int_div(F.col("pos"), F.lit(1 << prefix.SPARSE_BITS).cast(points.schema["pos"].dataType))
+    return prefix.scan(points, ["trace_id"], ["pos"], block.cast("bigint"), runs, levels=2).filter(
         "depth > 0"
     ).select("trace_id", F.col("begin").alias("start"), F.col("pos").alias("stop"), "depth")
 
@@ -96,14 +96,14 @@ def layout(occupied: DataFrame, collapse_min: int, pins: DataFrame | None = None
         rows = rows.unionByName(pins.select("trace_id", "row"))
     rows = rows.distinct()
     lagged = prefix.scan(
-        rows, ["trace_id"], ["row"], prefix.block_of("row"),
-        [prefix.Run("above", "last", F.col("row"), inclusive=False)],
+        rows, ["trace_id"], ["row"], prefix.block_of("row", prefix.SPARSE_BITS),
+        [prefix.Run("above", "last", F.col("row"), inclusive=False)], levels=2,
     )
     empty = F.col("row") - F.col("above") - 1
     counted = prefix.scan(
         lagged.withColumn("_gap", F.when(empty >= collapse_min, 1).otherwise(0).cast("bigint")),
-        ["trace_id"], ["row"], prefix.block_of("row"),
-        [prefix.Run("gaps_before", "sum", F.col("_gap"))],
+        ["trace_id"], ["row"], prefix.block_of("row", prefix.SPARSE_BITS),
+        [prefix.Run("gaps_before", "sum", F.col("_gap"))], levels=2,
     )
     empty = F.col("row") - F.col("above") - 1
     filler = F.when(
@@ -121,8 +121,9 @@ def gaps(runs: DataFrame, collapse_min: int) -> DataFrame:
     ``runs`` are row intervals [start, stop); rows are never listed one by one.
     """
     lagged = prefix.scan(
-        runs.select("trace_id", "start", "stop"), ["trace_id"], ["start"], prefix.block_of("start"),
-        [prefix.Run("_end", "last", F.col("stop"), inclusive=False)],
+        runs.select("trace_id", "start", "stop"), ["trace_id"], ["start"],
+        prefix.block_of("start", prefix.SPARSE_BITS),
+        [prefix.Run("_end", "last", F.col("stop"), inclusive=False)], levels=2,
     )
     return lagged.filter(F.col("start") - F.col("_end") >= collapse_min).select(
         "trace_id", (F.col("_end") - 1).alias("above"), F.col("start").alias("below")

@@ -169,8 +169,8 @@ def retention(allocations: DataFrame, cycle: Column) -> DataFrame:
         byte_sum(F.when(live, F.col("size"))).alias("retained_bytes"),
     )
     return prefix.scan(
-        per, ["trace_id"], ["cycle"], prefix.block_of("cycle"),
-        [prefix.Run("total_bytes", "sum", F.col("retained_bytes"))],
+        per, ["trace_id"], ["cycle"], prefix.block_of("cycle", prefix.SPARSE_BITS),
+        [prefix.Run("total_bytes", "sum", F.col("retained_bytes"))], levels=2,
     )
 
 

@@ -17,7 +17,7 @@ from lifetrace.functions.u64 import is_compact, saturating_end
 from lifetrace.operators.overlap import births_meeting_live
 from lifetrace.plans import prefix, ranges, skew
 from lifetrace.session import scratch_path, staged
-from lifetrace.trace import Trace, write_table
+from lifetrace.trace import Trace, trace_spans, write_table
 
 CREATORS = ("M", "R")
 
@@ -318,8 +318,9 @@ def build(
     lines = staged(sequence(records, block_bits), "lines")
     rows = lines.count()
     events, allocations, dropped = resolve(lines, rows, hot_rows, block_bits)
-    write_table(events, path, "events")
-    stored = write_table(allocations, path, "allocations")
+    spans = staged(trace_spans(lines), "spans")
+    write_table(events, path, "events", spans)
+    stored = write_table(allocations, path, "allocations", spans)
     write_table(births_meeting_live(stored, pair_limit), path, "overlaps")
     write_table(reject_table(lines, dropped), path, "rejects")
     write_table(headers, path, "headers")

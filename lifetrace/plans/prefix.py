@@ -5,7 +5,8 @@ carry a block number that grows with the order, so a window only ever holds
 one block; one row of totals per block then carries the state across blocks.
 The rows are shuffled once, on (keys, block); the totals are that much smaller
 (rows / block size) and are joined back on the same columns, so the long side
-is not moved again.
+is not moved again. Where an order has holes there may be as many blocks as
+rows; the totals are then scanned in blocks themselves (``levels``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lifetrace.session import staged
 
-BLOCK_BITS = 20  # about a million rows per block of a dense order
+BLOCK_BITS = 16  # rows per block of a dense order, as bits
+SPARSE_BITS = 20  # the same for addresses and other orders with holes
 
 BLOCK = "_block"
 
@@ -72,12 +74,14 @@ def scan(
     block: Column,
     runs: list[Run],
     carried: Column | None = None,
+    levels: int = 1,
 ) -> DataFrame:
     """Add running values over ``order`` inside ``keys``.
 
     ``block`` must not decrease along ``order``. ``carried`` marks the rows of
     keys that span several blocks; the others need no carry (None: all do).
-    ``order`` must be unique inside ``keys``.
+    ``order`` must be unique inside ``keys``. With ``levels`` above 1 the block
+    totals are scanned the same way, in blocks of 2^SPARSE_BITS blocks.
     """
     blocked = df.withColumn(BLOCK, block)
     window = Window.partitionBy(*keys, BLOCK).orderBy(*order)
@@ -90,22 +94,25 @@ def scan(
     totals = spanning.groupBy(*keys, BLOCK).agg(
         *[_fold(r, r.value, position).alias(f"_t_{r.out}") for r in runs]
     )
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    across = {"sum": F.sum, "max": F.max, "min": F.min}
-    carry = totals.select(
-        *keys,
-        BLOCK,
-        *[
-            (
-                F.last(f"_t_{r.out}", ignorenulls=True)
-                if r.agg == "last"
-                else across[r.agg](f"_t_{r.out}")
-            )
-            .over(earlier)
-            .alias(f"_c_{r.out}")
-            for r in runs
-        ],
-    )
+    if levels > 1:
+        numbered = totals.withColumnRenamed(BLOCK, "_of")
+        carry = scan(
+            numbered, keys, ["_of"], block_of("_of", SPARSE_BITS),
+            [Run(f"_c_{r.out}", r.agg, F.col(f"_t_{r.out}"), inclusive=False) for r in runs],
+            levels=levels - 1,
+        ).select(*keys, F.col("_of").alias(BLOCK), *[f"_c_{r.out}" for r in runs])
+    else:
+        earlier = Window.partitionBy(*keys).orderBy(BLOCK)
+        carry = totals.select(
+            *keys,
+            BLOCK,
+            *[
+                _running(Run(r.out, r.agg, r.value, False), F.col(f"_t_{r.out}"), earlier).alias(
+                    f"_c_{r.out}"
+                )
+                for r in runs
+            ],
+        )
     joined = local.join(carry, [*keys, BLOCK], "left")
     return joined.select(
         *df.columns,
@@ -130,17 +137,29 @@ def dense_index(df: DataFrame, keys: list[str], order: list[str], out: str) -> D
     return number_rows(table, keys, ["_part"], "_row", out)
 
 
+OFFSETS_BROADCAST = 100_000  # offset rows small enough to send to every task
+
+
 def number_rows(
     table: DataFrame, keys: list[str], parts: list[str], row: str, out: str
 ) -> DataFrame:
-    """Dense numbers from (part, row id): rows of a part are consecutive ids."""
+    """Dense numbers from (part, row id): rows of a part are consecutive ids.
+
+    There is one offset per part and key inside it. Written and counted first,
+    they are broadcast while there are few; else the join shuffles.
+    """
     spans = table.groupBy(*keys, *parts).agg(
         F.min(row).alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     earlier = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.select(
-        *keys, *parts, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")
+    offsets = staged(
+        spans.select(
+            *keys, *parts, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base")
+        ),
+        "offsets",
     )
+    if offsets.count() <= OFFSETS_BROADCAST:
+        offsets = F.broadcast(offsets)
     kept = [c for c in table.columns if c not in (*parts, row)]
     return table.join(offsets, [*keys, *parts]).select(
         *kept, (F.col("_base") + F.col(row) - F.col("_first")).alias(out)

@@ -74,15 +74,19 @@ def _with_levels(df: DataFrame, compact: bool) -> DataFrame:
 
 
 CELL = ["trace_id", "side", "level", "bin"]
+TIMED = [*CELL, "tlevel", "tbin"]
 
 
 def births_in_live(allocations: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Allocations whose interval meets another one live at their birth.
 
-    Bins where one of the two sides is small join by pairs (at most
-    ``pair_limit`` per row of the larger side). The others - one address or
-    one arena holding a large part of the trace - never form pairs: they go
-    through ``_crowded``, which sorts.
+    Three steps, each only for what the one before leaves over. Address bins
+    where one side is small join by pairs, at most ``pair_limit`` per row of
+    the larger side. In the other bins lifetimes are binned as well, so an
+    address used again and again only meets the uses near in time. What is
+    still crowded then is stacked up alive at one place; it forms no pairs but
+    goes through ``_stacked``, which sorts. Usually the second and third step
+    find nothing and are not planned.
     """
     compact = is_compact(allocations)
     slim = _with_levels(
@@ -103,22 +107,41 @@ def births_in_live(allocations: DataFrame, pair_limit: int = PAIR_LIMIT) -> Data
         F.col("addr").alias("b_addr"), F.col("end_span").alias("b_end"), "death",
         F.when(F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
     )
-    counts = staged(
-        newborn.select(*CELL, F.lit(1).alias("a"), F.lit(0).alias("b"))
-        .unionByName(living.select(*CELL, F.lit(0).alias("a"), F.lit(1).alias("b")))
-        .groupBy(*CELL)
+    met, newborn, living = _paired(newborn, living, CELL, pair_limit)
+    if newborn is not None:
+        newborn, living = _timed(newborn, living)
+        more, newborn, living = _paired(newborn, living, TIMED, pair_limit)
+        met = met.unionByName(more)
+    if newborn is not None:
+        met = met.unionByName(
+            _stacked(
+                newborn.drop("tlevel", "tbin").distinct(), living.drop("tlevel", "tbin").distinct(),
+                allocations,
+            )
+        )
+    return met.distinct()
+
+
+def _paired(
+    newborn: DataFrame, living: DataFrame, cell: list[str], limit: int
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Matches from the cells with a small side, and the rows of the others."""
+    crowded = staged(
+        newborn.select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b"))
+        .unionByName(living.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
+        .groupBy(*cell)
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        .filter(F.least("a", "b") > pair_limit)
-        .select(*CELL),
+        .filter(F.least("a", "b") > limit)
+        .select(*cell),
         "crowded-bins",
     )
-    crowded = not counts.isEmpty()
+    left_over = not crowded.isEmpty()
     some, others = newborn, living
-    if crowded:
-        some = newborn.join(counts, CELL, "left_anti")
-        others = living.join(counts, CELL, "left_anti")
-    by_pairs = (
-        some.join(others, CELL)
+    if left_over:
+        some = newborn.join(crowded, cell, "left_anti")
+        others = living.join(crowded, cell, "left_anti")
+    met = (
+        some.join(others, cell)
         .filter(
             (F.col("b_creator") < F.col("creator"))
             & (F.col("death").isNull() | (F.col("death") > F.col("creator")))
@@ -127,19 +150,40 @@ def births_in_live(allocations: DataFrame, pair_limit: int = PAIR_LIMIT) -> Data
         )
         .select("trace_id", "creator", "addr", "end_span")
     )
-    if crowded:
-        by_pairs = by_pairs.unionByName(
-            _crowded(
-                newborn.join(counts, CELL, "left_semi"),
-                living.join(counts, CELL, "left_semi"),
-                allocations,
+    if not left_over:
+        return met, None, None
+    return (
+        met,
+        newborn.join(crowded, cell, "left_semi"),
+        living.join(crowded, cell, "left_semi"),
+    )
+
+
+def _timed(newborn: DataFrame, living: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with time bins: a lifetime touches at most two of its level,
+    a birth is one point on each level that occurs."""
+    level = lifetime_level(F.col("b_creator"), F.col("death"))
+    leveled = living.withColumn("tlevel", level)
+    present = levels_in(leveled, F.col("tlevel"))
+    shift = lambda c: F.call_function("shiftright", F.col(c), F.col("tlevel"))
+    ends = F.when(
+        F.col("tlevel") == OPEN, F.array(F.lit(0).cast("bigint"))
+    ).otherwise(F.array_distinct(F.array(shift("b_creator"), shift("death"))))
+    points = F.array(
+        *[
+            F.struct(
+                F.lit(x).alias("tlevel"),
+                (F.lit(0).cast("bigint") if x == OPEN else F.shiftright("creator", x)).alias("tbin"),
             )
-        )
-    return by_pairs.distinct()
+            for x in present
+        ]
+    )
+    born = newborn.withColumn("_t", F.explode(points)).select("*", "_t.tlevel", "_t.tbin").drop("_t")
+    return born, leveled.withColumn("tbin", F.explode(ends))
 
 
-def _crowded(newborn: DataFrame, living: DataFrame, allocations: DataFrame) -> DataFrame:
-    """The same test by sorting, for bins of any size.
+def _stacked(newborn: DataFrame, living: DataFrame, allocations: DataFrame) -> DataFrame:
+    """The same test by sorting, for any number of rows at one place.
 
     A lifetime is a few nodes of a tree over the order of events, a birth is
     one node per level. Inside a node every live interval covers every birth,

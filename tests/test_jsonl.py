@@ -1,7 +1,5 @@
 """Reading JSON Lines: tolerance, order, headers, malformed lines."""
 
-import pytest
-
 from lifetrace.operators import aggregate, fields, warnings
 from lifetrace.sources import jsonl
 
@@ -64,46 +62,45 @@ garbage
     ]
 
 
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ('{"op":"M","id":1.9,"addr":"0x10","size":2.5}', (1, 16, 2)),
-        ('{"op":"M","id":-4,"addr":"16","size":3}', (0, 16, 3)),
-        ('{"op":"M","id":99999999999999999999999,"addr":"ff","size":3}', (18446744073709551615, 255, 3)),
-        ('{"op":"M","id":18446744073709551615,"addr":"0xFFFFFFFFFFFFFFFF","size":3}', (18446744073709551615, 18446744073709551615, 3)),
-        ('{"op":"M","id":1e19,"addr":"0x10","size":1}', (10000000000000000000, 16, 1)),
-        ('{"op":"M","id":1,"addr":"0x10","size":3} trailing', (1, 16, 3)),
-        ('{"op":"M","id":1,"id":2,"addr":"0x10","size":3}', (2, 16, 3)),
-        ('{"size":3,"addr":"0x10","id":7,"op":"M","later":[1,{"a":2}]}', (7, 16, 3)),
-        ('{"op":"M","id":1,"addr":"0x10","size":3,"stack":7,"meta":null}', (1, 16, 3)),
-    ],
-)
-def test_tolerated(spark, tmp_path, text, want):
-    t = load(spark, tmp_path, text)
-    r = t.allocations.first()
-    assert (int(r.id), int(r.addr), int(r["size"])) == want
-
-
-@pytest.mark.parametrize(
-    "text",
-    [
-        '{"op":"M","id":"7","addr":"0x10","size":3}',
-        '{"op":"M","id":null,"addr":"0x10","size":3}',
-        '{"op":"M","id":1,"addr":16,"size":3}',
-        '{"op":"M","id":1,"addr":null,"size":3}',
-        '{"op":"M","id":1,"addr":"0x10","size":3,"site":null}',
-        '{"op":"","id":1,"addr":"0x10"}',
-        '{"op":"MM","id":1,"addr":"0x10"}',
-        '{"id":1,"addr":"0x10"}',
-        "{}",
-        "[1]",
-        '{"op":"M"',
-    ],
-)
-def test_malformed(spark, tmp_path, text):
-    t = load(spark, tmp_path, text + '\n{"op":"E","title":"end"}')
-    assert t.events.count() == 1
-    assert [r.kind for r in warnings.warnings(t).collect()] == ["malformed_line"]
+TOLERATED = [
+    ('{"op":"M","id":1.9,"addr":"0x10","size":2.5}', (1, 16, 2)),
+    ('{"op":"M","id":-4,"addr":"16","size":3}', (0, 16, 3)),
+    ('{"op":"M","id":99999999999999999999999,"addr":"ff","size":3}', (18446744073709551615, 255, 3)),
+    ('{"op":"M","id":18446744073709551615,"addr":"0xFFFFFFFFFFFFFFFF","size":3}', (18446744073709551615, 18446744073709551615, 3)),
+    ('{"op":"M","id":1e19,"addr":"0x10","size":1}', (10000000000000000000, 16, 1)),
+    ('{"op":"M","id":1,"addr":"0x10","size":3} trailing', (1, 16, 3)),
+    ('{"op":"M","id":1,"id":2,"addr":"0x10","size":3}', (2, 16, 3)),
+    ('{"size":3,"addr":"0x10","id":7,"op":"M","later":[1,{"a":2}]}', (7, 16, 3)),
+    ('{"op":"M","id":1,"addr":"0x10","size":3,"stack":7,"meta":null}', (1, 16, 3)),
+]
+MALFORMED = [
+    '{"op":"M","id":"7","addr":"0x10","size":3}',
+    '{"op":"M","id":null,"addr":"0x10","size":3}',
+    '{"op":"M","id":1,"addr":16,"size":3}',
+    '{"op":"M","id":1,"addr":null,"size":3}',
+    '{"op":"M","id":1,"addr":"0x10","size":3,"site":null}',
+    '{"op":"","id":1,"addr":"0x10"}',
+    '{"op":"MM","id":1,"addr":"0x10"}',
+    '{"id":1,"addr":"0x10"}',
+    "{}",
+    "[1]",
+    '{"op":"M"',
+]
+
+
+def test_tolerated_and_malformed(spark, tmp_path):
+    """Every case is a trace of its own; all are read in one go."""
+    for i, (text, _) in enumerate(TOLERATED):
+        write(tmp_path, text, f"t{i}.jsonl")
+    for i, text in enumerate(MALFORMED):
+        write(tmp_path, text + '\n{"op":"E","title":"end"}', f"m{i}.jsonl")
+    t = jsonl.load(spark, str(tmp_path), r"/([^/]+)\.jsonl$")
+    got = {r.trace_id: (int(r.id), int(r.addr), int(r["size"])) for r in t.allocations.collect()}
+    assert got == {f"t{i}": want for i, (_, want) in enumerate(TOLERATED)}
+    kinds = {}
+    for r in warnings.warnings(t).collect():
+        kinds.setdefault(r.trace_id, []).append(r.kind)
+    assert kinds == {f"m{i}": ["malformed_line"] for i in range(len(MALFORMED))}
 
 
 def test_bad_address_drops_the_creator(spark, tmp_path):
