@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lifetrace.functions.u64 import int_div
 from lifetrace.operators.live import live_at
 from lifetrace.plans import prefix, ranges
+from lifetrace.plans.small import per_trace
 from lifetrace.trace import Trace
 
 ROW_CAP = 65536  # spans over more rows mark only their first and last
@@ -18,8 +19,11 @@ def bases(trace: Trace, row_bytes: int) -> DataFrame:
     seen = trace.allocations.groupBy("trace_id").agg(F.min("addr").alias("addr_min"))
     arena = F.when(F.col("arena_base") != 0, F.col("arena_base"))
     lowest = F.coalesce(F.least("addr_min", arena.cast(trace.allocations.schema["addr"].dataType)), F.lit(0))
-    return trace.headers.select("trace_id", "arena_base").join(seen, "trace_id").select(
-        "trace_id", (lowest - lowest % row_bytes).alias("base")
+    return per_trace(
+        trace.headers.select("trace_id", "arena_base").join(seen, "trace_id").select(
+            "trace_id", (lowest - lowest % row_bytes).alias("base")
+        ),
+        "bases",
     )
 
 

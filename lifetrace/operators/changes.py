@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifetrace.plans import prefix
+from lifetrace.plans.small import per_trace
 from lifetrace.session import staged
 
 # Change types and the limits on what they carry.
@@ -107,7 +108,7 @@ def validated(
     key = ["trace_id", "revision"]
     fine = rows.filter("reason is null")
 
-    counts = events.groupBy("trace_id").agg((F.max("seq") + 1).alias("_events"))
+    counts = per_trace(events.groupBy("trace_id").agg((F.max("seq") + 1).alias("_events")))
     marks = fine.filter(F.col("type") == PUTS["bookmark"]).join(counts, "trace_id", "left")
     late = marks.filter(F.col("seq") > F.coalesce("_events", F.lit(0))).select(
         *key, F.lit("invalid bookmark").alias("why")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifetrace.plans import prefix, ranges, skew
+from lifetrace.plans.small import per_trace
 
 WIDE = "decimal(38,0)"
 
@@ -158,7 +159,7 @@ def ages(allocations: DataFrame, events: DataFrame, n: int) -> DataFrame:
     live = allocations.filter(live_at(n))
     oldest = live.groupBy("trace_id").agg(F.min("birth_t").alias("oldest_t"))
     now = time_at(events, n).withColumnRenamed("t", "now")
-    frame = oldest.join(now, "trace_id")
+    frame = per_trace(oldest.join(now, "trace_id"), "ages")
     age = F.greatest(F.col("now") - F.col("birth_t"), F.lit(0)).cast("double")
     top = F.log(1.0 + F.greatest(F.col("now") - F.col("oldest_t"), F.lit(0)).cast("double"))
     return live.join(frame, "trace_id").select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifetrace.plans import prefix
+from lifetrace.plans.small import per_trace
 from lifetrace.streaming.runs import previous, write_batch
 
 CLAMP_STATE = "trace_id string, top bigint"
@@ -20,7 +21,7 @@ def clamp_sink(out: str, state: str):
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = previous(spark, state, number, CLAMP_STATE)
+        before = per_trace(previous(spark, state, number, CLAMP_STATE))
         rows = prefix.scan(
             batch, ["trace_id"], ["ord"], prefix.block_of("ord"), [prefix.Run("_t", "max", F.col("t"))]
         ).join(before, "trace_id", "left")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lifetrace.functions.predicates import alloc, malloc, where
 from lifetrace.operators import address, annotate, lineage, overlap
 from lifetrace.plans import asof
-from lifetrace.suite.sql import over
-from lifetrace.suite.tables import MEMBERS_SQL, dirty, members, orders
+from lifetrace.suite.sql import HALF, over
+from lifetrace.suite.tables import MEMBERS_SQL, dirty, half, members, orders
 
 ENTRIES = {}
 
@@ -60,12 +60,12 @@ ENTRIES["J5_overlap_semi"] = (
 )
 for _n, _t in (("orders", orders), ("events", dirty)):
     ENTRIES[f"J6_ghosts_{_n}"] = (
-        lambda s, d, t=_t: address.ghosts(t(s, d), 9500).drop("trace_id"),
+        lambda s, d, t=_t: address.ghosts(t(s, d), half(t(s, d))).drop("trace_id"),
         over(
             _n,
-            """SELECT p.creator AS parent, g.creator AS child FROM al g SEMI JOIN ovl o ON o.creator = g.creator
+            f"""SELECT p.creator AS parent, g.creator AS child FROM al g SEMI JOIN ovl o ON o.creator = g.creator
                JOIN al p ON p.addr <= g.addr AND g.end_span <= p.end_span AND g.creator > p.creator
-               WHERE g.death < 9500 AND p.creator < 9500 AND (p.death IS NULL OR p.death >= 9500)""",
+               WHERE g.death < {HALF} AND p.creator < {HALF} AND (p.death IS NULL OR p.death >= {HALF})""",
         ),
     )
 ENTRIES["J7_events_touching"] = (

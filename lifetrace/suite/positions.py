@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from lifetrace.operators import live
 from lifetrace.suite.aggregates import RUN_SQL, longs
-from lifetrace.suite.sql import over
-from lifetrace.suite.tables import dirty, orders
+from lifetrace.suite.sql import HALF, QUARTER, over
+from lifetrace.suite.tables import dirty, half, orders, quarter, times
 
 ENTRIES = {}
 
 
 def playheads(t):
-    """A position every 500 events, over the whole stream."""
+    """A position every 500 events, over the whole stream.f"""
     return t.events.filter("seq % 500 = 0").select("trace_id", F.col("seq").alias("n"))
 
 
@@ -23,17 +23,17 @@ for _n, _t in (("orders", orders), ("events", dirty)):
         over(_n, "SELECT * FROM runs", RUN_SQL),
     )
 ENTRIES["W2_live_at_position"] = (
-    lambda s, d: orders(s, d).allocations.filter(live.live_at(12000)).select("creator", "addr", "size"),
+    lambda s, d: orders(s, d).allocations.filter(live.live_at(half(orders(s, d)))).select("creator", "addr", "size"),
     over(
         "orders",
-        "SELECT creator, addr, size FROM al WHERE creator < 12000 AND (death IS NULL OR death >= 12000)",
+        f"SELECT creator, addr, size FROM al WHERE creator < {HALF} AND (death IS NULL OR death >= {HALF})",
     ),
 )
 ENTRIES["W3_live_at_time"] = (
-    lambda s, d: orders(s, d).allocations.filter(live.live_at_time(900000000)).select("creator", "size"),
+    lambda s, d: orders(s, d).allocations.filter(live.live_at_time(sum(times(orders(s, d))) // 2)).select("creator", "size"),
     over(
         "orders",
-        """SELECT creator, size FROM al, (SELECT count(*) AS n FROM ev WHERE t <= 900000000) p
+        """SELECT creator, size FROM al, (SELECT count(*) AS n FROM ev WHERE t <= (SELECT (t0 + t1) // 2 FROM pos)) p
            WHERE creator < n AND (death IS NULL OR death >= n)""",
     ),
 )
@@ -56,12 +56,12 @@ ENTRIES["W4_sets_at_positions"] = (
     ),
 )
 ENTRIES["W5_diff"] = (
-    lambda s, d: live.diff(orders(s, d).allocations, 8000, 16000).select("creator", "change"),
+    lambda s, d: live.diff(orders(s, d).allocations, quarter(orders(s, d)), half(orders(s, d))).select("creator", "change"),
     over(
         "orders",
-        """SELECT creator, CASE WHEN a AND b THEN 'survived' WHEN a THEN 'died' ELSE 'born' END AS change
-           FROM (SELECT creator, creator < 8000 AND (death IS NULL OR death >= 8000) AS a,
-                 creator < 16000 AND (death IS NULL OR death >= 16000) AS b FROM al) WHERE a OR b""",
+        f"""SELECT creator, CASE WHEN a AND b THEN 'survived' WHEN a THEN 'died' ELSE 'born' END AS change
+           FROM (SELECT creator, creator < {QUARTER} AND (death IS NULL OR death >= {QUARTER}) AS a,
+                 creator < {HALF} AND (death IS NULL OR death >= {HALF}) AS b FROM al) WHERE a OR b""",
     ),
 )
 ENTRIES["W6_prefix_counts"] = (
@@ -74,20 +74,20 @@ ENTRIES["W6_prefix_counts"] = (
     ),
 )
 ENTRIES["W7_age_fraction"] = (
-    lambda s, d: live.ages(orders(s, d).allocations, orders(s, d).events, 12000)
+    lambda s, d: live.ages(orders(s, d).allocations, orders(s, d).events, half(orders(s, d)))
     .select("creator", "oldest_t", F.round("age_fraction", 6).alias("age_fraction")),
     over(
         "orders",
-        """SELECT creator, oldest_t, round(ln(1.0::DOUBLE + (now - birth_t)) / ln(1.0::DOUBLE + (now - oldest_t)), 6) AS age_fraction
-           FROM (SELECT creator, birth_t, min(birth_t) OVER () AS oldest_t, (SELECT t FROM ev WHERE seq = 11999) AS now
-                 FROM al WHERE creator < 12000 AND (death IS NULL OR death >= 12000))""",
+        f"""SELECT creator, oldest_t, round(ln(1.0::DOUBLE + (now - birth_t)) / ln(1.0::DOUBLE + (now - oldest_t)), 6) AS age_fraction
+           FROM (SELECT creator, birth_t, min(birth_t) OVER () AS oldest_t, (SELECT t FROM ev WHERE seq = {HALF} - 1) AS now
+                 FROM al WHERE creator < {HALF} AND (death IS NULL OR death >= {HALF}))""",
     ),
 )
 ENTRIES["W9_widest_live"] = (
-    lambda s, d: live.widest(orders(s, d).allocations, 12000),
+    lambda s, d: live.widest(orders(s, d).allocations, half(orders(s, d))),
     over(
         "orders",
-        "SELECT 'orders' AS trace_id, max(span) AS widest FROM al WHERE creator < 12000 AND (death IS NULL OR death >= 12000)",
+        f"SELECT 'orders' AS trace_id, max(span) AS widest FROM al WHERE creator < {HALF} AND (death IS NULL OR death >= {HALF})",
     ),
 )
 for _n, _t in (("orders", orders), ("events", dirty)):

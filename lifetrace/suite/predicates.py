@@ -9,8 +9,8 @@ from lifetrace.functions.predicates import (
 )
 from lifetrace.operators import annotate, fields, filters
 from lifetrace.suite.construction import FIELDS_SQL
-from lifetrace.suite.sql import over
-from lifetrace.suite.tables import MEMBERS_SQL, NOTES_SQL, dirty, members, notes, orders
+from lifetrace.suite.sql import HALF, QUARTER, over
+from lifetrace.suite.tables import MEMBERS_SQL, NOTES_SQL, dirty, half, members, notes, orders, quarter
 
 ENTRIES = {}
 _T = {"orders": orders, "events": dirty}
@@ -170,11 +170,11 @@ ENTRIES["F23_empty_selection"] = (
 )
 ENTRIES["F24_crop"] = (
     lambda s, d: filters.visibility(
-        dirty(s, d).allocations, (alloc.size >= 100).column(), hide=True, crop=(1000, 6000)
+        dirty(s, d).allocations, (alloc.size >= 100).column(), hide=True, crop=(quarter(dirty(s, d)), half(dirty(s, d)))
     ),
     over(
         "events",
-        "SELECT trace_id, creator, NOT size >= 100 AS hidden, (NOT size >= 100) OR NOT (creator >= 1000 AND creator < 6000) AS dimmed FROM al",
+        f"SELECT trace_id, creator, NOT size >= 100 AS hidden, (NOT size >= 100) OR NOT (creator >= {QUARTER} AND creator < {HALF}) AS dimmed FROM al",
     ),
 )
 _HALF = "((op IN ('M','R') AND size >= 250) OR (op = 'F' AND target_size >= 250))"
@@ -186,9 +186,9 @@ ENTRIES["F25_filtered_events"] = (
 )
 ENTRIES["F26_filtered_position"] = (
     lambda s, d: filters.filtered_position(
-        dirty(s, d).events, where(dirty(s, d).allocations, alloc.size >= 250), 4321
+        dirty(s, d).events, where(dirty(s, d).allocations, alloc.size >= 250), half(dirty(s, d))
     ),
-    over("events", f"SELECT 'events' AS trace_id, count(*) AS position FROM ev WHERE seq < 4321 AND {_HALF}"),
+    over("events", f"SELECT 'events' AS trace_id, count(*) AS position FROM ev WHERE seq < {HALF} AND {_HALF}"),
 )
 ENTRIES["F27_field_catalog"] = (
     lambda s, d: fields.catalog(dirty(s, d)),

@@ -111,7 +111,12 @@ al AS (
 ovl AS (
   SELECT DISTINCT a.creator, a.addr, a.end_span FROM cre a JOIN cre b
     ON b.addr < a.end_span AND b.end_span > a.addr AND b.creator < a.creator
-   AND (b.death IS NULL OR b.death > a.creator))"""
+   AND (b.death IS NULL OR b.death > a.creator)),
+pos AS (SELECT count(*) AS n, count(*) // 2 AS h, count(*) // 4 AS q, min(t) AS t0, max(t) + 1 AS t1 FROM ev)"""
+
+# Parameters of the registered queries that move with the data.
+N, HALF, QUARTER = "(SELECT n FROM pos)", "(SELECT h FROM pos)", "(SELECT q FROM pos)"
+T0, T1 = "(SELECT t0 FROM pos)", "(SELECT t1 FROM pos)"
 
 _HEAD = {"orders": ORDERS_RECORDS, "events": EVENTS_RECORDS}
 

@@ -34,6 +34,27 @@ def dirty(spark: SparkSession, sf_dir: str) -> Trace:
     return trace(spark, sf_dir, "events")
 
 
+def size_of(t: Trace) -> int:
+    """Events of the trace, from the footers."""
+    return t.events.count()
+
+
+def half(t: Trace) -> int:
+    return size_of(t) // 2
+
+
+def quarter(t: Trace) -> int:
+    return size_of(t) // 4
+
+
+def times(t: Trace) -> tuple[int, int]:
+    """[first, last + 1) of the clamped time."""
+    from pyspark.sql import functions as F
+
+    row = t.events.agg(F.min("t"), F.max("t")).first()
+    return row[0], row[1] + 1
+
+
 def members(t: Trace) -> DataFrame:
     """Tags used by the registered queries, by rule over the allocations."""
     from pyspark.sql import functions as F

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lifetrace.functions.predicates import alloc, where
 from lifetrace.operators import annotate
-from lifetrace.suite.sql import over
-from lifetrace.suite.tables import MEMBERS_SQL, dirty, members, orders
+from lifetrace.suite.sql import HALF, QUARTER, over
+from lifetrace.suite.tables import MEMBERS_SQL, dirty, half, members, orders, quarter, times
 
 ENTRIES = {}
 
@@ -43,18 +43,18 @@ _entry(
 )
 _entry(
     "E5_tag_born_in_range",
-    lambda t, m: annotate.tagged(annotate.born_in(_big(t), 5000, 15000), "range").select("tag", "creator"),
-    "SELECT 'range' AS tag, creator FROM al WHERE size >= 300000 AND creator >= 5000 AND creator < 15000",
+    lambda t, m: annotate.tagged(annotate.born_in(_big(t), quarter(t), half(t)), "range").select("tag", "creator"),
+    f"SELECT 'range' AS tag, creator FROM al WHERE size >= 300000 AND creator >= {QUARTER} AND creator < {HALF}",
 )
 _entry(
     "E6_tag_freed_in_range",
-    lambda t, m: annotate.tagged(annotate.freed_in(t.allocations, 2000, 7000), "gone").select("tag", "creator"),
-    "SELECT 'gone' AS tag, target AS creator FROM ev WHERE target IS NOT NULL AND seq >= 2000 AND seq < 7000", "events",
+    lambda t, m: annotate.tagged(annotate.freed_in(t.allocations, quarter(t), half(t)), "gone").select("tag", "creator"),
+    f"SELECT 'gone' AS tag, target AS creator FROM ev WHERE target IS NOT NULL AND seq >= {QUARTER} AND seq < {HALF}", "events",
 )
 _entry(
     "E7_tag_time_range",
-    lambda t, m: annotate.in_time(t.allocations, 800000000, 900000000, freed=True).select("creator"),
-    """SELECT target AS creator FROM ev, (SELECT count(*) FILTER (t < 800000000) AS lo, count(*) FILTER (t <= 900000000) AS hi FROM ev)
+    lambda t, m: annotate.in_time(t.allocations, times(t)[0], sum(times(t)) // 2, freed=True).select("creator"),
+    """SELECT target AS creator FROM ev, (SELECT count(*) FILTER (t < (SELECT t0 FROM pos)) AS lo, count(*) FILTER (t <= (SELECT (t0 + t1) // 2 FROM pos)) AS hi FROM ev)
        WHERE target IS NOT NULL AND seq >= lo AND seq < hi""",
 )
 _entry(

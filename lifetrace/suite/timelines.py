@@ -8,15 +8,15 @@ from lifetrace.functions.predicates import alloc, where
 from lifetrace.operators import address, annotate, timeline
 from lifetrace.operators.live import live_at
 from lifetrace.suite.aggregates import longs
-from lifetrace.suite.sql import over
-from lifetrace.suite.tables import MEMBERS_SQL, dirty, members, orders
+from lifetrace.suite.sql import HALF, N, T0, T1, over
+from lifetrace.suite.tables import MEMBERS_SQL, dirty, half, members, orders, size_of, times
 
 ENTRIES = {}
 _T = {"orders": orders, "events": dirty}
 
 
-def _bins_sql(source, at, lo, hi, bins, cumulated=False):
-    width = hi - lo
+def _bins_sql(source, at, lo, hi, bins):
+    width = f"({hi} - {lo})"
     return f"""
     SELECT b.bin, {lo} + ({width} * b.bin) // {bins} AS "from", {lo} + ({width} * (b.bin + 1)) // {bins} AS "to",
       count(*) FILTER (op = 'M' AND a) AS allocations, count(*) FILTER (op = 'F' AND f) AS frees,
@@ -34,48 +34,50 @@ _BIG = "(SELECT seq, t, op, size, target_size, op IN ('M','R') AND size >= 250 A
 _SUMS = ("allocated_bytes", "freed_bytes", "net_live_bytes")
 
 
-def _line(name, trace, lo, hi, bins, domain, matched, source):
+def _line(name, trace, bins, domain, matched, source):
     at = "t" if domain == "time" else "seq"
+    bounds = (T0, T1) if domain == "time" else ("0", N)
 
     def run(s, d):
         t = _T[trace](s, d)
+        lo, hi = times(t) if domain == "time" else (0, size_of(t))
         m = where(t.allocations, alloc.size >= 250) if matched else None
         return longs(timeline.timeline(t, lo, hi, bins, domain, m), *_SUMS).drop("trace_id")
 
-    ENTRIES[name] = (run, over(trace, _bins_sql(source, at, lo, hi, bins)))
+    ENTRIES[name] = (run, over(trace, _bins_sql(source, at, *bounds, bins)))
 
 
-_line("T1_timeline_sequence", "orders", 0, 250210, 48, "sequence", False, _ALL)
-_line("T1_timeline_sequence_events", "events", 100, 99000, 37, "sequence", False, _ALL)
-_line("T2_timeline_time", "orders", 694224000, 1072915200, 64, "time", False, _ALL)
-_line("T3_filtered_timeline", "events", 0, 100000, 25, "sequence", True, _BIG)
+_line("T1_timeline_sequence", "orders", 48, "sequence", False, _ALL)
+_line("T1_timeline_sequence_events", "events", 37, "sequence", False, _ALL)
+_line("T2_timeline_time", "orders", 64, "time", False, _ALL)
+_line("T3_filtered_timeline", "events", 25, "sequence", True, _BIG)
 ENTRIES["T4_density_sequence"] = (
-    lambda s, d: timeline.density(dirty(s, d).events, 0.0, 9000.0, 700, "sequence").drop("trace_id"),
+    lambda s, d: timeline.density(dirty(s, d).events, 0.0, size_of(dirty(s, d)), 700, "sequence").drop("trace_id"),
     over(
         "events",
-        """SELECT c AS "column", count(*) FILTER (op IN ('M','R')) AS births, count(*) FILTER (op IN ('F','R')) AS frees
-           FROM (SELECT c, round(9000.0::DOUBLE * c / 700) AS a, round(9000.0::DOUBLE * (c+1) / 700) AS b FROM (SELECT unnest(range(700)) AS c))
+        f"""SELECT c AS "column", count(*) FILTER (op IN ('M','R')) AS births, count(*) FILTER (op IN ('F','R')) AS frees
+           FROM (SELECT c, round(CAST({N} AS DOUBLE) * c / 700) AS a, round(CAST({N} AS DOUBLE) * (c+1) / 700) AS b FROM (SELECT unnest(range(700)) AS c))
            JOIN ev ON seq >= a AND seq < b WHERE op <> 'E' GROUP BY c""",
     ),
 )
 ENTRIES["T4_density_time"] = (
-    lambda s, d: timeline.density(orders(s, d).events, 700000000.0, 1000000000.0, 333, "time").drop("trace_id"),
+    lambda s, d: timeline.density(orders(s, d).events, *times(orders(s, d)), 333, "time").drop("trace_id"),
     over(
         "orders",
-        """SELECT c AS "column", count(*) FILTER (op IN ('M','R')) AS births, count(*) FILTER (op IN ('F','R')) AS frees
-           FROM (SELECT c, ceil(700000000.0::DOUBLE + 300000000.0::DOUBLE * c / 333) AS a,
-                 ceil(700000000.0::DOUBLE + 300000000.0::DOUBLE * (c+1) / 333) AS b FROM (SELECT unnest(range(333)) AS c))
+        f"""SELECT c AS "column", count(*) FILTER (op IN ('M','R')) AS births, count(*) FILTER (op IN ('F','R')) AS frees
+           FROM (SELECT c, ceil(CAST({T0} AS DOUBLE) + CAST({T1} - {T0} AS DOUBLE) * c / 333) AS a,
+                 ceil(CAST({T0} AS DOUBLE) + CAST({T1} - {T0} AS DOUBLE) * (c+1) / 333) AS b FROM (SELECT unnest(range(333)) AS c))
            JOIN ev ON t >= a AND t < b WHERE op <> 'E' GROUP BY c""",
     ),
 )
 ENTRIES["T7_tag_lanes"] = (
     lambda s, d: timeline.tag_lanes(
-        annotate.with_tags(dirty(s, d).allocations, members(dirty(s, d))), 0.0, 9000.0, 500
+        annotate.with_tags(dirty(s, d).allocations, members(dirty(s, d))), 0.0, size_of(dirty(s, d)), 500
     ).drop("trace_id"),
     over(
         "events",
-        """SELECT lane, c AS "column", min(seq) AS seq, arg_min(tag, seq) AS tag
-           FROM (SELECT c, round(9000.0::DOUBLE * c / 500) AS a, round(9000.0::DOUBLE * (c+1) / 500) AS b FROM (SELECT unnest(range(500)) AS c))
+        f"""SELECT lane, c AS "column", min(seq) AS seq, arg_min(tag, seq) AS tag
+           FROM (SELECT c, round(CAST({N} AS DOUBLE) * c / 500) AS a, round(CAST({N} AS DOUBLE) * (c+1) / 500) AS b FROM (SELECT unnest(range(500)) AS c))
            JOIN (SELECT 'birth' AS lane, creator AS seq, tags[1] AS tag FROM alt WHERE len(tags) > 0
                  UNION ALL SELECT 'death', death, tags[1] FROM alt WHERE len(tags) > 0 AND death IS NOT NULL) ON seq >= a AND seq < b
            GROUP BY lane, c""",
@@ -84,11 +86,11 @@ ENTRIES["T7_tag_lanes"] = (
 )
 ENTRIES["T8_live_bytes_by_bin"] = (
     lambda s, d: longs(
-        timeline.cumulated(timeline.timeline(orders(s, d), 0, 250210, 48)), "live_bytes"
+        timeline.cumulated(timeline.timeline(orders(s, d), 0, size_of(orders(s, d)), 48)), "live_bytes"
     ).select("bin", "live_bytes"),
     over(
         "orders",
-        f"SELECT bin, CAST(sum(net_live_bytes) OVER (ORDER BY bin) AS BIGINT) AS live_bytes FROM ({_bins_sql(_ALL, 'seq', 0, 250210, 48)})",
+        f"SELECT bin, CAST(sum(net_live_bytes) OVER (ORDER BY bin) AS BIGINT) AS live_bytes FROM ({_bins_sql(_ALL, 'seq', '0', N, 48)})",
     ),
 )
 
@@ -110,8 +112,8 @@ ENTRIES["M1_rows"] = (
 )
 for _n, _t in _T.items():
     ENTRIES[f"M2_occupancy_{_n}"] = (
-        lambda s, d, t=_t, rb=_ROWS[_n]: address.occupancy(t(s, d), rb, 9000).drop("trace_id"),
-        over(_n, "SELECT * FROM occ", _rows_sql(9000, _ROWS[_n])),
+        lambda s, d, t=_t, rb=_ROWS[_n]: address.occupancy(t(s, d), rb, half(t(s, d))).drop("trace_id"),
+        over(_n, "SELECT * FROM occ", _rows_sql(HALF, _ROWS[_n])),
     )
 ENTRIES["M3_rows_ever_touched"] = (
     lambda s, d: address.occupancy(orders(s, d), 65536).select("row"),
@@ -128,25 +130,25 @@ lay AS (SELECT row, gaps_before, FALSE AS filler FROM lag2
 
 
 ENTRIES["M4_layout"] = (
-    lambda s, d: address.layout(address.occupancy(orders(s, d), 65536, 9000), 20).select("row", "gaps_before", "filler"),
-    over("orders", "SELECT * FROM lay", _rows_sql(9000, 65536) + "," + _layout_sql(20)),
+    lambda s, d: address.layout(address.occupancy(orders(s, d), 65536, half(orders(s, d))), 20).select("row", "gaps_before", "filler"),
+    over("orders", "SELECT * FROM lay", _rows_sql(HALF, 65536) + "," + _layout_sql(20)),
 )
 ENTRIES["M5_threshold_in_bytes"] = (
     lambda s, d: address.layout(
-        address.occupancy(orders(s, d), 65536, 9000), address.collapse_rows(2_000_000, 65536)
+        address.occupancy(orders(s, d), 65536, half(orders(s, d))), address.collapse_rows(2_000_000, 65536)
     ).select("row", "gaps_before", "filler"),
-    over("orders", "SELECT * FROM lay", _rows_sql(9000, 65536) + "," + _layout_sql(31)),
+    over("orders", "SELECT * FROM lay", _rows_sql(HALF, 65536) + "," + _layout_sql(31)),
 )
 # Rows of 8 bytes: spans over 65,536 rows leave their middle unmarked.
 ENTRIES["M6_gap_inside_allocation"] = (
-    lambda s, d: address.covered_gaps(orders(s, d), 8, 9000, 50000).select("above", "below"),
+    lambda s, d: address.covered_gaps(orders(s, d), 8, half(orders(s, d)), 50000).select("above", "below"),
     over(
         "orders",
         "SELECT DISTINCT above, below FROM g JOIN pl ON pl.addr <= base0 + (above+1)*8 AND pl.end_span >= base0 + below*8",
-        """
+        f"""
 base AS (SELECT min(addr) - min(addr) % 8 AS base0 FROM al),
 pl AS (SELECT al.*, (addr - base0) // 8 AS r0, (end_span - 1 - base0) // 8 AS r1, base0 FROM al, base
-       WHERE creator < 9000 AND (death IS NULL OR death >= 9000)),
+       WHERE creator < {HALF} AND (death IS NULL OR death >= {HALF})),
 occ AS (SELECT r0, CASE WHEN r1 - r0 > 65536 THEN r0 ELSE r1 END AS r1 FROM pl UNION ALL SELECT r1, r1 FROM pl),
 g AS (SELECT * FROM (SELECT r0 AS below, max(r1) OVER (ORDER BY r0, r1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM occ)
       WHERE below - above - 1 >= 50000)""",
@@ -154,26 +156,26 @@ g AS (SELECT * FROM (SELECT r0 AS below, max(r1) OVER (ORDER BY r0, r1 ROWS BETW
 )
 ENTRIES["M7_row_slices"] = (
     lambda s, d: address.slices(
-        orders(s, d), 65536, orders(s, d).allocations.filter(live_at(9000))
+        orders(s, d), 65536, orders(s, d).allocations.filter(live_at(half(orders(s, d))))
     ).drop("trace_id"),
     over(
         "orders",
         """SELECT creator, row, greatest(addr, base + row*65536) - (base + row*65536) AS lo,
            least(end_span, base + row*65536 + 65536) - (base + row*65536) AS hi
            FROM (SELECT *, unnest(range(r0, r1 + 1)) AS row FROM pl)""",
-        _rows_sql(9000, 65536),
+        _rows_sql(HALF, 65536),
     ),
 )
 for _n, _t in _T.items():
     ENTRIES[f"M8_shared_bytes_{_n}"] = (
-        lambda s, d, t=_t: address.shared_bytes(t(s, d).allocations, 9000).drop("trace_id"),
+        lambda s, d, t=_t: address.shared_bytes(t(s, d).allocations, half(t(s, d))).drop("trace_id"),
         over(
             _n,
-            """SELECT start, stop, depth FROM (
+            f"""SELECT start, stop, depth FROM (
                  SELECT pos AS start, lead(pos) OVER (ORDER BY pos) AS stop, CAST(sum(step) OVER (ORDER BY pos) AS BIGINT) AS depth
                  FROM (SELECT pos, sum(step) AS step FROM (
-                   SELECT addr AS pos, 1 AS step FROM al WHERE creator < 9000 AND (death IS NULL OR death >= 9000)
-                   UNION ALL SELECT end_span, -1 FROM al WHERE creator < 9000 AND (death IS NULL OR death >= 9000)) GROUP BY pos))
+                   SELECT addr AS pos, 1 AS step FROM al WHERE creator < {HALF} AND (death IS NULL OR death >= {HALF})
+                   UNION ALL SELECT end_span, -1 FROM al WHERE creator < {HALF} AND (death IS NULL OR death >= {HALF})) GROUP BY pos))
                WHERE depth >= 2""",
         ),
     )
