@@ -20,8 +20,11 @@ def stream_lines(spark: SparkSession, folder: str, trace_pattern: str) -> DataFr
     return text.select(
         F.regexp_extract(file_path, trace_pattern, 1).alias("trace_id"),
         file_path.alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
         F.btrim("value", F.lit(" \t\r")).alias("line"),
-    ).filter("line <> '' and not startswith(line, '#')")
+    ).filter("line <> '' and not startswith(line, '#')").withColumn(
+        "_row", F.monotonically_increasing_id()
+    )
 
 
 def stream_decoded(spark: SparkSession, folder: str, trace_pattern: str) -> DataFrame:
