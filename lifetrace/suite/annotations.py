@@ -117,12 +117,14 @@ ENTRIES["G2_rejected_changes"] = (
     over("events", "SELECT revision, type, reason FROM verdict WHERE reason IS NOT NULL", CHANGES_SQL),
 )
 ENTRIES["G4_changes_since"] = (
-    lambda s, d: changes.since(derive.change_log(s, d), 4000).select("current", "reset", "revision", "type"),
+    lambda s, d: changes.since(
+        derive.change_log(s, d), derive.change_log(s, d).count() // 2
+    ).select("current", "reset", "revision", "type"),
     """SELECT (SELECT max(event_id) + 1 FROM events) AS current, FALSE AS reset, event_id + 1 AS revision,
        CASE WHEN event_id % 12 = 10 AND CAST(json_extract(props,'$.k') AS BIGINT) % 4 <> 0 THEN 'putTag' ELSE
        ['putTag','setAllocationName','setAllocationColor','setAllocationTag','setAllocationTag','replaceAllocationTags',
         'replaceTagMembers','putBookmark','putAddressMark','putSavedFilter','deleteTag','deleteBookmark'][event_id % 12 + 1] END AS type
-       FROM events WHERE event_id + 1 > 4000 ORDER BY event_id LIMIT 1000""",
+       FROM events WHERE event_id + 1 > (SELECT count(*) // 2 FROM events) ORDER BY event_id LIMIT 1000""",
 )
 SAVED = {
     "large and kept": lambda: (alloc.size >= 300) & ~alloc.freed,

@@ -128,7 +128,7 @@ ENTRIES["F19_tags_equal"] = (
 
 def _near_named(s, d):
     t = orders(s, d)
-    anchor = named(t.allocations, notes(t), "n5000")
+    anchor = named(t.allocations, notes(t), "anchor")
     return where(t.allocations, abs(malloc.seq - anchor.seq) <= 1000).select("creator")
 
 
@@ -136,7 +136,7 @@ ENTRIES["F20_named"] = (
     lambda s, d: _near_named(s, d),
     over(
         "orders",
-        "SELECT creator FROM al WHERE abs(creator - (SELECT creator FROM note WHERE name = 'n5000')) <= 1000",
+        "SELECT creator FROM al WHERE abs(creator - (SELECT creator FROM note WHERE name = 'anchor')) <= 1000",
         NOTES_SQL,
     ),
 )

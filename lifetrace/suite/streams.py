@@ -36,8 +36,7 @@ def _decoded(s, d):
         lo, hi = top * part // PARTS, top * (part + 1) // PARTS
         jsonl.write_lines(lines.filter((F.col("ord") >= lo) & (F.col("ord") < hi)), f"{folder}/part={part}")
         runs.run_available(
-            decode.stream_decoded(s, folder, PATTERN), checkpoint,
-            lambda df, n: runs.write_batch(df, out, n),
+            decode.stream_lines(s, folder, PATTERN), checkpoint, decode.decode_sink(out)
         )
     return runs.read_batches(s, out).select(
         "op", F.col("id").cast("bigint").alias("id"), F.col("addr").cast("bigint").alias("addr"),

@@ -80,15 +80,21 @@ alt AS (SELECT al.*, coalesce(tagsof.tags, []) AS tags FROM al LEFT JOIN tagsof
 
 
 def notes(t: Trace) -> DataFrame:
-    """A name for every thousandth creator position, and a colour."""
+    """A name for every allocation at a thousandth position, and ``anchor``
+    for the first one born in the second half."""
     from pyspark.sql import functions as F
 
-    return t.allocations.filter("creator % 1000 = 0").select(
+    spaced = t.allocations.filter("creator % 1000 = 0").select(
         "trace_id", "creator", F.concat(F.lit("n"), F.col("creator").cast("string")).alias("name"),
-        F.lit("#aabbcc").alias("color"),
     )
+    anchor = t.allocations.filter(F.col("creator") >= half(t)).groupBy("trace_id").agg(
+        F.min("creator").alias("creator")
+    )
+    named = spaced.unionByName(anchor.withColumn("name", F.lit("anchor")))
+    return named.withColumn("color", F.lit("#aabbcc"))
 
 
 NOTES_SQL = """
-note AS (SELECT trace_id, creator, 'n' || CAST(creator AS VARCHAR) AS name, '#aabbcc' AS color
-         FROM al WHERE creator % 1000 = 0)"""
+note AS (
+  SELECT trace_id, creator, 'n' || CAST(creator AS VARCHAR) AS name FROM al WHERE creator % 1000 = 0
+  UNION ALL SELECT trace_id, min(creator), 'anchor' FROM al WHERE creator >= (SELECT h FROM pos) GROUP BY trace_id)"""
