@@ -44,25 +44,53 @@ def _bins_at(addr: Column, last: Column, level: int, compact: bool) -> tuple[Col
     return div_pow2(addr, level, compact), div_pow2(last, level, compact)
 
 
-_NO_BINS = "array<struct<level:int,bin:bigint,own:boolean>>"
+def _shift(value: Column, level: Column) -> Column:
+    """value div 2^level for a level that differs from row to row."""
+    return F.when(level > 62, F.lit(0).cast("bigint")).otherwise(
+        F.call_function("shiftright", value, level)
+    )
+
+
+def _own_bins(levels: list[int], compact: bool) -> tuple[Column, Column]:
+    """First and last bin of a row's interval at its own level."""
+    own = F.col("_lv")
+    if compact:
+        return _shift(F.col("addr"), own), _shift(F.col("_last"), own)
+    lo, hi = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    for level in levels:
+        first, last = _bins_at(F.col("addr"), F.col("_last"), level, compact)
+        lo, hi = F.when(own == level, first).otherwise(lo), F.when(own == level, last).otherwise(hi)
+    return lo, hi
+
+
+def _spread(df: DataFrame, cells: list[Column], names: list[str]) -> DataFrame:
+    """One row per cell that is not null; plain structs keep to compiled code."""
+    return (
+        df.withColumn("_cell", F.explode(F.array(*cells)))
+        .filter("_cell is not null")
+        .select("*", *[f"_cell.{n}" for n in names])
+        .drop("_cell")
+    )
 
 
 def listed(df: DataFrame, levels: list[int], compact: bool) -> DataFrame:
     """One row per (level >= own, bin) an address interval touches."""
     own = F.col("_lv")
-
-    def at(level: int) -> Column:
+    cells = []
+    for level in levels:
         lo, hi = _bins_at(F.col("addr"), F.col("_last"), level, compact)
-        rows = F.transform(
-            F.sequence(lo, hi),
-            lambda b: F.struct(
-                F.lit(level).alias("level"), b.alias("bin"), (own == level).alias("own")
-            ),
+        cell = lambda b: F.struct(
+            F.lit(level).alias("level"), b.alias("bin"), (own == level).alias("own")
         )
-        return F.when(own <= level, rows).otherwise(F.array().cast(_NO_BINS))
+        cells += [F.when(own <= level, cell(lo)), F.when((own <= level) & (hi != lo), cell(hi))]
+    return _spread(df, cells, ["level", "bin", "own"]).drop("_lv", "_last")
 
-    spread = df.withColumn("_cell", F.explode(_per_level(levels, at)))
-    return spread.select("*", "_cell.level", "_cell.bin", "_cell.own").drop("_cell", "_lv", "_last")
+
+def listed_own(df: DataFrame, levels: list[int], compact: bool) -> DataFrame:
+    """The same at the own level alone."""
+    lo, hi = _own_bins(levels, compact)
+    cell = lambda b: F.struct(F.col("_lv").alias("level"), b.alias("bin"))
+    return _spread(df, [cell(lo), F.when(hi != lo, cell(hi))], ["level", "bin"]).drop("_lv", "_last")
 
 
 def _with_levels(df: DataFrame, compact: bool) -> DataFrame:
@@ -165,10 +193,7 @@ def _timed(newborn: DataFrame, living: DataFrame) -> tuple[DataFrame, DataFrame]
     level = lifetime_level(F.col("b_creator"), F.col("death"))
     leveled = living.withColumn("tlevel", level)
     present = levels_in(leveled, F.col("tlevel"))
-    shift = lambda c: F.call_function("shiftright", F.col(c), F.col("tlevel"))
-    ends = F.when(
-        F.col("tlevel") == OPEN, F.array(F.lit(0).cast("bigint"))
-    ).otherwise(F.array_distinct(F.array(shift("b_creator"), shift("death"))))
+    first, last = _shift(F.col("b_creator"), F.col("tlevel")), _shift(F.col("death"), F.col("tlevel"))
     points = F.array(
         *[
             F.struct(
@@ -179,7 +204,8 @@ def _timed(newborn: DataFrame, living: DataFrame) -> tuple[DataFrame, DataFrame]
         ]
     )
     born = newborn.withColumn("_t", F.explode(points)).select("*", "_t.tlevel", "_t.tbin").drop("_t")
-    return born, leveled.withColumn("tbin", F.explode(ends))
+    ends = [F.struct(first.alias("tbin")), F.when(last != first, F.struct(last.alias("tbin")))]
+    return born, _spread(leveled, ends, ["tbin"])
 
 
 def _stacked(newborn: DataFrame, living: DataFrame, allocations: DataFrame) -> DataFrame:
@@ -270,55 +296,36 @@ def occupants(points: DataFrame, allocations: DataFrame, keep: list[str]) -> Dat
     present = slim.select("_lv", "_tl").distinct().collect()
     alevels = sorted({r["_lv"] for r in present})
     tlevels = sorted({r["_tl"] for r in present})
-    none = "array<struct<level:int,bin:bigint,tlevel:int,tbin:bigint>>"
-
-    def interval_at(level: int) -> Column:
-        lo, hi = _bins_at(F.col("addr"), F.col("_last"), level, compact)
-
-        def times(tlevel: int, b: Column) -> Column:
-            if tlevel == OPEN:
-                tb = F.sequence(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-            else:
-                tb = F.sequence(
-                    F.shiftright("creator", tlevel), F.shiftright("death", tlevel)
-                )
-            return F.when(
-                F.col("_tl") == tlevel,
-                F.transform(
-                    tb,
-                    lambda t: F.struct(
-                        F.lit(level).alias("level"), b.alias("bin"),
-                        F.lit(tlevel).alias("tlevel"), t.alias("tbin"),
-                    ),
-                ),
-            ).otherwise(F.array().cast(none))
-
-        cells = F.flatten(
-            F.transform(F.sequence(lo, hi), lambda b: _per_level(tlevels, lambda tl: times(tl, b)))
-        )
-        return F.when(F.col("_lv") == level, cells).otherwise(F.array().cast(none))
-
-    def point_at(level: int) -> Column:
+    def point_at(level: int) -> list[Column]:
         b, _ = _bins_at(F.col("p_addr"), F.col("p_addr"), level, compact)
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(level).alias("level"), b.alias("bin"), F.lit(tl).alias("tlevel"),
-                    (F.lit(0).cast("bigint") if tl == OPEN else F.shiftright("p_pos", tl)).alias("tbin"),
-                )
-                for tl in tlevels
-            ]
-        )
+        return [
+            F.struct(
+                F.lit(level).alias("level"), b.alias("bin"), F.lit(tl).alias("tlevel"),
+                _shift(F.col("p_pos"), F.lit(tl)).alias("tbin"),
+            )
+            for tl in tlevels
+        ]
 
     if not alevels:
         return points.join(slim.drop("_lv", "_last", "_tl"), ["trace_id"])
     cell = ["trace_id", "level", "bin", "tlevel", "tbin"]
-    left = points.withColumn("_c", F.explode(_per_level(alevels, point_at))).select(
-        "*", "_c.level", "_c.bin", "_c.tlevel", "_c.tbin"
-    ).drop("_c")
-    right = slim.withColumn("_c", F.explode(_per_level(alevels, interval_at))).select(
-        "*", "_c.level", "_c.bin", "_c.tlevel", "_c.tbin"
-    ).drop("_c", "_lv", "_last", "_tl")
+    left = _spread(
+        points, [c for level in alevels for c in point_at(level)], ["level", "bin", "tlevel", "tbin"]
+    )
+    lo, hi = _own_bins(alevels, compact)
+    t_lo, t_hi = _shift(F.col("creator"), F.col("_tl")), _shift(F.col("death"), F.col("_tl"))
+    t_hi = F.coalesce(t_hi, t_lo)
+    at = lambda b, t: F.struct(
+        F.col("_lv").alias("level"), b.alias("bin"), F.col("_tl").alias("tlevel"), t.alias("tbin")
+    )
+    right = _spread(
+        slim,
+        [
+            at(lo, t_lo), F.when(hi != lo, at(hi, t_lo)), F.when(t_hi != t_lo, at(lo, t_hi)),
+            F.when((hi != lo) & (t_hi != t_lo), at(hi, t_hi)),
+        ],
+        ["level", "bin", "tlevel", "tbin"],
+    ).drop("_lv", "_last", "_tl")
     return (
         left.join(right, cell)
         .filter(
@@ -342,7 +349,7 @@ def contained(inner: DataFrame, outer: DataFrame, condition: Column) -> DataFram
     levels = levels_in(out, F.col("_lv"))
     if not levels:
         return inner.join(outer, ["trace_id"]).limit(0)
-    right = listed(out, levels, compact).filter("own").drop("own")
+    right = listed_own(out, levels, compact)
     starts = F.array(
         *[
             F.struct(F.lit(lv).alias("level"), _bins_at(F.col("i_addr"), F.col("i_addr"), lv, compact)[0].alias("bin"))
