@@ -11,6 +11,7 @@ from lifetrace.plans import prefix, ranges
 from lifetrace.plans.small import per_trace
 from lifetrace.trace import Trace
 
+# Fixed value.
 ROW_CAP = 65536  # spans over more rows mark only their first and last
 
 

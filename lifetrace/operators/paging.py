@@ -15,6 +15,7 @@ ORDERS = {
     "lifetime-desc": lambda: [F.col("lifetime").desc_nulls_first()],
     "death-desc": lambda: [F.col("death").desc_nulls_last()],
 }
+# Fixed value: allocations a page may hold.
 MAX_PAGE = 100
 
 

@@ -21,6 +21,7 @@ KINDS = (
     "invalid_size",
     "unknown_version",
 )
+# Fixed value.
 KEPT = 1000  # warnings a report lists; all are counted
 
 _RANK = {

@@ -154,3 +154,20 @@ ENTRIES["S9_warning_page"] = (
         WARN_SQL,
     ),
 )
+ENTRIES["C9_unknown_version"] = (
+    lambda s, d: warnings.of_kind(loaded(s, d), "unknown_version").select(
+        "trace_id", "seq", F.col("detail").cast("bigint").alias("detail")
+    ),
+    """SELECT 'events' AS trace_id, CAST(0 AS BIGINT) AS seq, CAST(2 AS BIGINT) AS detail
+       FROM (SELECT 1 FROM events LIMIT 1)""",
+)
+ENTRIES["A12_warning_counts_of_lines"] = (
+    lambda s, d: warnings.counts_by_kind(loaded(s, d)),
+    over(
+        "events",
+        """SELECT 'events' AS trace_id, kind, count(*) AS warnings FROM (
+             SELECT kind FROM warn UNION ALL SELECT 'malformed_line' FROM rec WHERE ord % 97 = 5
+             UNION ALL (SELECT 'unknown_version' FROM rec LIMIT 1)) GROUP BY kind""",
+        WARN_SQL,
+    ),
+)

@@ -171,3 +171,16 @@ def test_several_traces_and_header_override(spark, tmp_path):
     assert h == {"a": (True, "us", "demo"), "b": (True, "s", "x"), "c": (False, "ns", "")}
     n = {r.trace_id: r["count"] for r in t.events.groupBy("trace_id").count().collect()}
     assert n == {"a": 5, "b": 1, "c": 1}
+
+
+def test_content_ids_and_round_trip(spark, tmp_path):
+    import hashlib
+
+    path = write(tmp_path, BASIC, "a.jsonl")
+    ids = [r.trace_id for r in jsonl.content_ids(spark, path).collect()]
+    assert ids == ["sha256:" + hashlib.sha256(BASIC.encode()).hexdigest()]
+    first = jsonl.load(spark, path, r"/([^/]+)\.jsonl$")
+    again = first.save(str(tmp_path / "saved"))
+    assert sorted(map(tuple, again.allocations.collect())) == sorted(map(tuple, first.allocations.collect()))
+    plan = again.events.filter("seq >= 3").select("op")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(seq,3)" in plan
