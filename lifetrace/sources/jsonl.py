@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifetrace.functions.u64 import MAX_U64, U64, WIDE, fits_compact
-from lifetrace.operators.fields import path as json_path
 from lifetrace.operators.lifecycle import RECORD_COLUMNS, build
 from lifetrace.plans.prefix import number_rows
 from lifetrace.session import staged
@@ -55,12 +54,16 @@ def read_lines(
     return lines.withColumn("_row", F.monotonically_increasing_id())
 
 
+# The known keys of a line, taken out of its VARIANT in one step.
+_TAKEN = "struct<" + ",".join(f"{k}:variant" for k in KNOWN) + ">"
+
+
 def _kind(key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get("_v", json_path(key), "variant"))
+    return F.col(f"_k_{key}")
 
 
 def _get(key: str, kind: str) -> Column:
-    return F.try_variant_get("_v", json_path(key), kind)
+    return F.try_variant_get(F.col(f"_f.{key}"), "$", kind)
 
 
 _INTEGER = r"^(BIGINT|DECIMAL\((19|[23]\d),0\))$"
@@ -127,7 +130,10 @@ def _extras() -> Column:
 
 def decode(lines: DataFrame, column: str = "line") -> DataFrame:
     """One typed row per line; ``op`` is null where a line is malformed."""
-    parsed = lines.withColumn("_v", F.try_parse_json(column))
+    parsed = lines.withColumn("_v", F.try_parse_json(column)).withColumn(
+        "_f", F.expr(f"try_cast(_v as {_TAKEN})")
+    )
+    parsed = parsed.withColumns({f"_k_{k}": F.schema_of_variant(f"_f.{k}") for k in KNOWN})
     kinds = {k: _kind(k) for k in KNOWN}
     number = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
     fine = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
