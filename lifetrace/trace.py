@@ -33,6 +33,7 @@ def write_table(df: DataFrame, path: str, name: str, spans: DataFrame | None = N
 
 
 ROWS_PER_FILE = 4_000_000
+MIN_ROWS_PER_FILE = 32_768
 SPANS_BROADCAST = 100_000
 
 
@@ -40,7 +41,8 @@ def _placed(df: DataFrame, spans: DataFrame, position: str) -> DataFrame:
     """Rows sent to the partition their place in all traces falls into."""
     spark = df.sparkSession
     traces, total = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum("events"), F.lit(0))).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_FILE))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(tasks, -(-total // MIN_ROWS_PER_FILE)), -(-total // ROWS_PER_FILE))
     starts = spans.select("trace_id", F.col("start").alias("_start"))
     starts = F.broadcast(starts) if traces <= SPANS_BROADCAST else starts
     place = (F.col("_start") + F.col(position)) * F.lit(parts).cast("bigint")
