@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifetrace.llm import decontam, simhash
+from lifetrace.llm import decontam, mixing, quality, simhash, urls
 from lifetrace.llm.common import read
 
 QUERIES: dict = {}
@@ -21,6 +21,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.quotas(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -58,3 +68,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM folded LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
+
+
+
+@query
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urls.decide(urls.captures_of(pages), urls.entries_of(pages))
+
+
+ORACLES["op10_url_filters"] = r"""
+WITH parts AS (
+  SELECT page_id, url, ((page_id * 37) % 365 + 365) % 365 AS day, ((page_id * 53) % 365 + 365) % 365 AS listed,
+    regexp_replace(coalesce(url, ''), '#.*$', '') AS url_key,
+    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host_key
+  FROM pages),
+keyed AS (
+  SELECT *, coalesce(nullif(regexp_extract(host_key, '([^.]+\.[^.]+)$', 1), ''), host_key) AS domain_key FROM parts),
+entries AS (
+  SELECT 'host' AS kind, host_key AS key, listed AS since, true AS blocks FROM keyed WHERE page_id % 5 = 0
+  UNION ALL SELECT 'host', host_key, listed, false FROM keyed WHERE page_id % 7 = 0
+  UNION ALL SELECT 'domain', domain_key, listed, true FROM keyed WHERE page_id % 11 = 0
+  UNION ALL SELECT 'domain', domain_key, listed, false FROM keyed WHERE page_id % 13 = 0
+  UNION ALL SELECT 'url', url_key, listed, true FROM keyed WHERE page_id % 17 = 0
+  UNION ALL SELECT 'url', url_key, listed, false FROM keyed WHERE page_id % 19 = 0),
+daily AS (SELECT kind, key, since, bool_or(blocks) AS blocks FROM entries WHERE key <> '' GROUP BY ALL)
+SELECT page_id, url, day, coalesce(u.blocks, h.blocks, d.blocks, false) AS blocked,
+  CASE WHEN u.since IS NOT NULL THEN 'url' WHEN h.since IS NOT NULL THEN 'host' WHEN d.since IS NOT NULL THEN 'domain' END AS by,
+  coalesce(u.since, h.since, d.since) AS since
+FROM keyed
+ASOF LEFT JOIN (SELECT * FROM daily WHERE kind = 'url') u ON u.key = url_key AND day >= u.since
+ASOF LEFT JOIN (SELECT * FROM daily WHERE kind = 'host') h ON h.key = host_key AND day >= h.since
+ASOF LEFT JOIN (SELECT * FROM daily WHERE kind = 'domain') d ON d.key = domain_key AND day >= d.since"""
