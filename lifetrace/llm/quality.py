@@ -25,9 +25,11 @@ KEEP = 0.5  # least probability of a document that stays
 
 STEPS = 40
 SETTLED = 1e-4
-#: Start and prior of the estimates: rules are right about PRIOR_RIGHT of the time, as
-#: if they had been seen PRIOR_SEEN times, and about PRIOR_GOOD of the documents are good.
-PRIOR_RIGHT, PRIOR_SEEN, PRIOR_GOOD = 0.8, 10.0, 0.8
+#: Start and prior of the estimates, worth PRIOR_SEEN documents. A rule knows one kind of
+#: defect: it speaks against some bad documents only, and against hardly a good one. That
+#: it errs on no more good documents is held all through; else the largest kind of defect
+#: would count as bad and the others as errors of their rules.
+PRIOR_SEEN, PRIOR_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD = 20.0, 0.8, 0.998, 0.3
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -101,8 +103,8 @@ def rules(m: Column) -> dict[str, Column]:
         "word_length": _vote((chars < 2 * n) | (chars > 12 * n), (chars >= 3 * n) & (chars <= 10 * n)),
         "symbols": _vote(10 * m["n_symbols"] > n, 50 * m["n_symbols"] <= n),
         "lines": _vote(3 * m["n_dup_lines"] > m["n_lines"], (m["n_dup_lines"] == 0) & (m["n_lines"] >= 3)),
-        "repeats": _vote(5 * m["n_repeat_words"] > n, m["n_repeat_words"] == 0),
-        "variety": _vote((n >= 50) & (7 * m["n_distinct"] < n), 3 * m["n_distinct"] >= n),
+        "repeats": _vote(100 * m["n_repeat_words"] > MAX_REPEATED * n, 10 * m["n_repeat_words"] <= n),
+        "variety": _vote((n >= 30) & (4 * m["n_distinct"] < n), 3 * m["n_distinct"] >= n),
         "capitals": _vote(4 * m["n_upper"] > chars, 10 * m["n_upper"] <= chars),
         "sentences": _vote((n >= 50) & (100 * m["n_ends"] < n), 40 * m["n_ends"] >= n),
     }
@@ -139,8 +141,8 @@ def fit(voted: DataFrame, names: list[str]) -> Rules:
     """
     patterns = staged(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "patterns").coalesce(1)
     share = PRIOR_GOOD
-    right_good = dict.fromkeys(names, PRIOR_RIGHT)
-    right_bad = dict.fromkeys(names, PRIOR_RIGHT)
+    right_good = dict.fromkeys(names, RIGHT_ON_GOOD)
+    right_bad = dict.fromkeys(names, RIGHT_ON_BAD)
     votes = {r: F.col(r) for r in names}
     for _ in range(STEPS):
         model = _log_odds(share, right_good, right_bad)
@@ -158,12 +160,12 @@ def fit(voted: DataFrame, names: list[str]) -> Rules:
         if not row["all"]:
             break
         before = [share, *right_good.values(), *right_bad.values()]
-        prior = PRIOR_RIGHT * PRIOR_SEEN
         share = (row["good"] + PRIOR_GOOD * PRIOR_SEEN) / (row["all"] + PRIOR_SEEN)
         for r in names:
             g, b = row[f"{r}_good_1"], row[f"{r}_bad_-1"]
-            right_good[r] = (g + prior) / (g + row[f"{r}_good_-1"] + PRIOR_SEEN)
-            right_bad[r] = (b + prior) / (b + row[f"{r}_bad_1"] + PRIOR_SEEN)
+            seen = (g + RIGHT_ON_GOOD * PRIOR_SEEN) / (g + row[f"{r}_good_-1"] + PRIOR_SEEN)
+            right_good[r] = max(RIGHT_ON_GOOD, seen)
+            right_bad[r] = (b + RIGHT_ON_BAD * PRIOR_SEEN) / (b + row[f"{r}_bad_1"] + PRIOR_SEEN)
         after = [share, *right_good.values(), *right_bad.values()]
         if max(abs(x - y) for x, y in zip(before, after)) < SETTLED:
             break
