@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifetrace.llm import decontam, mixing, quality, simhash, urls
+from lifetrace.llm import decontam, mixing, quality, simhash, tokenids, urls
 from lifetrace.llm.common import read
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def op4_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.quotas(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.encoded(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(read(spark, sf_dir, "documents"))
