@@ -25,7 +25,7 @@ import numpy as np
 
 MAGIC = b"IDCM0001"
 BLOCK = 2048
-LANES = 2048  # blocks that are coded together
+LANES = 1024  # blocks that are coded together
 IDS = 1 << 16
 
 _BITS = 12

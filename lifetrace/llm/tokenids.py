@@ -10,6 +10,7 @@ is a running sum over the segments' sizes.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -28,7 +29,7 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 SEGMENT_IDS = coder.BLOCK * coder.LANES
 #: Pieces of text whose ids a task remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,6 +50,7 @@ class Pieces:
     _MET = re.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]|^ | \Z")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,45 +59,70 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        #: Numbers of pieces at the start of a text, and of those behind a blank.
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
         self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return self.ids[:0], self.sizes[:0]
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        ids = [np.array(e.ids, np.int32) for e in found]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _encode_lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode``, for pieces behind a blank without a line break: the library
+        gets many at once as lines, and a line break stays an id of its own."""
+        breaks = self.tokenizer.encode("a\n b", add_special_tokens=False).ids[1]
+        ids, sizes = [], []
+        parts = [pieces[lo : lo + 1000] for lo in range(0, len(pieces), 1000)]
+        lines = self._encode([" " + "\n ".join(part) for part in parts])
+        for part, line in zip(parts, np.split(lines[0], np.cumsum(lines[1])[:-1])):
+            at = np.flatnonzero(line == breaks)
+            if len(at) == len(part) - 1:
+                own, size = np.delete(line, at), np.diff(at, prepend=-1, append=len(line)) - 1
+            else:
+                own, size = self._encode([" " + p for p in part])
+            ids.append(own)
+            sizes.append(size)
+        if not ids:
+            return self.ids[:0], self.sizes[:0]
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, first: list[str], later: list[str]) -> None:
+        plain = [p for p in later if "\n" not in p and p and not p[-1].isspace()]
+        odd = sorted(set(later) - set(plain))
+        known = len(self.sizes)
+        for numbers, pieces in ((self.later, plain), (self.later, odd), (self.first, first)):
+            numbers.update(zip(pieces, range(known, known + len(pieces))))
+            known += len(pieces)
+        parts = [self._encode_lines(plain), self._encode([" " + p for p in odd]), self._encode(first)]
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in parts)])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of every text."""
-        if len(self.number) > REMEMBERED:
-            self._forget()
-        number, fresh, at, counts = self.number, [], [], []
-        for text in texts:
-            parts = [text] if self._MET.search(text) else text.split(" ")
-            if len(parts) > 1:
-                parts[1:] = [" " + p for p in parts[1:]]
-            known = list(map(number.get, parts))
-            if None in known:
-                for i, p in enumerate(parts):
-                    if known[i] is None:
-                        k = number.get(p)
-                        if k is None:
-                            k = number[p] = len(number)
-                            fresh.append(p)
-                        known[i] = k
-            at.append(np.array(known, np.int64))
-            counts.append(len(parts))
-        if fresh:
-            ids, sizes = self._encode(fresh)
-            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
         if not texts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+            return self.ids[:0], self.sizes[:0]
+        if len(self.later) > REMEMBERED:
+            self._forget()
+        split = [[t] if self._MET.search(t) else t.split(" ") for t in texts]
+        fresh = [set(), set()]
+        for parts in split:
+            if parts[0] not in self.first:
+                fresh[0].add(parts[0])
+            fresh[1].update(parts[1:])
+        self._learn(sorted(fresh[0]), sorted(fresh[1].difference(self.later)))
         begins = np.cumsum(self.sizes) - self.sizes
-        pieces = np.concatenate(at)
+        later = self.later.__getitem__
+        pieces = np.fromiter(
+            (n for p in split for n in (self.first[p[0]], *map(later, p[1:]))), np.int64, sum(map(len, split))
+        )
         size = self.sizes[pieces]
         before = np.cumsum(size) - size
         ids = self.ids[np.repeat(begins[pieces] - before, size) + np.arange(int(size.sum()))]
-        edge = np.cumsum(np.concatenate([[0], counts]))
+        edge = np.cumsum([0, *map(len, split)])
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, np.diff(total[edge])
 
@@ -139,7 +166,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -
                 _SEGMENTS.names,
             )
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             schema_type = batch.column("doc_id").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found, counts = encode(texts)
