@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifetrace.llm import classifier, decontam, mixing, pii, quality, secrets, simhash, tokenids, urls
+from lifetrace.llm import chat, classifier, decontam, mixing, pii, quality, secrets, simhash, tokenids, urls
 from lifetrace.llm.common import read
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op2_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recovered(read(spark, sf_dir, "conversations"))
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
