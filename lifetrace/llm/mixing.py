@@ -109,7 +109,9 @@ def _quotas(cells: DataFrame, blocks: int) -> Column:
     )
     if last is None:
         return seats(F.lit(high))
-    served = F.struct("number", "shard") <= F.struct(F.lit(last["number"]), F.lit(last["shard"]))
+    served = (F.col("number") < last["number"]) | (
+        (F.col("number") == last["number"]) & (F.col("shard") <= last["shard"])
+    )
     return seats(F.lit(high)) + (tied & served).cast("bigint")
 
 
