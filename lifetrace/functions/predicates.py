@@ -52,6 +52,10 @@ class Value:
 
     # comparisons -----------------------------------------------------------
     def _compare(self, op: str, other) -> Test:
+        if self.kind == "set":
+            if op not in ("==", "!="):
+                raise TypeError("sets compare with == and != only")
+            return self.same_set(other) if op == "==" else ~self.same_set(other)
         if isinstance(other, Value):
             return Test(_compare_values(self, op, other))
         return Test(_compare_literal(self, op, other))
@@ -328,7 +332,7 @@ def GiB(n):  # noqa: N802
 def duration(n, unit: str, trace_unit: str):
     """A time literal in the trace's own unit; exact where it divides."""
     if trace_unit not in NANOS:
-        raise ValueError("time literals are unavailable for a tick trace")
+        raise ValueError(f"no length of time in {trace_unit!r}: give a plain number")
     return _scaled(n, Fraction(NANOS[unit], NANOS[trace_unit]))
 
 
@@ -338,7 +342,7 @@ def _scaled(n, factor):
         return int(value) if value.denominator == 1 else float(value)
     value = float(n) * float(factor)
     if not math.isfinite(value):
-        raise ValueError("float literal overflows")
+        raise ValueError(f"{n} is too large for a float")
     return value
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifetrace.plans import prefix
@@ -33,7 +33,22 @@ MAX_TAGS = 255
 MAX_ID = 64
 MAX_NAME_BYTES = 256
 MAX_SOURCE_BYTES = 16 << 10
-MAX_CHANGE_PAGE = 1000
+# Why a change is refused.
+BAD_ID, BAD_NAME, BAD_COLOR, BAD_TIME = "invalid persistent id", "invalid name", "invalid color", "invalid time"
+BAD_ADDRESS, TOO_LARGE, TOO_MANY = "invalid address", "filter is too large", "too many tags"
+NO_ALLOCATION, NO_TAG, BAD_BOOKMARK = "allocation not found", "unknown tag", "invalid bookmark"
+# Ours: the line is no change at all.
+NO_TYPE, NO_FIELD = "unknown type", "missing field"
+
+# What a change of each type must carry besides its type.
+REQUIRED = {
+    "putTag": ["id", "name", "color"], "putBookmark": ["id", "name", "seq", "t"],
+    "putAddressMark": ["id", "name", "addr_given"], "putSavedFilter": ["id", "name", "source"],
+    "deleteTag": ["id"], "deleteBookmark": ["id"], "deleteAddressMark": ["id"], "deleteSavedFilter": ["id"],
+    "setAllocationName": ["creator"], "setAllocationColor": ["creator"],
+    "setAllocationTag": ["creator", "id", "present"],
+    "replaceAllocationTags": ["creator", "tag_ids"], "replaceTagMembers": ["id", "creators"],
+}
 
 SCHEMA = (
     "trace_id string, revision bigint, type string, creator bigint, id string, tag_ids array<string>, "
@@ -45,7 +60,7 @@ _KEEP = [c.strip().split(" ")[0] for c in SCHEMA.split(", ")]
 
 def _trim(col: str | Column) -> Column:
     col = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")  # white space of all of Unicode
 
 
 def normalised(changes: DataFrame) -> DataFrame:
@@ -54,6 +69,7 @@ def normalised(changes: DataFrame) -> DataFrame:
     short = F.regexp_replace(F.lower(digits), "^0+(?=.)", "")
     return changes.withColumns(
         {
+            "addr_given": F.col("addr"),
             "id": _trim("id"),
             "name": _trim("name"),
             "color": F.lower("color"),
@@ -70,6 +86,16 @@ def _id_ok(col: Column) -> Column:
 def _shape_problem() -> Column:
     """Why a normalised change is invalid on its own, else null."""
     kind = F.col("type")
+    known = F.coalesce(kind.isin(*REQUIRED), F.lit(False))
+    complete = F.lit(True)
+    for name, fields in REQUIRED.items():
+        there = F.lit(True)
+        for field in fields:
+            there = there & F.col(field).isNotNull()
+        complete = complete & ((kind != name) | there)
+    # arrays may hold nothing that is missing either
+    whole = lambda c: F.coalesce(F.forall(c, lambda x: x.isNotNull()), F.lit(True))
+    complete = complete & whole("tag_ids") & whole("creators")
     puts, deletes = list(PUTS.values()), list(DELETES.values())
     named = kind.isin(*puts) | ((kind == SET_NAME) & F.col("name").isNotNull())
     coloured = (kind == PUTS["tag"]) | ((kind == SET_COLOR) & F.col("color").isNotNull())
@@ -81,18 +107,15 @@ def _shape_problem() -> Column:
     addr_ok = F.coalesce(F.length("addr") <= 18, F.lit(False))
     time_ok = F.coalesce(~F.isnan("t") & (F.abs("t") != float("inf")), F.lit(False))
     return (
-        F.when(with_id & ~_id_ok(F.col("id")), "invalid persistent id")
-        .when(
-            (kind == REPLACE_TAGS) & ~F.forall("tag_ids", _id_ok), "invalid persistent id"
-        )
-        .when(named & ~name_ok, "invalid name")
-        .when(coloured & ~color_ok, "invalid color")
-        .when((kind == PUTS["bookmark"]) & ~time_ok, "invalid time")
-        .when((kind == PUTS["mark"]) & ~addr_ok, "invalid address")
-        .when(
-            (kind == PUTS["filter"]) & (F.octet_length("source") > MAX_SOURCE_BYTES),
-            "filter is too large",
-        )
+        F.when(~known, NO_TYPE)
+        .when(~complete, NO_FIELD)
+        .when(with_id & ~_id_ok(F.col("id")), BAD_ID)
+        .when((kind == REPLACE_TAGS) & ~F.forall("tag_ids", _id_ok), BAD_ID)
+        .when(named & ~name_ok, BAD_NAME)
+        .when(coloured & ~color_ok, BAD_COLOR)
+        .when((kind == PUTS["bookmark"]) & ~time_ok, BAD_TIME)
+        .when((kind == PUTS["mark"]) & ~addr_ok, BAD_ADDRESS)
+        .when((kind == PUTS["filter"]) & (F.octet_length("source") > MAX_SOURCE_BYTES), TOO_LARGE)
     )
 
 
@@ -111,7 +134,7 @@ def validated(
     counts = per_trace(events.groupBy("trace_id").agg((F.max("seq") + 1).alias("_events")))
     marks = fine.filter(F.col("type") == PUTS["bookmark"]).join(counts, "trace_id", "left")
     late = marks.filter(F.col("seq") > F.coalesce("_events", F.lit(0))).select(
-        *key, F.lit("invalid bookmark").alias("why")
+        *key, F.lit(BAD_BOOKMARK).alias("why")
     )
     named = fine.select(
         *key,
@@ -123,7 +146,7 @@ def validated(
     )
     missing = named.join(
         allocations.select("trace_id", "creator"), ["trace_id", "creator"], "left_anti"
-    ).select(*key, F.lit("allocation not found").alias("why"))
+    ).select(*key, F.lit(NO_ALLOCATION).alias("why"))
 
     uses = fine.select(
         *key,
@@ -140,15 +163,15 @@ def validated(
     )
     excess = staged(_too_many(definitions), "excess-tags")
     definitions = definitions.join(excess, key, "left_anti")
-    excess = excess.select(*key, F.lit("too many tags").alias("why"))
+    excess = excess.select(*key, F.lit(TOO_MANY).alias("why"))
     known = prefix.scan(
         definitions.unionByName(uses), ["trace_id", "id"], ["revision"],
         prefix.block_of("revision"), [prefix.Run("known", "last", F.col("defined"))],
     )
     unknown = known.filter("defined is null and not coalesce(known, false)").select(
-        *key, F.lit("unknown tag").alias("why")
+        *key, F.lit(NO_TAG).alias("why")
     )
-    order = {"allocation not found": 0, "unknown tag": 1, "invalid bookmark": 2, "too many tags": 3}
+    order = {NO_ALLOCATION: 0, NO_TAG: 1, BAD_BOOKMARK: 2, TOO_MANY: 3}
     rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     found = (
         missing.unionByName(unknown).unionByName(late).unionByName(excess)
@@ -283,11 +306,13 @@ def counts(state: State) -> DataFrame:
     return out.groupBy("trace_id", "what").agg(F.count(F.lit(1)).alias("n"))
 
 
-def since(changes: DataFrame, after: int, page: int = MAX_CHANGE_PAGE) -> DataFrame:
-    """What changed after a revision, or one ``reset`` row.
+def since(changes: DataFrame, after: int, page: int | None = None) -> DataFrame:
+    """Everything that changed after a revision, or one ``reset`` row.
 
     Reset when the log no longer reaches back that far, when ``after`` lies
     ahead of it, or when a change without payload (``type`` null) intervened.
+    With ``page`` the first that many changes of a trace come, and ``next`` on
+    the last of them is the revision to ask from for the rest.
     """
     later = F.col("revision") > after
     state = changes.groupBy("trace_id").agg(
@@ -299,13 +324,18 @@ def since(changes: DataFrame, after: int, page: int = MAX_CHANGE_PAGE) -> DataFr
         (F.lit(after) < F.col("current")) & ~F.coalesce(F.col("first") == after + 1, F.lit(False))
     ) | (F.col("bulk") > 0)
     verdict = state.select("trace_id", "current", gone.alias("reset"))
-    ranked = changes.filter(later).withColumn(
-        "_place", F.row_number().over(Window.partitionBy("trace_id").orderBy("revision"))
-    ).filter(F.col("_place") <= page).drop("_place")
-    return verdict.join(
-        ranked.join(verdict.filter("not reset").select("trace_id"), "trace_id", "left_semi"),
-        "trace_id", "left",
-    )
+    rows = changes.filter(later)
+    if page is None:
+        rows = rows.withColumn("next", F.lit(None).cast("bigint"))
+    else:
+        # revisions of a log that needs no reset are dense, so a page is a range of them
+        stop = F.lit(after).cast("bigint") + page
+        last = (F.col("revision") == stop) & (F.col("current") > stop)
+        rows = rows.filter(F.col("revision") <= stop).join(
+            per_trace(verdict.select("trace_id", "current"), "current"), "trace_id"
+        ).withColumn("next", F.when(last, F.col("revision"))).drop("current")
+    keeps = per_trace(verdict.filter("not reset").select("trace_id"), "delta")
+    return verdict.join(rows.join(keeps, "trace_id", "left_semi"), "trace_id", "left")
 
 
 def apply_saved(allocations: DataFrame, filters: dict, name: str) -> DataFrame:

@@ -138,11 +138,13 @@ def prefix_counts(events: DataFrame, block_bits: int = prefix.BLOCK_BITS) -> Dat
 
 def time_at(events: DataFrame, n: int) -> DataFrame:
     """The time at position n (the trace's first time at 0)."""
-    return (
-        events.filter(F.col("seq") <= max(n - 1, 0))
-        .groupBy("trace_id")
-        .agg(F.max_by("t", "seq").alias("t"))
-    )
+    # positions are dense, so this is one row of each trace, found by footer statistics;
+    # a trace that ends before n shows its last
+    counts = per_trace(events.groupBy("trace_id").agg(F.max("seq").alias("_last")), "last")
+    at = F.least(F.lit(max(n - 1, 0)).cast("bigint"), F.col("_last"))
+    return events.filter(F.col("seq") <= max(n - 1, 0)).select("trace_id", "seq", "t").join(counts, "trace_id").filter(
+        F.col("seq") == at
+    ).select("trace_id", "t")
 
 
 def position_at(events: DataFrame, t: int) -> DataFrame:

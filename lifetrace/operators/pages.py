@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: events a page may hold.
-MAX_EVENTS = 2000
-
-
 def event_page(events: DataFrame, start: int, count: int) -> DataFrame:
     """Events [start, start + count) with geometry; a free shows what it ends.
 
     The range reaches the scan, so only the row groups holding it are read.
     """
-    stop = start + min(count, MAX_EVENTS)
+    stop = start + count
     page = events.filter((F.col("seq") >= start) & (F.col("seq") < stop))
     free = (F.col("op") == "F") & F.col("target").isNotNull()
     mark = F.col("op") == "E"

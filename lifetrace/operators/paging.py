@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifetrace.functions.u64 import byte_sum
+from lifetrace.plans.prefix import dense_index
 
 # Every order ends in (trace_id, creator), so pages never depend on chance.
 ORDERS = {
@@ -15,8 +16,8 @@ ORDERS = {
     "lifetime-desc": lambda: [F.col("lifetime").desc_nulls_first()],
     "death-desc": lambda: [F.col("death").desc_nulls_last()],
 }
-# Fixed value: allocations a page may hold.
-MAX_PAGE = 100
+# Up to this place a page is a top-k sort; deeper ones read the numbered order.
+SHALLOW = 10_000
 
 
 def ordering(name: str) -> list[Column]:
@@ -29,27 +30,40 @@ def compact(allocations: DataFrame) -> DataFrame:
     return allocations.select(*keep)
 
 
-def page(allocations: DataFrame, order: str, start: int = 0, limit: int = MAX_PAGE) -> DataFrame:
+def positions(allocations: DataFrame, order: str) -> DataFrame:
+    """Every allocation with its place in the order, from 0.
+
+    One range shuffle sorts them; no task holds more than a part of the order.
+    """
+    return dense_index(allocations, [], ordering(order), "position")
+
+
+def page(allocations: DataFrame, order: str, start: int = 0, limit: int = 100) -> DataFrame:
     """One page of an order, with its place, the total and the next start.
 
-    The sort keeps start + limit rows per task. For deep pages use ``after``.
+    The caller's limit is the limit. Near the top the sort keeps start + limit
+    rows per task; a page further down is a range of ``positions``.
     """
     by = ordering(order)
-    rows = allocations.orderBy(*by).offset(start).limit(min(limit, MAX_PAGE))
-    placed = rows.withColumn(
-        "position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)) - 1 + start
-    )
+    end = start + limit
+    if end <= SHALLOW:
+        rows = allocations.orderBy(*by).offset(start).limit(limit)
+        placed = rows.withColumn(
+            "position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)) - 1 + start
+        )
+    else:
+        place = F.col("position")
+        placed = positions(allocations, order).filter((place >= start) & (place < end))
     total = allocations.groupBy(F.lit(1).alias("_k")).agg(
         F.count(F.lit(1)).alias("matched"), byte_sum("size").alias("matched_bytes")
     )
-    end = start + min(limit, MAX_PAGE)
     return (
         placed.withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
         .withColumn("next", F.when(F.col("matched") > end, F.lit(end).cast("bigint")))
     )
 
 
-def after(allocations: DataFrame, order: str, last: dict, limit: int = MAX_PAGE) -> DataFrame:
+def after(allocations: DataFrame, order: str, last: dict, limit: int = 100) -> DataFrame:
     """The page behind a row already shown: a filter instead of an offset.
 
     ``last`` holds trace_id, creator and the sort column of that row.
@@ -74,4 +88,4 @@ def after(allocations: DataFrame, order: str, last: dict, limit: int = MAX_PAGE)
             inside = (col < at) | ((col == at) & later)
             inside = inside if nulls_first else inside | col.isNull()
     keep = beyond_trace | (same_trace & inside)
-    return allocations.filter(keep).orderBy(*ordering(order)).limit(min(limit, MAX_PAGE))
+    return allocations.filter(keep).orderBy(*ordering(order)).limit(limit)

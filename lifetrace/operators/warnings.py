@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lifetrace.plans.prefix import dense_index
+from lifetrace.plans.small import per_trace
+from lifetrace.session import staged
 from lifetrace.trace import Trace
 
 # The warning kinds in code order.
@@ -21,9 +24,6 @@ KINDS = (
     "invalid_size",
     "unknown_version",
 )
-# Fixed value.
-KEPT = 1000  # warnings a report lists; all are counted
-
 _RANK = {
     "decreasing_time": 1, "sequence_mismatch": 2, "unknown_id": 3, "double_free": 3,
     "malformed_line": 4, "invalid_size": 5, "duplicate_id": 6, "overlap": 7, "unknown_version": 0,
@@ -106,19 +106,21 @@ def counts_by_kind(trace: Trace) -> DataFrame:
     return warnings(trace).groupBy("trace_id", "kind").agg(F.count(F.lit(1)).alias("warnings"))
 
 
-def page(trace: Trace, start: int, count: int, kept: int = KEPT) -> DataFrame:
-    """A page of the first ``kept`` warnings, with totals on every row.
+def page(trace: Trace, start: int = 0, count: int | None = None, kept: int | None = None) -> DataFrame:
+    """Warnings [start, start + count) of each trace, with totals on every row.
 
-    The rank is asked for through a per-trace top-``kept``, so the window
-    keeps that many rows per task before anything is shuffled.
+    Without ``count`` the page goes on to the end; ``kept`` lists the first that
+    many of a trace only, and says how many are left out. Places come from one
+    range shuffle, so a trace with very many warnings is never in one task.
     """
-    found = warnings(trace)
-    window = Window.partitionBy("trace_id").orderBy("ord", "emit_rank")
-    ranked = found.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= kept)
-    totals = found.groupBy("trace_id").agg(F.count(F.lit(1)).alias("observed"))
-    shown = ranked.filter((F.col("place") > start) & (F.col("place") <= start + count))
+    found = staged(warnings(trace), "warnings")
+    ranked = dense_index(found, ["trace_id"], ["ord", "emit_rank", "detail"], "position")
+    totals = per_trace(found.groupBy("trace_id").agg(F.count(F.lit(1)).alias("observed")), "observed")
+    place = F.col("position")
+    ends = [e for e in (kept, None if count is None else start + count) if e is not None]
+    shown = ranked.filter((place >= start) & (place < min(ends)) if ends else place >= start)
+    held = F.col("observed") if kept is None else F.least("observed", F.lit(kept).cast("bigint"))
     return shown.join(totals, "trace_id").select(
-        "trace_id", (F.col("place") - 1).alias("position"), "seq", "kind", "detail", "observed",
-        F.least("observed", F.lit(kept)).alias("retained"),
-        F.greatest(F.col("observed") - kept, F.lit(0)).alias("omitted"),
+        "trace_id", "position", "seq", "kind", "detail", "observed",
+        held.alias("retained"), (F.col("observed") - held).alias("omitted"),
     )

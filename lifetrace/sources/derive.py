@@ -154,8 +154,11 @@ def header_row(spark: SparkSession, trace_id: str, unit: str, title: str = "") -
 
 
 def change_log(spark: SparkSession, sf_dir: str, trace_id: str = "events") -> DataFrame:
-    """A log of annotation changes, one per event, some of them invalid."""
+    """A log of annotation changes, one per event, some of them invalid in one of
+    all the ways there are but the limit of tags. Creators are spread over the
+    whole trace."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = events.count()
     k = F.get_json_object("props", "$.k").cast("bigint")
     e, u, k = F.col("e"), F.col("u"), F.col("k")
     base = events.select(
@@ -171,8 +174,8 @@ def change_log(spark: SparkSession, sf_dir: str, trace_id: str = "events") -> Da
         "putSavedFilter", "deleteTag", "deleteBookmark",
     ]
     chosen = F.element_at(F.array(*[F.lit(t) for t in types]), (kind + 1).cast("int"))
-    chosen = F.when((kind == 10) & (k % 4 != 0), "putTag").otherwise(chosen)
-    creator = (u * 7 + k) % 900
+    chosen = F.when((kind == 10) & (k % 4 != 0), "putTag").when((kind == 9) & (k == 94), "putNote").otherwise(chosen)
+    creator = (e * 7919 + u * 7 + k) % n
     return base.withColumn("type", chosen).select(
         F.lit(trace_id).alias("trace_id"), (e + 1).alias("revision"), "type",
         F.when(F.col("type").isin("setAllocationName", "setAllocationColor", "setAllocationTag", "replaceAllocationTags"), creator).alias("creator"),
@@ -181,14 +184,14 @@ def change_log(spark: SparkSession, sf_dir: str, trace_id: str = "events") -> Da
         .when(F.col("type") == "putAddressMark", F.concat(F.lit("a"), text(k % 30)))
         .when(F.col("type") == "putSavedFilter", F.concat(F.lit("f"), text(k % 30))).alias("id"),
         F.when(F.col("type") == "replaceAllocationTags", F.array(tag, F.concat(F.lit("t"), text((k + 1) % 25)))).alias("tag_ids"),
-        F.when(F.col("type") == "replaceTagMembers", F.array(creator, (creator + 3) % 900)).alias("creators"),
-        F.when(F.col("type") == "setAllocationTag", k % 3 != 0).alias("present"),
+        F.when(F.col("type") == "replaceTagMembers", F.array(creator, (creator + 3) % n)).alias("creators"),
+        F.when((F.col("type") == "setAllocationTag") & (k != 92), k % 3 != 0).alias("present"),
         F.when(F.col("type") == "setAllocationName", F.when(k % 9 != 0, F.concat(F.lit(" n"), text(k))))
         .when(F.col("type").startswith("put"), F.when(k == 98, "  ").otherwise(F.concat(F.lit("N"), text(k)))).alias("name"),
-        F.when(F.col("type") == "setAllocationColor", F.when(k % 9 != 0, F.concat(F.lit("#AABB"), text(10 + k % 90))))
+        F.when(F.col("type") == "setAllocationColor", F.when(k == 97, "#GG0000").when(k % 9 != 0, F.concat(F.lit("#AABB"), text(10 + k % 90))))
         .when(F.col("type") == "putTag", F.lit("#CCDDEE")).alias("color"),
-        F.when(F.col("type") == "putBookmark", e * (1 + F.when(k == 50, 1).otherwise(0))).alias("seq"),
-        F.when(F.col("type") == "putBookmark", text(e).cast("double")).alias("t"),
+        F.when((F.col("type") == "putBookmark") & (k != 93), e * (1 + F.when(k == 50, 1).otherwise(0))).alias("seq"),
+        F.when(F.col("type") == "putBookmark", F.when(k == 96, float("nan")).otherwise(text(e).cast("double"))).alias("t"),
         F.when(F.col("type") == "putAddressMark", F.when(k == 51, "zz").otherwise(F.concat(F.lit("0X00"), F.upper(F.hex(u * 4096 + k))))).alias("addr"),
-        F.when(F.col("type") == "putSavedFilter", F.concat(F.lit("alloc.size > "), text(k))).alias("source"),
+        F.when((F.col("type") == "putSavedFilter") & (k != 91), F.when(k == 95, F.repeat(F.lit("x"), 16385)).otherwise(F.concat(F.lit("alloc.size > "), text(k)))).alias("source"),
     )

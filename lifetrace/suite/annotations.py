@@ -27,19 +27,24 @@ def checked(s, d):
 
 CHANGES_SQL = """
 clog AS (
-  SELECT e + 1 AS revision, *, CASE WHEN e % 12 = 10 AND k % 4 <> 0 THEN 'putTag' ELSE
+  SELECT e + 1 AS revision, *, CASE WHEN e % 12 = 10 AND k % 4 <> 0 THEN 'putTag' WHEN e % 12 = 9 AND k = 94 THEN 'putNote' ELSE
     ['putTag','setAllocationName','setAllocationColor','setAllocationTag','setAllocationTag','replaceAllocationTags',
      'replaceTagMembers','putBookmark','putAddressMark','putSavedFilter','deleteTag','deleteBookmark'][e % 12 + 1] END AS type,
-    (u*7 + k) % 900 AS cr, 't' || CAST(k % 25 AS VARCHAR) AS tg, 't' || CAST((k+1) % 25 AS VARCHAR) AS tg2
+    (e*7919 + u*7 + k) % (SELECT count(*) FROM events) AS cr, 't' || CAST(k % 25 AS VARCHAR) AS tg, 't' || CAST((k+1) % 25 AS VARCHAR) AS tg2
   FROM (SELECT event_id AS e, user_id AS u, CAST(json_extract(props,'$.k') AS BIGINT) AS k FROM events)),
 shape AS (
-  SELECT *, CASE
+  SELECT *, (cr + 3) % (SELECT count(*) FROM events) AS cr3, CASE
+    WHEN type = 'putNote' THEN 'unknown type'
+    WHEN (k = 91 AND type = 'putSavedFilter') OR (k = 92 AND type = 'setAllocationTag') OR (k = 93 AND type = 'putBookmark') THEN 'missing field'
     WHEN k = 99 AND type IN ('putTag','deleteTag','setAllocationTag','replaceTagMembers') THEN 'invalid persistent id'
     WHEN k = 98 AND type LIKE 'put%' THEN 'invalid name'
+    WHEN k = 97 AND type = 'setAllocationColor' THEN 'invalid color'
+    WHEN k = 96 AND type = 'putBookmark' THEN 'invalid time'
+    WHEN k = 95 AND type = 'putSavedFilter' THEN 'filter is too large'
     WHEN k = 51 AND type = 'putAddressMark' THEN 'invalid address' END AS r0 FROM clog),
 refs AS (
   SELECT revision, cr AS creator FROM shape WHERE r0 IS NULL AND type IN ('setAllocationName','setAllocationColor','setAllocationTag','replaceAllocationTags','replaceTagMembers')
-  UNION ALL SELECT revision, (cr + 3) % 900 FROM shape WHERE r0 IS NULL AND type = 'replaceTagMembers'),
+  UNION ALL SELECT revision, cr3 FROM shape WHERE r0 IS NULL AND type = 'replaceTagMembers'),
 nocre AS (SELECT DISTINCT revision FROM refs WHERE creator NOT IN (SELECT creator FROM al)),
 uses AS (
   SELECT revision, tg FROM shape WHERE r0 IS NULL AND type IN ('setAllocationTag','replaceTagMembers','replaceAllocationTags')
@@ -57,7 +62,7 @@ pairs AS (
   UNION ALL SELECT revision, tg, cr, TRUE FROM good WHERE type = 'replaceAllocationTags'
   UNION ALL SELECT revision, tg2, cr, TRUE FROM good WHERE type = 'replaceAllocationTags'
   UNION ALL SELECT revision, tg, cr, TRUE FROM good WHERE type = 'replaceTagMembers'
-  UNION ALL SELECT revision, tg, (cr + 3) % 900, TRUE FROM good WHERE type = 'replaceTagMembers'),
+  UNION ALL SELECT revision, tg, cr3, TRUE FROM good WHERE type = 'replaceTagMembers'),
 wiped AS (
   SELECT p.tag, p.creator, p.revision, p.present,
     NOT EXISTS (SELECT 1 FROM good g WHERE g.revision > p.revision AND ((g.type IN ('replaceTagMembers','deleteTag') AND g.tg = p.tag)
@@ -112,6 +117,22 @@ ENTRIES["G1_fold_objects"] = (
         CHANGES_SQL,
     ),
 )
+ENTRIES["A16_annotation_counts"] = (
+    lambda s, d: changes.counts(changes.fold(checked(s, d)[0])).select("what", "n"),
+    over(
+        "events",
+        """SELECT what || 's' AS what, count(*) AS n FROM (
+             SELECT what, id, arg_max(type, revision) AS ty FROM (
+               SELECT 'tag' AS what, tg AS id, type, revision FROM good WHERE type IN ('putTag','deleteTag')
+               UNION ALL SELECT 'bookmark', 'b' || CAST(k % 30 AS VARCHAR), type, revision FROM good WHERE type IN ('putBookmark','deleteBookmark')
+               UNION ALL SELECT 'mark', 'a' || CAST(k % 30 AS VARCHAR), type, revision FROM good WHERE type = 'putAddressMark'
+               UNION ALL SELECT 'filter', 'f' || CAST(k % 30 AS VARCHAR), type, revision FROM good WHERE type = 'putSavedFilter')
+             GROUP BY what, id) WHERE ty LIKE 'put%' GROUP BY what
+           UNION ALL SELECT 'named', count(*) FROM (
+             SELECT arg_max(k % 9 <> 0, revision) AS given FROM good WHERE type = 'setAllocationName' GROUP BY cr) WHERE given""",
+        CHANGES_SQL,
+    ),
+)
 ENTRIES["G2_rejected_changes"] = (
     lambda s, d: checked(s, d)[1].select("revision", "type", "reason"),
     over("events", "SELECT revision, type, reason FROM verdict WHERE reason IS NOT NULL", CHANGES_SQL),
@@ -121,10 +142,11 @@ ENTRIES["G4_changes_since"] = (
         derive.change_log(s, d), derive.change_log(s, d).count() // 2
     ).select("current", "reset", "revision", "type"),
     """SELECT (SELECT max(event_id) + 1 FROM events) AS current, FALSE AS reset, event_id + 1 AS revision,
-       CASE WHEN event_id % 12 = 10 AND CAST(json_extract(props,'$.k') AS BIGINT) % 4 <> 0 THEN 'putTag' ELSE
+       CASE WHEN event_id % 12 = 10 AND CAST(json_extract(props,'$.k') AS BIGINT) % 4 <> 0 THEN 'putTag'
+       WHEN event_id % 12 = 9 AND CAST(json_extract(props,'$.k') AS BIGINT) = 94 THEN 'putNote' ELSE
        ['putTag','setAllocationName','setAllocationColor','setAllocationTag','setAllocationTag','replaceAllocationTags',
         'replaceTagMembers','putBookmark','putAddressMark','putSavedFilter','deleteTag','deleteBookmark'][event_id % 12 + 1] END AS type
-       FROM events WHERE event_id + 1 > (SELECT count(*) // 2 FROM events) ORDER BY event_id LIMIT 1000""",
+       FROM events WHERE event_id + 1 > (SELECT count(*) // 2 FROM events)""",
 )
 SAVED = {
     "large and kept": lambda: (alloc.size >= 300) & ~alloc.freed,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lifetrace.functions.predicates import alloc, malloc, where
+from lifetrace.functions.predicates import malloc, where
 from lifetrace.operators import address, annotate, lineage, overlap
 from lifetrace.plans import asof
 from lifetrace.suite.sql import HALF, over
@@ -51,11 +51,11 @@ for _n, _t in (("orders", orders), ("events", dirty)):
         ),
     )
 ENTRIES["J5_overlap_semi"] = (
-    lambda s, d: overlap.births_meeting_live(where(orders(s, d).allocations, alloc.size >= 200000)).select("creator"),
+    lambda s, d: overlap.births_meeting_live(orders(s, d).allocations).select("creator"),
     over(
         "orders",
         """SELECT DISTINCT a.creator FROM al a JOIN al b ON b.addr < a.end_span AND b.end_span > a.addr AND b.creator < a.creator
-           AND (b.death IS NULL OR b.death > a.creator) WHERE a.size >= 200000 AND b.size >= 200000""",
+           AND (b.death IS NULL OR b.death > a.creator)""",
     ),
 )
 for _n, _t in (("orders", orders), ("events", dirty)):

@@ -1,4 +1,4 @@
-"""O rows. The limit is the feature: a page of a total order."""
+"""O rows: total orders in full, and pages of them."""
 
 from __future__ import annotations
 
@@ -21,12 +21,10 @@ _BY = {
 }
 for _key, (_order, _text) in _BY.items():
     ENTRIES[_key] = (
-        lambda s, d, o=_order: paging.page(dirty(s, d).allocations, o).select(
-            F.col("position").cast("bigint").alias("position"), "creator"
-        ),
+        lambda s, d, o=_order: paging.positions(dirty(s, d).allocations, o).select("position", "creator"),
         over(
             "events",
-            f"""SELECT row_number() OVER (ORDER BY {_text}) - 1 AS position, creator FROM al ORDER BY {_text} LIMIT 100""",
+            f"""SELECT row_number() OVER (ORDER BY {_text}) - 1 AS position, creator FROM al""",
         ),
     )
 ENTRIES["O6_page_with_totals"] = (

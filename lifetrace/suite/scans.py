@@ -140,17 +140,14 @@ ENTRIES["S8_event_page"] = (
     ),
 )
 ENTRIES["S9_warning_page"] = (
-    lambda s, d: warnings.page(dirty(s, d), 100, 200).select(
-        F.col("position").cast("bigint").alias("position"), "seq", "kind",
-        F.col("detail").cast("bigint").alias("detail"), "observed",
-        F.col("retained").cast("bigint").alias("retained"), "omitted",
+    lambda s, d: warnings.page(dirty(s, d), 100).select(
+        "position", "seq", "kind", F.col("detail").cast("bigint").alias("detail"), "observed", "retained", "omitted",
     ),
     over(
         "events",
         """SELECT row_number() OVER (ORDER BY ord, emit_rank) - 1 AS position, seq, kind, detail,
-             (SELECT count(*) FROM warn) AS observed, least((SELECT count(*) FROM warn), 1000) AS retained,
-             greatest((SELECT count(*) FROM warn) - 1000, 0) AS omitted
-           FROM warn ORDER BY ord, emit_rank LIMIT 200 OFFSET 100""",
+             (SELECT count(*) FROM warn) AS observed, (SELECT count(*) FROM warn) AS retained, CAST(0 AS BIGINT) AS omitted
+           FROM warn QUALIFY position >= 100""",
         WARN_SQL,
     ),
 )

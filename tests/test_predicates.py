@@ -17,9 +17,9 @@ from lifetrace.operators import filters
 
 ROWS = [
     # creator, id, addr, end_span, size, usable, freed, site, thr, extras, death, death_t, death_extras
-    (0, 1, 4096, 4160, 64, None, True, "json_node", 1, '"hot":true,"load":1,"pool":"gfx"', 5, 50, '"reason":"x"'),
+    (0, 1, 4096, 4160, 64, None, True, "row_cache", 1, '"hot":true,"load":1,"pool":"arena"', 5, 50, '"reason":"x"'),
     (1, 2, 8192, 8320, 100, 128, False, None, None, '"hot":null,"load":0.5', None, None, None),
-    (2, 3, 12288, 12289, 1, None, False, "json", 2, None, None, None, None),
+    (2, 3, 12288, 12289, 1, None, False, "row", 2, None, None, None, None),
     (3, 0, 0, 10, 10, None, True, "main", 1, '"hot":false,"load":9007199254740993', 9, 90, None),
 ]
 SCHEMA = (
@@ -41,10 +41,10 @@ def hits(frame, test):
 
 
 def test_missing_is_false_and_not_makes_it_true(frame):
-    assert hits(frame, malloc.site == "json") == [2]
-    assert hits(frame, malloc.site != "json") == [0, 3]
-    assert hits(frame, ~(malloc.site == "json")) == [0, 1, 3]
-    assert hits(frame, ~(malloc.site != "json")) == [1, 2]
+    assert hits(frame, malloc.site == "row") == [2]
+    assert hits(frame, malloc.site != "row") == [0, 3]
+    assert hits(frame, ~(malloc.site == "row")) == [0, 1, 3]
+    assert hits(frame, ~(malloc.site != "row")) == [1, 2]
     assert hits(frame, (malloc.thread > 1) | ~(malloc.thread > 0)) == [1, 2]
     assert hits(frame, malloc.thread.is_none()) == [1]
 
@@ -65,15 +65,15 @@ def test_custom_fields(frame):
     assert hits(frame, load == 9007199254740992.0) == []
     assert hits(frame, load < 1) == [1]
     assert hits(frame, load + 0.5 == 1.5) == [0]
-    assert hits(frame, malloc.field("pool", "string") == "gfx") == [0]
+    assert hits(frame, malloc.field("pool", "string") == "arena") == [0]
     assert hits(frame, malloc.field("pool", "int") == 1) == []
     assert hits(frame, free.field("reason", "string").is_not_none()) == [0]
 
 
 def test_strings_sets_ranges(frame):
-    assert hits(frame, malloc.site.startswith("json")) == [0, 2]
-    assert hits(frame, malloc.site.contains("nod")) == [0]
-    assert hits(frame, malloc.site.isin(["json", "main"])) == [2, 3]
+    assert hits(frame, malloc.site.startswith("row")) == [0, 2]
+    assert hits(frame, malloc.site.contains("_ca")) == [0]
+    assert hits(frame, malloc.site.isin(["row", "main"])) == [2, 3]
     assert hits(frame, alloc.size.isin([1, 99.5, 100.0])) == [1, 2]
     assert hits(frame, alloc.size.between(10, 100)) == [0, 3]
     assert hits(frame, alloc.span.overlaps(4159, 8192)) == [0]
@@ -159,9 +159,9 @@ def test_filters_reach_the_scan(spark, frame, tmp_path):
     path = str(tmp_path / "a")
     frame.write.parquet(path)
     df = spark.read.parquet(path)
-    test = (alloc.size >= 64) & (malloc.site == "json_node") & ~alloc.freed
+    test = (alloc.size >= 64) & (malloc.site == "row_cache") & ~alloc.freed
     plan = where(df, test).select("creator")._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(size,64)" in plan and "EqualTo(site,json_node)" in plan
+    assert "GreaterThanOrEqual(size,64)" in plan and "EqualTo(site,row_cache)" in plan
     read = plan.split("ReadSchema:")[1]
     assert "extras" not in read and "addr" not in read
 
@@ -176,3 +176,11 @@ def test_facets(frame):
     assert ids(filters.facets(tags=[filters.UNTAGGED])) == [1, 2, 3]
     assert ids(filters.facets(size_min=10, size_max=64)) == [0, 3]
     assert ids(filters.facets(address_ranges=[(5, 6), (9, 3)])) == [3]
+
+
+def test_sets_compare_by_content(frame):
+    tags = Value("set", F.array(F.lit("b"), F.lit("a"), F.lit("b")))
+    assert hits(frame, tags == ["a", "b"]) == [0, 1, 2, 3] and hits(frame, tags != ["a", "b"]) == []
+    assert hits(frame, tags != ["a"]) == [0, 1, 2, 3]
+    with pytest.raises(TypeError):
+        tags < ["a"]  # noqa: B015
