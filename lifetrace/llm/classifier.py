@@ -14,6 +14,7 @@ fitted on at most ``LABELLED`` labelled rows, chosen by hash of the doc_id.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lifetrace.llm import network
 from lifetrace.llm.common import as_bytes, slices
 
-DIMENSION = 48
+DIMENSION = 32
 BUCKETS = 1 << 14
 OUTLINES = 1 << 10
 REACH = 2  # neighbours on each side
@@ -31,6 +32,7 @@ LABELLED = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
 _REMEMBERED = 400_000
+_BYTES = 1 << 18  # text that is worked on at once, so that its vectors stay in the cache
 _FREQUENT = 1e-3  # words of this share of the corpus count half
 
 #: Signs of an outline: capitals, letters (and all beyond ASCII), digits, the rest itself.
@@ -65,7 +67,7 @@ def _terms(texts: list[bytes], terms: _Terms) -> tuple[np.ndarray, np.ndarray, n
         terms.clear()
     words = [(t or b"").split() for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    code = np.fromiter((c for w in words for c in map(terms.__getitem__, w)), np.int64, int(sizes.sum()))
+    code = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     bucket, outline = code // OUTLINES, code % OUTLINES
     again = np.zeros(len(code), bool)
@@ -84,7 +86,7 @@ def context_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros((len(index), DIMENSION))
         counts = np.zeros(len(index))
         terms = _Terms()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", _BYTES):
             bucket, outline, starts = _terms(as_bytes(batch.column("text")), terms)
             if not len(bucket):
                 continue
@@ -92,13 +94,16 @@ def context_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             own = index[bucket] + index[outline]
             around = np.zeros_like(own)
             for shift in range(1, REACH + 1):
-                same = (doc[shift:] == doc[:-shift])[:, None]
-                around[shift:] += own[:-shift] * same
-                around[:-shift] += own[shift:] * same
+                around[shift:] += own[:-shift]
+                around[:-shift] += own[shift:]
+                apart = np.flatnonzero(doc[shift:] != doc[:-shift]) + shift  # not neighbours after all
+                around[apart] -= own[apart - shift]
+                around[apart - shift] -= own[apart]
             for rows in (bucket, outline):
-                order = np.argsort(rows, kind="stable")
-                kinds, first = np.unique(rows[order], return_index=True)
-                sums[kinds] += np.add.reduceat(around[order], first, axis=0)
+                order = np.argsort(rows.astype(np.uint16), kind="stable")
+                ordered = rows[order]
+                first = np.flatnonzero(np.diff(ordered, prepend=-1))
+                sums[ordered[first]] += np.add.reduceat(around[order], first, axis=0)
                 counts += np.bincount(rows, minlength=len(index))
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -158,7 +163,7 @@ def fitted(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> network.N
 
     def run(batches):
         terms = _Terms()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", _BYTES):
             x = pooled(as_bytes(batch.column("text")), shared.value, terms).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("fold"), batch.column("label"), pa.array(list(x), pa.list_(pa.float32()))], ["fold", "label", "x"]
@@ -188,7 +193,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         table, model = shared.value
         terms = _Terms()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", _BYTES):
             score = model.probability(pooled(as_bytes(batch.column("text")), table, terms))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score)], ["doc_id", "held_out", "score"]
