@@ -11,8 +11,8 @@ from lifetrace.plans import prefix, ranges
 from lifetrace.plans.small import per_trace
 from lifetrace.trace import Trace
 
-# Fixed value.
-ROW_CAP = 65536  # spans over more rows mark only their first and last
+# Fixed value: in M6, spans over more rows count with their first and last only.
+ENDS_ONLY = 65536
 
 
 def bases(trace: Trace, row_bytes: int) -> DataFrame:
@@ -62,9 +62,11 @@ def segments(df: DataFrame, start: str, stop: str) -> DataFrame:
     ).select("trace_id", F.col("begin").alias("start"), F.col("pos").alias("stop"), "depth")
 
 
-def _marked(rows: DataFrame) -> DataFrame:
-    """Row intervals an allocation marks; a very wide one only its ends."""
-    wide = F.col("row_last") - F.col("row_first") > ROW_CAP
+def _marked(rows: DataFrame, ends_only: int | None = None) -> DataFrame:
+    """Row intervals an allocation marks; with ``ends_only`` one over more rows only its ends."""
+    if ends_only is None:
+        return rows.select("trace_id", F.col("row_first").alias("r0"), (F.col("row_last") + 1).alias("r1"))
+    wide = F.col("row_last") - F.col("row_first") > ends_only
     piece = lambda a, b: F.struct(a.alias("r0"), (b + 1).alias("r1"))
     first, last = F.col("row_first"), F.col("row_last")
     pieces = F.when(wide, F.array(piece(first, first), piece(last, last))).otherwise(
@@ -73,12 +75,20 @@ def _marked(rows: DataFrame) -> DataFrame:
     return rows.select("trace_id", F.explode(pieces).alias("p")).select("trace_id", "p.r0", "p.r1")
 
 
-def occupancy(trace: Trace, row_bytes: int, n: int | None = None) -> DataFrame:
-    """M2: live allocations per row at position n; M3 (n None): over the trace."""
+def occupied_runs(trace: Trace, row_bytes: int, n: int | None = None) -> DataFrame:
+    """M2, M3 as runs of rows [start, stop) of one depth, however wide."""
     rows = placed(trace, row_bytes)
     if n is not None:
         rows = rows.filter(live_at(n))
-    runs = segments(_marked(rows), "r0", "r1")
+    return segments(_marked(rows), "r0", "r1")
+
+
+def occupancy(trace: Trace, row_bytes: int, n: int | None = None) -> DataFrame:
+    """M2: live allocations per row at position n; M3 (n None): over the trace.
+
+    One row for each row of bytes; where spans are wide, read ``occupied_runs``.
+    """
+    runs = occupied_runs(trace, row_bytes, n)
     return runs.select(
         "trace_id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("row"),
         F.col("depth").alias("allocations"),
@@ -138,10 +148,10 @@ def gaps(runs: DataFrame, collapse_min: int) -> DataFrame:
 def covered_gaps(trace: Trace, row_bytes: int, n: int, collapse_min: int) -> DataFrame:
     """M6: collapsed runs that lie inside one live allocation.
 
-    Only spans over the row cap can hold an unmarked run; the others are
+    Only spans over ENDS_ONLY rows can hold an unmarked run; the others are
     filtered out before the join.
     """
-    marked = segments(_marked(placed(trace, row_bytes).filter(live_at(n))), "r0", "r1")
+    marked = segments(_marked(placed(trace, row_bytes).filter(live_at(n)), ENDS_ONLY), "r0", "r1")
     runs = gaps(marked, collapse_min).join(bases(trace, row_bytes), "trace_id")
     inner = runs.select(
         "trace_id", "above", "below",

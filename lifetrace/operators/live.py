@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from lifetrace.plans import prefix, ranges, skew
 from lifetrace.plans.small import per_trace
+from lifetrace.session import staged
 
 WIDE = "decimal(38,0)"
+PLAYHEADS_BROADCAST = 100_000  # cells of playheads that are sent to every task
 
 
 def live_at(n: int | Column) -> Column:
@@ -107,6 +109,9 @@ def sets_at(playheads: DataFrame, allocations: DataFrame, keep: list[str]) -> Da
         ]
     )
     left = playheads.withColumn("_c", F.explode(cells)).select("*", "_c._tl", "_c._b").drop("_c")
+    # never-freed allocations share one cell; while positions are few the other side stays where it is
+    left = staged(left, "playheads")
+    left = F.broadcast(left) if left.count() <= PLAYHEADS_BROADCAST else left
     return (
         left.join(right, ["trace_id", "_tl", "_b"])
         .filter(live_at(F.col("n")))

@@ -18,6 +18,8 @@ from lifetrace.session import staged
 
 STEP = 4  # bits per level
 PAIR_LIMIT = 64  # a bin joins by pairs while its smaller side is within this
+PART_ROWS = 200_000  # rows of a bin's larger side that one task pairs
+PARTS_BROADCAST = 100_000  # bins in several parts that are sent to every task
 OPEN = 63  # time level of lifetimes that never end
 TREE = 2  # bits per level of the time tree
 
@@ -153,23 +155,37 @@ def births_in_live(allocations: DataFrame, pair_limit: int = PAIR_LIMIT) -> Data
 def _paired(
     newborn: DataFrame, living: DataFrame, cell: list[str], limit: int
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Matches from the cells with a small side, and the rows of the others."""
-    crowded = staged(
+    """Matches from the cells with a small side, and the rows of the others.
+
+    Where the other side is large it is dealt over parts of the cell, and the
+    at most ``limit`` rows of the small side are copied to each of them.
+    """
+    counted = staged(
         newborn.select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b"))
         .unionByName(living.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
         .groupBy(*cell)
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        .filter(F.least("a", "b") > limit)
-        .select(*cell),
-        "crowded-bins",
+        .filter((F.least("a", "b") > limit) | (F.greatest("a", "b") > PART_ROWS)),
+        "large-bins",
+    )
+    crowded = counted.filter(F.least("a", "b") > limit).select(*cell)
+    large = counted.filter(F.least("a", "b") <= limit).select(
+        *cell, F.ceil(F.greatest("a", "b") / PART_ROWS).cast("int").alias("_parts"), (F.col("a") > F.col("b")).alias("_born")
     )
+    n_large = large.count()
     left_over = not crowded.isEmpty()
     some, others = newborn, living
     if left_over:
         some = newborn.join(crowded, cell, "left_anti")
         others = living.join(crowded, cell, "left_anti")
+    key = cell
+    if n_large:
+        key = [*cell, "_part"]
+        large = F.broadcast(large) if n_large <= PARTS_BROADCAST else large
+        some = _in_parts(some, large, cell, "creator", F.col("_born"))
+        others = _in_parts(others, large, cell, "b_creator", ~F.col("_born"))
     met = (
-        some.join(others, cell)
+        some.join(others, key)
         .filter(
             (F.col("b_creator") < F.col("creator"))
             & (F.col("death").isNull() | (F.col("death") > F.col("creator")))
@@ -187,6 +203,14 @@ def _paired(
     )
 
 
+def _in_parts(rows: DataFrame, large: DataFrame, cell: list[str], by: str, dealt: Column) -> DataFrame:
+    """Rows with the part of their cell: one where ``dealt``, else every part."""
+    one = F.array(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_parts") - 1)
+    part = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(dealt, one).otherwise(every)
+    return rows.join(large, cell, "left").withColumn("_part", F.explode(part)).drop("_parts", "_born")
+
+
 def _timed(newborn: DataFrame, living: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with time bins: a lifetime touches at most two of its level,
     a birth is one point on each level that occurs."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,13 +31,15 @@ def local_session(cores: str = "8", app: str = "lifetrace") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir when it is set.
 
-    Only where nothing is set (tests, a laptop) does it fall back to a
-    temporary folder of this machine.
+    Only where nothing is set and driver and executors are one process (tests,
+    a laptop) does it fall back to a temporary folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lifetrace-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -48,6 +51,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lifetrace-{_RUN}/{name}-{_COUNTER[0]:05d}"
 
 
+def discard_staged(spark: SparkSession) -> None:
+    """Delete the tables staged so far by this process.
+
+    For the owner of the run, when nothing that was built on them is read again.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lifetrace-{_RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 

@@ -92,6 +92,20 @@ def _number(key: str, low: int, high: int) -> Column:
     return F.when(_kind(key).isNotNull(), F.greatest(F.least(value, hi), lo))
 
 
+def _wrapped_digits(text: Column, wrap: Column) -> Column:
+    """A decimal of any length modulo 2^64, eighteen digits at a time."""
+    pieces = F.ceil(F.length(text) / 18).cast("int")
+    padded = F.lpad(text, pieces * 18, F.lit("0"))
+    step = F.lit(Decimal(10**18)).cast("decimal(19,0)")
+    return F.aggregate(
+        F.sequence(F.lit(0), pieces - 1),
+        F.lit(Decimal(0)).cast(WIDE),
+        lambda done, i: (
+            (done.cast(U64) * step + F.substr(padded, i * 18 + 1, F.lit(18)).cast(WIDE)) % wrap
+        ).cast(WIDE),
+    )
+
+
 def address(text: Column) -> Column:
     """0x hex, bare decimal or bare hex text as an unsigned number."""
     hexed = lambda s: F.conv(s, 16, 10).cast(U64)
@@ -99,6 +113,7 @@ def address(text: Column) -> Column:
     return (
         F.when(text.rlike("^0[xX][0-9a-fA-F]{1,16}$"), hexed(F.substring(text, 3, 16)))
         .when(text.rlike("^[0-9]{1,38}$"), (text.cast(WIDE) % wrap).cast(U64))
+        .when(text.rlike("^[0-9]{39,}$"), _wrapped_digits(text, wrap).cast(U64))
         .when(text.rlike("^[0-9a-fA-F]{1,16}$"), hexed(text))
     )
 
@@ -247,18 +262,24 @@ def headers(decoded: DataFrame, all_ids: DataFrame) -> DataFrame:
 def load_decoded(
     spark: SparkSession, location: str | list[str], trace_pattern: str | None = None
 ) -> DataFrame:
-    """Decoded lines with their dense place ``ord`` in each trace.
+    """Decoded lines with their dense place ``ord`` in each trace."""
+    rows = decoded_once(read_lines(spark, location, trace_pattern))
+    return number_rows(rows, ["trace_id"], _PARTS, "_row", "ord")
+
+
+def decoded_once(lines: DataFrame) -> DataFrame:
+    """``decode`` as every reader uses it, batch or stream: written once.
 
-    Decoded once and written. The few lines the JSON reader refused are read
-    again by ``tidied``; only they pass through Python.
+    The few lines the JSON reader refused are read again by ``tidied``; only
+    they pass through Python.
     """
-    first = staged(decode(read_lines(spark, location, trace_pattern)), "decoded")
+    first = staged(decode(lines), "decoded")
     refused = first.filter("not _read and startswith(line, '{')")
     if not refused.isEmpty():
-        again = decode(tidied(refused.select("trace_id", *_PARTS, "_row", "line")))
+        again = decode(tidied(refused.select(*lines.columns)))
         kept = first.filter("_read or not startswith(line, '{')")
         first = staged(kept.unionByName(again), "decoded")
-    return number_rows(first, ["trace_id"], _PARTS, "_row", "ord").drop("_read")
+    return first.drop("_read")
 
 
 def to_records(decoded: DataFrame) -> DataFrame:

@@ -31,6 +31,6 @@ def decode_sink(out: str):
 
     def sink(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("_row", F.monotonically_increasing_id())
-        write_batch(jsonl.decode(rows).drop("_read"), out, number)
+        write_batch(jsonl.decoded_once(rows), out, number)
 
     return sink

@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 from lifetrace.operators import live
 from lifetrace.suite.aggregates import RUN_SQL, longs
 from lifetrace.suite.sql import HALF, QUARTER, over
-from lifetrace.suite.tables import dirty, half, orders, quarter, times
+from lifetrace.suite.tables import dirty, half, orders, quarter, size_of, times
 
 ENTRIES = {}
 
 
+PLAYHEADS = 64
+
+
 def playheads(t):
-    """A position every 500 events, over the whole stream.f"""
-    return t.events.filter("seq % 500 = 0").select("trace_id", F.col("seq").alias("n"))
+    """So many positions, evenly over the whole stream."""
+    n = size_of(t)
+    return t.headers.select("trace_id", F.explode(F.lit([i * n // PLAYHEADS for i in range(PLAYHEADS)]).cast("array<bigint>")).alias("n"))
+
+
+PLAYHEADS_SQL = f"(SELECT unnest(range({PLAYHEADS})) * (SELECT count(*) FROM ev) // {PLAYHEADS} AS seq)"
 
 
 for _n, _t in (("orders", orders), ("events", dirty)):
@@ -41,8 +48,8 @@ ENTRIES["W4_totals_at_positions"] = (
     lambda s, d: longs(live.totals_at(playheads(orders(s, d)), orders(s, d).events), "live_bytes").drop("trace_id"),
     over(
         "orders",
-        """SELECT p.seq AS n, coalesce(r.live_count,0) AS live_count, coalesce(r.live_bytes,0) AS live_bytes
-           FROM ev p LEFT JOIN runs r ON r.seq = p.seq - 1 WHERE p.seq % 500 = 0""",
+        f"""SELECT p.seq AS n, coalesce(r.live_count,0) AS live_count, coalesce(r.live_bytes,0) AS live_bytes
+           FROM {PLAYHEADS_SQL} p LEFT JOIN runs r ON r.seq = p.seq - 1""",
         RUN_SQL,
     ),
 )
@@ -51,8 +58,8 @@ ENTRIES["W4_sets_at_positions"] = (
     .groupBy("n").agg(F.count(F.lit(1)).alias("live"), F.sum("size").alias("bytes")),
     over(
         "events",
-        """SELECT p.seq AS n, count(*) AS live, CAST(sum(a.size) AS BIGINT) AS bytes FROM ev p JOIN al a
-           ON a.creator < p.seq AND (a.death IS NULL OR a.death >= p.seq) WHERE p.seq % 500 = 0 GROUP BY 1""",
+        f"""SELECT p.seq AS n, count(*) AS live, CAST(sum(a.size) AS BIGINT) AS bytes FROM {PLAYHEADS_SQL} p JOIN al a
+           ON a.creator < p.seq AND (a.death IS NULL OR a.death >= p.seq) GROUP BY 1""",
     ),
 )
 ENTRIES["W5_diff"] = (

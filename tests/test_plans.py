@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lifetrace.operators import address, lineage
@@ -76,7 +77,9 @@ def intervals(seed, n=250):
 SCHEMA = "trace_id string, creator bigint, addr bigint, end_span bigint, death bigint"
 
 
-def test_births_in_live(spark):
+@pytest.mark.parametrize("part_rows", [ranges.PART_ROWS, 5])
+def test_births_in_live(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ranges, "PART_ROWS", part_rows)
     rows = intervals(3)
     want = {
         a[1] for a in rows for b in rows
@@ -144,3 +147,55 @@ def test_long_resize_chain(spark):
     ]
     r = lineage.chain_summary(df).first()
     assert (r.length, r.tail, r.first_size, r.last_size, r.live) == (n, n - 1, 10, 10 + n - 1, True)
+
+
+def test_one_wide_interval_over_many_narrow_ones(spark, monkeypatch):
+    """Its cell holds all rows; they are paired in parts of bounded size."""
+    monkeypatch.setattr(ranges, "PART_ROWS", 500)
+    rows = [("t", 0, 0, 1 << 40, None)] + [("t", c, c * 64, c * 64 + 32, None) for c in range(1, 5001)]
+    rows.append(("t", 5001, 0, 1 << 41, None))
+    got = {r.creator for r in ranges.births_in_live(spark.createDataFrame(rows, SCHEMA), 64).collect()}
+    assert got == set(range(1, 5002))
+
+
+def test_rows_of_a_wide_span_are_all_marked(spark):
+    from types import SimpleNamespace
+
+    alloc = spark.createDataFrame(
+        [("t", 0, 0, 100_000 * 16, 100_000 * 16, None), ("t", 1, 160, 176, 16, None)],
+        "trace_id string, creator bigint, addr bigint, end_span bigint, size bigint, death bigint",
+    )
+    headers = spark.createDataFrame([("t", 0)], "trace_id string, arena_base bigint")
+    trace = SimpleNamespace(allocations=alloc, headers=headers)
+    rows = address.occupancy(trace, 16)
+    assert rows.count() == 100_000 and rows.filter("allocations = 2").count() == 1
+    runs = sorted(tuple(r)[1:] for r in address.occupied_runs(trace, 16).collect())
+    assert runs == [(0, 10, 1), (10, 11, 2), (11, 100_000, 1)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lifetrace import session
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_staged_tables_can_be_deleted(spark, tmp_path):
+    import os
+
+    from lifetrace import session
+
+    old = session._RUN
+    session._RUN = "test-run"
+    try:
+        df = session.staged(spark.range(3), "x")
+        folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+        assert df.count() == 3 and os.path.isdir(folder)
+        session.discard_staged(spark)
+        assert not os.path.isdir(folder)
+    finally:
+        session._RUN = old
