@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifetrace.functions import exact
+from lifetrace.plans.small import per_trace
 from lifetrace.operators import fields as custom
 
 
@@ -381,6 +382,41 @@ def named(allocations: DataFrame, notes: DataFrame, name: str) -> _Fixed:
     return _one(allocations.join(F.broadcast(keyed.limit(2)), ["trace_id", "creator"]), f"named {name!r}")
 
 
+def _referred(allocations: DataFrame, found: DataFrame, what: str) -> tuple[DataFrame, "_Namespace"]:
+    per = found.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
+    if not per[1]:
+        raise Single(f"{what}: no such allocation")
+    if per[0] > 1:
+        raise Single(f"{what}: ambiguous")
+    n = sum(c.startswith("_ref") and c.endswith("_creator") for c in allocations.columns)
+    ints = {
+        "seq": "creator", "time": "birth_t", "id": "id", "address": "addr", "end": "end_span", "size": "size",
+        "usable": "usable", "lifetime": "lifetime", "thread": "thr",
+    }
+    name = lambda c: f"_ref{n}_{c}"
+    taken = [c for c in (*ints.values(), "site") if c in allocations.columns]
+    values = per_trace(found.select("trace_id", *[F.col(c).alias(name(c)) for c in taken]), "reference")
+    known = {k: name(c) for k, c in ints.items() if c in taken}
+    return allocations.join(values, "trace_id", "left"), _Namespace(known, {"site": name("site")})
+
+
+def with_named(allocations: DataFrame, notes: DataFrame, name: str) -> tuple[DataFrame, "_Namespace"]:
+    """F20 for many traces: each allocation beside the one of its trace with this name.
+
+    Gives the frame to filter and the reference to use in the predicate. In a
+    trace without that name the reference is missing; two in one are an error.
+    """
+    keyed = notes.filter(F.col("name") == name).select("trace_id", "creator")
+    found = allocations.join(keyed, ["trace_id", "creator"], "left_semi")
+    return _referred(allocations, found, f"named {name!r}")
+
+
+def with_allocation(allocations: DataFrame, stream_id: int) -> tuple[DataFrame, "_Namespace"]:
+    """F21 for many traces: each allocation beside the one of its trace with this id."""
+    found = allocations.filter(F.col("id") == exact.integer(stream_id))
+    return _referred(allocations, found, f"allocation {stream_id}")
+
+
 def by_id(allocations: DataFrame, stream_id: int) -> _Fixed:
     """the one allocation with this stream id."""
     match = F.col("id") == exact.integer(stream_id)

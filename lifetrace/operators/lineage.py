@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lifetrace.operators import address
+from lifetrace.operators import address, annotate
 from lifetrace.plans import prefix
 from lifetrace.session import staged
 from lifetrace.trace import Trace
@@ -22,9 +22,20 @@ def operation(op: str | Column = "op") -> Column:
     return out
 
 
-def detail(allocations: DataFrame) -> DataFrame:
-    """L1: the long form of allocations (filter them first)."""
+def detail(
+    allocations: DataFrame, notes: DataFrame | None = None, members: DataFrame | None = None
+) -> DataFrame:
+    """L1: the long form of allocations (filter them first).
+
+    With ``notes`` it carries its name and colour, with ``members`` its tags.
+    """
     end = F.col("death").isNotNull()
+    rows = _detail(allocations, end)
+    rows = rows if notes is None else annotate.with_notes(rows, notes)
+    return rows if members is None else annotate.with_tags(rows, members)
+
+
+def _detail(allocations: DataFrame, end: Column) -> DataFrame:
     return allocations.select(
         "trace_id", "creator", "id", "addr", "size", "usable", "lifetime", "site",
         F.col("thr").alias("thread"),

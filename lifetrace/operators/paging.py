@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifetrace.functions.u64 import byte_sum
+from lifetrace.operators import annotate
 from lifetrace.plans.prefix import dense_index
 
 # Every order ends in (trace_id, creator), so pages never depend on chance.
@@ -24,10 +25,17 @@ def ordering(name: str) -> list[Column]:
     return [F.col("trace_id").asc(), *ORDERS[name](), F.col("creator").asc()]
 
 
-def compact(allocations: DataFrame) -> DataFrame:
-    """The short form of an allocation: no stack, no custom fields."""
+def compact(
+    allocations: DataFrame, notes: DataFrame | None = None, members: DataFrame | None = None
+) -> DataFrame:
+    """The short form of an allocation: no stack, no custom fields.
+
+    With ``notes`` it carries its name and colour, with ``members`` its tags.
+    """
     keep = "trace_id creator id addr size usable birth_t death death_t lifetime site thr".split()
-    return allocations.select(*keep)
+    rows = allocations.select(*keep)
+    rows = rows if notes is None else annotate.with_notes(rows, notes)
+    return rows if members is None else annotate.with_tags(rows, members)
 
 
 def positions(allocations: DataFrame, order: str) -> DataFrame:

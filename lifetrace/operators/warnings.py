@@ -93,12 +93,58 @@ def _wrapped(col: Column) -> Column:
     return F.when(col < 0, wide + F.lit(Decimal(1 << 64)).cast("decimal(38,0)")).otherwise(wide)
 
 
+def _listed(rows: DataFrame, found: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """The warnings of each row, from one pass: kind -> (when, detail, seq)."""
+    some = [
+        F.when(
+            when,
+            F.struct(
+                seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"),
+                F.coalesce(detail.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")).alias("detail"),
+                F.lit(_RANK[kind]).alias("emit_rank"),
+            ),
+        )
+        for kind, (when, detail, seq) in found.items()
+    ]
+    # rows without any leave before the list of the others is taken apart
+    noted = rows.filter(F.coalesce(*[F.when(when, True) for when, _, _ in found.values()], F.lit(False)))
+    return noted.select("trace_id", "ord", F.explode(F.array_compact(F.array(*some))).alias("w")).select(
+        "trace_id", "w.seq", "w.kind", "w.detail", "ord", "w.emit_rank"
+    )
+
+
 def warnings(trace: Trace) -> DataFrame:
-    """Every warning; (ord, emit_rank) is the order they come up in."""
-    out = None
-    for kind in KINDS:
-        part = of_kind(trace, kind)
-        out = part if out is None else out.unionByName(part)
+    """Every warning; (ord, emit_rank) is the order they come up in.
+
+    One pass over events and one over rejects find all kinds a row shows by
+    itself; the first mismatch of a trace and overlaps are found apart.
+    """
+    col, here = F.col, F.col("seq")
+    late = F.col("t_raw") < F.col("t_before")
+    events = _listed(
+        trace.events,
+        {
+            "decreasing_time": (late, col("t_raw"), here),
+            "unknown_id": (col("kill_status") == "unknown", col("kid"), here),
+            "double_free": (col("kill_status") == "double", col("kid"), here),
+            "invalid_size": (col("bad_size"), col("id"), here),
+            "duplicate_id": (col("dup_id"), col("id"), here),
+        },
+    )
+    reason = col("reason")
+    rejects = _listed(
+        trace.rejects,
+        {
+            "decreasing_time": (late & ~reason.isin("malformed", "header"), col("t_raw"), here),
+            "unknown_id": (col("kill_status") == "unknown", col("kid"), here),
+            "double_free": (col("kill_status") == "double", col("kid"), here),
+            "malformed_line": (reason.isin("malformed", "no-addr"), F.when(reason == "no-addr", col("id")), _before()),
+            "unknown_version": ((reason == "header") & (col("id") != 1), _wrapped(col("id")), _before()),
+        },
+    )
+    out = events.unionByName(rejects)
+    for kind in ("sequence_mismatch", "overlap"):
+        out = out.unionByName(of_kind(trace, kind))
     return out
 
 

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from lifetrace.functions.predicates import alloc, malloc, where
 from lifetrace.operators import lineage
 from lifetrace.suite.sql import over
-from lifetrace.suite.tables import dirty, orders
+from lifetrace.suite.tables import MEMBERS_SQL, NOTES_SQL, dirty, members, notes, orders
 
 ENTRIES = {}
 OP_SQL = "CASE {} WHEN 'M' THEN 'malloc' WHEN 'F' THEN 'free' WHEN 'R' THEN 'realloc' WHEN 'E' THEN 'event' END"
 
 ENTRIES["L1_detail"] = (
-    lambda s, d: lineage.detail(where(dirty(s, d).allocations, alloc.size >= 100)).select(
-        "creator", "operation", "end", "fields", "death_fields",
+    lambda s, d: lineage.detail(
+        where(dirty(s, d).allocations, alloc.size >= 100), notes(dirty(s, d)), members(dirty(s, d))
+    ).select(
+        "name", "color", F.concat_ws(",", "tags").alias("tags"), "creator", "operation", "end", "fields", "death_fields",
         "relations.reallocated_from", "relations.reallocated_to",
         F.col("creator_event.time").alias("birth_time"), F.col("creator_event.stack").alias("birth_stack"),
         F.col("death_event.seq").alias("death_seq"), F.col("death_event.operation").alias("death_operation"),
@@ -24,7 +26,10 @@ ENTRIES["L1_detail"] = (
         "events",
         f"""SELECT creator, {OP_SQL.format('op')} AS operation, end_req AS "end", extras AS fields, death_extras AS death_fields,
             realloc_from AS reallocated_from, realloc_to AS reallocated_to, birth_t AS birth_time, stack AS birth_stack,
-            death AS death_seq, {OP_SQL.format('death_op')} AS death_operation, death_t AS death_time FROM al WHERE size >= 100""",
+            death AS death_seq, {OP_SQL.format('death_op')} AS death_operation, death_t AS death_time,
+            note.name, CASE WHEN note.name IS NOT NULL THEN '#aabbcc' END AS color, array_to_string(tags, ',') AS tags
+            FROM alt LEFT JOIN note USING (trace_id, creator) WHERE size >= 100""",
+        MEMBERS_SQL + "," + NOTES_SQL,
     ),
 )
 CHAIN_SQL = """

@@ -8,7 +8,7 @@ from lifetrace.functions.predicates import alloc, where
 from lifetrace.operators import aggregate, paging
 from lifetrace.suite.aggregates import MEASURES_SQL, longs
 from lifetrace.suite.sql import over
-from lifetrace.suite.tables import dirty, orders
+from lifetrace.suite.tables import MEMBERS_SQL, NOTES_SQL, dirty, members, notes, orders
 
 ENTRIES = {}
 
@@ -65,6 +65,13 @@ ENTRIES["O7_top_groups"] = (
 )
 _COMPACT = "trace_id creator id addr size usable birth_t death death_t lifetime site thr"
 ENTRIES["O8_compact_rows"] = (
-    lambda s, d: paging.compact(orders(s, d).allocations),
-    over("orders", f"SELECT {_COMPACT.replace(' ', ', ')} FROM al"),
+    lambda s, d: paging.compact(
+        orders(s, d).allocations, notes(orders(s, d)), members(orders(s, d))
+    ).withColumn("tags", F.concat_ws(",", "tags")),
+    over(
+        "orders",
+        f"""SELECT {', '.join('alt.' + c for c in _COMPACT.split())}, note.name, CASE WHEN note.name IS NOT NULL THEN '#aabbcc' END AS color,
+            array_to_string(tags, ',') AS tags FROM alt LEFT JOIN note USING (trace_id, creator)""",
+        MEMBERS_SQL + "," + NOTES_SQL,
+    ),
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lifetrace.functions.predicates import (
-    KiB, Value, alloc, by_id, duration, free, malloc, named, where,
+    KiB, Value, alloc, duration, free, malloc, where, with_allocation, with_named,
 )
 from lifetrace.operators import annotate, fields, filters
 from lifetrace.suite.construction import FIELDS_SQL
@@ -128,8 +128,13 @@ ENTRIES["F19_tags_equal"] = (
 
 def _near_named(s, d):
     t = orders(s, d)
-    anchor = named(t.allocations, notes(t), "anchor")
-    return where(t.allocations, abs(malloc.seq - anchor.seq) <= 1000).select("creator")
+    allocations, anchor = with_named(t.allocations, notes(t), "anchor")
+    return where(allocations, abs(malloc.seq - anchor.seq) <= 1000).select("creator")
+
+
+def _larger_than_id(s, d):
+    allocations, one = with_allocation(orders(s, d).allocations, 77)
+    return where(allocations, alloc.size > one.size).select("creator")
 
 
 ENTRIES["F20_named"] = (
@@ -141,9 +146,7 @@ ENTRIES["F20_named"] = (
     ),
 )
 ENTRIES["F21_allocation_by_id"] = (
-    lambda s, d: where(
-        orders(s, d).allocations, alloc.size > by_id(orders(s, d).allocations, 77).size
-    ).select("creator"),
+    lambda s, d: _larger_than_id(s, d),
     over("orders", "SELECT creator FROM al WHERE size > (SELECT size FROM al WHERE id = 77)"),
 )
 _pick("F22_unit_literals", "events", lambda: alloc.lifetime >= duration(90, "s", "us"), "lifetime >= 90000000")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lifetrace.functions import exact
 from lifetrace.functions.buckets import bucket
 from lifetrace.functions.predicates import (
-    KiB, MiB, Single, Value, alloc, by_id, duration, free, malloc, named, where,
+    KiB, MiB, Single, Value, alloc, by_id, duration, free, malloc, named, where, with_allocation,
+    with_named,
 )
 from lifetrace.operators import filters
 
@@ -93,6 +94,18 @@ def test_references(frame, spark):
     for bad in ("twice", "none"):
         with pytest.raises(Single):
             named(frame, notes, bad)
+    both = frame.unionByName(frame.withColumn("trace_id", F.lit("u")).withColumn("size", F.col("size") + 1000))
+    two = notes.unionByName(notes.filter("name = 'anchor'").withColumn("trace_id", F.lit("u")).withColumn("creator", F.lit(0).cast("bigint")))
+    rows, anchor = with_named(both, two, "anchor")
+    got = sorted((r.trace_id, r.creator) for r in where(rows, alloc.size < anchor.size).collect())
+    here = {(r.trace_id, r.creator): r["size"] for r in both.collect()}
+    base = {"t": here["t", 1], "u": here["u", 0]}
+    assert got == sorted(k for k, v in here.items() if v < base[k[0]])
+    rows, one = with_allocation(both, 2)
+    assert where(rows, malloc.seq == one.seq).count() == 2
+    for bad in (lambda: with_named(both, two, "twice"), lambda: with_named(both, two, "none"), lambda: with_allocation(both, 77)):
+        with pytest.raises(Single):
+            bad()
     assert by_id(frame, 0).seq == 3
     assert by_id(frame, 2).site is None
     with pytest.raises(Single):
