@@ -36,6 +36,17 @@ _SLOTS2, _SLOTS1 = 2048, 1024
 _SURE = 7  # highest confidence
 _LOW_TABLES = 9  # low bytes are counted by high byte, those from 8 on together
 _U64 = np.uint64
+_FEWEST, _MOST = np.int32(16), np.int32(4000)  # bounds of a hit rate
+
+_KNOWN = np.arange(_SURE + 1)
+#: Confidence after a miss and after a hit; a prediction without any is replaced.
+_AFTER = np.concatenate([_KNOWN >> 1, np.where(_KNOWN > 0, np.minimum(_KNOWN + 1, _SURE), 0)])
+_REPLACED = _AFTER == 0
+_SURER = np.maximum(_AFTER, 1).astype(np.uint8)
+#: Weight (of 256) of order 2 where both orders predict the same id, by both confidences.
+_MIX = np.where(
+    _KNOWN[:, None] == 0, 0, np.where(_KNOWN == 0, 256, 256 * (_KNOWN[:, None] + 1) // (_KNOWN[:, None] + _KNOWN + 2))
+).astype(np.int32).reshape(-1)
 
 
 class _Model:
@@ -63,14 +74,13 @@ class _Model:
         mixed = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)
         self.at2 = self.base2[:n] + ((mixed ^ (mixed >> np.uint32(15))) >> np.uint32(21)).astype(np.int64)
         self.at1 = self.base1[:n] + ((b * np.uint32(0x9E3779B1)) >> np.uint32(22)).astype(np.int64)
-        self.c2, self.k2 = self.id2[self.at2], self.sure2[self.at2]
-        self.c1, self.k1 = self.id1[self.at1], self.sure1[self.at1]
+        self.c2, self.k2 = self.id2.take(self.at2), self.sure2.take(self.at2)
+        self.c1, self.k1 = self.id1.take(self.at1), self.sure1.take(self.at1)
         self.r2, self.r1 = self.base_rate[:n] + self.k2, self.base_rate[:n] + self.k1
-        self.p2, self.p1 = self.rate2[self.r2], self.rate1[self.r1]
-        k2, k1 = self.k2.astype(np.int32), self.k1.astype(np.int32)
-        agree = (self.c1 == self.c2) & (k1 > 0) & (k2 > 0)
-        both = (self.p2 * (k2 + 1) + self.p1 * (k1 + 1)) // (k2 + k1 + 2)
-        f2 = np.where(agree, both, self.p2)
+        self.p2, self.p1 = self.rate2.take(self.r2), self.rate1.take(self.r1)
+        agree = self.c1 == self.c2
+        weight = _MIX.take(self.k2.astype(np.int64) * (_SURE + 1) + self.k1)
+        f2 = np.where(agree, self.p1 + ((self.p2 - self.p1) * weight >> 8), self.p2)
         f1 = np.where(agree, 0, (self.p1 * (_ONE - f2)) >> _BITS)
         return f2, f1
 
@@ -80,13 +90,11 @@ class _Model:
             (self.id1, self.sure1, self.at1, self.c1, self.k1, self.rate1, self.r1, self.p1),
         ):
             hit = c == ids
-            known = k > 0
-            hit &= known
-            rate[r] = p + np.where(known, np.where(hit, (4000 - p) >> 4, -((p - 16) >> 4)), 0)
-            k = np.where(hit, np.minimum(k + 1, _SURE), k >> 1).astype(np.uint8)
-            new = k == 0
-            table[at] = np.where(new, ids, c)
-            sure[at] = np.maximum(k, 1)
+            rate[r] = p + ((np.where(hit, _MOST, _FEWEST) - p) >> 4)
+            rate[:: _SURE + 1] = 0  # without a prediction there is no rate
+            then = k + hit * np.uint8(_SURE + 1)
+            table[at] = np.where(_REPLACED.take(then), ids, c)
+            sure[at] = _SURER.take(then)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
         self.step += 1
@@ -99,8 +107,9 @@ class _Model:
         return lanes * _LOW_TABLES + np.minimum(high, _LOW_TABLES - 1)
 
     def count(self, lanes: np.ndarray, high: np.ndarray, row: np.ndarray, low: np.ndarray) -> None:
-        self.high[lanes, high] += 1
-        self.low[row, low] += 1
+        for table, at in ((self.high, lanes * 256 + high), (self.low, row * 256 + low)):
+            flat = table.reshape(-1)
+            flat[at] = flat.take(at) + 1
 
 
 def _cumulated(counts: np.ndarray) -> np.ndarray:
@@ -151,8 +160,8 @@ def encode(ids: np.ndarray) -> bytes:
             row = model.low_row(rest, high)
             for table, at, symbol in ((model.high_from, rest, high), (model.low_from, row, byte)):
                 place = at * 257 + symbol
-                begin = table[place]
-                narrow(rest, begin, table[place + 1] - begin)
+                begin = table.take(place)
+                narrow(rest, begin, table.take(place + 1) - begin)
             model.count(rest, high, row, byte)
         model.see(now, n)
         at = _unsettled(low, width, slice(0, n))
@@ -257,9 +266,8 @@ def _coded(table: np.ndarray, row: np.ndarray, wanted, narrow, lanes: np.ndarray
     """The byte whose bounds in the rows of ``table`` hold the coded value."""
     value, part = wanted(lanes)
     base = row * 257
-    symbol = np.zeros(len(row), np.int64)
     for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        symbol += step * (table[base + symbol + step] <= value)
-    begin = table[base + symbol]
-    narrow(lanes, begin, table[base + symbol + 1] - begin, part)
-    return symbol
+        base += step * (table.take(base + step) <= value)
+    begin = table.take(base)
+    narrow(lanes, begin, table.take(base + 1) - begin, part)
+    return base - row * 257

@@ -11,11 +11,11 @@ is a running sum over the segments' sizes.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 SEGMENT_IDS = coder.BLOCK * coder.LANES
 #: Pieces of text whose ids a task remembers at once.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -47,7 +47,8 @@ class Pieces:
     meets a blank, or that starts or ends with one, is encoded in one piece.
     """
 
-    _MET = re.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]|^ | \Z")
+    #: White space of Unicode, and the separators that some libraries count as such.
+    _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
@@ -59,9 +60,7 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        #: Numbers of pieces at the start of a text, and of those behind a blank.
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
+        self.number: dict[str, int] = {}  # of pieces behind a blank
         self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +75,7 @@ class Pieces:
         gets many at once as lines, and a line break stays an id of its own."""
         breaks = self.tokenizer.encode("a\n b", add_special_tokens=False).ids[1]
         ids, sizes = [], []
-        parts = [pieces[lo : lo + 1000] for lo in range(0, len(pieces), 1000)]
+        parts = [pieces[lo : lo + 100] for lo in range(0, len(pieces), 100)]
         lines = self._encode([" " + "\n ".join(part) for part in parts])
         for part, line in zip(parts, np.split(lines[0], np.cumsum(lines[1])[:-1])):
             at = np.flatnonzero(line == breaks)
@@ -90,41 +89,57 @@ class Pieces:
             return self.ids[:0], self.sizes[:0]
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, first: list[str], later: list[str]) -> None:
-        plain = [p for p in later if "\n" not in p and p and not p[-1].isspace()]
-        odd = sorted(set(later) - set(plain))
-        known = len(self.sizes)
-        for numbers, pieces in ((self.later, plain), (self.later, odd), (self.first, first)):
-            numbers.update(zip(pieces, range(known, known + len(pieces))))
-            known += len(pieces)
-        parts = [self._encode_lines(plain), self._encode([" " + p for p in odd]), self._encode(first)]
+    def _learn(self, pieces: list[str]) -> None:
+        plain, odd = [], []
+        for p in pieces:
+            (odd if not p or "\n" in p or p[-1].isspace() else plain).append(p)
+        self.number.update(zip(plain + odd, range(len(self.sizes), len(self.sizes) + len(pieces))))
+        parts = [self._encode_lines(plain), self._encode([" " + p for p in odd])]
         self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
         self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in parts)])
 
+    def _whole(self, column: pa.Array) -> np.ndarray:
+        """Texts that must stay in one piece."""
+        met = pc.or_(
+            pc.match_substring_regex(column, f"{self._WHITE} | {self._WHITE}"),
+            pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " ")),
+        )
+        return met.to_numpy(zero_copy_only=False)
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of every text."""
         if not texts:
             return self.ids[:0], self.sizes[:0]
-        if len(self.later) > REMEMBERED:
+        if len(self.number) > REMEMBERED:
             self._forget()
-        split = [[t] if self._MET.search(t) else t.split(" ") for t in texts]
-        fresh = [set(), set()]
-        for parts in split:
-            if parts[0] not in self.first:
-                fresh[0].add(parts[0])
-            fresh[1].update(parts[1:])
-        self._learn(sorted(fresh[0]), sorted(fresh[1].difference(self.later)))
-        begins = np.cumsum(self.sizes) - self.sizes
-        later = self.later.__getitem__
-        pieces = np.fromiter(
-            (n for p in split for n in (self.first[p[0]], *map(later, p[1:]))), np.int64, sum(map(len, split))
-        )
-        size = self.sizes[pieces]
-        before = np.cumsum(size) - size
-        ids = self.ids[np.repeat(begins[pieces] - before, size) + np.arange(int(size.sum()))]
-        edge = np.cumsum([0, *map(len, split)])
+        column = pa.array(texts, pa.large_string())
+        whole = self._whole(column)
+        split = pc.split_pattern(column.filter(pa.array(~whole)), " ")
+        words, bounds = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        is_first = np.zeros(len(words), bool)
+        is_first[bounds[:-1]] = True
+        later = words.filter(pa.array(~is_first)).dictionary_encode()
+        kinds = later.dictionary.to_pylist()
+        self._learn([k for k in kinds if k not in self.number])
+        numbers = np.fromiter(map(self.number.__getitem__, kinds), np.int64, len(kinds))
+
+        first = iter(words.filter(pa.array(is_first)).to_pylist())
+        heads = [t if one else next(first) for t, one in zip(texts, whole.tolist())]
+        head_ids, head_sizes = self._encode(heads)
+        ids, sizes = np.concatenate([self.ids, head_ids]), np.concatenate([self.sizes, head_sizes])
+        begins = np.cumsum(sizes) - sizes
+        counts = np.ones(len(texts), np.int64)
+        counts[~whole] = np.diff(bounds)
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        pieces = np.zeros(edge[-1], np.int64)
+        behind = np.ones(edge[-1], bool)
+        behind[edge[:-1]] = False
+        pieces[edge[:-1]] = len(self.sizes) + np.arange(len(texts))
+        pieces[behind] = numbers[later.indices.to_numpy()]
+        size = sizes[pieces]
         total = np.concatenate([[0], np.cumsum(size)])
-        return ids, np.diff(total[edge])
+        found = ids[np.repeat(begins[pieces] - total[:-1], size) + np.arange(total[-1])]
+        return found, np.diff(total[edge])
 
 
 _SEGMENTS = T.StructType(
@@ -166,7 +181,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -
                 _SEGMENTS.names,
             )
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             schema_type = batch.column("doc_id").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found, counts = encode(texts)
