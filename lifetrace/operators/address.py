@@ -222,5 +222,5 @@ def pick(points: DataFrame, allocations: DataFrame, keys: list[str]) -> DataFram
     ``newest`` is the latest born; ``nearest`` the one starting closest below.
     Points nothing covers are absent.
     """
-    found = ranges.occupants(points, allocations, [])
-    return found.groupBy("trace_id", *keys).agg(*_chosen())
+    found = ranges.best_occupants(points, allocations, keys)
+    return found.select("trace_id", *keys, "newest", F.col("near.creator").alias("nearest"))

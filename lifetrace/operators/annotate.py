@@ -19,6 +19,13 @@ def with_tags(allocations: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def having(allocations: DataFrame, members: DataFrame, tag: str) -> DataFrame:
+    """the allocations with one tag. Only that tag's members are read, and no
+    other allocation's tags are put together."""
+    one = members.filter(F.col("tag") == tag).select("trace_id", "creator")
+    return allocations.join(one, ["trace_id", "creator"], "left_semi")
+
+
 def tagged(matched: DataFrame, tag: str) -> DataFrame:
     return matched.select("trace_id", F.lit(tag).alias("tag"), "creator")
 

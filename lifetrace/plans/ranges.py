@@ -9,6 +9,8 @@ handful: they are read off the data, at most 16 exist).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -303,23 +305,25 @@ def lifetime_level(creator: Column, death: Column) -> Column:
     return F.when(death.isNull(), F.lit(OPEN)).otherwise(level_of(death - creator + 1))
 
 
-def occupants(points: DataFrame, allocations: DataFrame, keep: list[str]) -> DataFrame:
-    """Points joined with the allocations covering them at their position.
+def best_occupants(
+    points: DataFrame, allocations: DataFrame, keys: list[str], pair_limit: int = PAIR_LIMIT
+) -> DataFrame:
+    """Per point (trace_id, ``keys``) the latest born and the nearest cover.
 
-    ``points`` has trace_id, ``p_addr`` and ``p_pos`` (events applied). Both
-    address and lifetime are binned, so an address used again and again only
-    meets the uses near the position, not all of them.
+    ``points`` has p_addr and p_pos (events applied). Address and lifetime are
+    binned, so an address used again and again only meets the uses near the
+    position. Cells with a small side join by pairs. Where many are stacked up
+    alive at one place no pairs are made: see ``_best_by_nodes``. The result is
+    ``newest`` (creator) and ``near`` (addr, creator); uncovered points are absent.
     """
     compact = is_compact(allocations)
     slim = _with_levels(
-        allocations.select(
-            *dict.fromkeys(["trace_id", "creator", "addr", "end_span", "death", *keep])
-        ),
-        compact,
+        allocations.select("trace_id", "creator", "addr", "end_span", "death"), compact
     ).withColumn("_tl", lifetime_level(F.col("creator"), F.col("death")))
     present = slim.select("_lv", "_tl").distinct().collect()
     alevels = sorted({r["_lv"] for r in present})
     tlevels = sorted({r["_tl"] for r in present})
+
     def point_at(level: int) -> list[Column]:
         b, _ = _bins_at(F.col("p_addr"), F.col("p_addr"), level, compact)
         return [
@@ -330,11 +334,13 @@ def occupants(points: DataFrame, allocations: DataFrame, keep: list[str]) -> Dat
             for tl in tlevels
         ]
 
+    best = [F.max("creator").alias("newest"), F.max(F.struct("addr", "creator")).alias("near")]
+    asked = points.select("trace_id", *keys, "p_addr", "p_pos")
     if not alevels:
-        return points.join(slim.drop("_lv", "_last", "_tl"), ["trace_id"])
+        return asked.join(slim, ["trace_id"]).groupBy("trace_id", *keys).agg(*best)
     cell = ["trace_id", "level", "bin", "tlevel", "tbin"]
     left = _spread(
-        points, [c for level in alevels for c in point_at(level)], ["level", "bin", "tlevel", "tbin"]
+        asked, [c for level in alevels for c in point_at(level)], ["level", "bin", "tlevel", "tbin"]
     )
     lo, hi = _own_bins(alevels, compact)
     t_lo, t_hi = _shift(F.col("creator"), F.col("_tl")), _shift(F.col("death"), F.col("_tl"))
@@ -350,15 +356,99 @@ def occupants(points: DataFrame, allocations: DataFrame, keep: list[str]) -> Dat
         ],
         ["level", "bin", "tlevel", "tbin"],
     ).drop("_lv", "_last", "_tl")
-    return (
-        left.join(right, cell)
+    crowded = staged(
+        left.select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b"))
+        .unionByName(right.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
+        .groupBy(*cell).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        .filter(F.least("a", "b") > pair_limit).select(*cell),
+        "crowded-cells",
+    )
+    some_crowded = not crowded.isEmpty()
+    few, others = left, right
+    if some_crowded:
+        few, others = left.join(crowded, cell, "left_anti"), right.join(crowded, cell, "left_anti")
+    found = (
+        few.join(others, cell)
         .filter(
             (F.col("addr") <= F.col("p_addr"))
             & (F.col("end_span") > F.col("p_addr"))
             & (F.col("creator") < F.col("p_pos"))
             & (F.col("death").isNull() | (F.col("death") >= F.col("p_pos")))
         )
-        .drop("level", "bin", "tlevel", "tbin")
+        .groupBy("trace_id", *keys).agg(*best)
+    )
+    if some_crowded:
+        dense = staged(right.join(crowded, cell, "left_semi").select("trace_id", "creator", "addr", "end_span", "death").distinct(), "dense")
+        here = left.join(crowded, cell, "left_semi").select("trace_id", *keys, "p_addr", "p_pos").distinct()
+        found = found.unionByName(_best_by_nodes(here, dense, keys, compact)).groupBy("trace_id", *keys).agg(
+            F.max("newest").alias("newest"), F.max("near").alias("near")
+        )
+    return found
+
+
+def _cover(lo: Column, hi: Column, depth: int) -> Column:
+    """[lo, hi) as (level, node) of a tree with TREE bits a level; a level has few."""
+
+    def up(bits: int) -> Column:
+        exact = lo.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) == 0
+        return F.shiftright(lo, bits) + F.when(exact, 0).otherwise(1)
+
+    def at(level: int) -> Column:
+        bits = TREE * level
+        first, stop = up(bits), F.shiftright(hi, bits)
+        none = F.array().cast("array<bigint>")
+        span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+        if level == depth:
+            nodes = span(first, stop)
+        else:
+            p_first = F.shiftleft(up(bits + TREE), TREE)
+            p_stop = F.shiftleft(F.shiftright(hi, bits + TREE), TREE)
+            nodes = F.when(p_first < p_stop, F.concat(span(first, p_first), span(p_stop, stop))).otherwise(span(first, stop))
+        return F.transform(nodes, lambda n: F.struct(F.lit(level).alias("l"), n.alias("n")))
+
+    return _per_level(list(range(depth + 1)), at)
+
+
+def _best_by_nodes(points: DataFrame, dense: DataFrame, keys: list[str], compact: bool) -> DataFrame:
+    """The same answer without pairs, for any number of rows at one place.
+
+    An interval of addresses is a few nodes of a tree over addresses, a
+    lifetime a few of a tree over positions; of all allocations that cover the
+    same two nodes only the best ones are kept, by a partial aggregate. A point
+    asks each pair of nodes above it, on the levels that occur, for at most one
+    row.
+    """
+    # unsigned addresses beyond 63 bits keep their order and nodes when moved by 2^63
+    whole = lambda c: F.col(c) if compact else (
+        F.col(c).cast("decimal(38,0)") - F.lit(Decimal(1 << 63)).cast("decimal(38,0)")
+    ).cast("bigint")
+    latest, widest = dense.agg(F.max(F.greatest("creator", "death")), F.max(whole("end_span") - whole("addr"))).first()
+    top = max(latest, points.agg(F.max("p_pos")).first()[0]) + 2
+    stop = F.coalesce(F.col("death") + 1, F.lit(1 << int(top).bit_length()).cast("bigint"))
+    deep = lambda n: min(-(-int(n).bit_length() // TREE), 62 // TREE)
+    rows = dense.withColumn(
+        "x", F.explode(_cover(whole("addr"), whole("end_span"), deep(widest)))
+    ).withColumn("t", F.explode(_cover(F.col("creator") + 1, stop, deep(top))))
+    nodes = staged(
+        rows.groupBy("trace_id", "x", "t").agg(
+            F.max("creator").alias("newest"), F.max(F.struct("addr", "creator")).alias("near")
+        ).select("trace_id", F.col("x.l").alias("xl"), F.col("x.n").alias("xn"), F.col("t.l").alias("tl"), F.col("t.n").alias("tn"), "newest", "near"),
+        "nodes",
+    )
+    levels = nodes.select("xl", "tl").distinct().collect()  # at most one per pair of tree levels
+    asks = F.array(
+        *[
+            F.struct(
+                F.lit(r["xl"]).alias("xl"), F.shiftright(whole("p_addr"), TREE * r["xl"]).alias("xn"),
+                F.lit(r["tl"]).alias("tl"), F.shiftright(F.col("p_pos"), TREE * r["tl"]).alias("tn"),
+            )
+            for r in levels
+        ]
+    )
+    return (
+        points.select("trace_id", *keys, F.inline(asks))
+        .join(nodes, ["trace_id", "xl", "xn", "tl", "tn"])
+        .groupBy("trace_id", *keys).agg(F.max("newest").alias("newest"), F.max("near").alias("near"))
     )
 
 

@@ -112,10 +112,14 @@ ENTRIES["F17_tag_count"] = (
     over("orders", "SELECT creator FROM alt WHERE len(tags) >= 2", MEMBERS_SQL),
 )
 ENTRIES["F18_tag_member"] = (
+    lambda s, d: annotate.having(orders(s, d).allocations, members(orders(s, d)), "hot").select("creator"),
+    over("orders", "SELECT creator FROM alt WHERE list_contains(tags, 'hot')", MEMBERS_SQL),
+)
+ENTRIES["F18_tag_in_predicate"] = (
     lambda s, d: where(
-        annotate.with_tags(orders(s, d).allocations, members(orders(s, d))), alloc.tags.has("hot")
+        annotate.with_tags(dirty(s, d).allocations, members(dirty(s, d))), alloc.tags.has("hot") & ~alloc.freed
     ).select("creator"),
-    over("orders", "SELECT creator FROM alt WHERE list_contains(tags, 'hot')", MEMBERS_SQL),
+    over("events", "SELECT creator FROM alt WHERE list_contains(tags, 'hot') AND NOT freed", MEMBERS_SQL),
 )
 ENTRIES["F19_tags_equal"] = (
     lambda s, d: where(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lifetrace.operators import lifecycle
+from lifetrace.session import staged
 from lifetrace.sources import derive
 from lifetrace.trace import Trace
 
@@ -55,8 +56,20 @@ def times(t: Trace) -> tuple[int, int]:
     return row[0], row[1] + 1
 
 
+_MEMBERS: dict[int, DataFrame] = {}
+
+
 def members(t: Trace) -> DataFrame:
-    """Tags used by the registered queries, by rule over the allocations."""
+    """Tags used by the registered queries, by rule over the allocations.
+
+    Stored once per trace, a tag's members together, as a user's tags would be.
+    """
+    if id(t) not in _MEMBERS:
+        _MEMBERS[id(t)] = staged(_members(t).sortWithinPartitions("tag", "creator"), "members")
+    return _MEMBERS[id(t)]
+
+
+def _members(t: Trace) -> DataFrame:
     from pyspark.sql import functions as F
 
     a = t.allocations

@@ -93,18 +93,33 @@ def test_births_in_live(spark, monkeypatch, part_rows):
             assert {r.creator for r in ranges.births_in_live(df, limit).collect()} == want
 
 
-def test_occupants(spark):
+@pytest.mark.parametrize("limit", [64, 2, 0])
+def test_best_occupants(spark, limit):
     rows = intervals(4)
     rng = random.Random(4)
-    points = [("t", i, rng.choice(rows)[2] + rng.randrange(40), rng.randrange(400)) for i in range(200)]
+    points = [("t", i, rng.choice(rows)[2] + rng.randrange(40), rng.randrange(4500)) for i in range(200)]
+    covers = {
+        p[1]: [a for a in rows if a[2] <= p[2] < a[3] and a[1] < p[3] and (a[4] is None or a[4] >= p[3])] for p in points
+    }
     want = {
-        (p[1], a[1]) for p in points for a in rows
-        if a[2] <= p[2] < a[3] and a[1] < p[3] and (a[4] is None or a[4] >= p[3])
+        i: (max(a[1] for a in c), max((a[2], a[1]) for a in c)) for i, c in covers.items() if c
     }
-    df = spark.createDataFrame(rows, SCHEMA)
-    pts = spark.createDataFrame(points, "trace_id string, i bigint, p_addr bigint, p_pos bigint")
-    got = [(r.i, r.creator) for r in ranges.occupants(pts, df, []).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for form in ("bigint", "decimal(20,0)"):
+        df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.col(c).cast(form) for c in ("addr", "end_span")})
+        pts = spark.createDataFrame(points, "trace_id string, i bigint, p_addr bigint, p_pos bigint").withColumn("p_addr", F.col("p_addr").cast(form))
+        got = ranges.best_occupants(pts, df, ["i"], limit).collect()
+        assert {r.i: (r.newest, (int(r.near.addr), r.near.creator)) for r in got} == want and len(got) == len(want)
+
+
+def test_many_open_allocations_at_one_address_make_no_pairs(spark):
+    n = 20_000
+    alloc = spark.range(n).select(
+        F.lit("t").alias("trace_id"), F.col("id").alias("creator"), F.lit(4096).cast("bigint").alias("addr"),
+        (F.lit(4160) + F.col("id") % 3).cast("bigint").alias("end_span"), F.lit(None).cast("bigint").alias("death"),
+    )
+    points = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").alias("i"), F.lit(4159).cast("bigint").alias("p_addr"), F.col("id").alias("p_pos"))
+    got = ranges.best_occupants(points, alloc, ["i"])
+    assert got.filter("newest = i - 1 AND near.creator = i - 1").count() == got.count() == n - 1
 
 
 def test_contained(spark):
