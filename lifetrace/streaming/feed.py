@@ -1,17 +1,17 @@
 """Following the change log.
 
 Memberships are kept as the last explicit write of each pair and the last
-reset of each tag and allocation: three small tables that merge by maximum
-revision, so a batch only touches the state and its own changes.
+reset of each tag and allocation, which merge by maximum revision. A batch
+writes its own facts only; they are merged when the state is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifetrace.operators import changes
-from lifetrace.streaming.runs import previous, write_batch
+from lifetrace.streaming.runs import merged_state, write_changes
 
 STATE = "trace_id string, what string, tag string, creator bigint, at bigint, present boolean"
 
@@ -42,18 +42,25 @@ def _facts(log: DataFrame) -> DataFrame:
 
 
 def feed_sink(state: str):
-    """A foreachBatch sink merging valid changes into the state tables."""
+    """A foreachBatch sink adding the facts of valid changes to the state."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        before = previous(batch.sparkSession, state, number, STATE)
-        merged = before.unionByName(_facts(batch)).groupBy("trace_id", "what", "tag", "creator").agg(
-            F.max("at").alias("at"), F.max_by("present", "at").alias("present")
-        )
-        write_batch(merged, state, number)
+        write_changes(_merged(_facts(batch)), state, number, STATE, _merged)
 
     return sink
 
 
+def _merged(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("trace_id", "what", "tag", "creator").agg(
+        F.max("at").alias("at"), F.max_by("present", "at").alias("present")
+    )
+
+
+def state_after(spark: SparkSession, state: str, batches: int) -> DataFrame:
+    """The merged state after so many batches."""
+    return merged_state(spark, state, batches, STATE, _merged)
+
+
 def members(state: DataFrame) -> DataFrame:
     """Memberships in force for a state table."""
     pairs = state.filter("what = 'pair' and present").select("trace_id", "tag", "creator", "at")

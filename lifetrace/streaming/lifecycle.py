@@ -1,27 +1,27 @@
 """R2: resolving ids on a stream.
 
-State per (trace, id): the latest creator and whether it is dead. It is a few
-numbers per id that was ever seen; a dead id is kept, because a later free of
-it is a double free and not an unknown one. ``forget_after_ms`` drops ids idle
-for that long, at the price that such a free then reads as unknown.
+A batch is resolved like a whole trace: along one id a free succeeds exactly
+when the step before it is a create. What came before the batch enters as one
+or two steps per id that the batch touches: its latest create, and the kill
+that ended it. A batch must hold later events than the ones before it.
+
+The state has one row per id: the latest creator and whether it is dead. A dead
+id is kept, because a later free of it is a double free and not an unknown one.
+A batch writes the rows of the ids it touched. Numbers keep the types of the
+input, so a trace kept as DECIMAL(20,0) streams as such.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+
+from lifetrace.plans import prefix
+from lifetrace.streaming.runs import merged_state, write_batch, write_changes
 
-OUTPUT = (
-    "trace_id string, seq bigint, what string, status string, target bigint, "
-    "target_t bigint, target_addr bigint, target_size bigint, t bigint"
-)
-STATE = "creator bigint, t bigint, addr bigint, size bigint, dead boolean"
-COLUMNS = [c.split(" ")[0] for c in OUTPUT.split(", ")]
+KEY = ["trace_id", "key"]
+_CARRIED = ("t", "addr", "size")
 
 
 def steps(events: DataFrame) -> DataFrame:
@@ -40,52 +40,91 @@ def steps(events: DataFrame) -> DataFrame:
 
 def without_id(events: DataFrame) -> DataFrame:
     """Frees and resizes that name no id: unknown, whatever came before."""
+    none = lambda like, name: F.lit(None).cast(events.schema[like].dataType).alias(name)
     return events.filter(F.col("op").isin("F", "R") & F.col("kid").isNull()).select(
         "trace_id", "seq", F.lit("kill").alias("what"), F.lit("unknown").alias("status"),
-        *[F.lit(None).cast("bigint").alias(c) for c in ("target", "target_t", "target_addr", "target_size")],
-        "t",
+        none("seq", "target"), *[none(c, f"target_{c}") for c in _CARRIED], "t",
+    )
+
+
+def _state_schema(rows: DataFrame) -> T.StructType:
+    kind = lambda c: rows.schema[c].dataType
+    return T.StructType(
+        [T.StructField(c, kind(c)) for c in KEY]
+        + [T.StructField("at", T.LongType()), T.StructField("creator", T.LongType())]
+        + [T.StructField(c, kind(c)) for c in _CARRIED]
+        + [T.StructField("dead", T.BooleanType())]
+    )
+
+
+def _latest(state: DataFrame) -> DataFrame:
+    """The last row of each id among the batches that wrote one."""
+    rest = [c for c in state.columns if c not in KEY]
+    return state.groupBy(*KEY).agg(F.max(F.struct(*rest)).alias("s")).select(*KEY, "s.*")
+
+
+def _order(seq: Column, sub: Column) -> Column:
+    return seq.cast("bigint") * 4 + sub
+
+
+def _earlier(state: DataFrame) -> DataFrame:
+    """State rows as steps ahead of a batch: a create, and a kill where it is dead."""
+    subs = F.when(F.col("dead"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return state.select(
+        *KEY, F.col("creator").alias("seq"), F.explode(subs).alias("sub"), *_CARRIED, F.lit(True).alias("known")
     )
 
 
-def resolved(stream: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
-    """One row per step: kills with status and target, creates with reuse.
-
-    A batch must hold later events than the ones before it; inside a batch the
-    rows of an id are put in order here.
-    """
-
-    def one_id(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["seq", "sub"])
-        creator, t, addr, size, dead = state.get if state.exists else (None, None, None, None, False)
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.sub == 0:
-                if creator is None:
-                    out.append((key[0], r.seq, "kill", "unknown", None, None, None, None, r.t))
-                elif dead:
-                    out.append((key[0], r.seq, "kill", "double", None, None, None, None, r.t))
-                else:
-                    out.append((key[0], r.seq, "kill", "ok", creator, t, addr, size, r.t))
-                    dead = True
-            else:
-                again = creator is not None and not dead
-                out.append((key[0], r.seq, "create", "reused" if again else "new", None, None, None, None, r.t))
-                creator, t, addr, size, dead = int(r.seq), int(r.t), int(r.addr), int(r.size), False
-        if creator is not None:
-            state.update((creator, t, addr, size, dead))
-            if forget_after_ms is not None:
-                state.setTimeoutDuration(forget_after_ms)
-        frame = pd.DataFrame(out, columns=COLUMNS)
-        for c in ("target", "target_t", "target_addr", "target_size"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
-
-    timeout = (
-        GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+def resolve_sink(out: str, state: str):
+    """R2: a foreachBatch sink writing one row per step of accepted events
+    (trace_id, seq, op, t, id, kid, addr, size, registered): kills with status and
+    target, creates with reuse."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        now = steps(batch)
+        schema = _state_schema(now)
+        before = merged_state(batch.sparkSession, state, number, schema, _latest)
+        touched = before.join(now.select(*KEY).distinct(), KEY, "left_semi")
+        every = now.withColumn("known", F.lit(False)).unionByName(_earlier(touched))
+        every = every.withColumn("pos", _order(F.col("seq"), F.col("sub"))).withColumn(
+            "made", F.when(F.col("sub") == 1, F.struct(F.col("seq").alias("creator"), *_CARRIED))
+        )
+        linked = prefix.scan(
+            every, KEY, ["pos"], prefix.block_of("pos", prefix.SPARSE_BITS),
+            [
+                prefix.Run("ahead", "last", F.col("sub"), inclusive=False),
+                prefix.Run("create", "last", F.col("made"), inclusive=False),
+            ],
+            levels=2,
+        ).filter("not known")
+        write_batch(_status(linked).unionByName(without_id(batch)), out, number)
+        write_changes(_after(every).select(*schema.names), state, number, schema, _latest)
+
+    return sink
+
+
+def _status(linked: DataFrame) -> DataFrame:
+    kill, live = F.col("sub") == 0, F.coalesce(F.col("ahead") == 1, F.lit(False))
+    status = (
+        F.when(kill & live, "ok").when(kill & F.col("create").isNotNull(), "double").when(kill, "unknown")
+        .when(live, "reused").otherwise("new")
+    )
+    target = lambda c: F.when(kill & live, F.col(f"create.{c}"))
+    return linked.select(
+        "trace_id", "seq", F.when(kill, "kill").otherwise("create").alias("what"), status.alias("status"),
+        target("creator").alias("target"), *[target(c).alias(f"target_{c}") for c in _CARRIED], "t",
     )
-    return stream.groupBy("trace_id", "key").applyInPandasWithState(
-        one_id, OUTPUT, STATE, "append", timeout
+
+
+def _after(every: DataFrame) -> DataFrame:
+    """The state of the touched ids; an id that was only ever freed has none."""
+    return (
+        every.groupBy(*KEY)
+        .agg(
+            F.max("seq").alias("at"),
+            F.max_by("made", F.when(F.col("made").isNotNull(), F.col("pos"))).alias("m"),
+            (F.max_by("sub", "pos") != 1).alias("dead"),
+        )
+        .filter("m is not null")
+        .select(*KEY, "at", "m.creator", *[f"m.{c}" for c in _CARRIED], "dead")
     )

@@ -46,3 +46,29 @@ def previous(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
     if batch == 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(batch_folder(path, batch - 1))
+
+
+COMPACT = 16  # batches between two writes of a whole state
+
+
+def merged_state(spark: SparkSession, path: str, upto: int, schema, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The state after the batches before ``upto``.
+
+    A batch writes what it changed; every COMPACT-th writes the whole state. So
+    at most COMPACT folders are read, and merged by ``merge``.
+    """
+    if upto == 0:
+        return spark.createDataFrame([], schema)
+    first = (upto - 1) // COMPACT * COMPACT
+    folders = [batch_folder(path, n) for n in range(first, upto)]
+    return merge(spark.read.schema(schema).parquet(*folders))
+
+
+def write_changes(
+    changed: DataFrame, path: str, batch: int, schema, merge: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Write what a batch changed of a state (see ``merged_state``)."""
+    if batch and batch % COMPACT == 0:
+        before = merged_state(changed.sparkSession, path, batch, schema, merge)
+        changed = merge(before.unionByName(changed))
+    write_batch(changed, path, batch)

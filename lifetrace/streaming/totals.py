@@ -9,7 +9,7 @@ from lifetrace.plans import prefix
 from lifetrace.plans.small import per_trace
 from lifetrace.streaming.runs import previous, write_batch
 
-CLAMP_STATE = "trace_id string, top bigint"
+WIDE = "decimal(38,0)"  # sums of bytes
 
 
 def clamp_sink(out: str, state: str):
@@ -21,7 +21,8 @@ def clamp_sink(out: str, state: str):
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = per_trace(previous(spark, state, number, CLAMP_STATE))
+        schema = f"trace_id string, top {batch.schema['t'].dataType.simpleString()}"
+        before = per_trace(previous(spark, state, number, schema))
         rows = prefix.scan(
             batch, ["trace_id"], ["ord"], prefix.block_of("ord"), [prefix.Run("_t", "max", F.col("t"))]
         ).join(before, "trace_id", "left")
@@ -48,8 +49,8 @@ def timeline_stream(events: DataFrame, width: int, domain: str = "seq", watermar
     ).agg(
         n(op == "M").alias("allocations"), n((op == "F") & hit).alias("frees"),
         n(op == "R").alias("reallocations"), n(op == "E").alias("custom_events"),
-        F.coalesce(F.sum(F.when(op.isin("M", "R"), F.col("size"))), F.lit(0)).alias("allocated_bytes"),
-        F.coalesce(F.sum("target_size"), F.lit(0)).alias("freed_bytes"),
+        F.coalesce(F.sum(F.when(op.isin("M", "R"), F.col("size").cast(WIDE))), F.lit(0)).alias("allocated_bytes"),
+        F.coalesce(F.sum(F.col("target_size").cast(WIDE)), F.lit(0)).alias("freed_bytes"),
     )
 
 
@@ -58,7 +59,9 @@ def totals_stream(events: DataFrame) -> DataFrame:
     born, ended = F.col("op").isin("M", "R"), F.col("target").isNotNull()
     return events.groupBy("trace_id").agg(
         F.sum(born.cast("bigint") - ended.cast("bigint")).alias("live_count"),
-        F.sum(F.when(born, F.col("size")).otherwise(0) - F.coalesce("target_size", F.lit(0))).alias("live_bytes"),
+        F.sum(
+            F.when(born, F.col("size").cast(WIDE)).otherwise(0) - F.coalesce(F.col("target_size").cast(WIDE), F.lit(0))
+        ).alias("live_bytes"),
         F.max("seq").alias("last_seq"),
     )
 

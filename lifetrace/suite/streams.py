@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lifetrace.session import scratch_path
 from lifetrace.sources import derive, jsonl
 from lifetrace.streaming import decode, feed, lifecycle, runs, totals
+from lifetrace.suite.aggregates import longs
 from lifetrace.suite.annotations import CHANGES_SQL, checked
 from lifetrace.suite.scans import PATTERN, noisy_lines
 from lifetrace.suite.sql import over
@@ -62,11 +63,8 @@ def _resolved(s, d):
     events = t.events.join(known, ["trace_id", "seq"], "left").select(
         "trace_id", "seq", "op", "t", "id", "kid", "addr", "size", F.coalesce("registered", F.lit(False)).alias("registered")
     )
-    out = scratch_path(s, "resolved")
-    fed(
-        s, events, "seq", lambda df: lifecycle.resolved(lifecycle.steps(df)).unionByName(lifecycle.without_id(df)),
-        lambda df, n: runs.write_batch(df, out, n),
-    )
+    out, state = scratch_path(s, "resolved"), scratch_path(s, "resolved-state")
+    fed(s, events, "seq", lambda df: df, lifecycle.resolve_sink(out, state))
     return runs.read_batches(s, out).select("seq", "what", "status", "target", "target_size")
 
 
@@ -99,7 +97,7 @@ def _timeline(s, d):
         s, dirty(s, d).events.select("trace_id", "seq", "t", "op", "size", "target", "target_size"), "seq",
         lambda df: totals.timeline_stream(df, 700), lambda df, n: runs.write_batch(df, out, n), "update",
     )
-    return totals.latest(runs.read_batches(s, out), ["trace_id", "bin"])
+    return longs(totals.latest(runs.read_batches(s, out), ["trace_id", "bin"]), "allocated_bytes", "freed_bytes")
 
 
 ENTRIES["R4_stream_timeline"] = (
@@ -121,7 +119,7 @@ def _totals(s, d):
         s, dirty(s, d).events.select("trace_id", "seq", "op", "size", "target", "target_size"), "seq",
         totals.totals_stream, lambda df, n: runs.write_batch(df, out, n), "update",
     )
-    return runs.read_batches(s, out).select("batch", "live_count", "live_bytes", "last_seq")
+    return longs(runs.read_batches(s, out), "live_bytes").select("batch", "live_count", "live_bytes", "last_seq")
 
 
 ENTRIES["R5_stream_live_totals"] = (
@@ -143,8 +141,7 @@ runs AS (
 def _feed(s, d):
     state = scratch_path(s, "feed-state")
     fed(s, checked(s, d)[0], "revision", lambda df: df, feed.feed_sink(state))
-    last = s.read.schema(feed.STATE).parquet(runs.batch_folder(state, PARTS - 1))
-    return feed.members(last).select("tag", "creator")
+    return feed.members(feed.state_after(s, state, PARTS)).select("tag", "creator")
 
 
 ENTRIES["R6_stream_change_feed"] = (
