@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lifetrace.functions.predicates import alloc, malloc, where
+from lifetrace.functions.predicates import alloc, where
 from lifetrace.operators import lineage
 from lifetrace.suite.sql import over
-from lifetrace.suite.tables import MEMBERS_SQL, NOTES_SQL, dirty, members, notes, orders
+from lifetrace.suite.tables import MEMBERS_SQL, NOTES_SQL, dirty, members, notes
 
 ENTRIES = {}
 OP_SQL = "CASE {} WHEN 'M' THEN 'malloc' WHEN 'F' THEN 'free' WHEN 'R' THEN 'realloc' WHEN 'E' THEN 'event' END"

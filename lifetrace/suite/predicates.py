@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lifetrace.functions.predicates import (
-    KiB, Value, alloc, duration, free, malloc, where, with_allocation, with_named,
+    KiB, alloc, duration, free, malloc, where, with_allocation, with_named,
 )
 from lifetrace.operators import annotate, fields, filters
-from lifetrace.suite.construction import FIELDS_SQL
 from lifetrace.suite.sql import HALF, QUARTER, over
 from lifetrace.suite.tables import MEMBERS_SQL, NOTES_SQL, dirty, half, members, notes, orders, quarter
 

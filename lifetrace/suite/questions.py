@@ -11,7 +11,7 @@ from lifetrace.suite.construction import WARN_SQL
 from lifetrace.suite.joins import POINTERS_SQL, pointers
 from lifetrace.suite.lineage import CHAIN_SQL
 from lifetrace.suite.sql import over
-from lifetrace.suite.tables import dirty, members, orders
+from lifetrace.suite.tables import dirty, members
 
 ENTRIES = {}
 _LANE = "json_extract_string('{' || extras || '}', '$.lane')"
