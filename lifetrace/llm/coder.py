@@ -114,12 +114,13 @@ class _Model:
 
 def _cumulated(counts: np.ndarray) -> np.ndarray:
     """Flat rows of 257 bounds from 0 to _ONE; every byte keeps a share of at least 1."""
-    sums = np.cumsum(counts, axis=1, dtype=np.int32)
-    total = np.maximum(sums[:, -1:], 1)
     out = np.zeros((len(counts), 257), np.int16)
-    out[:, 1:] = sums * (_ONE - 256) // total + np.arange(1, 257, dtype=np.int32)
-    empty = sums[:, -1] == 0
-    out[empty] = np.arange(257, dtype=np.int16) * (_ONE // 256)
+    for lo in range(0, len(counts), 256):  # a part at a time stays in the cache
+        sums = np.cumsum(counts[lo : lo + 256], axis=1, dtype=np.int32)
+        total = np.maximum(sums[:, -1:], 1)
+        part = out[lo : lo + 256]
+        part[:, 1:] = sums * (_ONE - 256) // total + np.arange(1, 257, dtype=np.int32)
+        part[sums[:, -1] == 0] = np.arange(257, dtype=np.int16) * (_ONE // 256)
     return out.reshape(-1)
 
 
