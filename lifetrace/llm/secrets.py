@@ -1,25 +1,24 @@
 """Secrets in texts and in what is encoded inside them.
 
 A worklist per text: the text itself, then every layer found inside a layer. Words
-with percent escapes or Unicode escapes become decoded layers, runs of base64 become
-text or bytes, compressed bytes are unpacked. Every layer is scanned again and looked
-through again until nothing new comes out; a layer that was seen before at its place is
-not entered again. A span found in a layer is mapped to the text: sign by sign through
+with percent escapes or Unicode escapes become decoded layers, runs of base64
+become text or bytes, compressed bytes are unpacked up to their end or
+their damage. Every layer is scanned again and looked through again until nothing new
+comes out; a layer that was seen before at its place is not entered again. A span found in a layer is mapped to the text: sign by sign through
 escapes, to the whole run through base64 and compression.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import gzip
+import codecs
 import hashlib
 import io
 import lzma
 import re
 import zlib
-from collections import deque
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,15 +33,21 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_BLANK = r"\x20\x09-\x0D"
-_PERCENT = re.compile(rf"(?<![^{_BLANK}])[^{_BLANK}%]*+%[^{_BLANK}]*+")
-_ESCAPED = re.compile(rf"(?<![^{_BLANK}])[^{_BLANK}\\&]*+[\\&][^{_BLANK}]*+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PERCENT_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_PART = re.compile(r"\\u\{?([0-9A-Fa-f]{4})\}?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
-#: Unpacked layers are looked through in windows of this size that overlap, so that a
-#: layer that unpacks to very much is whole but never held at once.
+_SIGN = "[A-Za-z0-9+/_-]"
+_BASE64 = re.compile(rf"(?<!{_SIGN}){_SIGN}{{16,}}={{0,2}}")
+#: What a secret, or a layer with one, has at least in it.
+_LEGIBLE = re.compile(r"[\x20-\x7e\t-\r]{16}")
+#: Unpacked layers are looked through in windows of about this size that overlap, so that
+#: a layer that unpacks to very much is whole but never held at once. A run of base64 or
+#: of escapes is not cut where a window ends: the next window holds it from its beginning.
 WINDOW, OVERLAP = 4 << 20, 64 << 10
+_CODED = r"[A-Za-z0-9+/_=%\\&#;{}-]"
+_TAIL = re.compile(rf"{_CODED}*+(?:[ \t]*+\n\r?[ \t]*+{_CODED}{{16,}}+)*+")  # of the text backwards
+#: Bytes unpacked in one step.
+STEP = 64 << 10
 
 
 def direct(text: str) -> list[tuple[int, int, int]]:
@@ -58,45 +63,57 @@ def direct(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text; sign i comes from [begins[i], ends[i]) of the layer above."""
+    """Where the signs of a decoded text come from in the layer above: pieces from ``at``
+    on begin at ``begins``, and go on by ``steps`` signs each, or are a whole (step 0)
+    up to ``ends``."""
 
-    def __init__(self, text: str, begins, ends):
-        self.text, self.begins, self.ends = text, begins, ends
+    def __init__(self):
+        self.size, self.at, self.begins, self.ends, self.steps = 0, [], [], [], []
+
+    def add(self, size: int, begin: int, end: int, step: int) -> None:
+        if size:
+            self.at.append(self.size), self.begins.append(begin), self.ends.append(end), self.steps.append(step)
+            self.size += size
 
     def outer(self, a: int, b: int) -> tuple[int, int]:
-        return self.begins[a], self.ends[b - 1]
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        end = self.begins[j] + (b - self.at[j]) * self.steps[j] if self.steps[j] else self.ends[j]
+        return self.begins[i] + (a - self.at[i]) * self.steps[i], end
 
 
 class _Whole:
-    """The place of a run that is decoded as one."""
+    """The map of a run that is decoded as one."""
 
     def __init__(self, a: int, b: int):
-        self.a, self.b = a, b
+        self.place = a, b
+
+    def outer(self, _a: int, _b: int) -> tuple[int, int]:
+        return self.place
 
-    def __getitem__(self, _):
-        return self
 
+def _outer(maps, a: int, b: int) -> tuple[int, int]:
+    """The place in the text; ``maps`` is (map, those of the layers above) or None."""
+    while maps:
+        own, maps = maps
+        a, b = own.outer(a, b)
+    return a, b
 
-def _rewritten(word: str, at: int, part: re.Pattern, decode) -> Layer | None:
-    out, begins, ends, last, changed = [], [], [], 0, False
-    for m in part.finditer(word):
+
+def _rewritten(text: str, at: int, part: re.Pattern, decode) -> tuple[str, Layer] | None:
+    out, layer, last = [], Layer(), 0
+    for m in part.finditer(text):
         new = decode(m)
         if new is None:
             continue
-        changed = True
-        for i in range(last, m.start()):
-            out.append(word[i]), begins.append(at + i), ends.append(at + i + 1)
+        out += [text[last : m.start()], new]
+        layer.add(m.start() - last, at + last, at + m.start(), 1)
         single = len(new) * 3 == m.end() - m.start()  # one escape %XX per sign
-        for k, c in enumerate(new):
-            out.append(c)
-            begins.append(at + m.start() + (3 * k if single else 0))
-            ends.append(at + m.start() + 3 * (k + 1) if single else at + m.end())
+        layer.add(len(new), at + m.start(), at + m.end(), 3 if single else 0)
         last = m.end()
-    if not changed:
+    if not out:
         return None
-    for i in range(last, len(word)):
-        out.append(word[i]), begins.append(at + i), ends.append(at + i + 1)
-    return Layer("".join(out), begins, ends)
+    layer.add(len(text) - last, at + last, at + len(text), 1)
+    return "".join([*out, text[last:]]), layer
 
 
 def _percent(m: re.Match) -> str:
@@ -108,90 +125,130 @@ def _escape(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpackers(data: bytes):
-    """A stream over what ``data`` unpacks to, by its first bytes."""
-    source = io.BytesIO(data)
-    if data[:2] == b"\x1f\x8b":
-        return gzip.GzipFile(fileobj=source)
-    if data[:3] == b"BZh":
-        return bz2.BZ2File(source)
-    if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMAFile(source)
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().stream_reader(source)
-    if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        return _Zlib(data)
+def _is_zlib(head: bytes) -> bool:
+    return len(head) > 1 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0
+
+
+def _unpacker(head: bytes):
+    """How to decode what begins with ``head``: a function of (chunks, sizes of the steps)."""
+    for magic, make in (
+        (b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor),
+        (b"\xfd7zXZ\x00", lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ)),
+    ):
+        if head.startswith(magic):
+            return lambda chunks, steps: _members(make, magic, chunks, steps)
+    if head.startswith(b"\x28\xb5\x2f\xfd"):
+        return _zstandard
+    if _is_zlib(head):
+        return lambda chunks, steps: _members(zlib.decompressobj, None, chunks, steps)
     return None
 
 
-class _Zlib:
-    def __init__(self, data: bytes):
-        self.inner, self.rest = zlib.decompressobj(), data
+def _members(make, magic: bytes | None, chunks, steps):
+    """The members of a stream, one behind another with zeros between; anything else ends it."""
+    rest, chunks = b"", iter(chunks)
+    while True:
+        coder = make()
+        while not coder.eof:
+            n = next(steps)
+            out = coder.decompress(rest, n)
+            rest = getattr(coder, "unconsumed_tail", b"")
+            if out:
+                yield out
+            if not coder.eof and not rest and getattr(coder, "needs_input", len(out) < n):
+                rest = next(chunks, None)
+                if rest is None:
+                    return
+        rest = coder.unused_data.lstrip(b"\0")
+        while magic and len(rest) < len(magic):
+            more = next(chunks, None)
+            if more is None:
+                return
+            rest = (rest + more).lstrip(b"\0")
+        if not magic or not rest.startswith(magic):
+            return
 
-    def read(self, n: int) -> bytes:
-        out = self.inner.decompress(self.rest, n)
-        self.rest = self.inner.unconsumed_tail
-        return out
 
+class _Source(io.RawIOBase):
+    def __init__(self, chunks):
+        self.chunks, self.rest = iter(chunks), b""
 
-def _unpacked(data: bytes):
-    """Windows of the unpacked bytes; what is damaged ends where the damage is."""
-    stream = _unpackers(data)
-    if stream is None:
-        return
-    kept = b""
-    while True:
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.rest:
+            self.rest = next(self.chunks, None)
+            if self.rest is None:
+                self.rest = b""
+                return 0
+        n = min(len(buffer), len(self.rest))
+        buffer[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _zstandard(chunks, steps):
+    import zstandard
+
+    stream = zstandard.ZstdDecompressor().stream_reader(io.BufferedReader(_Source(chunks), STEP), read_across_frames=True)
+    while out := stream.read(next(steps)):
+        yield out
+
+
+class _Steps:
+    """Sizes of the steps: STEP up to ``after`` bytes, then single bytes."""
+
+    def __init__(self, after: int | None = None):
+        self.done, self.after = 0, after
+
+    def __iter__(self):
+        return self
+
+    def __next__(self) -> int:
+        return STEP if self.after is None else min(STEP, self.after - self.done) if self.done < self.after else 1
+
+
+def _unpacked(unpack, source):
+    """The unpacked bytes of ``source()``, in chunks. What is damaged ends at the very byte
+    of the damage: a step that fails is taken again byte by byte."""
+    after = None
+    for _ in range(2):
+        steps = _Steps(after)
         try:
-            more = stream.read(WINDOW)
-        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, Exception) as problem:  # noqa: BLE001
+            for out in unpack(source(), steps):
+                if after is None or steps.done >= after:
+                    yield out
+                steps.done += len(out)
+            return
+        except Exception as problem:  # noqa: BLE001
             if not isinstance(problem, (OSError, EOFError, ValueError)) and "rror" not in type(problem).__name__:
                 raise
-            return
-        if not more:
-            return
-        yield kept + more
-        kept = (kept + more)[-OVERLAP:]
+        after = steps.done
 
 
-def _bytes_of(run: str) -> bytes | None:
+def _bytes_of(run: str) -> bytes:
     plain = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(plain) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+        return b""
+    return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
+
 
+def _escapes(text: str):
+    """(begin, end, decoded text, map) of every word with escapes."""
+    kinds = [(p, d) for p, d, on in ((_PERCENT_PART, _percent, "%" in text), (_ESCAPE_PART, _escape, "\\" in text or "&#" in text)) if on]
+    if not kinds:
+        return
+    for m in _WORD.finditer(text):
+        for part, decode in kinds:
+            new = _rewritten(m.group(), m.start(), part, decode)
+            if new:
+                yield m.start(), m.end(), *new
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError as problem:
-        if problem.start < len(data) - 3:  # a window may end inside a sign
-            return None
-        text = data[: problem.start].decode("utf-8")
-    shown = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and shown == len(text) else None
-
-
-def _inside(text: str):
-    """Layers directly inside ``text``: (begin, end, content or bytes, map)."""
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            layer = _rewritten(m.group(), m.start(), _PERCENT_PART, _percent)
-            if layer:
-                yield m.start(), m.end(), layer.text, layer
-    if "\\" in text or "&#" in text:
-        for m in _ESCAPED.finditer(text):
-            layer = _rewritten(m.group(), m.start(), _ESCAPE_PART, _escape)
-            if layer:
-                yield m.start(), m.end(), layer.text, layer
+
+def _runs(text: str):
+    """(begin, end, bytes) of base64."""
     for m in _BASE64.finditer(text):
-        data = _bytes_of(m.group())
-        if data:
-            yield m.start(), m.end(), data, None
+        yield m.start(), m.end(), _bytes_of(m.group())
 
 
 def spans(text: str) -> tuple[list, list]:
@@ -199,43 +256,87 @@ def spans(text: str) -> tuple[list, list]:
     base = direct(text)
     seen: set[tuple] = set()
     found = set()
-    work = deque([(text, lambda a, b: (a, b))])
+    # The last is done first: what is inside a window before the next window is read.
+    work = [(iter(()), None)]
+    _enter(text, None, work, seen)
     while work:
-        layer, outer = work.popleft()
-        for a, b, content, map_ in _inside(layer):
-            where = outer(a, b)
-            if isinstance(content, bytes):
-                texts = _texts(content, seen, where)
-                inner = lambda _a, _b, w=where: w
-            else:
-                texts = [content]
-                inner = lambda x, y, m=map_, o=outer: o(*m.outer(x, y))
-            for t in texts:
-                mark = (where, hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest())
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                for x, kind, y in direct(t):
-                    lo, hi = inner(x, y)
-                    found.add((lo, kind, hi))
-                work.append((t, inner))
+        texts, maps = work[-1]
+        layer = next(texts, None)
+        if layer is None:
+            work.pop()
+            continue
+        if isinstance(texts, _Once):
+            work.pop()
+        mark = (_outer(maps, 0, len(layer)), hashlib.blake2b(layer.encode("utf-8", "replace"), digest_size=16).digest())
+        if mark in seen:
+            continue
+        seen.add(mark)
+        for x, kind, y in direct(layer):
+            lo, hi = _outer(maps, x, y)
+            found.add((lo, kind, hi))
+        _enter(layer, maps, work, seen)
     return base, sorted(found - set(base))
 
 
+class _Once:
+    """A single text, to be dropped when it is taken."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def __next__(self) -> str:
+        return self.text
+
+
+def _enter(text: str, maps, work: list, seen: set) -> None:
+    """Put the layers directly inside ``text`` on the list."""
+    for _, _, content, layer in _escapes(text):
+        if content:
+            work.append((_Once(content), (layer, maps)))
+    for a, b, data in _runs(text):
+        where = _outer(maps, a, b)
+        work.append((_texts(data, seen, where), (_Whole(*where), None)))
+
+
 def _texts(data: bytes, seen: set, where: tuple):
-    """Readable texts in bytes, through as many compressed layers as there are."""
-    work = deque([data])
-    while work:
-        now = work.popleft()
-        mark = (where, b"raw" + hashlib.blake2b(now, digest_size=16).digest())
-        if mark in seen:
-            continue
+    """Texts in bytes, window by window, through as many compressed layers as there are."""
+    source = lambda: iter((data,))
+    while True:
+        head, digest = bytearray(), hashlib.blake2b(digest_size=16)
+
+        def watched(chunks, head=head, digest=digest):
+            for chunk in chunks:
+                if len(head) < 8:
+                    head += chunk[:8]
+                digest.update(chunk)
+                yield chunk
+
+        for window in _windows(watched(source())):
+            if _LEGIBLE.search(window):
+                yield window
+        mark = (where, b"raw" + digest.digest())
+        unpack = _unpacker(bytes(head))
+        if mark in seen or unpack is None:
+            return
         seen.add(mark)
-        text = _readable(now)
-        if text is not None:
-            yield text
-        for window in _unpacked(now):
-            work.append(window)
+        source = lambda unpack=unpack, inner=source: _unpacked(unpack, inner)
+
+
+def _windows(chunks):
+    """The text of a stream of bytes; what is no UTF-8 is a sign of its own."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    kept, new, size, enough = "", [], 0, WINDOW
+    for chunk in chunks:
+        new.append(decode(chunk))
+        size += len(new[-1])
+        if size >= enough:
+            window = kept + "".join(new)
+            yield window
+            kept = window[-max(OVERLAP, _TAIL.match(window[::-1]).end()) :]
+            new, size, enough = [], 0, max(WINDOW, len(kept))
+    new.append(decode(b"", True))
+    if any(new):
+        yield kept + "".join(new)
 
 
 def _written(found) -> str:

@@ -202,3 +202,39 @@ def test_scan_of_secrets(spark):
         assert set(written) <= set(spans) and len(spans) == len(written) + row.n_inside
     assert all(rows[len(texts) - 1 - k].n_inside for k in range(len(layers())))
     assert secrets.scan(documents(spark, [])).count() == 0
+
+
+def coded(data):
+    return base64.b64encode(data).decode()
+
+
+def inside(text):
+    return {kind for _, kind, _ in secrets.spans(text)[1]}
+
+
+def test_layers_with_signs_that_are_not_printable():
+    plain = SECRET.encode()
+    for odd in map(chr, (0xA0, 0x3000, 0xFEFF, 0x200B, 0x0C, 0x1B, 0)):
+        assert inside(coded(odd.encode() + b" " + plain)) == {0}, odd
+    assert inside(coded(b"\xff\xfe " + plain)) == {0}
+    for k in range(3):  # windows that begin inside a sign
+        much = b"x" * k + "中文 ".encode() * (3 * secrets.WINDOW // 7) + plain + "中文 ".encode() * (secrets.WINDOW // 7)
+        assert inside(coded(zlib.compress(much))) == {0}
+
+
+def test_a_run_over_the_end_of_a_window_is_whole(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1000), monkeypatch.setattr(secrets, "OVERLAP", 50), monkeypatch.setattr(secrets, "STEP", 100)
+    rng = random.Random(28)
+    for at in range(0, 1000, 90):
+        payload = coded(gzip.compress(rng.randbytes(2000) + b" " + SECRET.encode()))
+        assert 0 in inside(coded(zlib.compress(b". " * (at // 2) + payload.encode() + b" ." * 2000)))
+
+
+def test_windows_are_scanned_as_they_are_read(monkeypatch):
+    reads, scans = [], []
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 16), monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    windows, scan = secrets._windows, secrets.direct
+    monkeypatch.setattr(secrets, "_windows", lambda c: (reads.append(len(scans)) or w for w in windows(c)))
+    monkeypatch.setattr(secrets, "direct", lambda t: scans.append(1) or scan(t))
+    secrets.spans(coded(zlib.compress(b"".join(b"line %d of many\n" % i for i in range(50_000)))))
+    assert reads[-1] > 5
