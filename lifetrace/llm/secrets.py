@@ -1,8 +1,8 @@
 """Secrets in texts and in what is encoded inside them.
 
 A worklist per text: the text itself, then every layer found inside a layer. Words
-with percent escapes or Unicode escapes become decoded layers, runs of base64
-become text or bytes, compressed bytes are unpacked up to their end or
+with percent escapes or Unicode escapes become decoded layers, runs of base64, also over
+several lines, become text or bytes, compressed bytes are unpacked up to their end or
 their damage. Every layer is scanned again and looked through again until nothing new
 comes out; a layer that was seen before at its place is not entered again. A span found in a layer is mapped to the text: sign by sign through
 escapes, to the whole run through base64 and compression.
@@ -38,6 +38,9 @@ _PERCENT_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_PART = re.compile(r"\\u\{?([0-9A-Fa-f]{4})\}?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _SIGN = "[A-Za-z0-9+/_-]"
 _BASE64 = re.compile(rf"(?<!{_SIGN}){_SIGN}{{16,}}={{0,2}}")
+#: Base64 that goes on over single line breaks.
+_WRAPPED = re.compile(rf"(?<!{_SIGN}){_SIGN}{{16,}}+(?:[ \t]*+\r?\n[ \t]*+{_SIGN}++)++={{0,2}}")
+_LINE = re.compile(rf"{_SIGN}+")
 #: What a secret, or a layer with one, has at least in it.
 _LEGIBLE = re.compile(r"[\x20-\x7e\t-\r]{16}")
 #: Unpacked layers are looked through in windows of about this size that overlap, so that
@@ -228,8 +231,8 @@ def _unpacked(unpack, source):
 
 def _bytes_of(run: str) -> bytes:
     plain = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(plain) % 4 == 1:
-        return b""
+    if len(plain) % 4 == 1:  # no sign of its own
+        plain = plain[:-1]
     return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
 
 
@@ -246,9 +249,19 @@ def _escapes(text: str):
 
 
 def _runs(text: str):
-    """(begin, end, bytes) of base64."""
+    """(begin, end, bytes) of base64: every run of a line, and runs over several lines."""
     for m in _BASE64.finditer(text):
         yield m.start(), m.end(), _bytes_of(m.group())
+    for m in _WRAPPED.finditer(text):
+        # a line may stand before the encoded ones: a run for each way to count in fours,
+        # and one from every line that begins like something compressed
+        lines, offset, phases = [x.span() for x in _LINE.finditer(text, m.start(), m.end())], 0, set()
+        run = "".join([text[a:b] for a, b in lines])
+        for a, b in lines:
+            if offset % 4 not in phases or _unpacker(_bytes_of(run[offset : offset + 12])):
+                phases.add(offset % 4)
+                yield a, m.end(), _bytes_of(run[offset:])
+            offset += b - a
 
 
 def spans(text: str) -> tuple[list, list]:

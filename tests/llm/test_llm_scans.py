@@ -1,8 +1,10 @@
 """Personal data and secrets against the patterns as written."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -238,3 +240,36 @@ def test_windows_are_scanned_as_they_are_read(monkeypatch):
     monkeypatch.setattr(secrets, "direct", lambda t: scans.append(1) or scan(t))
     secrets.spans(coded(zlib.compress(b"".join(b"line %d of many\n" % i for i in range(50_000)))))
     assert reads[-1] > 5
+
+
+def test_base64_over_several_lines():
+    rng = random.Random(29)
+    filler = "".join(rng.choice("ghijk .") for _ in range(400)).encode()
+    packed = {"plain": lambda b: b, "gzip": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "zlib": zlib.compress}
+    for name, pack in packed.items():
+        for ahead in (0, 1, 2, 30):
+            run = coded(pack(b"." * ahead + SECRET.encode() + filler + rng.randbytes(200)))
+            for columns, end in ((64, "\n"), (76, "\r\n"), (57, "\n  ")):
+                lines = end.join(run[i : i + columns] for i in range(0, len(run), columns))
+                for text in (lines, f"-----BEGIN CERTIFICATE-----\n{lines}\n-----END", f"a_word_of_the_text\n{lines}\nof"):
+                    assert 0 in inside(text), (name, ahead, columns)
+
+
+def test_all_before_the_damage_is_scanned():
+    rng = random.Random(30)
+    for name, pack in (("gzip", gzip.compress), ("zlib", zlib.compress), ("xz", lzma.compress), ("bz2", bz2.compress)):
+        whole = pack(SECRET.encode() + b" ")
+        for behind in (b"\0" * 5, b"something else", whole[:6]):
+            assert 0 in inside(coded(whole + behind)), (name, behind)
+        other = pack(b"nothing in here, nothing ")
+        if name != "zlib":
+            assert 0 in inside(coded(other + whole)), name
+    for pack in (gzip.compress, zlib.compress):
+        # the end of the stream is lost, or overwritten
+        whole = pack(SECRET.encode() + b" " + rng.randbytes(60_000))
+        assert 0 in inside(coded(whole[:-20_000]))
+        assert 0 in inside(coded(whole[:200] + b"\xff" * 50_000))
+    # up to the very byte: a stored block whose last byte is that of the secret
+    block = lambda data, last: bytes([last]) + len(data).to_bytes(2, "little") + (65535 - len(data)).to_bytes(2, "little") + data
+    stream = b"\x78\x9c" + block(b". " * 500 + SECRET.encode(), 0) + b"\x06" + b"\xff" * 40
+    assert 0 in inside(coded(stream))
