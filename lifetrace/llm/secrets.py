@@ -1,6 +1,6 @@
 """Secrets in texts and in what is encoded inside them.
 
-A worklist per text: the text itself, then every layer found inside a layer. Words
+A worklist per text: the text itself, then every layer found inside a layer. Paragraphs
 with percent escapes or Unicode escapes become decoded layers, runs of base64, also over
 several lines, become text or bytes, compressed bytes are unpacked up to their end or
 their damage. Every layer is scanned again and looked through again until nothing new
@@ -33,7 +33,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_PARAGRAPH_END = re.compile(r"\n[ \t\r]*\n")
 _PERCENT_PART = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_PART = re.compile(r"\\u\{?([0-9A-Fa-f]{4})\}?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _SIGN = "[A-Za-z0-9+/_-]"
@@ -65,6 +65,21 @@ def direct(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _direct_inside(text: str) -> list[tuple[int, int, int]]:
+    """As ``direct``, for layers: a value that is too short hides no key inside or at its
+    end, as a whole line is looked through where once a single word was decoded."""
+    found = [x for x in direct(text) if x[1]]
+    low = text.lower() if ":" in text or "=" in text else ""
+    if any(k in low for k in _KEYWORDS):
+        last, m = -1, _ASSIGN.search(text)
+        while m:
+            if m.end(1) - m.start(1) >= 12 and m.end() > last:
+                found.append((m.start(), 0, m.end()))
+                last = m.end()
+            m = _ASSIGN.search(text, max(m.start(1), m.end(1) - len("password")))
+    return sorted(found)
+
+
 class Layer:
     """Where the signs of a decoded text come from in the layer above: pieces from ``at``
     on begin at ``begins``, and go on by ``steps`` signs each, or are a whole (step 0)
@@ -237,15 +252,18 @@ def _bytes_of(run: str) -> bytes:
 
 
 def _escapes(text: str):
-    """(begin, end, decoded text, map) of every word with escapes."""
+    """(begin, end, decoded text, map) of every paragraph with escapes. No pattern goes
+    over a line break, and base64 goes over single ones only."""
     kinds = [(p, d) for p, d, on in ((_PERCENT_PART, _percent, "%" in text), (_ESCAPE_PART, _escape, "\\" in text or "&#" in text)) if on]
     if not kinds:
         return
-    for m in _WORD.finditer(text):
+    at = 0
+    for end in [*(m.end() for m in _PARAGRAPH_END.finditer(text)), len(text)]:
         for part, decode in kinds:
-            new = _rewritten(m.group(), m.start(), part, decode)
+            new = _rewritten(text[at:end], at, part, decode)
             if new:
-                yield m.start(), m.end(), *new
+                yield at, end, *new
+        at = end
 
 
 def _runs(text: str):
@@ -284,7 +302,7 @@ def spans(text: str) -> tuple[list, list]:
         if mark in seen:
             continue
         seen.add(mark)
-        for x, kind, y in direct(layer):
+        for x, kind, y in _direct_inside(layer):
             lo, hi = _outer(maps, x, y)
             found.add((lo, kind, hi))
         _enter(layer, maps, work, seen)

@@ -235,9 +235,9 @@ def test_a_run_over_the_end_of_a_window_is_whole(monkeypatch):
 def test_windows_are_scanned_as_they_are_read(monkeypatch):
     reads, scans = [], []
     monkeypatch.setattr(secrets, "WINDOW", 1 << 16), monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
-    windows, scan = secrets._windows, secrets.direct
+    windows, scan = secrets._windows, secrets._direct_inside
     monkeypatch.setattr(secrets, "_windows", lambda c: (reads.append(len(scans)) or w for w in windows(c)))
-    monkeypatch.setattr(secrets, "direct", lambda t: scans.append(1) or scan(t))
+    monkeypatch.setattr(secrets, "_direct_inside", lambda t: scans.append(1) or scan(t))
     secrets.spans(coded(zlib.compress(b"".join(b"line %d of many\n" % i for i in range(50_000)))))
     assert reads[-1] > 5
 
@@ -273,3 +273,15 @@ def test_all_before_the_damage_is_scanned():
     block = lambda data, last: bytes([last]) + len(data).to_bytes(2, "little") + (65535 - len(data)).to_bytes(2, "little") + data
     stream = b"\x78\x9c" + block(b". " * 500 + SECRET.encode(), 0) + b"\x06" + b"\xff" * 40
     assert 0 in inside(coded(stream))
+
+
+def test_escapes_are_decoded_in_their_line():
+    for text in ('token: "abc%2Bdefghijkl"', f"secret = {chr(92)}u0061bcdefghijklm", "password = &#97;bcdefghijklm", "%74oken : abcdefghijklm", r"é %C3%A9 token =  \x61bcd%65fghijklm"):
+        base, more = secrets.spans(f"before\n{text}\nbehind")
+        assert base == []
+        start = min(k for k in (text.find("token"), text.find("%74"), text.find("secret"), text.find("password")) if k >= 0)
+        assert any(a == 7 + start and kind == 0 and b >= 6 + len(text) for a, kind, b in more), text
+    # a value that is too short hides no key that is a word of its own
+    assert inside('secret= token:"abcdefghijkl%6D"') == {0}
+    # deep escapes have no recursion
+    assert 0 in inside("token = %" + "25" * 1500 + "61bcdefghijklm")
