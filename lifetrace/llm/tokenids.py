@@ -50,13 +50,14 @@ class Pieces:
     #: White space of Unicode, and the separators that some libraries count as such.
     _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the strings of special tokens are ordinary text in a corpus
-        self.tokenizer.encode_special_tokens = True
+        # as the library does it, the string of a special token is that token's id;
+        # without ``special`` it is ordinary text
+        self.tokenizer.encode_special_tokens = not special
         self._forget()
 
     def _forget(self) -> None:
@@ -157,7 +158,8 @@ _SEGMENTS = T.StructType(
 def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """The written segments of ``docs`` (doc_id, text), in ascending doc_id order.
 
-    A null text is an empty one and gives the end id only. Null doc_ids come first;
+    The strings of special tokens in a text give their ids, as the library has it by
+    default. A null text is an empty one and gives the end id only. Null doc_ids come first;
     rows of one doc_id follow the hash of their text. ``tokenizer`` is a path on
     every executor.
     """
@@ -166,7 +168,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -
     schema = T.StructType([T.StructField("doc_ids", T.ArrayType(id_type)) if f.name == "doc_ids" else f for f in _SEGMENTS])
 
     def run(batches):
-        encode = Pieces(path)
+        encode = Pieces(path, special=True)
         part = TaskContext.get().partitionId()
         seq, doc_ids, sizes, ids, held = 0, [], [], [], 0
 

@@ -87,3 +87,23 @@ def test_null_and_repeated_ids(spark, plain):
     assert sorted(r.start for r in rows) == [0, 2, 3, 5, 7]
     assert min(rows, key=lambda r: r.start).doc_id is None
     assert tokenids.encoded(documents(spark, [])).count() == 0
+
+
+def test_strings_of_special_tokens_are_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenids.tokenizer_path())
+    plain = lambda text: library.encode(text, add_special_tokens=False).ids
+    assert len(plain("<|endoftext|>")) == 1
+    rng = random.Random(20)
+    bits = [" ", "  ", "\n", "\t", "a", "don't", "1", "!", "<|endoftext|>", "<|endoftext|>", "word", "中文", "<|", "|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    encode = tokenids.Pieces(tokenids.tokenizer_path(), special=True)
+    for lo in range(0, len(texts), 500):
+        ids, sizes = encode(texts[lo : lo + 500])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [plain(t) for t in texts[lo : lo + 500]]
+    start = 0
+    for row in sorted(tokenids.encoded(documents(spark, texts[:50])).collect(), key=lambda r: r.doc_id):
+        want = np.array([*plain(texts[row.doc_id]), tokenids.END_ID], "<u4")
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
