@@ -133,3 +133,18 @@ def test_url_decisions_as_of_the_fetch(spark):
     assert "Python" not in plan and "Arrow" not in plan
     assert urls.decide(captures.limit(0), listed).count() == 0
     assert urls.decide(captures, listed.limit(0)).filter("blocked").count() == 0
+
+
+def test_every_word_has_a_vector_of_its_own(spark):
+    import numpy as np
+
+    rng = random.Random(31)
+    texts = odd_texts(rng) + [" ".join(f"x{rng.randint(0, 30_000)}" for _ in range(2000)) for _ in range(20)]
+    docs = documents(spark, texts).repartition(3)
+    words = {w for t in texts for w in (t or "").encode().split()}
+    table = classifier.context_vectors(docs).filter(F.col("key") >= classifier.OUTLINES).collect()
+    assert len(table) == len({r.key for r in table}) == len(words) > 1 << 14
+    assert sum(r.n for r in table) == sum(len((t or "").encode().split()) for t in texts)
+    # looked up or joined, the features are the same
+    a, b = ({r.doc_id: np.frombuffer(r.x, np.float32) for r in classifier.features(docs, kept).collect()} for kept in (None, 5))
+    assert len(a) == len(texts) and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
