@@ -2,7 +2,8 @@
 
 Entries (kind, key, day, action) become validity intervals: an entry holds from its day
 until the next entry of the same key. Keys are whole urls, hosts or domains; the most
-specific kind with an active entry decides. Intervals are cut at slots of ``SLOT`` days
+specific kind with an active entry decides. A domain holds for all hosts below it, whatever
+its number of labels, and among several the longest decides. Intervals are cut at slots of ``SLOT`` days
 and joined on (key, slot), so a host that holds a third of all captures is dealt over
 its days, and per key at most one interval is active: a capture never meets two.
 DataFrame functions only.
@@ -37,9 +38,11 @@ def keys_of(url: Column) -> dict[str, Column]:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """kind, key, since, until (null: open), blocks. Entries of one key and day count
-    as one, and block if any of them does; those without key or day never hold."""
+    as one, and block if any of them does; those without key or day never hold. Listed
+    hosts and domains are taken in lower case."""
     daily = (
-        entries.filter("key IS NOT NULL AND key <> '' AND day IS NOT NULL")
+        entries.withColumn("key", F.when(F.col("kind") == "url", F.col("key")).otherwise(F.lower("key")))
+        .filter("key IS NOT NULL AND key <> '' AND day IS NOT NULL")
         .groupBy("kind", "key", F.col("day").alias("since"))
         .agg(F.max(F.col("action") == "block").alias("blocks"))
     )
@@ -62,17 +65,30 @@ def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
     slotted = spans.withColumn("until", end).filter("since < until").withColumn(
         "slot", F.explode(F.sequence(slot(F.col("since")), slot(F.col("until") - 1)))
     )
-    table = captures.select("page_id", "url", "day", slot(F.col("day")).alias("slot"))
-    for kind, key in keys_of(F.col("url")).items():
+    def met(rows: DataFrame, kind: str, key: str, how: str) -> DataFrame:
         listed = slotted.filter(F.col("kind") == kind).select(
             F.col("key").alias("_key"), F.col("slot").alias("_slot"), F.col("until").alias("_until"),
             F.col("since").alias(f"{kind}_since"), F.col("blocks").alias(f"{kind}_blocks"),
         )
         active = (
-            (F.col("_key") == F.col(f"{kind}_key")) & (F.col("_slot") == F.col("slot"))
+            (F.col("_key") == F.col(key)) & (F.col("_slot") == F.col("slot"))
             & (F.col(f"{kind}_since") <= F.col("day")) & (F.col("day") < F.col("_until"))
         )
-        table = table.withColumn(f"{kind}_key", key).join(listed, active, "left").drop("_key", "_slot", "_until")
+        return rows.join(listed, active, how).drop("_key", "_slot", "_until")
+
+    table = captures.select("page_id", "url", "day", slot(F.col("day")).alias("slot"))
+    keys = keys_of(F.col("url"))
+    for kind in ("url", "host"):
+        table = met(table.withColumn(f"{kind}_key", keys[kind]), kind, f"{kind}_key", "left")
+    # domains by (host, day), under every suffix of as many labels as a listed domain has
+    labels = spans.filter("kind = 'domain'").agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1
+    above = captures.select(host_of(F.col("url")).alias("host_key"), "day", slot(F.col("day")).alias("slot")).filter("host_key <> ''").distinct()
+    above = above.withColumn("size", F.explode(F.expr(f"sequence(1, least({labels}, size(split(host_key, '[.]'))))")))
+    above = met(above.withColumn("suffix", F.expr("substring_index(host_key, '.', -size)")), "domain", "suffix", "inner")
+    longest = above.groupBy(F.col("host_key").alias("_host"), F.col("day").alias("_day")).agg(
+        *[F.max_by(c, "size").alias(c) for c in ("domain_since", "domain_blocks")]
+    )
+    table = table.join(longest, (F.col("host_key") == F.col("_host")) & (F.col("day") == F.col("_day")), "left")
     first = lambda f: F.coalesce(*[f(k) for k in KINDS])
     return table.select(
         "page_id", "url", "day",

@@ -148,3 +148,19 @@ def test_every_word_has_a_vector_of_its_own(spark):
     # looked up or joined, the features are the same
     a, b = ({r.doc_id: np.frombuffer(r.x, np.float32) for r in classifier.features(docs, kept).collect()} for kept in (None, 5))
     assert len(a) == len(texts) and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
+
+
+def test_domains_of_any_depth_and_case(spark):
+    hosts = ["m.casino-win.example.com", "casino-win.example.com", "other.example.com", "a.b.co.uk", "c.co.uk", "X.ORG", "y.x.org", "z.shop", "a." * 300 + "x.org"]
+    captures = spark.createDataFrame([(i, f"http://{h}/", 5) for i, h in enumerate(hosts)] * 2 + [(99, None, 5), (98, "http://x.org/", None)], "page_id bigint, url string, day bigint")
+    entries = [
+        ("domain", "Casino-Win.example.com", 1, "block"), ("domain", "example.com", 3, "allow"), ("domain", "b.co.uk", 6, "block"),
+        ("domain", "co.uk", 2, "block"), ("host", "X.Org", 4, "block"), ("domain", "X.ORG", 1, "allow"), ("domain", "shop", 0, "block"),
+    ]
+    listed = spark.createDataFrame(entries, "kind string, key string, day bigint, action string")
+    got = sorted((r.page_id, r.blocked, r.by, r.since) for r in urls.decide(captures, listed).collect())
+    one = [
+        (0, True, "domain", 1), (1, True, "domain", 1), (2, False, "domain", 3), (3, True, "domain", 2), (4, True, "domain", 2),
+        (5, True, "host", 4), (6, False, "domain", 1), (7, True, "domain", 0), (8, False, "domain", 1),
+    ]
+    assert got == sorted(one * 2 + [(98, False, None, None), (99, False, None, None)], key=lambda r: r[0])
