@@ -77,7 +77,13 @@ class Queries:
         """Order the terms of windows and items by their corpus counts, rarest first."""
         weight = np.append(counts, np.iinfo(np.int64).max)  # -1 (no term) sorts last
         self.order = np.argsort(weight[self.terms], axis=1, kind="stable")
-        self.rarest = [t[np.argsort(counts[t], kind="stable")][:3] for t in self.item_terms]
+        # a term that no document has is in no proximity to anything; a single term that is
+        # left of several says nothing
+        there = [t[counts[t] > 0] for t in self.item_terms]
+        self.rarest = [
+            t[np.argsort(counts[t], kind="stable")][: 3 if len(t) > 1 or len(own) == 1 else 0]
+            for t, own in zip(there, self.item_terms)
+        ]
 
 
 def _index_row(docs: list, ids: np.ndarray, doc_type: pa.DataType) -> pa.RecordBatch:
@@ -168,7 +174,7 @@ class Segment:
 
     def near(self, terms: np.ndarray) -> np.ndarray:
         """Documents where every term is within NEAR words of the first one."""
-        if any(int(t) not in self.postings for t in terms):
+        if not len(terms) or any(int(t) not in self.postings for t in terms):
             return np.zeros(0, np.int64)
         at = self.postings[int(terms[0])]
         low = np.maximum(at - NEAR, self.starts[self.document(at)])

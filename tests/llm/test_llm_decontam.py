@@ -80,3 +80,11 @@ def test_empty_tables(spark):
     assert [(r.doc_id, r.n_words, r.n_hit) for r in sorted(rows)] == [(0, 4, 0), (1, 0, 0)]
     named = decontam.matches(documents(spark, ["x a b c"]), one).first()
     assert named["items"] == ["null"]
+
+
+def test_proximity_passes_over_terms_that_no_document_has(spark):
+    texts = ["x gamma y beta z alpha", "alpha beta", "gamma " + "x " * 60 + "beta alpha", "only"]
+    items = [(1, "alpha beta gamma replaced"), (2, "only here and there"), (3, "nowhere"), (4, "only")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: sorted(r.near_items) for r in decontam.matches(documents(spark, texts), bench).collect()}
+    assert got == {0: ["1"], 1: [], 2: [], 3: ["4"]}
