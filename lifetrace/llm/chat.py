@@ -6,7 +6,7 @@ Transition and emission counts come from conversations whose roles are known, as
 partial aggregate over all their lines. Viterbi decodes many conversations at once, in
 numpy, a lane each. Turns are then rendered in one canonical form, markers removed.
 
-A conversation is decoded in chunks of ``CHUNK`` turns, so that one that holds most of
+A conversation is decoded in chunks of ``CHUNK`` rows, whatever their turn numbers, so that one that holds most of
 the rows is many rows of work: a first pass reduces every chunk of a long conversation to
 its best score from each state to each state; a scan over these small tables fixes the
 states where chunks meet; then all chunks are decoded on their own. The path is the same
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifetrace.llm.crf import _packed
+from lifetrace.plans.prefix import dense_index
 from lifetrace.session import staged
 
 ROLES = ("system", "user", "assistant")
@@ -61,10 +62,6 @@ def _lines(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
-def _chunk() -> Column:
-    return F.floor(F.coalesce(F.col("turn"), F.lit(0)) / CHUNK).cast("bigint")
-
-
 class Chat:
     """Log probabilities of the model."""
 
@@ -182,26 +179,40 @@ def _seen(rows: list[tuple]) -> list[tuple]:
     return [(r, i, *observed(line, i == 0)) for r, row in enumerate(rows) for i, line in enumerate(_lines(row[4]))]
 
 
-def _ordered(turns: DataFrame) -> DataFrame:
-    rows = turns.select("conv_id", _chunk().alias("chunk"), "turn", F.xxhash64("text").alias("tie"), "text")
+def _ordered(rows: DataFrame) -> DataFrame:
     return rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "tie")
 
 
-def _bounds(model: Chat, turns: DataFrame) -> DataFrame | None:
-    """(conv_id, chunk, before, last) of the chunks of conversations that have several."""
-    many = staged(
-        turns.groupBy("conv_id").agg(F.min(_chunk()).alias("lo"), F.max(_chunk()).alias("hi")).filter("lo < hi").select("conv_id"),
-        "long",
-    )
+def _chunked(turns: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """conv_id, chunk, turn, tie, text of all rows, and of the conversations that have
+    several chunks, whose rows are numbered in order; None where there are none."""
+    rows = turns.select("conv_id", F.lit(0).cast("bigint").alias("chunk"), "turn", F.xxhash64("text").alias("tie"), "text")
+    many = staged(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select("conv_id"), "long")
     if many.isEmpty():
-        return None
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    long = turns.alias("t").join(many.alias("m"), F.col("t.conv_id").eqNullSafe(F.col("m.conv_id")), "left_semi")
+        return rows, None
+    apart = lambda how: rows.alias("t").join(many.alias("m"), F.col("t.conv_id").eqNullSafe(F.col("m.conv_id")), how)
+    named = apart("left_semi").withColumns(
+        {"_none": F.col("conv_id").isNull(), "_conv": F.coalesce(F.col("conv_id").cast("string"), F.lit(""))}
+    )
+    numbered = dense_index(named, ["_none", "_conv"], ["turn", "tie"], "_at")
+    long = numbered.withColumn("chunk", F.floor(F.col("_at") / CHUNK).cast("bigint")).select(rows.columns)
+    return apart("left_anti").unionByName(long), long
+
+
+def _bounds(model: Chat, long: DataFrame) -> DataFrame:
+    """(conv_id, chunk, before, last) of the chunks of conversations that have several."""
+    kind = long.schema["conv_id"].dataType.simpleString()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = f"conv_id {kind}, chunk bigint, best array<double>"
+    target = to_arrow_schema(_parse_datatype_string(schema))
 
     def reduce(batches):
         for rows in _groups(batches):
             table = _reduced(model, model.scores(np.array([s for *_, s in _seen(rows)])))
-            yield pa.RecordBatch.from_pylist([{"conv_id": rows[0][0], "chunk": rows[0][1], "best": table.reshape(-1).tolist()}])
+            yield pa.RecordBatch.from_pylist([{"conv_id": rows[0][0], "chunk": rows[0][1], "best": table.reshape(-1).tolist()}], schema=target)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -222,7 +233,7 @@ def _bounds(model: Chat, turns: DataFrame) -> DataFrame | None:
         out.reverse()
         return pd.DataFrame({"conv_id": pdf["conv_id"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "before": [b for b, _ in out], "last": [e for _, e in out]})
 
-    small = staged(_ordered(long).mapInArrow(reduce, f"conv_id {kind}, chunk bigint, best array<double>"), "chunks")
+    small = staged(_ordered(long).mapInArrow(reduce, schema), "chunks")
     return staged(small.groupBy("conv_id").applyInPandas(meet, f"conv_id {kind}, chunk bigint, before int, last int"), "bounds")
 
 
@@ -236,12 +247,11 @@ def turns_of(transcripts: DataFrame, model: Chat) -> DataFrame:
     is a conversation of its own. An empty table gives no rows.
     """
     kind, turn_kind = (transcripts.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
-    rows = _ordered(transcripts)
-    bounds = _bounds(model, transcripts)
-    if bounds is None:
-        rows = rows.select("*", F.lit(-1).alias("before"), F.lit(-1).alias("last"))
+    rows, long = _chunked(transcripts)
+    if long is None:
+        rows = _ordered(rows).select("*", F.lit(-1).alias("before"), F.lit(-1).alias("last"))
     else:
-        b = bounds.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "before", "last")
+        b = _bounds(model, long).select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "before", "last")
         joined = rows.join(b, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")), "left")
         rows = joined.select(
             "conv_id", "chunk", "turn", "tie", "text",

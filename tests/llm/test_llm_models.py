@@ -164,3 +164,19 @@ def test_domains_of_any_depth_and_case(spark):
         (5, True, "host", 4), (6, False, "domain", 1), (7, True, "domain", 0), (8, False, "domain", 1),
     ]
     assert got == sorted(one * 2 + [(98, False, None, None), (99, False, None, None)], key=lambda r: r[0])
+
+
+def test_chunks_hold_so_many_rows_whatever_the_turns(spark, monkeypatch):
+    talks = read(spark, SF, "conversations")
+    model = chat.fitted(chat.transcripts_of(talks))
+    rng = random.Random(33)
+    rows = [(c, rng.choice([None, None, 7, 7, -3, 5000]), f"{rng.choice(['User: ', 'Bot: ', ''])}line {i % 40}") for c in (None, 1, 2) for i in range(60)]
+    rows += [(3, i, "User: short") for i in range(2)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").repartition(3)
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    whole = sorted(map(tuple, chat.turns_of(turns, model).collect()), key=key)
+    assert len(whole) == len(rows)
+    monkeypatch.setattr(chat, "CHUNK", 8)
+    sizes = {(r.conv_id, r.chunk): r["count"] for r in chat._chunked(turns)[0].groupBy("conv_id", "chunk").count().collect()}
+    assert max(sizes.values()) <= 8 and len(sizes) == 3 * 8 + 1
+    assert sorted(map(tuple, chat.turns_of(turns, model).collect()), key=key) == whole
