@@ -12,8 +12,9 @@ of magnitude of its counter, then its hash. Any order gives right results; this
 keeps common passages out of the prefixes.
 
 Results are classes, so a list is not turned into all its pairs: each round verifies
-every member against one member per list (a pivot) and joins what is similar; then
-only pairs between different classes are left, and all of those are verified.
+members against a few of those they share lists with (pivots) and joins what is
+similar; then only pairs between different classes are left, and all of those are
+verified.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +36,9 @@ NUM, DEN = 85, 100  # a link: DEN * intersection >= NUM * union
 COUNTER_BITS = 22  # 4 million counters; their orders of magnitude take 4 MB
 CHUNK = 1 << 12  # counters in a row of the table of counters
 FILTER_BITS = 27  # bits of the filter that finds the texts to verify, 16 MB
+PIVOTS = 4  # of a list, and partners of a set, in one round
 #: Pairs between classes, per entry of the lists, that are verified without another round.
-FEW = 4
+FEW = 8
 REMEMBERED = 400_000  # words whose hashes a task remembers
 _PIECE = 8 << 20  # bytes of a text whose words are held at once
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -138,7 +140,7 @@ def _magnitudes(docs: DataFrame) -> np.ndarray:
     kind = "chunk int, counts binary"
     counted = docs.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind)
     out = np.zeros((size // CHUNK, CHUNK), np.uint8)
-    for row in counted.toLocalIterator():
+    for row in counted.collect():
         out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
     return out.reshape(-1)
 
@@ -286,17 +288,23 @@ def _open_lists(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
 
 
 def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Every entry with the pivot, out of those of its lists, that it meets most often."""
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("draw"), "sid", "n", "pos", "class"))
-    pivots = entries.groupBy("kind", "key").agg(first.alias("p"))
+    """Every set with the pivots, out of those of its lists, that it meets most often."""
+    firsts = [
+        F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + i), "sid").alias("draw"), "sid", "n", "pos", "class"))
+        for i in range(PIVOTS)
+    ]
+    drawn = entries.groupBy("kind", "key").agg(*[f.alias(f"p{i}") for i, f in enumerate(firsts)])
+    inside = F.transform(F.array(*[f"p{i}" for i in range(PIVOTS)]), lambda p: p.dropFields("draw"))
+    pivots = drawn.select("kind", "key", F.explode(F.array_distinct(inside)).alias("p"))
     met = (
         entries.join(pivots, ["kind", "key"])
         .filter(F.col("class") != F.col("p.class"))
         .filter(_fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
         .groupBy("sid", F.col("p.sid").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
     )
-    best = met.groupBy(F.col("sid").alias("b")).agg(F.max_by("pivot", F.struct("times", "pivot")).alias("a"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("times"), "pivot"))
+    best = met.withColumn("place", place).filter(F.col("place") <= PIVOTS)
+    return best.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
 def _cell_pairs(entries: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifetrace.llm import chat, classifier, decontam, mixing, pii, quality, secrets, simhash, tokenids, urls
+from lifetrace.llm import chat, classifier, decontam, jaccard, mixing, pii, quality, secrets, simhash, tokenids, urls
 from lifetrace.llm.common import read
 
 QUERIES: dict = {}
@@ -125,3 +125,34 @@ FROM keyed
 ASOF LEFT JOIN (SELECT * FROM daily WHERE kind = 'url') u ON u.key = url_key AND day >= u.since
 ASOF LEFT JOIN (SELECT * FROM daily WHERE kind = 'host') h ON h.key = host_key AND day >= h.since
 ASOF LEFT JOIN (SELECT * FROM daily WHERE kind = 'domain') d ON d.key = domain_key AND day >= d.since"""
+
+
+
+@query
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_ngram_jaccard_join"] = r"""
+WITH RECURSIVE folded AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 3], ' ') AS shingle
+  FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM folded WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+common AS (
+  SELECT x.rid AS a, y.rid AS b, count(*) AS both
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.rid < y.rid GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b
+  WHERE 100 * both >= 85 * (x.n + y.n - both)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT rid AS a, rid AS b FROM folded
+  UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+least AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN folded ON folded.rid = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM folded LEFT JOIN sizes USING (rid) LEFT JOIN least USING (rid)"""
