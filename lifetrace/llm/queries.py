@@ -144,11 +144,11 @@ shingles AS (
   FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM folded WHERE len(w) > 0)),
 sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
 common AS (
-  SELECT x.rid AS a, y.rid AS b, count(*) AS both
+  SELECT x.rid AS a, y.rid AS b, count(*) AS shared
   FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.rid < y.rid GROUP BY ALL),
 links AS (
   SELECT a, b FROM common JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b
-  WHERE 100 * both >= 85 * (x.n + y.n - both)),
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT rid AS a, rid AS b FROM folded
