@@ -39,7 +39,6 @@ FILTER_BITS = 27  # bits of the filter that finds the texts to verify, 16 MB
 PIVOTS = 4  # of a list, and partners of a set, in one round
 #: Pairs between classes, per entry of the lists, that are verified without another round.
 FEW = 8
-REMEMBERED = 400_000  # words whose hashes a task remembers
 _PIECE = 8 << 20  # bytes of a text whose words are held at once
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Odd multipliers of the words of a shingle, and of the last mix.
@@ -47,36 +46,26 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered."""
+def _word_hashes(text: bytes) -> np.ndarray:
+    from xxhash import xxh3_64_digest as digest
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest as digest
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = digest(word)
-        return value
-
-
-def _word_hashes(text: bytes, known: _Hashes) -> np.ndarray:
     parts, at = [], 0
     while at < len(text):
         cut = _BLANK.search(text, at + _PIECE) if len(text) - at > _PIECE else None
         end = cut.start() if cut else len(text)
         words = text[at:end].lower().split()  # on bytes: A-Z only, and the six ASCII blanks
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        parts.append(np.frombuffer(b"".join(map(digest, words)), np.uint64))
         at = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def shingle_set(text: bytes, known: _Hashes) -> np.ndarray:
+def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 4-word shingles of a UTF-8 text.
 
     Fewer words give the whole sequence as one, none an empty set. 64-bit hashes
     stand for the shingles: two that differ get one hash with probability 2^-63.
     """
-    words = _word_hashes(text, known)
+    words = _word_hashes(text)
     if not len(words):
         return words
     if len(words) < SHINGLE:
@@ -91,14 +80,14 @@ def shingle_set(text: bytes, known: _Hashes) -> np.ndarray:
     mixed ^= mixed >> np.uint64(32)
     mixed *= _MIX
     mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def _sets(batches, column: str = "text"):
     """Pieces of batches with the shingle sets of their texts."""
-    known = _Hashes()
     for batch in slices(batches, column, 16 << 20):
-        yield batch, [shingle_set(t or b"", known) for t in as_bytes(batch.column(column))]
+        yield batch, [shingle_set(t or b"") for t in as_bytes(batch.column(column))]
 
 
 def _magnitudes(docs: DataFrame) -> np.ndarray:
@@ -157,12 +146,19 @@ def _two_longs(data: bytes) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
+def _text_hash(text: bytes | None) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(text or b"") - (1 << 63)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n (size of the set), digests of the set and of its group, prefix."""
+    """Per row: doc_id, n (size of the set), digests of the set and of its group, and of
+    the text, prefix."""
     spark = docs.sparkSession
     magnitudes = spark.sparkContext.broadcast(_magnitudes(docs))
     shift = np.uint64(64 - COUNTER_BITS)
-    longs = ("n", "s1", "s2", "g1", "g2")
+    longs = ("n", "s1", "s2", "g1", "g2", "text_hash")
     schema = T.StructType(
         [docs.select("doc_id").schema["doc_id"], *[T.StructField(c, T.LongType()) for c in longs],
          T.StructField("prefix", T.ArrayType(T.LongType()))]
@@ -172,17 +168,18 @@ def _signed(docs: DataFrame) -> DataFrame:
         rank = magnitudes.value
         for batch, sets in _sets(batches):
             rows, prefixes = [], []
-            for s in sets:
+            for s, text in zip(sets, as_bytes(batch.column("text"))):
                 order = (rank[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 order.sort()
                 prefix = order[: prefix_length(len(s))] if len(s) else order
-                rows.append((len(s), *_two_longs(s.tobytes()), *_two_longs(prefix.tobytes() + len(s).to_bytes(8, "little"))))
+                group = prefix.tobytes() + len(s).to_bytes(8, "little")
+                rows.append((len(s), *_two_longs(s.tobytes()), *_two_longs(group), _text_hash(text)))
                 prefixes.append(prefix.view(np.int64))
-            table = np.array(rows, np.int64).reshape(-1, 5)
+            table = np.array(rows, np.int64).reshape(-1, 6)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(5)], lists], schema.names
+                [batch.column("doc_id"), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(6)], lists], schema.names
             )
 
     return staged(docs.select("doc_id", "text").mapInArrow(run, schema), "jaccard-signed")
@@ -196,17 +193,17 @@ def _fits(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
 
 
 def _vectors(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, n, tokens) of the sets that occur in ``pairs``, hashed from their texts again.
+    """(sid, tokens) of the sets that occur in ``pairs``, hashed from their texts again.
 
-    A filter of fixed size tells most other texts apart in the tasks; the join after it
-    is exact.
+    Of each set one text is looked for. A filter of fixed size over the hashes of those
+    texts spares most others the work; the join after it is exact.
     """
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = staged(sets.join(ids, "sid").select("sid", "s1", "s2"), "jaccard-wanted")
+    wanted = staged(sets.join(ids, "sid").select("sid", "s1", "s2", "text_hash"), "jaccard-wanted")
     words = 1 << (FILTER_BITS - 6)
-    bits = wanted.groupBy(F.shiftright("s1", 6).bitwiseAND(words - 1).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s1").bitwiseAND(63).cast("int"))).alias("bits")
+    bits = wanted.groupBy(F.shiftright("text_hash", 6).bitwiseAND(words - 1).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("text_hash").bitwiseAND(63).cast("int"))).alias("bits")
     )
     held = np.zeros(words, np.int64)
     found = bits.toPandas()
@@ -215,22 +212,19 @@ def _vectors(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         bits, sent = filter_bits.value, set()
-        for _, sets in _sets(batches):
+        for batch in slices(batches, "text", 16 << 20):
             out = []
-            for s in filter(len, sets):
-                s1, s2 = _two_longs(s.tobytes())
-                if int(bits[(s1 >> 6) & (words - 1)]) >> (s1 & 63) & 1 and (s1, s2) not in sent:
-                    sent.add((s1, s2))
-                    out.append((s1, s2, s))
+            for text in as_bytes(batch.column("text")):
+                key = _text_hash(text)
+                if int(bits[(key >> 6) & (words - 1)]) >> (key & 63) & 1 and key not in sent:
+                    sent.add(key)
+                    tokens = shingle_set(text or b"")
+                    out.append((*_two_longs(tokens.tobytes()), tokens))
             if out:
-                yield as_batch(out)
-
-    def as_batch(out):
-        ends = np.concatenate([[0], np.cumsum([len(s) for *_, s in out])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for *_, s in out]).view(np.int64)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _, _ in out], pa.int64()), pa.array([b for _, b, _ in out], pa.int64()), lists], ["s1", "s2", "tokens"]
-        )
+                ends = np.concatenate([[0], np.cumsum([len(s) for *_, s in out])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for *_, s in out]).view(np.int64)))
+                firsts = [pa.array([row[i] for row in out], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*firsts, lists], ["s1", "s2", "tokens"])
 
     hashed = docs.select("text").mapInArrow(run, "s1 bigint, s2 bigint, tokens array<bigint>")
     return staged(
@@ -378,7 +372,8 @@ def joined(docs: DataFrame) -> DataFrame:
     signed = _signed(docs)
     sets = staged(
         signed.filter("n > 0").groupBy("s1", "s2").agg(
-            F.first("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.min("doc_id").alias("low")
+            F.first("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.min("doc_id").alias("low"),
+            F.min("text_hash").alias("text_hash"),
         ).withColumn("sid", F.monotonically_increasing_id()),
         "jaccard-sets",
     )
