@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifetrace.llm import chat, classifier, decontam, jaccard, mixing, pii, quality, secrets, simhash, tokenids, urls
+from lifetrace.llm import alignment, chat, classifier, decontam, jaccard, mixing, negatives, pii, quality, secrets, simhash, tokenids, urls
 from lifetrace.llm.common import read
 
 QUERIES: dict = {}
@@ -128,6 +128,39 @@ ASOF LEFT JOIN (SELECT * FROM daily WHERE kind = 'domain') d ON d.key = domain_k
 
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_hard_negatives"] = r"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS parts
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+met AS (
+  SELECT a.rid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.parts, b.parts), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS place
+  FROM met WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.rid, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN met n ON n.rid = p.rid AND NOT n.same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(read(spark, sf_dir, "documents"))
