@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifetrace.functions import exact
-from lifetrace.plans.small import per_trace
+from lifetrace.plans.small import BROADCAST_ROWS
 from lifetrace.operators import fields as custom
+from lifetrace.session import staged
 
 
 
@@ -112,13 +114,17 @@ class Value:
 
     # strings -----------------------------------------------------------------
     def contains(self, text: str) -> Test:
-        return Test(self.col.contains(text))
+        return Test(self._text().contains(text))
 
     def startswith(self, text: str) -> Test:
-        return Test(self.col.startswith(text))
+        return Test(self._text().startswith(text))
 
     def endswith(self, text: str) -> Test:
-        return Test(self.col.endswith(text))
+        return Test(self._text().endswith(text))
+
+    def _text(self) -> Column:
+        _must(self.kind, ("string",), "a search in text")
+        return self.col
 
     # arithmetic: integers stay integers, overflow is missing -------------------
     def __add__(self, other):
@@ -175,10 +181,16 @@ class Flag(Test):
         super().__init__(raw)
 
     def __eq__(self, other):
-        return Test(self.raw == F.lit(other))
+        return Test(self.raw == self._flag(other))
 
     def __ne__(self, other):
-        return Test(self.raw != F.lit(other))
+        return Test(self.raw != self._flag(other))
+
+    @staticmethod
+    def _flag(other) -> Column:
+        if not isinstance(other, (bool, Flag)):
+            raise TypeError(f"a comparison with a bool needs bool, not {other!r}")
+        return other.raw if isinstance(other, Flag) else F.lit(other)
 
     __hash__ = None
 
@@ -206,7 +218,17 @@ def _finite(col: Column) -> Column:
     return F.when(~bad, col)
 
 
+def _must(kind: str, wanted: tuple[str, ...], what: str) -> None:
+    if kind not in wanted:
+        raise TypeError(f"{what} needs {' or '.join(wanted)}, not {kind}")
+
+
+_NUMBERS = ("int", "float", "number")
+
+
 def _compare_literal(v: Value, op: str, item) -> Column:
+    kind = "string" if isinstance(item, str) else "bool" if isinstance(item, bool) else "number"
+    _must(kind, ("string",) if v.kind == "string" else ("number",), f"a comparison with a {v.kind}")
     if v.kind == "string":
         return exact.compare(v.col, op, F.lit(item))
     if v.kind == "int":
@@ -223,6 +245,7 @@ def _compare_literal(v: Value, op: str, item) -> Column:
 
 
 def _compare_values(a: Value, op: str, b: Value) -> Column:
+    _must(b.kind, ("string",) if a.kind == "string" else _NUMBERS, f"a comparison with a {a.kind}")
     if "number" in (a.kind, b.kind):
         parts = []
         for x in _parts(a):
@@ -244,6 +267,8 @@ def _parts(v: Value) -> list[Value]:
 
 def _arith(name: str, a, b) -> Value:
     a, b = _value(a), _value(b)
+    for v in (a, b):
+        _must(v.kind, _NUMBERS, "arithmetic")
     if a.kind == "int" and b.kind == "int":
         return Value("int", getattr(F, name)(a.col.cast(exact.WIDE), b.col.cast(exact.WIDE)))
     double = lambda v: (
@@ -258,9 +283,115 @@ def _arith(name: str, a, b) -> Value:
     return Value("number", both, mixed)
 
 
+class Varied:
+    """A field that has different types in different traces.
+
+    A comparison reads it as what it is compared with; in traces where it has another
+    type it is missing. A type that it has in no trace is an error.
+    """
+
+    def __init__(self, name: str, readings: dict):
+        self._name, self._readings = name, readings
+
+    def _as(self, *kinds: str):
+        for kind in kinds:
+            if kind in self._readings:
+                return self._readings[kind]
+        raise TypeError(f"field {self._name!r} is {' or '.join(sorted(self._readings))}, not {kinds[0]}")
+
+    def _like(self, other):
+        if isinstance(other, bool):
+            return self._as("bool")
+        if isinstance(other, str) or isinstance(other, Value) and other.kind == "string":
+            return self._as("string")
+        return self._as("int", "float")
+
+    def __eq__(self, other):
+        return self._like(other) == other
+
+    def __ne__(self, other):
+        return self._like(other) != other
+
+    def __lt__(self, other):
+        return self._like(other) < other
+
+    def __le__(self, other):
+        return self._like(other) <= other
+
+    def __gt__(self, other):
+        return self._like(other) > other
+
+    def __ge__(self, other):
+        return self._like(other) >= other
+
+    __hash__ = None
+
+    def between(self, low, high) -> Test:
+        return (self >= low) & (self < high)
+
+    def isin(self, items) -> Test:
+        out = Test(F.lit(False))
+        for item in items:
+            out = out | (self == item)
+        return out
+
+    def contains(self, text: str) -> Test:
+        return self._as("string").contains(text)
+
+    def startswith(self, text: str) -> Test:
+        return self._as("string").startswith(text)
+
+    def endswith(self, text: str) -> Test:
+        return self._as("string").endswith(text)
+
+    def __add__(self, other):
+        return self._as("int", "float") + other
+
+    def __sub__(self, other):
+        return self._as("int", "float") - other
+
+    def __abs__(self):
+        return abs(self._as("int", "float"))
+
+    def is_not_none(self) -> Test:
+        out = Test(F.lit(False))
+        for reading in self._readings.values():
+            out = out | reading.is_not_none()
+        return out
+
+    def is_none(self) -> Test:
+        return ~self.is_not_none()
+
+
+#: Fields looked up so far; a catalog is a written table and does not change.
+_LOOKED_UP: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _kinds(catalog: DataFrame, name: str) -> tuple[set[str], bool]:
+    """The types of a field over all traces, int and float taken together, and whether
+    it has integers beyond 64 bits."""
+    known = _LOOKED_UP.setdefault(catalog, {})
+    if name not in known:
+        known[name] = _look_up(catalog, name)
+    return known[name]
+
+
+def _look_up(catalog: DataFrame, name: str) -> tuple[set[str], bool]:
+    seen = catalog.filter(F.col("name") == name).groupBy("type").agg(
+        F.max("wide").alias("wide"), F.min("trace_id").alias("trace_id")
+    ).collect()
+    if not seen:
+        raise LookupError(f"no trace has a field {name!r}")
+    for row in seen:
+        if row["type"] is None:
+            raise TypeError(f"field {name!r} has no single type to filter on in trace {row['trace_id']!r}")
+    kinds = {row["type"] for row in seen}
+    return kinds - {"int"} if "float" in kinds else kinds, any(row["wide"] for row in seen)
+
+
 class _Namespace:
-    def __init__(self, ints: dict, strings: dict, extras: str | None = None):
-        self._ints, self._strings, self._extras = ints, strings, extras
+    def __init__(self, ints: dict, strings: dict, custom: str | None = None, catalog: DataFrame | None = None):
+        self._ints, self._strings, self._custom, self._catalog = ints, strings, custom, catalog
 
     def __getattr__(self, name: str):
         if name in self._ints:
@@ -269,9 +400,31 @@ class _Namespace:
             return Value("string", F.col(self._strings[name]))
         raise AttributeError(name)
 
-    def field(self, name: str, kind: str):
-        """A custom field read as int, float, string or bool."""
-        first, double = custom.typed(name, kind, self._extras)
+    def of(self, trace) -> "_Namespace":
+        """The same fields, with the types of custom ones looked up in the catalog."""
+        return _Namespace(self._ints, self._strings, self._custom, trace.fields)
+
+    def field(self, name: str, kind: str | None = None):
+        """A custom field, read as int, float, string or bool.
+
+        With a catalog (``of``) the type is looked up here, when the predicate is
+        built: a field that no trace has, one without a single type and a wrong
+        ``kind`` are errors. Where types differ between traces see ``Varied``.
+        """
+        if self._catalog is None:
+            if kind is None:
+                raise TypeError(f"give a kind for {name!r}, or look it up: malloc.of(trace).field({name!r})")
+            return self._read(name, kind)
+        kinds, wide = _kinds(self._catalog, name)
+        if kind is not None and kind not in kinds and not (kind == "int" and "float" in kinds):
+            raise TypeError(f"field {name!r} is {' or '.join(sorted(kinds))}, not {kind}")
+        if kind is not None:
+            return self._read(name, kind, len(kinds) == 1 and kind in kinds, wide)
+        readings = {k: self._read(name, k, len(kinds) == 1, wide) for k in kinds}
+        return Varied(name, readings) if len(readings) > 1 else next(iter(readings.values()))
+
+    def _read(self, name: str, kind: str, uniform: bool = False, wide: bool = True):
+        first, double = custom.typed(name, kind, self._custom, uniform, wide)
         if kind == "bool":
             return Flag(first)
         if kind == "float":
@@ -302,9 +455,9 @@ alloc = _Alloc(
 malloc = _Namespace(
     {"seq": "creator", "time": "birth_t", "thread": "thr"},
     {"site": "site", "stack": "stack"},
-    "extras",
+    "custom",
 )
-free = _Namespace({"seq": "death", "time": "death_t"}, {}, "death_extras")
+free = _Namespace({"seq": "death", "time": "death_t"}, {}, "death_custom")
 
 
 def where(allocations: DataFrame, test: Test) -> DataFrame:
@@ -354,40 +507,7 @@ class Single(Exception):
     """A reference that names no allocation, or several."""
 
 
-def _one(found: DataFrame, what: str) -> "_Fixed":
-    rows = found.limit(2).collect()
-    if len(rows) != 1:
-        raise Single(f"{what}: {'no such allocation' if not rows else 'ambiguous'}")
-    return _Fixed(rows[0])
-
-
-class _Fixed:
-    """The fields of one allocation as literals (None when missing)."""
-
-    def __init__(self, row):
-        self._row = row
-
-    def __getattr__(self, name: str):
-        column = {"seq": "creator", "time": "birth_t", "address": "addr", "end": "end_span",
-                  "thread": "thr"}.get(name, name)
-        value = self._row[column]
-        if value is None or isinstance(value, (str, bool)):
-            return value
-        return int(value)
-
-
-def named(allocations: DataFrame, notes: DataFrame, name: str) -> _Fixed:
-    """the one allocation with this name in ``notes``."""
-    keyed = notes.filter(F.col("name") == name).select("trace_id", "creator")
-    return _one(allocations.join(F.broadcast(keyed.limit(2)), ["trace_id", "creator"]), f"named {name!r}")
-
-
 def _referred(allocations: DataFrame, found: DataFrame, what: str) -> tuple[DataFrame, "_Namespace"]:
-    per = found.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
-    if not per[1]:
-        raise Single(f"{what}: no such allocation")
-    if per[0] > 1:
-        raise Single(f"{what}: ambiguous")
     n = sum(c.startswith("_ref") and c.endswith("_creator") for c in allocations.columns)
     ints = {
         "seq": "creator", "time": "birth_t", "id": "id", "address": "addr", "end": "end_span", "size": "size",
@@ -395,7 +515,15 @@ def _referred(allocations: DataFrame, found: DataFrame, what: str) -> tuple[Data
     }
     name = lambda c: f"_ref{n}_{c}"
     taken = [c for c in (*ints.values(), "site") if c in allocations.columns]
-    values = per_trace(found.select("trace_id", *[F.col(c).alias(name(c)) for c in taken]), "reference")
+    # written once: what the reference gives is checked and joined from there
+    values = staged(found.select("trace_id", *[F.col(c).alias(name(c)) for c in taken]), "reference")
+    per = values.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if not per[0]:
+        raise Single(f"{what}: no such allocation")
+    if per[0] > 1:
+        raise Single(f"{what}: ambiguous")
+    if per[1] <= BROADCAST_ROWS:
+        values = F.broadcast(values)
     known = {k: name(c) for k, c in ints.items() if c in taken}
     return allocations.join(values, "trace_id", "left"), _Namespace(known, {"site": name("site")})
 
@@ -415,9 +543,3 @@ def with_allocation(allocations: DataFrame, stream_id: int) -> tuple[DataFrame,
     """F21 for many traces: each allocation beside the one of its trace with this id."""
     found = allocations.filter(F.col("id") == exact.integer(stream_id))
     return _referred(allocations, found, f"allocation {stream_id}")
-
-
-def by_id(allocations: DataFrame, stream_id: int) -> _Fixed:
-    """the one allocation with this stream id."""
-    match = F.col("id") == exact.integer(stream_id)
-    return _one(allocations.filter(match), f"allocation {stream_id}")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lifetrace.functions.u64 import int_div
 from lifetrace.operators.live import live_at
 from lifetrace.plans import prefix, ranges
+from lifetrace.plans.expand import expanded
 from lifetrace.plans.small import per_trace
+from lifetrace.session import staged
 from lifetrace.trace import Trace
 
 # Fixed value: in M6, spans over more rows count with their first and last only.
@@ -86,13 +88,11 @@ def occupied_runs(trace: Trace, row_bytes: int, n: int | None = None) -> DataFra
 def occupancy(trace: Trace, row_bytes: int, n: int | None = None) -> DataFrame:
     """M2: live allocations per row at position n; M3 (n None): over the trace.
 
-    One row for each row of bytes; where spans are wide, read ``occupied_runs``.
+    One row for each row of bytes; where only runs are wanted, read ``occupied_runs``.
     """
-    runs = occupied_runs(trace, row_bytes, n)
-    return runs.select(
-        "trace_id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("row"),
-        F.col("depth").alias("allocations"),
-    )
+    runs = staged(occupied_runs(trace, row_bytes, n), "runs")
+    rows = runs.select("trace_id", "start", (F.col("stop") - 1).alias("_last"), F.col("depth").alias("allocations"))
+    return expanded(rows, "start", "_last", "row").select("trace_id", "row", "allocations")
 
 
 def collapse_rows(collapse_bytes: int, row_bytes: int) -> int:
@@ -161,14 +161,13 @@ def covered_gaps(trace: Trace, row_bytes: int, n: int, collapse_min: int) -> Dat
     live = trace.allocations.filter(live_at(n) & (F.col("span") >= row_bytes * collapse_min)).select(
         "trace_id", "creator", "addr", "end_span"
     )
-    return ranges.contained(inner, live, F.lit(True)).select("trace_id", "above", "below").distinct()
+    return ranges.covered(inner, live).select("trace_id", "above", "below")
 
 
 def slices(trace: Trace, row_bytes: int, allocations: DataFrame) -> DataFrame:
     """M7: the byte range of each allocation inside each row it touches."""
-    rows = placed(trace, row_bytes, allocations).withColumn(
-        "row", F.explode(F.sequence("row_first", "row_last"))
-    )
+    spans = placed(trace, row_bytes, allocations).select("trace_id", "creator", "addr", "end_span", "base", "row_first", "row_last")
+    rows = expanded(spans, "row_first", "row_last", "row")
     start = F.col("base") + F.col("row") * row_bytes
     return rows.select(
         "trace_id", "creator", "row",
@@ -182,11 +181,12 @@ def shared_bytes(allocations: DataFrame, n: int) -> DataFrame:
     return segments(allocations.filter(live_at(n)), "addr", "end_span").filter("depth >= 2")
 
 
-def ghosts(trace: Trace, n: int) -> DataFrame:
+def ghosts(trace: Trace, n: int, pair_limit: int = ranges.PAIR_LIMIT) -> DataFrame:
     """Allocations born inside a live one and already gone.
 
-    Candidates are those that met a live region at birth; the holder is older
-    and still live at the position.
+    One row per ghost: its innermost holder (``parent``) and how many hold it.
+    Candidates are those that met a live region at birth; a holder is older and
+    still live at the position.
     """
     born = trace.overlaps.select("trace_id", "creator")
     gone = (
@@ -198,9 +198,7 @@ def ghosts(trace: Trace, n: int) -> DataFrame:
         )
     )
     holders = trace.allocations.filter(live_at(n)).select("trace_id", "creator", "addr", "end_span")
-    return ranges.contained(gone, holders, F.col("child") > F.col("creator")).select(
-        "trace_id", F.col("creator").alias("parent"), "child"
-    )
+    return ranges.innermost(gone, holders, pair_limit)
 
 
 def at_address(allocations: DataFrame, address: int, n: int) -> DataFrame:

@@ -17,6 +17,7 @@ from lifetrace.functions.u64 import is_compact, saturating_end
 from lifetrace.operators.overlap import births_meeting_live
 from lifetrace.plans import prefix, ranges, skew
 from lifetrace.session import scratch_path, staged
+from lifetrace.operators.fields import catalog_of, parsed
 from lifetrace.trace import Trace, trace_spans, write_table
 
 CREATORS = ("M", "R")
@@ -319,9 +320,12 @@ def build(
     rows = lines.count()
     events, allocations, dropped = resolve(lines, rows, hot_rows, block_bits)
     spans = staged(trace_spans(lines), "spans")
-    write_table(events, path, "events", spans)
-    stored = write_table(allocations, path, "allocations", spans)
+    stored_events = write_table(events.withColumn("custom", parsed("extras")), path, "events", spans)
+    with_fields = allocations.withColumns({"custom": parsed("extras"), "death_custom": parsed("death_extras")})
+    stored = write_table(with_fields, path, "allocations", spans)
     write_table(births_meeting_live(stored, pair_limit), path, "overlaps")
-    write_table(reject_table(lines, dropped), path, "rejects")
+    rejects = reject_table(lines, dropped).withColumn("custom", parsed("extras"))
+    rejects = write_table(rejects, path, "rejects")
     write_table(headers, path, "headers")
+    write_table(catalog_of(stored_events, rejects), path, "fields")
     return Trace.load(spark, path)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifetrace.plans import prefix, ranges, skew
+from lifetrace.plans.expand import expanded
 from lifetrace.plans.small import per_trace
 from lifetrace.session import staged
 
@@ -87,7 +88,11 @@ def totals_at(playheads: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def sets_at(playheads: DataFrame, allocations: DataFrame, keep: list[str]) -> DataFrame:
-    """The live sets of many positions, by a join on lifetime bins."""
+    """The live sets of many positions (trace_id, n, more).
+
+    A few positions are sent to every task, by lifetime bins, and allocations stay
+    where they are. Beyond PLAYHEADS_BROADCAST see ``_sets_by_ranks``.
+    """
     slim = allocations.select(*dict.fromkeys(["trace_id", "creator", "death", *keep])).withColumn(
         "_tl", ranges.lifetime_level(F.col("creator"), F.col("death"))
     )
@@ -109,16 +114,49 @@ def sets_at(playheads: DataFrame, allocations: DataFrame, keep: list[str]) -> Da
         ]
     )
     left = playheads.withColumn("_c", F.explode(cells)).select("*", "_c._tl", "_c._b").drop("_c")
-    # never-freed allocations share one cell; while positions are few the other side stays where it is
     left = staged(left, "playheads")
-    left = F.broadcast(left) if left.count() <= PLAYHEADS_BROADCAST else left
+    if left.count() > PLAYHEADS_BROADCAST:
+        return _sets_by_ranks(playheads, slim.drop("_tl"))
     return (
-        left.join(right, ["trace_id", "_tl", "_b"])
+        F.broadcast(left).join(right, ["trace_id", "_tl", "_b"])
         .filter(live_at(F.col("n")))
         .drop("_tl", "_b")
     )
 
 
+def _sets_by_ranks(playheads: DataFrame, slim: DataFrame) -> DataFrame:
+    """The same for any number of positions, by shuffles.
+
+    Distinct positions are numbered per trace; those at which an allocation lives are a
+    range of numbers, from two counts of positions ahead of its birth and of its death.
+    Ranges become rows in bounded pieces, so a key of the last join is one position and
+    holds its live set, never all open allocations.
+    """
+    heads = staged(playheads.select("trace_id", "n").distinct(), "positions")
+    numbered = staged(prefix.dense_index(heads, ["trace_id"], ["n"], "_k"), "playheads")
+    spans = slim.join(_ranks(numbered, slim), ["trace_id", "creator"])
+    met = expanded(spans, "_lo", "_hi", "_k")
+    return playheads.join(numbered, ["trace_id", "n"]).join(met, ["trace_id", "_k"]).drop("_k")
+
+
+def _ranks(numbered: DataFrame, slim: DataFrame) -> DataFrame:
+    """(trace_id, creator, _lo, _hi): the numbers of the positions an allocation lives at."""
+    spot = lambda pos, kind: F.struct(F.col(pos).alias("pos"), F.lit(kind).alias("kind"))
+    ends = F.array_compact(F.array(spot("creator", 1), F.when(F.col("death").isNotNull(), spot("death", 2))))
+    rows = slim.select("trace_id", "creator", F.inline(ends)).unionByName(
+        # a position counts ahead of what happens at it: it is the state after n events
+        numbered.select("trace_id", F.lit(-1).cast("bigint").alias("creator"), F.col("n").alias("pos"), F.lit(0).alias("kind"))
+    )
+    counted = prefix.scan(
+        rows, ["trace_id"], ["pos", "kind", "creator"], prefix.block_of("pos"),
+        [prefix.Run("ahead", "sum", F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint"))],
+    )
+    total = per_trace(numbered.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_all")), "positions-of")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("ahead")))
+    per = counted.filter("kind > 0").groupBy("trace_id", "creator").agg(of(1).alias("_lo"), of(2).alias("_to"))
+    return per.join(total, "trace_id").select("trace_id", "creator", "_lo", (F.coalesce("_to", "_all") - 1).alias("_hi"))
+
+
 def diff(allocations: DataFrame, a: int, b: int) -> DataFrame:
     """Born, died or survived between two positions."""
     lo, hi = min(a, b), max(a, b)
@@ -143,13 +181,12 @@ def prefix_counts(events: DataFrame, block_bits: int = prefix.BLOCK_BITS) -> Dat
 
 def time_at(events: DataFrame, n: int) -> DataFrame:
     """The time at position n (the trace's first time at 0)."""
-    # positions are dense, so this is one row of each trace, found by footer statistics;
-    # a trace that ends before n shows its last
-    counts = per_trace(events.groupBy("trace_id").agg(F.max("seq").alias("_last")), "last")
-    at = F.least(F.lit(max(n - 1, 0)).cast("bigint"), F.col("_last"))
-    return events.filter(F.col("seq") <= max(n - 1, 0)).select("trace_id", "seq", "t").join(counts, "trace_id").filter(
-        F.col("seq") == at
-    ).select("trace_id", "t")
+    # positions are dense: one row of each trace, which footer statistics find; a trace
+    # that ends before n shows its last time, as times never fall
+    at = max(n - 1, 0)
+    here = events.filter(F.col("seq") == at).select("trace_id", "t")
+    ended = events.groupBy("trace_id").agg(F.max("seq").alias("_last"), F.max("t").alias("t")).filter(F.col("_last") < at)
+    return here.unionByName(ended.select("trace_id", "t"))
 
 
 def position_at(events: DataFrame, t: int) -> DataFrame:

@@ -154,8 +154,18 @@ def births_in_live(allocations: DataFrame, pair_limit: int = PAIR_LIMIT) -> Data
     return met.distinct()
 
 
+def _met_at_birth() -> Column:
+    return (
+        (F.col("b_creator") < F.col("creator"))
+        & (F.col("death").isNull() | (F.col("death") > F.col("creator")))
+        & (F.col("b_addr") < F.col("end_span"))
+        & (F.col("b_end") > F.col("addr"))
+    )
+
+
 def _paired(
-    newborn: DataFrame, living: DataFrame, cell: list[str], limit: int
+    newborn: DataFrame, living: DataFrame, cell: list[str], limit: int, meets=_met_at_birth,
+    kept: tuple[str, ...] = ("trace_id", "creator", "addr", "end_span"), by: tuple[str, str] = ("creator", "b_creator"),
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Matches from the cells with a small side, and the rows of the others.
 
@@ -184,18 +194,9 @@ def _paired(
     if n_large:
         key = [*cell, "_part"]
         large = F.broadcast(large) if n_large <= PARTS_BROADCAST else large
-        some = _in_parts(some, large, cell, "creator", F.col("_born"))
-        others = _in_parts(others, large, cell, "b_creator", ~F.col("_born"))
-    met = (
-        some.join(others, key)
-        .filter(
-            (F.col("b_creator") < F.col("creator"))
-            & (F.col("death").isNull() | (F.col("death") > F.col("creator")))
-            & (F.col("b_addr") < F.col("end_span"))
-            & (F.col("b_end") > F.col("addr"))
-        )
-        .select("trace_id", "creator", "addr", "end_span")
-    )
+        some = _in_parts(some, large, cell, by[0], F.col("_born"))
+        others = _in_parts(others, large, cell, by[1], ~F.col("_born"))
+    met = some.join(others, key).filter(meets()).select(*kept)
     if not left_over:
         return met, None, None
     return (
@@ -452,17 +453,28 @@ def _best_by_nodes(points: DataFrame, dense: DataFrame, keys: list[str], compact
     )
 
 
-def contained(inner: DataFrame, outer: DataFrame, condition: Column) -> DataFrame:
-    """Pairs where ``outer`` (addr, end_span) holds ``inner`` (i_addr, i_end).
+def innermost(children: DataFrame, holders: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Who holds each child: the innermost holder, and how many there are.
+
+    ``children`` has trace_id, child (its position), i_addr and i_end; ``holders`` has
+    trace_id, creator, addr and end_span. A holder is older than the child and covers
+    all of it; the innermost one starts last, then ends first, then is the latest born.
+    Children that nothing holds are absent.
 
-    A holder is at least as wide, so the inner side is listed at its own level
-    and above by its start address alone: one row per level.
+    A holder is at least as wide as the child, so a child is listed by its start on
+    every level that occurs, and each pair meets in one bin. Bins with a small side
+    join by pairs; the others form none, see ``_held_by_nodes``.
     """
-    compact = is_compact(outer)
-    out = _with_levels(outer, compact)
+    compact = is_compact(holders)
+    out = _with_levels(holders.select("trace_id", "creator", "addr", "end_span"), compact)
     levels = levels_in(out, F.col("_lv"))
+    inner = children.select("trace_id", "child", "i_addr", "i_end")
+    best = F.max(F.struct("addr", (-F.col("end_span")).alias("nearer"), "creator"))
+    names = [F.count(F.lit(1)).alias("holders"), best.alias("best")]
     if not levels:
-        return inner.join(outer, ["trace_id"]).limit(0)
+        found = inner.join(out, "trace_id").groupBy("trace_id", "child").agg(*names)
+        return found.select("trace_id", "child", F.col("best.creator").alias("parent"), "holders")
+    cell = ["trace_id", "level", "bin"]
     right = listed_own(out, levels, compact)
     starts = F.array(
         *[
@@ -470,11 +482,95 @@ def contained(inner: DataFrame, outer: DataFrame, condition: Column) -> DataFram
             for lv in levels
         ]
     )
-    left = inner.withColumn("_c", F.explode(starts)).select("*", "_c.level", "_c.bin").drop("_c")
-    return (
-        left.join(right, ["trace_id", "level", "bin"])
-        .filter(
-            (F.col("addr") <= F.col("i_addr")) & (F.col("end_span") >= F.col("i_end")) & condition
+    left = inner.select("*", F.inline(starts))
+    met, left, right = _paired(
+        left, right, cell, pair_limit, _holds, ("trace_id", "child", "addr", "end_span", "creator"), ("child", "creator")
+    )
+    found = met.groupBy("trace_id", "child").agg(*names)
+    if left is not None:
+        found = found.unionByName(_held_by_nodes(left, right, cell)).groupBy("trace_id", "child").agg(
+            F.sum("holders").alias("holders"), F.max("best").alias("best")
         )
-        .drop("level", "bin")
+    return found.select("trace_id", "child", F.col("best.creator").alias("parent"), "holders")
+
+
+def _holds() -> Column:
+    return (
+        (F.col("creator") < F.col("child"))
+        & (F.col("addr") <= F.col("i_addr"))
+        & (F.col("end_span") >= F.col("i_end"))
+    )
+
+
+def _held_by_nodes(children: DataFrame, holders: DataFrame, cell: list[str]) -> DataFrame:
+    """The same without pairs, for any number of holders stacked at one place.
+
+    Both sides are ranked by birth and by end, so that the holders of a child are
+    those with smaller ranks. The ranks below a number are a few nodes of a binary
+    tree, left children all, and a rank is below a few of those. In a pair of nodes
+    age and end are settled; what is left is a running count, and a running best,
+    along the addresses: N log^2 N rows in all.
+    """
+    row = lambda df, side, who, addr, end: df.select(
+        *cell, F.lit(side).alias("side"), F.col(who).alias("who"), F.col(addr).alias("addr"), F.col(end).alias("end"),
+    )
+    rows = row(holders, 0, "creator", "addr", "end_span").unionByName(row(children, 1, "child", "i_addr", "i_end"))
+    # at one position the child comes first, at one end the holder does
+    rows = rows.withColumns({"_one": F.lit(0), "_nearer": -F.col("end"), "_before": -F.col("side")})
+    ranked = dense(rows, ["who", "_before"], "_age")
+    ranked = dense(ranked, ["_nearer", "side", "who"], "_reach")
+    ranked = staged(ranked, "ranked")
+    bits = max(1, int(ranked.count()).bit_length())
+
+    def nodes(rank: str, level: str, node: str) -> Column:
+        at = lambda k: F.call_function("shiftright", F.col(rank), k)
+        right = lambda k: at(k).bitwiseAND(1) == F.col("side")
+        every = F.filter(F.lit(list(range(bits))), right)
+        return F.transform(every, lambda k: F.struct(k.alias(level), (at(k) - F.col("side")).alias(node)))
+
+    placed = (
+        ranked.select("*", F.inline(nodes("_age", "_al", "_an")))
+        .select("*", F.inline(nodes("_reach", "_rl", "_rn")))
+        .select(*cell, "_al", "_an", "_rl", "_rn", "addr", "side", "who", "_nearer", "_one")
+    )
+    node = [*cell, "_al", "_an", "_rl", "_rn"]
+    placed = dense(placed, [*node, "addr", "side", "who"], "_place")
+    holder = F.col("side") == 0
+    best = F.struct("addr", F.col("_nearer").alias("nearer"), F.col("who").alias("creator"))
+    reached = prefix.scan(
+        placed, node, ["_place"], prefix.block_of("_place"),
+        [
+            prefix.Run("held", "sum", F.when(holder, 1).otherwise(0).cast("bigint"), inclusive=False),
+            prefix.Run("best", "max", F.when(holder, best), inclusive=False),
+        ],
+    )
+    return reached.filter((F.col("side") == 1) & (F.col("held") > 0)).groupBy(
+        "trace_id", F.col("who").alias("child")
+    ).agg(F.sum("held").alias("holders"), F.max("best").alias("best"))
+
+
+def dense(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """All rows of ``df`` numbered along ``order`` (``_one`` is a constant column)."""
+    return prefix.dense_index(df, ["_one"], order, out)
+
+
+def covered(spans: DataFrame, holders: DataFrame) -> DataFrame:
+    """The ``spans`` (trace_id, i_addr, i_end, more) that one holder covers whole.
+
+    Along the starts, the furthest end so far decides: one blocked scan, no pairs.
+    Holders of one start enter it as the furthest of them.
+    """
+    kind = holders.schema["addr"].dataType
+    names = [c for c in spans.columns if c != "trace_id"]
+    ends = holders.groupBy("trace_id", F.col("addr").alias("pos")).agg(F.max("end_span").alias("reach"))
+    asked = spans.select("trace_id", F.col("i_addr").cast(kind).alias("pos"), F.struct(*names).alias("span"), F.monotonically_increasing_id().alias("no"))
+    asked = staged(asked, "spans")
+    none = F.lit(None).cast(asked.schema["span"].dataType)
+    rows = ends.select("*", none.alias("span"), F.lit(-1).cast("bigint").alias("no")).unionByName(
+        asked.withColumn("reach", F.lit(None).cast(kind))
+    )
+    rows = dense(rows.withColumn("_one", F.lit(0)), ["trace_id", "pos", "no"], "_place")
+    scanned = prefix.scan(
+        rows, ["trace_id"], ["_place"], prefix.block_of("_place"), [prefix.Run("furthest", "max", F.col("reach"))], levels=2
     )
+    return scanned.filter(F.col("span").isNotNull() & (F.col("furthest") >= F.col("span.i_end"))).select("trace_id", "span.*")

@@ -120,7 +120,7 @@ ENTRIES["A9_by_tag"] = (
 )
 ENTRIES["A10_by_custom_field"] = (
     lambda s, d: summary(
-        aggregate.summarize(dirty(s, d).allocations, malloc.field("lane", "string").col)
+        aggregate.summarize(dirty(s, d).allocations, malloc.of(dirty(s, d)).field("lane").col)
     ),
     over(
         "events",
@@ -179,7 +179,7 @@ ENTRIES["A15_slack"] = (
 )
 ENTRIES["A17_retention"] = (
     lambda s, d: longs(
-        aggregate.retention(dirty(s, d).allocations, malloc.field("k", "int").col),
+        aggregate.retention(dirty(s, d).allocations, malloc.of(dirty(s, d)).field("k").col),
         "retained_bytes", "total_bytes",
     ).drop("trace_id"),
     over(

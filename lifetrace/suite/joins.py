@@ -63,9 +63,11 @@ for _n, _t in (("orders", orders), ("events", dirty)):
         lambda s, d, t=_t: address.ghosts(t(s, d), half(t(s, d))).drop("trace_id"),
         over(
             _n,
-            f"""SELECT p.creator AS parent, g.creator AS child FROM al g SEMI JOIN ovl o ON o.creator = g.creator
+            f"""SELECT g.creator AS child, count(*) AS holders,
+                 arg_max(p.creator, {{'a': p.addr, 'e': -p.end_span, 'c': p.creator}}) AS parent
+               FROM al g SEMI JOIN ovl o ON o.creator = g.creator
                JOIN al p ON p.addr <= g.addr AND g.end_span <= p.end_span AND g.creator > p.creator
-               WHERE g.death < {HALF} AND p.creator < {HALF} AND (p.death IS NULL OR p.death >= {HALF})""",
+               WHERE g.death < {HALF} AND p.creator < {HALF} AND (p.death IS NULL OR p.death >= {HALF}) GROUP BY ALL""",
         ),
     )
 ENTRIES["J7_events_touching"] = (
@@ -97,7 +99,7 @@ ENTRIES["J9_tags_of_allocations"] = (
 def pointers(t):
     """Landmarks' pointers, and a position 500 events back when they were taken."""
     return t.events.filter("op = 'E'").select(
-        "trace_id", "seq", malloc.field("ptr", "int").col.cast("bigint").alias("ptr"),
+        "trace_id", "seq", malloc.of(t).field("ptr").col.cast("bigint").alias("ptr"),
         F.greatest(F.col("seq") - 500, F.lit(0)).alias("since"),
     )
 

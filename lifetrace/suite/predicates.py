@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from lifetrace.functions.predicates import (
     KiB, alloc, duration, free, malloc, where, with_allocation, with_named,
 )
 from lifetrace.operators import annotate, fields, filters
+from lifetrace.session import staged
 from lifetrace.suite.sql import HALF, QUARTER, over
 from lifetrace.suite.tables import MEMBERS_SQL, NOTES_SQL, dirty, half, members, notes, orders, quarter
 
@@ -44,10 +47,6 @@ _project(
 _project("F4_free_fields", "events", lambda: ["death", "death_t"], "death, death_t")
 
 
-def _field(name, kind):
-    return f"json_extract('{{' || extras || '}}', '$.{name}')" if kind else ""
-
-
 _K = "CAST(json_extract('{' || extras || '}', '$.k') AS BIGINT)"
 _LANE = "json_extract_string('{' || extras || '}', '$.lane')"
 _HOT = "CAST(json_extract('{' || extras || '}', '$.hot') AS VARCHAR)"
@@ -67,8 +66,56 @@ _project(
     f"{_K} AS k, {_LANE} AS lane, CASE {_HOT} WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END AS hot, "
     f"{_LOAD} AS load, {_REASON} AS reason",
 )
-_pick("F5_filter_on_field", "events", lambda: malloc.field("k", "int") == 42, f"{_K} = 42")
-_pick("F5_filter_on_death_field", "events", lambda: free.field("reason", "string") == "r1", f"{_REASON} = 'r1'")
+
+
+def _pick_of(name, trace, test, condition):
+    """As ``_pick``; the test looks its fields up in the trace's catalog."""
+    ENTRIES[name] = (
+        lambda s, d: where(_T[trace](s, d).allocations, test(_T[trace](s, d))).select("creator"),
+        over(trace, f"SELECT creator FROM al WHERE {condition}"),
+    )
+
+
+_pick_of("F5_filter_on_field", "events", lambda t: malloc.of(t).field("k") == 42, f"{_K} = 42")
+_pick_of("F5_filter_on_death_field", "events", lambda t: free.of(t).field("reason") == "r1", f"{_REASON} = 'r1'")
+_pick_of("F5_float_field_range", "events", lambda t: malloc.of(t).field("load").between(3, 17.5), f"{_LOAD} >= 3 AND {_LOAD} < 17.5")
+_pick_of("F5_flag_and_string", "events", lambda t: malloc.of(t).field("hot") & (malloc.of(t).field("lane") != "L1"),
+         f"{_HOT} = 'true' AND {_LANE} <> 'L1'")
+
+
+def _two_kinds(s, d):
+    """The trace as two: in one ``k`` is a number, in the other a string."""
+    t = dirty(s, d)
+
+    def split(df, position):
+        odd = F.col(position) % 2 == 1
+        text = F.regexp_replace("extras", '"k":([0-9]+)', '"k":"$1"')
+        out = df.withColumn("trace_id", F.when(odd, "odd").otherwise("even"))
+        return out.withColumn("extras", F.when(odd, text).otherwise(F.col("extras"))).withColumn("custom", fields.parsed("extras"))
+
+    events, rejects = split(t.events, "seq"), t.rejects.filter("false")
+    kinds = replace(t, events=events, allocations=split(t.allocations, "creator"), rejects=rejects)
+    return replace(kinds, fields=staged(fields.catalog_of(events, rejects), "fields"))
+
+
+def _either_kind(s, d):
+    t = _two_kinds(s, d)
+    k = malloc.of(t).field("k")
+    return where(t.allocations, (k == 42) | k.startswith("4")).select("trace_id", "creator")
+
+
+ENTRIES["F5_kinds_by_trace"] = (
+    _either_kind,
+    over("events", f"""SELECT CASE WHEN creator % 2 = 1 THEN 'odd' ELSE 'even' END AS trace_id, creator FROM al
+         WHERE (creator % 2 = 0 AND {_K} = 42) OR (creator % 2 = 1 AND starts_with(CAST({_K} AS VARCHAR), '4'))"""),
+)
+ENTRIES["F27_kinds_by_trace"] = (
+    lambda s, d: _two_kinds(s, d).fields.filter("name IN ('k', 'lane')").select("trace_id", "name", "type", "events"),
+    over("events", """SELECT CASE WHEN seq % 2 = 1 THEN 'odd' ELSE 'even' END AS trace_id, key AS name,
+           CASE WHEN key = 'k' AND seq % 2 = 0 THEN 'int' ELSE 'string' END AS type, count(*) AS events
+         FROM (SELECT seq, unnest(json_keys('{' || extras || '}')) AS key FROM ev WHERE extras IS NOT NULL)
+         WHERE key IN ('k', 'lane') GROUP BY ALL"""),
+)
 _pick("F6_equal", "events", lambda: malloc.site == "site_3", "site = 'site_3'")
 _pick("F6_not_equal_missing_false", "events", lambda: malloc.site != "site_3", "site IS NOT NULL AND site <> 'site_3'")
 _pick("F6_float_literal_exact", "orders", lambda: (alloc.size > 100000.5) & (alloc.size != 200000.0),

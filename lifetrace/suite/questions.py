@@ -17,8 +17,8 @@ ENTRIES = {}
 _LANE = "json_extract_string('{' || extras || '}', '$.lane')"
 
 
-def _lane():
-    return malloc.field("lane", "string").col
+def _lane(t):
+    return malloc.of(t).field("lane").col
 
 
 # Which sites keep growing cohorts, a few known singletons aside?
@@ -26,7 +26,7 @@ ENTRIES["Q1_retained_cohort"] = (
     lambda s, d: longs(
         aggregate.summarize(
             where(dirty(s, d).allocations, ~alloc.freed),
-            F.concat_ws("/", F.coalesce("site", F.lit("(none)")), _lane()),
+            F.concat_ws("/", F.coalesce("site", F.lit("(none)")), _lane(dirty(s, d))),
         ).filter("allocations > 3"), "requested",
     ).select("key", "allocations", "requested"),
     over(
@@ -65,7 +65,7 @@ ENTRIES["Q2_peak_and_phase"] = (
 def _lineages(s, d):
     a = dirty(s, d).allocations
     chain = lineage.chain_summary(a).filter("live and length > 1")
-    roots = a.select("trace_id", F.col("creator").alias("root"), _lane().alias("root_lane"), F.col("id").alias("root_id"))
+    roots = a.select("trace_id", F.col("creator").alias("root"), _lane(t).alias("root_lane"), F.col("id").alias("root_id"))
     return chain.join(roots, ["trace_id", "root"]).drop("trace_id", "live")
 
 
@@ -83,7 +83,7 @@ ENTRIES["Q3_live_buffer_lineage"] = (
 )
 # Which worker lets which queue fill up?
 ENTRIES["Q4_drain_imbalance"] = (
-    lambda s, d: dirty(s, d).allocations.groupBy("thr", _lane().alias("lane")).agg(
+    lambda s, d: dirty(s, d).allocations.groupBy("thr", _lane(dirty(s, d)).alias("lane")).agg(
         F.count(F.lit(1)).alias("allocations"), F.count(F.when(F.col("freed"), 1)).alias("drained"),
         F.sum(F.when(~F.col("freed"), F.col("size"))).alias("pending_bytes"),
     ),
@@ -187,7 +187,7 @@ ENTRIES["Q9_guarded_reuse"] = (
 
 
 def _cycles(s, d):
-    per = aggregate.retention(dirty(s, d).allocations, malloc.field("k", "int").col)
+    per = aggregate.retention(dirty(s, d).allocations, malloc.of(dirty(s, d)).field("k").col)
     mean = per.groupBy("trace_id").agg(F.sum("retained_bytes").alias("sum_b"), F.count(F.lit(1)).alias("n"))
     both = per.join(mean, "trace_id")
     return longs(

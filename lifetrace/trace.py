@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TABLES = ("events", "allocations", "overlaps", "rejects", "headers")
+TABLES = ("events", "allocations", "overlaps", "rejects", "headers", "fields")
 _POSITION = {"events": "seq", "allocations": "creator"}
 
 
@@ -83,6 +83,10 @@ class Trace:
     overlaps     creators that met a live region when they were born
     rejects      lines that gave no event, with the reason
     headers      one row per trace
+    fields       the catalog of custom fields, one row per trace and name
+
+    Custom fields are kept as text (``extras``, ``death_extras``) and as VARIANT
+    (``custom``, ``death_custom``).
     """
 
     events: DataFrame
@@ -90,6 +94,7 @@ class Trace:
     overlaps: DataFrame
     rejects: DataFrame
     headers: DataFrame
+    fields: DataFrame
 
     @property
     def spark(self) -> SparkSession:

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lifetrace.operators import address, lineage
-from lifetrace.plans import asof, prefix, ranges, skew
+from lifetrace.operators import address, lineage, live
+from lifetrace.plans import asof, expand, prefix, ranges, skew
 
 
 def test_scan_over_blocks(spark):
@@ -122,13 +122,46 @@ def test_many_open_allocations_at_one_address_make_no_pairs(spark):
     assert got.filter("newest = i - 1 AND near.creator = i - 1").count() == got.count() == n - 1
 
 
-def test_contained(spark):
+@pytest.mark.parametrize("limit", [64, 0])
+@pytest.mark.parametrize("form", ["bigint", "decimal(20,0)"])
+def test_innermost_holders(spark, limit, form):
+    rows = [r for r in intervals(5, 150) if r[1] % 2] + [("u", *r[1:]) for r in intervals(6, 60)]
+    rows += [("t", 9000 + i, 100 - i % 7, 400 + i % 5, None) for i in range(30)]
+    children = [(*r[:2], r[2] + 1, max(r[2] + 2, r[3] - r[1] % 3)) for r in intervals(5, 150) if r[1] % 2 == 0]
+    children += [("t", 9500 + i, 120 + i, 300 + i * 5) for i in range(30)] + [("u", i, 200, 210) for i in range(0, 3000, 300)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.col(c).cast(form) for c in ("addr", "end_span")})
+    inner = spark.createDataFrame(children, "trace_id string, child bigint, i_addr bigint, i_end bigint")
+    inner = inner.withColumns({c: F.col(c).cast(form) for c in ("i_addr", "i_end")})
+    want = {}
+    for t, child, lo, hi in children:
+        held = [a for a in rows if a[0] == t and a[1] < child and a[2] <= lo and hi <= a[3]]
+        if held:
+            want[t, child] = max((a[2], -a[3], a[1]) for a in held)[2], len(held)
+    got = ranges.innermost(inner, df, limit).collect()
+    assert {(r.trace_id, r.child): (r.parent, r.holders) for r in got} == want and len(got) == len(want)
+    assert max(n for _, n in want.values()) > 20
+
+
+def test_many_stacked_holders_make_no_pairs(spark):
+    n = 3000
+    df = spark.range(n).select(
+        F.lit("t").alias("trace_id"), F.col("id").alias("creator"), F.col("id").alias("addr"), (20_000 - F.col("id")).alias("end_span")
+    )
+    inner = spark.range(n).select(
+        F.lit("t").alias("trace_id"), (F.col("id") + 1).alias("child"), F.lit(10_000).cast("bigint").alias("i_addr"), F.lit(10_001).cast("bigint").alias("i_end")
+    )
+    got = ranges.innermost(inner, df)
+    assert got.filter("parent = child - 1 AND holders = child").count() == got.count() == n
+
+
+def test_covered_spans(spark):
     rows = intervals(5, 150)
     df = spark.createDataFrame(rows, SCHEMA)
-    inner = df.select("trace_id", F.col("creator").alias("child"), F.col("addr").alias("i_addr"), F.col("end_span").alias("i_end"))
-    got = [(r.creator, r.child) for r in ranges.contained(inner, df, F.col("child") > F.col("creator")).collect()]
-    want = {(a[1], b[1]) for a in rows for b in rows if b[1] > a[1] and a[2] <= b[2] and b[3] <= a[3]}
-    assert len(got) == len(set(got)) and set(got) == want
+    spans = [("t", i, r[2] + i % 4, r[2] + i % 4 + 1 + i % 30) for i, r in enumerate(rows)] + [("u", 999, 0, 10)]
+    asked = spark.createDataFrame(spans, "trace_id string, i bigint, i_addr bigint, i_end bigint")
+    want = {s[1] for s in spans if any(a[0] == s[0] and a[2] <= s[2] and s[3] <= a[3] for a in rows)}
+    got = [r.i for r in ranges.covered(asked, df).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(want) < len(spans)
 
 
 def test_segments(spark):
@@ -214,3 +247,39 @@ def test_staged_tables_can_be_deleted(spark, tmp_path):
         assert not os.path.isdir(folder)
     finally:
         session._RUN = old
+
+
+def test_live_sets_of_many_positions(spark, monkeypatch):
+    """Beyond a broadcast: equal to the intervals, and open allocations are no key."""
+    n = 3000
+    deaths = {i: None if i % 3 else i + 1 + i % 50 for i in range(0, n, 2)}
+    rows = [("t", i, d) for i, d in deaths.items()] + [("u", i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "trace_id string, creator bigint, death bigint")
+    heads = [("t", p) for p in [0, 1, 1, 7, 500, 501, n + 90]] + [("u", 3), ("v", 1)]
+    heads += [("t", p) for p in range(1000, 3000, 25)]
+    asked = spark.createDataFrame([(t, p, i) for i, (t, p) in enumerate(heads)], "trace_id string, n bigint, i int")
+    want = sorted((i, t, c) for i, (t, p) in enumerate(heads) for tt, c, d in rows if t == tt and c < p and (d is None or d >= p))
+    got = {}
+    for limit in (live.PLAYHEADS_BROADCAST, 0):
+        monkeypatch.setattr(live, "PLAYHEADS_BROADCAST", limit)
+        got[limit] = live.sets_at(asked, df, ["death"]).select("i", "trace_id", "creator").collect()
+        assert sorted(map(tuple, got[limit])) == want
+    heads_of = spark.createDataFrame([(p,) for p in range(1000, 3000)], "n bigint").selectExpr("'t' AS trace_id", "n")
+    sizes = sorted(r["count"] for r in live.sets_at(heads_of, df, []).groupBy("n").count().collect())
+    assert sizes[-1] <= 4 * sizes[len(sizes) // 2]
+
+
+def test_expanded_ranges(spark, monkeypatch):
+    rows = [("a", 3, 3), ("b", 5, 4), ("c", 0, 70), ("d", 1000, 1300), ("e", (1 << 62) - 2, (1 << 62) + 1)]
+    df = spark.createDataFrame(rows, "k string, x bigint, y bigint")
+    for bits in (16, 2, 4):
+        monkeypatch.setattr(expand, "PIECE_BITS", bits)
+        got = sorted((r.k, r.n) for r in expand.expanded(df, "x", "y", "n").collect())
+        assert got == sorted((k, n) for k, x, y in rows for n in range(x, y + 1))
+
+
+def test_a_wide_span_streams_through_its_rows(spark):
+    wide = spark.createDataFrame([("t", 1, 1 << 40, (1 << 40) + (1 << 33), 0)], "trace_id string, creator bigint, addr bigint, end_span bigint, base bigint")
+    spans = wide.select("trace_id", "creator", F.lit(0).cast("bigint").alias("row_first"), ((F.col("end_span") - F.col("addr")) / 16 - 1).cast("bigint").alias("row_last"))
+    got = expand.expanded(spans, "row_first", "row_last", "row").agg(F.count(F.lit(1)), F.max("row"), F.countDistinct(F.expr("row >> 20"))).first()
+    assert tuple(got) == (1 << 29, (1 << 29) - 1, 1 << 9)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from lifetrace.functions import exact
 from lifetrace.functions.buckets import bucket
 from lifetrace.functions.predicates import (
-    KiB, MiB, Single, Value, alloc, by_id, duration, free, malloc, named, where, with_allocation,
-    with_named,
+    KiB, MiB, Single, Value, Varied, alloc, duration, free, malloc, where, with_allocation, with_named,
 )
-from lifetrace.operators import filters
+from lifetrace.operators import fields, filters
+from lifetrace.trace import Trace
 
 ROWS = [
     # creator, id, addr, end_span, size, usable, freed, site, thr, extras, death, death_t, death_extras
@@ -31,7 +31,8 @@ SCHEMA = (
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    return spark.createDataFrame(ROWS, SCHEMA).withColumn("trace_id", F.lit("t")).cache()
+    rows = spark.createDataFrame(ROWS, SCHEMA).withColumn("trace_id", F.lit("t"))
+    return rows.withColumns({"custom": fields.parsed(), "death_custom": fields.parsed("death_extras")})
 
 
 def hits(frame, test):
@@ -71,6 +72,66 @@ def test_custom_fields(frame):
     assert hits(frame, free.field("reason", "string").is_not_none()) == [0]
 
 
+def two_traces(spark):
+    """``load`` is a number in one trace and a string in the other."""
+    rows = [
+        ("a", 0, '"load":1,"pool":"x","big":1,"odd":{"a":1}'), ("a", 1, '"load":2.5,"pool":null,"big":36893488147419103232'),
+        ("a", 2, '"load":3.0'), ("b", 0, '"load":"1","pool":"y"'), ("b", 1, '"load":"zig","mixed":1'), ("b", 2, '"mixed":"1"'),
+        ("b", 3, None),
+    ]
+    frame = spark.createDataFrame(rows, "trace_id string, creator bigint, extras string")
+    frame = frame.withColumns({"ord": F.col("creator"), "reason": F.lit(""), "custom": fields.parsed()})
+    return Trace(frame, frame, frame, frame, frame, fields.catalog_of(frame, frame))
+
+
+def pairs(t, test):
+    return sorted((r.trace_id, r.creator) for r in where(t.allocations, test).collect())
+
+
+def test_kinds_come_from_the_catalog(spark):
+    t = two_traces(spark)
+    load = malloc.of(t).field("load")
+    assert isinstance(load, Varied)
+    assert pairs(t, load == 1) == [("a", 0)]
+    assert pairs(t, load == "1") == [("b", 0)]
+    assert pairs(t, load > 2) == [("a", 1), ("a", 2)]
+    assert pairs(t, load.isin([2.5, "zig", 7])) == [("a", 1), ("b", 1)]
+    assert pairs(t, load.startswith("z") | (load + 1 == 4)) == [("a", 2), ("b", 1)]
+    assert pairs(t, load.is_none()) == [("b", 2), ("b", 3)]
+    assert pairs(t, ~(load == 1)) == [("a", 1), ("a", 2), ("b", 0), ("b", 1), ("b", 2), ("b", 3)]
+    assert pairs(t, malloc.of(t).field("pool") == "y") == [("b", 0)]
+    assert pairs(t, malloc.of(t).field("big") == 2**65) == [("a", 1)]
+    assert pairs(t, malloc.of(t).field("load", "string").contains("i")) == [("b", 1)]
+
+
+def test_wrong_kinds_are_errors(spark):
+    t = two_traces(spark)
+    load = malloc.of(t).field("load")
+    for wrong in (
+        lambda: load == True,  # noqa: E712
+        lambda: malloc.of(t).field("pool", "int"),
+        lambda: malloc.of(t).field("mixed"),
+        lambda: malloc.of(t).field("odd"),
+        lambda: malloc.of(t).field("load", "bool"),
+        lambda: malloc.of(t).field("pool") > 3,
+        lambda: malloc.of(t).field("big").contains("3"),
+        lambda: malloc.of(t).field("pool") + 1,
+        lambda: malloc.field("pool"),
+    ):
+        with pytest.raises(TypeError):
+            wrong()
+    with pytest.raises(LookupError):
+        malloc.of(t).field("absent")
+
+
+def test_a_known_field_is_read_by_the_scan_alone(spark, tmp_path):
+    t = two_traces(spark)
+    t.allocations.write.parquet(str(tmp_path / "allocations"))
+    stored = spark.read.parquet(str(tmp_path / "allocations"))
+    plan = where(stored, malloc.of(t).field("pool") == "y").select("creator")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(custom" in plan and "parse_json" not in plan and "extras" not in plan
+
+
 def test_strings_sets_ranges(frame):
     assert hits(frame, malloc.site.startswith("row")) == [0, 2]
     assert hits(frame, malloc.site.contains("_ca")) == [0]
@@ -90,10 +151,8 @@ def test_overflow_is_missing(frame):
 
 def test_references(frame, spark):
     notes = spark.createDataFrame([("t", 1, "anchor"), ("t", 2, "twice"), ("t", 3, "twice")], "trace_id string, creator bigint, name string")
-    assert hits(frame, alloc.size < named(frame, notes, "anchor").size) == [0, 2, 3]
-    for bad in ("twice", "none"):
-        with pytest.raises(Single):
-            named(frame, notes, bad)
+    rows, anchor = with_named(frame, notes, "anchor")
+    assert hits(rows, alloc.size < anchor.size) == [0, 2, 3]
     both = frame.unionByName(frame.withColumn("trace_id", F.lit("u")).withColumn("size", F.col("size") + 1000))
     two = notes.unionByName(notes.filter("name = 'anchor'").withColumn("trace_id", F.lit("u")).withColumn("creator", F.lit(0).cast("bigint")))
     rows, anchor = with_named(both, two, "anchor")
@@ -106,10 +165,8 @@ def test_references(frame, spark):
     for bad in (lambda: with_named(both, two, "twice"), lambda: with_named(both, two, "none"), lambda: with_allocation(both, 77)):
         with pytest.raises(Single):
             bad()
-    assert by_id(frame, 0).seq == 3
-    assert by_id(frame, 2).site is None
-    with pytest.raises(Single):
-        by_id(frame, 77)
+    rows, one = with_allocation(frame, 2)
+    assert hits(rows, one.site.is_none()) == [0, 1, 2, 3]
 
 
 def test_units():
