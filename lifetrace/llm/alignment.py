@@ -16,9 +16,13 @@ table of the most frequent ones, of bounded size; the others are joined.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +40,9 @@ KEPT = 1 << 21  # pairs that are broadcast with their counts, 32 MB
 _STEPS = 8  # classes of counts per power of two, to find the counts to keep
 _HELD = 1 << 22  # distinct pairs a task holds before it sends their counts
 WIDE = 1 << 16  # links from which on a group's pairs are taken once per distinct pair
-_BATCH = 2 << 20  # bytes of text, and of ids, that a task works on at once
+LONG = 400  # characters in a run from which on a text is encoded whole
+_LONG = re.compile(rf"[^ ]{{{LONG}}}|\s{{{LONG}}}")
+_BATCH = 4 << 20  # bytes of text, and of ids, that a task works on at once
 
 
 def common_ends(a: np.ndarray, b: np.ndarray, a_doc: np.ndarray, b_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,49 +74,17 @@ def common_ends(a: np.ndarray, b: np.ndarray, a_doc: np.ndarray, b_doc: np.ndarr
         at = a[np.where(inside, probe, lo)]
         spot = np.searchsorted(b, at)
         hit = inside & (spot < bhi) & (b[np.minimum(spot, len(b) - 1)] == at)
-        p, q = probe[hit], spot[hit]
-        cut_a[p] = True
-        cut_b[q] = True
-        miss = ~hit
-        zero = np.zeros(len(p), np.int64)
-        lo, hi, blo, bhi, step = (
-            np.concatenate(x)
-            for x in (
-                (lo[miss], lo[hit], p + 1), (hi[miss], p, hi[hit]),
-                (blo[miss], blo[hit], q + 1), (bhi[miss], q, bhi[hit]), (step[miss] + 1, zero, zero),
-            )
-        )
-
-
-class PieceModel(Pieces):
-    """Ids of a sentencepiece model for whole texts; equal words are encoded once.
-
-    Its pieces have the sign for a blank in front only, or are made of it, so a text
-    may be cut before lone blanks; every part then gets the blank that the library adds.
-    """
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self._forget()
-
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.model.encode(pieces, num_threads=1) if pieces else []
-        ids = [np.array(e, np.int32) for e in found]
-        return np.concatenate([np.zeros(0, np.int32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
-
-    def _learn(self, pieces: list[str]) -> None:
-        self.number.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces))))
-        ids, sizes = self._encode(pieces)
-        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-
-    def token_bytes(self) -> list[bytes]:
-        m = self.model
-        return [
-            bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode()
-            for i in range(m.get_piece_size())
-        ]
+        cut_a[probe[hit]] = True
+        cut_b[spot[hit]] = True
+        # a hit leaves its left and right half, in order: bisection likes neighbours
+        of = np.repeat(np.arange(len(lo)), 1 + hit)
+        split = hit[of]
+        right = split & np.concatenate([[False], of[1:] == of[:-1]])
+        left = split & ~right
+        p, q = probe[of], spot[of]
+        lo, hi = np.where(right, p + 1, lo[of]), np.where(left, p, hi[of])
+        blo, bhi = np.where(right, q + 1, blo[of]), np.where(left, q, bhi[of])
+        step = np.where(split, 0, step[of] + 1)
 
 
 def byte_level_bytes(tokenizer) -> list[bytes]:
@@ -126,40 +100,113 @@ def byte_level_bytes(tokenizer) -> list[bytes]:
     return [bytes(sign[c] for c in e) if set(e) <= sign.keys() else e.encode() for e in entries]
 
 
+def piece_bytes(model) -> list[bytes]:
+    """Bytes of every entry of a piece model."""
+    return [
+        bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(SPACE, " ").encode()
+        for i in range(model.get_piece_size())
+    ]
+
+
 class _Both:
-    """Both tokenizers over lists of texts, with the bytes of their tokens."""
+    """Both tokenizers over lists of texts, with the bytes of their tokens.
 
-    def __init__(self, byte_level: str, pieces: str):
-        self.a, self.b = Pieces(byte_level), PieceModel(pieces)
-        self.head = len(self.a.tokenizer.encode("a", add_special_tokens=False).ids)
-        self.bytes = [pa.array(t, pa.large_binary()) for t in (byte_level_bytes(self.a.tokenizer), self.b.token_bytes())]
-        self.lengths = [np.array([len(x.as_py()) for x in t], np.int64) for t in self.bytes]
+    Neither merges across a blank that stands alone between two other characters, so
+    texts are cut before such blanks and each distinct part is encoded once, behind a
+    blank. Texts where white space meets a blank, or that begin or end with one, and
+    those with runs of LONG characters are encoded whole.
 
-    def _behind_blank(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A for a blank and the text: those behind a letter that stands in front."""
-        ids, sizes = self.a(["a " + t for t in texts])
-        drop = (np.cumsum(sizes) - sizes)[:, None] + np.arange(self.head)
-        return np.delete(ids, drop.reshape(-1)), sizes - self.head
+    A runs in ``tiktoken`` on the entries of its file (an id is the rank of its merge);
+    what has long runs goes through the library of the file, whose time stays linear.
+    """
+
+    def __init__(self, byte_level: str, pieces: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
+        import public_tokenizers
+        import sentencepiece
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.a, self.b = Tokenizer.from_file(byte_level), sentencepiece.SentencePieceProcessor(model_file=pieces)
+        self.a.encode_special_tokens = True
+        tables = byte_level_bytes(self.a), piece_bytes(self.b)
+        special = set(self.a.get_added_tokens_decoder())
+        ranks = {t: i for i, t in enumerate(tables[0]) if i not in special}
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [pa.array(t, pa.large_binary()) for t in tables]
+        self.lengths = [np.array([len(x) for x in t], np.int64) for t in tables]
+
+    def _a(self, parts: list[str], whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A for parts, all in one go, and for whole texts; and their numbers."""
+        ids, sizes = [], []
+        if parts:
+            ids.append(np.array(self.fast.encode_ordinary(" " + " ".join(parts)), np.int32))
+            ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.lengths[0][ids[0]]), ends, "right"), prepend=0))
+        for text in whole:
+            if _LONG.search(text):
+                found = self.a.encode(" " + text, add_special_tokens=False).ids
+            else:
+                found = self.fast.encode_ordinary(" " + text)
+            ids.append(np.array(found, np.int32))
+            sizes.append([len(found)])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none.astype(np.int32), *ids]), np.concatenate([none, *sizes]).astype(np.int64)
+
+    def _b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.b.encode(texts, num_threads=1) if texts else []
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     def __call__(self, texts: list[str]):
         """(ids, where each text begins and ends) of A and of B; nothing for texts that
         are empty or do not come out of both again."""
-        sides = [self._behind_blank(texts), self.b(texts)]
-        whole = [t.encode() for t in texts]
-        good = np.array([bool(t) for t in whole])
-        for (ids, sizes), table, lengths in zip(sides, self.bytes, self.lengths):
-            ends = np.concatenate([[0], np.cumsum(sizes)])
+        column = pa.array(texts, pa.large_string())
+        whole = pc.or_(
+            pc.match_substring_regex(column, f"{Pieces._WHITE} | {Pieces._WHITE}|[^ ]{{{LONG}}}"),
+            pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " ")),
+        ).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(column.filter(pa.array(~whole)), " ")
+        words = split.flatten().dictionary_encode()
+        parts, alone = words.dictionary.to_pylist(), [t for t, one in zip(texts, whole.tolist()) if one]
+        counts = np.ones(len(texts), np.int64)
+        counts[~whole] = np.diff(split.offsets.to_numpy())
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        which = np.zeros(edge[-1], np.int64)
+        cut = np.repeat(~whole, counts)
+        which[cut] = words.indices.to_numpy()
+        which[~cut] = len(parts) + np.arange(len(alone))
+
+        data = [t.encode() for t in texts]
+        good = np.array([bool(t) for t in data], bool)
+        sides = []
+        for (ids, sizes), table, lengths in zip((self._a(parts, alone), self._b(parts + alone)), self.bytes, self.lengths):
+            size = sizes[which]
+            total = np.concatenate([[0], np.cumsum(size)])
+            ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - total[:-1], size) + np.arange(total[-1])]
+            ends = total[edge]
+            sides.append((ids, ends))
             at = np.concatenate([[0], np.cumsum(lengths[ids])])[ends]
-            data = memoryview(table.take(pa.array(ids)).buffers()[2] or b"").cast("B")
-            for i, text in enumerate(whole):
+            joined = memoryview(table.take(pa.array(ids)).buffers()[2] or b"").cast("B")
+            for i, text in enumerate(data):
                 if good[i]:
-                    good[i] = at[i + 1] - at[i] == len(text) + 1 and data[at[i] : at[i + 1]] == b" " + text
-        out = []
-        for ids, sizes in sides:
-            if not good.all():
-                ids, sizes = ids[np.repeat(good, sizes)], np.where(good, sizes, 0)
-            out.append((ids, np.concatenate([[0], np.cumsum(sizes)])))
-        return out
+                    good[i] = at[i + 1] - at[i] == len(text) + 1 and joined[at[i] : at[i + 1]] == b" " + text
+        if good.all():
+            return sides
+        return [
+            (ids[np.repeat(good, np.diff(ends))], np.concatenate([[0], np.cumsum(np.where(good, np.diff(ends), 0))]))
+            for ids, ends in sides
+        ]
+
+
+_KEPT_BOTH: dict[tuple[str, str], _Both] = {}
+
+
+def _both(paths: tuple[str, str]) -> _Both:
+    """The tokenizers of a worker, loaded once."""
+    if paths not in _KEPT_BOTH:
+        _KEPT_BOTH[paths] = _Both(*paths)
+    return _KEPT_BOTH[paths]
 
 
 def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None) -> DataFrame:
@@ -179,7 +226,7 @@ def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
     )
 
     def run(batches):
-        both = _Both(*paths)
+        both = _both(paths)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text", _BATCH):
             (a, a_doc), (b, b_doc) = both([t or "" for t in batch.column("text").to_pylist()])
