@@ -26,6 +26,29 @@ def having(allocations: DataFrame, members: DataFrame, tag: str) -> DataFrame:
     return allocations.join(one, ["trace_id", "creator"], "left_semi")
 
 
+def exactly(allocations: DataFrame, members: DataFrame, *sets: list[str]) -> DataFrame:
+    """the allocations whose tags are one of these sets (an empty one: untagged).
+
+    Members are reduced to a flag per allocation by a partial aggregate; no list of
+    tags is put together.
+    """
+    tag = F.col("tag")
+
+    def equal(names: list[str]):
+        test = F.bool_and(tag.isin(names))
+        for name in names:
+            test = test & F.bool_or(tag == name)
+        return test
+
+    wanted = [sorted(set(s)) for s in sets]
+    test = F.lit(False)
+    for names in filter(None, wanted):
+        test = test | equal(names)
+    flags = members.groupBy("trace_id", "creator").agg(test.alias("_exact"))
+    none = F.lit([] in wanted)
+    return allocations.join(flags, ["trace_id", "creator"], "left").filter(F.coalesce("_exact", none)).drop("_exact")
+
+
 def tagged(matched: DataFrame, tag: str) -> DataFrame:
     return matched.select("trace_id", F.lit(tag).alias("tag"), "creator")
 

@@ -14,6 +14,7 @@ from lifetrace.operators import changes
 from lifetrace.streaming.runs import merged_state, write_changes
 
 STATE = "trace_id string, what string, tag string, creator bigint, at bigint, present boolean"
+KEY = ["trace_id", "what", "tag", "creator"]
 
 
 def _facts(log: DataFrame) -> DataFrame:
@@ -45,20 +46,20 @@ def feed_sink(state: str):
     """A foreachBatch sink adding the facts of valid changes to the state."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        write_changes(_merged(_facts(batch)), state, number, STATE, _merged)
+        write_changes(_merged(_facts(batch)), state, number, STATE, _merged, KEY)
 
     return sink
 
 
 def _merged(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("trace_id", "what", "tag", "creator").agg(
+    return facts.groupBy(*KEY).agg(
         F.max("at").alias("at"), F.max_by("present", "at").alias("present")
     )
 
 
 def state_after(spark: SparkSession, state: str, batches: int) -> DataFrame:
     """The merged state after so many batches."""
-    return merged_state(spark, state, batches, STATE, _merged)
+    return merged_state(spark, state, batches, STATE, _merged, KEY)
 
 
 def members(state: DataFrame) -> DataFrame:

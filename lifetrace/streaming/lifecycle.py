@@ -83,7 +83,7 @@ def resolve_sink(out: str, state: str):
     def sink(batch: DataFrame, number: int) -> None:
         now = steps(batch)
         schema = _state_schema(now)
-        before = merged_state(batch.sparkSession, state, number, schema, _latest)
+        before = merged_state(batch.sparkSession, state, number, schema, _latest, KEY, now)
         touched = before.join(now.select(*KEY).distinct(), KEY, "left_semi")
         every = now.withColumn("known", F.lit(False)).unionByName(_earlier(touched))
         every = every.withColumn("pos", _order(F.col("seq"), F.col("sub"))).withColumn(
@@ -98,7 +98,7 @@ def resolve_sink(out: str, state: str):
             levels=2,
         ).filter("not known")
         write_batch(_status(linked).unionByName(without_id(batch)), out, number)
-        write_changes(_after(every).select(*schema.names), state, number, schema, _latest)
+        write_changes(_after(every).select(*schema.names), state, number, schema, _latest, KEY)
 
     return sink
 

@@ -168,6 +168,10 @@ ENTRIES["F18_tag_in_predicate"] = (
     over("events", "SELECT creator FROM alt WHERE list_contains(tags, 'hot') AND NOT freed", MEMBERS_SQL),
 )
 ENTRIES["F19_tags_equal"] = (
+    lambda s, d: annotate.exactly(dirty(s, d).allocations, members(dirty(s, d)), ["hot", "cold"], []).select("creator"),
+    over("events", "SELECT creator FROM alt WHERE tags = ['cold','hot'] OR len(tags) = 0", MEMBERS_SQL),
+)
+ENTRIES["F19_same_set_in_predicate"] = (
     lambda s, d: where(
         annotate.with_tags(dirty(s, d).allocations, members(dirty(s, d))),
         alloc.tags.same_set(["hot", "cold"]) | alloc.tags.same_set([]),

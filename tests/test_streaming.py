@@ -59,6 +59,29 @@ def test_resolution_in_batches(spark, tmp_path, monkeypatch, number, lift):
     assert dict(runs.read_batches(spark, out).dtypes)["target_addr"] == number
 
 
+def test_a_batch_reads_the_buckets_of_its_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "COMPACT", 4)
+    monkeypatch.setattr(runs, "BUCKETS", 8)
+    path, key = str(tmp_path / "state"), ["k"]
+    schema = "k bigint, at bigint"
+    latest = lambda df: df.groupBy("k").agg({"at": "max"}).withColumnRenamed("max(at)", "at")
+    want = {}
+    for n in range(11):
+        rows = [(k, n) for k in range(200) if k % (n + 2) == 0]
+        want |= dict(rows)
+        runs.write_changes(spark.createDataFrame(rows, schema), path, n, schema, latest, key)
+    state = lambda touched=None: runs.merged_state(spark, path, 11, schema, latest, key, touched)
+    assert dict(map(tuple, state().collect())) == want
+    one = spark.createDataFrame([(6,)], "k bigint")
+    bucket = one.select(runs.bucket_of(key)).first()[0]
+    few = state(one)
+    assert dict(map(tuple, few.collect()))[6] == want[6]
+    read = few.inputFiles()
+    assert {f.split("_bucket=")[1].split("/")[0] for f in read} == {str(bucket)}
+    assert len({f.split("batch=")[1].split("/")[0] for f in read}) <= 4 < len({f.split("batch=")[1].split("/")[0] for f in state().inputFiles()}) + 1
+    assert state([]).count() == 0
+
+
 def test_feed_state_is_the_same_however_it_is_cut(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(runs, "COMPACT", 2)
     rng = random.Random(5)
