@@ -13,8 +13,12 @@ keeps common passages out of the prefixes.
 
 Results are classes, so a list is not turned into all its pairs: each round verifies
 members against a few of those they share lists with (pivots) and joins what is
-similar; then only pairs between different classes are left, and all of those are
-verified.
+similar; then only pairs between different classes are left, and all of those that can
+be links are verified.
+
+Whether a pair can be a link is decided before any set is moved, by sketches: bit i
+of a sketch is the parity of the tokens with remainder i, so that two sets differ in at
+least as many tokens as their sketches differ in bits.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ COUNTER_BITS = 22  # 4 million counters; their orders of magnitude take 4 MB
 CHUNK = 1 << 12  # counters in a row of the table of counters
 FILTER_BITS = 27  # bits of the filter that finds the texts to verify, 16 MB
 PIVOTS = 4  # of a list, and partners of a set, in one round
-#: Pairs between classes, per entry of the lists, that are verified without another round.
-FEW = 8
+ROUNDS = 3  # with pivots, at most; what they leave is verified pair by pair
+SKETCH = 512  # bits
+CROWDED = 64  # entries of a list from which on sketches decide inside the join
 _PIECE = 8 << 20  # bytes of a text whose words are held at once
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Odd multipliers of the words of a shingle, and of the last mix.
@@ -154,20 +159,24 @@ def _text_hash(text: bytes | None) -> int:
 
 def _signed(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n (size of the set), digests of the set and of its group, and of
-    the text, prefix."""
+    the text, sketch, prefix."""
     spark = docs.sparkSession
     magnitudes = spark.sparkContext.broadcast(_magnitudes(docs))
     shift = np.uint64(64 - COUNTER_BITS)
     longs = ("n", "s1", "s2", "g1", "g2", "text_hash")
     schema = T.StructType(
         [docs.select("doc_id").schema["doc_id"], *[T.StructField(c, T.LongType()) for c in longs],
-         T.StructField("prefix", T.ArrayType(T.LongType()))]
+         *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "prefix")]]
     )
 
     def run(batches):
         rank = magnitudes.value
         for batch, sets in _sets(batches):
             rows, prefixes = [], []
+            sketches = np.zeros((len(sets), SKETCH), np.uint8)
+            for i, s in enumerate(sets):
+                sketches[i] = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+            words = np.packbits(sketches, axis=1).view(np.int64)
             for s, text in zip(sets, as_bytes(batch.column("text"))):
                 order = (rank[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 order.sort()
@@ -179,7 +188,9 @@ def _signed(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(6)], lists], schema.names
+                [batch.column("doc_id"), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(6)],
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.reshape(-1))), lists],
+                schema.names,
             )
 
     return staged(docs.select("doc_id", "text").mapInArrow(run, schema), "jaccard-signed")
@@ -192,14 +203,26 @@ def _fits(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     return (shorter * DEN >= longer * NUM) & (left * (NUM + DEN) >= (na + nb) * NUM)
 
 
-def _vectors(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, tokens) of the sets that occur in ``pairs``, hashed from their texts again.
+def _close(na: Column, sketch_a: Column, nb: Column, sketch_b: Column) -> Column:
+    """Whether sketches allow the sets to be similar."""
+    differing = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return differing * (NUM + DEN) <= (na + nb) * (DEN - NUM)
+
+
+def _likely(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that their sketches allow, written."""
+    of = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    return staged(met.filter(_close(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b"), "jaccard-likely")
+
+
+def _vectors(docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sid, tokens) of the sets ``ids``, hashed from their texts again.
 
     Of each set one text is looked for. A filter of fixed size over the hashes of those
     texts spares most others the work; the join after it is exact.
     """
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = staged(sets.join(ids, "sid").select("sid", "s1", "s2", "text_hash"), "jaccard-wanted")
     words = 1 << (FILTER_BITS - 6)
     bits = wanted.groupBy(F.shiftright("text_hash", 6).bitwiseAND(words - 1).alias("word")).agg(
@@ -232,14 +255,30 @@ def _vectors(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids, out of the written table ``pairs``, that are links."""
-    vectors = _vectors(docs, sets, pairs)
-    a = vectors.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    b = vectors.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    similar = common * (NUM + DEN) >= (F.size("ta") + F.size("tb")).cast("bigint") * NUM
-    return staged(pairs.join(b, "b").join(a, "a").filter(similar).select("a", "b"), "jaccard-links")
+class _Verifier:
+    """Verifies pairs on whole sets; a set is hashed again once, when it is needed first."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame):
+        self.docs, self.sets, self.vectors = docs, sets, None
+
+    def _known(self, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        if self.vectors is not None:
+            ids = staged(ids.join(self.vectors.select("sid"), "sid", "left_anti"), "jaccard-more")
+            if ids.isEmpty():
+                return self.vectors
+        more = _vectors(self.docs, self.sets, ids)
+        self.vectors = more if self.vectors is None else self.vectors.union(more)
+        return self.vectors
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a, b), a written table of set ids."""
+        vectors = self._known(pairs)
+        a = vectors.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
+        b = vectors.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
+        common = F.size(F.array_intersect("ta", "tb"))
+        similar = common * (NUM + DEN) >= (F.size("ta") + F.size("tb")).cast("bigint") * NUM
+        return staged(pairs.join(b, "b").join(a, "a").filter(similar).select("a", "b"), "jaccard-links")
 
 
 def _lists(signed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,17 +307,33 @@ def _lists(signed: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(by_token.union(by_group), "jaccard-lists")
 
 
-def _open_lists(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
+def _open_lists(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Entries with their class, of lists where more than one class is left."""
-    if classes is None:
+    if labels is None:
         labelled = entries.withColumn("class", F.col("sid"))
     else:
-        labelled = entries.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select(
-            *entries.columns, F.coalesce("root", "sid").alias("class")
+        labelled = staged(
+            entries.join(labels, "sid", "left").select(*entries.columns, F.coalesce("label", "sid").alias("class")),
+            "jaccard-labelled",
         )
-    labelled = staged(labelled, "jaccard-labelled")
-    open_keys = labelled.groupBy("kind", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
-    return staged(labelled.join(open_keys.select("kind", "key"), ["kind", "key"]), "jaccard-open")
+    open_keys = labelled.groupBy("kind", "key").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("size")
+    ).filter("lo < hi")
+    return staged(labelled.join(open_keys.select("kind", "key", "size"), ["kind", "key"]), "jaccard-open")
+
+
+def _hooked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after every set took the least one among its links.
+
+    Sets of one label are connected; not all that are connected have one label yet.
+    """
+    both = links.union(links.select("b", "a")).toDF("sid", "other")
+    old = both.select("sid").distinct().withColumn("label", F.col("sid"))
+    if labels is not None:
+        old = labels.unionByName(old.join(labels.select("sid"), "sid", "left_anti"))
+    of_other = old.select(F.col("sid").alias("other"), F.col("label").alias("near"))
+    near = both.join(of_other, "other").groupBy("sid").agg(F.min("near").alias("near"))
+    return staged(old.join(near, "sid", "left").select("sid", F.least("label", "near").alias("label")), "jaccard-labels")
 
 
 def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
@@ -301,63 +356,64 @@ def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
-def _cell_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of cells (one list, one class, one size and position) that can hold links.
+def _meet(a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
+    """Pairs of two sides of open lists that lengths, positions and ``more`` allow.
 
     Sizes meet by classes of size, so that a long list is not compared as a whole.
     """
-    cells = staged(
-        entries.groupBy("kind", "key", "class", "n", "pos").agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9)),
-        "jaccard-cells",
-    )
-    a = cells.select("kind", "key", "step", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "pos", "c")])
-    b = cells.select(
-        "kind", "key", F.explode(F.array(F.col("step"), F.col("step") + 1, F.col("step") + 2)).alias("step"),
-        F.col("step").alias("own"), *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "pos", "c")],
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9)
+    names = [c for c in a.columns if c not in ("kind", "key")]
+    a = a.withColumn("step", step).select("kind", "key", "step", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = b.withColumn("own", step).select(
+        "kind", "key", F.explode(F.array(F.col("own"), F.col("own") + 1, F.col("own") + 2)).alias("step"),
+        *[F.col(c).alias(f"{c}_b") for c in names],
     )
     # b is the smaller one, or as large and of a lower class
     smaller = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("class_b") < F.col("class_a")))
     return (
         a.join(b, ["kind", "key", "step"])
         .filter(smaller & (F.col("class_a") != F.col("class_b")))
-        .filter(_fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+        .filter(_fits(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")) & more)
+        .select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"))
     )
 
 
-def _all_pairs(entries: DataFrame, cells: DataFrame) -> DataFrame:
-    """The members of paired cells: all pairs between classes that can be links."""
-    out = cells
-    for side in ("a", "b"):
-        of = entries.select("kind", "key", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "pos")], F.col("sid").alias(f"sid_{side}"))
-        out = out.join(of, ["kind", "key", f"class_{side}", f"n_{side}", f"pos_{side}"])
-    return out.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
+def _cross_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs between classes that can be links, written.
+
+    A list with at most CROWDED entries gives its pairs; in a longer one entries
+    carry their sketches, and only what those allow becomes a row.
+    """
+    cols = ["kind", "key", "sid", "n", "pos", "class"]
+    short = entries.filter(F.col("size") <= CROWDED).select(*cols)
+    pairs = _likely(sets, _meet(short, short, F.lit(True)).distinct())
+    crowded = entries.filter(F.col("size") > CROWDED).select(*cols)
+    if crowded.isEmpty():
+        return pairs
+    crowded = staged(crowded.join(sets.select("sid", "sketch"), "sid"), "jaccard-crowded")
+    close = _close(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"))
+    return staged(pairs.union(_meet(crowded, crowded, close)).distinct(), "jaccard-rest")
 
 
 def classes(docs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, root) of the sets that have a link; None where there is no link."""
-    entries = _lists(signed, sets)
-    links, found, turn = None, None, 0
-    while True:
-        left = _open_lists(entries, found)
+    entries, verify = _lists(signed, sets), _Verifier(docs, sets)
+    links, labels = None, None
+    for turn in range(ROUNDS + 1):
+        left = _open_lists(entries, labels)
         if left.isEmpty():
-            return found
-        pairs = staged(_pivot_pairs(left, turn), "jaccard-pairs")
-        new = verified(docs, sets, pairs)
-        progress = not new.isEmpty()
-        if progress:
-            links = new if links is None else links.union(new)
-            found = components(links)
-            left = _open_lists(entries, found)
-        cells = staged(_cell_pairs(left), "jaccard-cell-pairs")
-        size = cells.agg(F.sum(F.col("c_a").cast("double") * F.col("c_b")).alias("s")).first()["s"] or 0
-        if not progress or size <= FEW * left.count():
-            rest = staged(_all_pairs(left, cells), "jaccard-rest")
-            new = verified(docs, sets, rest)
-            if new.isEmpty():
-                return found
-            return components(new if links is None else links.union(new))
-        turn += 1
+            break
+        last = turn == ROUNDS
+        pairs = _cross_pairs(left, sets) if last else _likely(sets, _pivot_pairs(left, turn))
+        if pairs.isEmpty() and not last:
+            continue
+        new = verify(pairs)
+        links = new if links is None else links.union(new)
+        if not last:
+            labels = _hooked(_hooked(labels, new), new)
+    if links is None or links.isEmpty():
+        return None
+    return components(links)
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -373,7 +429,7 @@ def joined(docs: DataFrame) -> DataFrame:
     sets = staged(
         signed.filter("n > 0").groupBy("s1", "s2").agg(
             F.first("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.min("doc_id").alias("low"),
-            F.min("text_hash").alias("text_hash"),
+            F.min("text_hash").alias("text_hash"), F.first("sketch").alias("sketch"),
         ).withColumn("sid", F.monotonically_increasing_id()),
         "jaccard-sets",
     )

@@ -58,10 +58,11 @@ def corpus(rng):
     return out
 
 
-@pytest.mark.parametrize(("pivots", "few", "counters"), [(4, 8, 22), (1, 0, 12), (2, 1 << 40, 12)])
-def test_classes_match_all_pairs(spark, pivots, few, counters, monkeypatch):
+@pytest.mark.parametrize(("pivots", "rounds", "crowded", "counters"), [(4, 3, 64, 22), (1, 1, 0, 12), (2, 0, 5, 12)])
+def test_classes_match_all_pairs(spark, pivots, rounds, crowded, counters, monkeypatch):
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
-    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)
     monkeypatch.setattr(jaccard, "COUNTER_BITS", counters)
     monkeypatch.setattr(jaccard, "FILTER_BITS", 10)
     texts = corpus(random.Random(pivots))
