@@ -65,7 +65,7 @@ ENTRIES["Q2_peak_and_phase"] = (
 def _lineages(s, d):
     a = dirty(s, d).allocations
     chain = lineage.chain_summary(a).filter("live and length > 1")
-    roots = a.select("trace_id", F.col("creator").alias("root"), _lane(t).alias("root_lane"), F.col("id").alias("root_id"))
+    roots = a.select("trace_id", F.col("creator").alias("root"), _lane(dirty(s, d)).alias("root_lane"), F.col("id").alias("root_id"))
     return chain.join(roots, ["trace_id", "root"]).drop("trace_id", "live")
 
 
