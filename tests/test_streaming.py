@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lifetrace.operators import changes
 from lifetrace.streaming import feed, lifecycle, runs, totals
@@ -76,9 +77,13 @@ def test_a_batch_reads_the_buckets_of_its_ids(spark, tmp_path, monkeypatch):
     bucket = one.select(runs.bucket_of(key)).first()[0]
     few = state(one)
     assert dict(map(tuple, few.collect()))[6] == want[6]
-    read = few.inputFiles()
-    assert {f.split("_bucket=")[1].split("/")[0] for f in read} == {str(bucket)}
-    assert len({f.split("batch=")[1].split("/")[0] for f in read}) <= 4 < len({f.split("batch=")[1].split("/")[0] for f in state().inputFiles()}) + 1
+    names = lambda df: df.select(F.input_file_name().alias("f")).distinct()
+    files = lambda touched: [r.f for r in runs.merged_state(spark, path, 11, schema, names, key, touched).collect()]
+    read = files(one)
+    assert {f.split("_bucket=")[1].split("/")[0] for f in read} == {str(bucket)} and 1 <= len(read) <= 4
+    assert len(files(None)) > 8
+    plan = state([bucket])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert state([]).count() == 0
 
 
