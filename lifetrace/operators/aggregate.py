@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lifetrace.functions.buckets import bucket
 from lifetrace.functions.u64 import byte_sum
 from lifetrace.plans import prefix
+from lifetrace.plans.small import per_trace
 from lifetrace.trace import Trace
 
 
@@ -20,7 +21,7 @@ def _n(condition: Column | None = None) -> Column:
 
 
 def overview(trace: Trace) -> DataFrame:
-    """A1: one row of totals per trace."""
+    """A1: one row of totals per trace, beside its title and unit of time."""
     op = F.col("op")
     seen = trace.events.select("trace_id", "ord", "t", "t_raw", "op").unionByName(
         trace.rejects.filter("reason not in ('malformed', 'header')").select(
@@ -47,7 +48,8 @@ def overview(trace: Trace) -> DataFrame:
         byte_sum("size").alias("total_bytes"),
         F.max("span").alias("max_span"),
     )
-    return counts.join(sizes, "trace_id", "left")
+    named = per_trace(trace.headers.select("trace_id", "title", "unit"), "titles")
+    return counts.join(sizes, "trace_id", "left").join(named, "trace_id", "left")
 
 
 # Grouping keys of a summary, by name.

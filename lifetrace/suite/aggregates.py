@@ -19,15 +19,16 @@ def longs(df, *names):
 
 
 _OVERVIEW = [
-    "trace_id", "events", "allocations", "frees", "reallocations", "custom_events", "t_min", "t_max",
+    "trace_id", "title", "unit", "events", "allocations", "frees", "reallocations", "custom_events", "t_min", "t_max",
     "addr_min", "addr_max", "live_count", "live_bytes", "total_bytes", "max_span",
 ]
+_UNITS = {"orders": "s", "events": "us"}
 for _n, _t in (("orders", orders), ("events", dirty)):
     ENTRIES[f"A1_overview_{_n}"] = (
         lambda s, d, t=_t: longs(aggregate.overview(t(s, d)), "live_bytes", "total_bytes").select(*_OVERVIEW),
         over(
             _n,
-            f"""SELECT '{_n}' AS trace_id, count(*) AS events,
+            f"""SELECT '{_n}' AS trace_id, '{_n}' AS title, '{_UNITS[_n]}' AS unit, count(*) AS events,
               count(*) FILTER (op IN ('M','R')) AS allocations, count(*) FILTER (op = 'F') AS frees,
               count(*) FILTER (op = 'R') AS reallocations, count(*) FILTER (op = 'E') AS custom_events,
               (SELECT coalesce(t, 0) FROM mk ORDER BY ord LIMIT 1) AS t_min, (SELECT max(tc) FROM mk) AS t_max,
