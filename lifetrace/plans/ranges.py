@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifetrace.functions.u64 import div_pow2, is_compact
-from lifetrace.plans import prefix
+from lifetrace.plans import prefix, skew
 from lifetrace.session import staged
 
 STEP = 4  # bits per level
@@ -109,37 +109,45 @@ CELL = ["trace_id", "side", "level", "bin"]
 TIMED = [*CELL, "tlevel", "tbin"]
 
 
-def births_in_live(allocations: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def births_in_live(
+    allocations: DataFrame, pair_limit: int = PAIR_LIMIT, hot_rows: int = skew.HOT_ROWS,
+    block_bits: int = prefix.BLOCK_BITS,
+) -> DataFrame:
     """Allocations whose interval meets another one live at their birth.
 
-    Three steps, each only for what the one before leaves over. Address bins
-    where one side is small join by pairs, at most ``pair_limit`` per row of
-    the larger side. In the other bins lifetimes are binned as well, so an
+    First, allocations of one start are settled among themselves, see
+    ``_same_start``. Three steps follow, each only for what the one before leaves
+    over. Address bins where one side is small join by pairs, at most ``pair_limit``
+    per row of the larger side. In the other bins lifetimes are binned as well, so an
     address used again and again only meets the uses near in time. What is
     still crowded then is stacked up alive at one place; it forms no pairs but
     goes through ``_stacked``, which sorts. Usually the second and third step
     find nothing and are not planned.
     """
     compact = is_compact(allocations)
-    slim = _with_levels(
-        allocations.select("trace_id", "creator", "addr", "end_span", "death"), compact
+    slim = staged(
+        _with_levels(_same_start(allocations, hot_rows, block_bits), compact), "starts"
     )
-    levels = levels_in(slim, F.col("_lv"))
+    over = slim.filter("_asks or _counts")
+    levels = levels_in(over, F.col("_lv"))
+    kept = ("trace_id", "creator", "addr", "end_span")
+    met = slim.filter("not _asks").select(*kept)
     if not levels:
-        return allocations.select("trace_id", "creator", "addr", "end_span").limit(0)
-    rows = listed(slim, levels, compact)
+        return met
+    rows = listed(over, levels, compact)
     # side 0: the live one is at its own level; side 1: the newborn is, and
     # the live one is narrower. Each intersecting pair meets on one side.
-    newborn = rows.select(
+    newborn = rows.filter("_asks").select(
         "trace_id", "level", "bin", "creator", "addr", "end_span",
         F.explode(F.when(F.col("own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"),
     )
-    living = rows.select(
+    living = rows.filter("_counts").select(
         "trace_id", "level", "bin", F.col("creator").alias("b_creator"),
         F.col("addr").alias("b_addr"), F.col("end_span").alias("b_end"), "death",
         F.when(F.col("own"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
     )
-    met, newborn, living = _paired(newborn, living, CELL, pair_limit)
+    more, newborn, living = _paired(newborn, living, CELL, pair_limit)
+    met = met.unionByName(more)
     if newborn is not None:
         newborn, living = _timed(newborn, living)
         more, newborn, living = _paired(newborn, living, TIMED, pair_limit)
@@ -154,6 +162,36 @@ def births_in_live(allocations: DataFrame, pair_limit: int = PAIR_LIMIT) -> Data
     return met.distinct()
 
 
+def _same_start(allocations: DataFrame, hot_rows: int, block_bits: int) -> DataFrame:
+    """Each allocation, whether it still has to be asked for (``_asks``), and whether
+    others have to be asked about it (``_counts``).
+
+    Two allocations of one start intersect, so one that is born while an older one
+    of its start lives has met it. And whoever meets one that an older one of its
+    start, never freed and no shorter, goes along with meets that one too. Both
+    are running maxima along births: an address used again and again leaves a few
+    rows, however many are stacked up there.
+    """
+    keys = ["trace_id", "addr"]
+    rows = allocations.select("trace_id", "creator", "addr", "end_span", "death")
+    hot = skew.hot_keys(rows, keys, rows.count(), "creator", hot_rows)
+    marked = skew.mark_hot(rows, keys, hot)
+    until = F.coalesce("death", F.lit((1 << 63) - 1))
+    scanned = prefix.scan(
+        marked, keys, ["creator"], skew.hot_block(prefix.block_of("creator", block_bits)),
+        [
+            prefix.Run("_until", "max", until, inclusive=False),
+            prefix.Run("_reach", "max", F.when(F.col("death").isNull(), F.col("end_span")), inclusive=False),
+        ],
+        carried=F.col("_hot"),
+    )
+    return scanned.select(
+        *rows.columns,
+        F.coalesce(F.col("_until") <= F.col("creator"), F.lit(True)).alias("_asks"),
+        F.coalesce(F.col("_reach") < F.col("end_span"), F.lit(True)).alias("_counts"),
+    )
+
+
 def _met_at_birth() -> Column:
     return (
         (F.col("b_creator") < F.col("creator"))

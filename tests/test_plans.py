@@ -93,6 +93,31 @@ def test_births_in_live(spark, monkeypatch, part_rows):
             assert {r.creator for r in ranges.births_in_live(df, limit).collect()} == want
 
 
+@pytest.mark.parametrize("hot_rows", [skew.HOT_ROWS, 20])
+def test_allocations_of_one_start_are_settled_by_a_running_maximum(spark, monkeypatch, hot_rows):
+    """A few starts used again and again leave next to nothing to pair or to stack up."""
+    rng = random.Random(11)
+    rows = []
+    for c in range(600):
+        addr = rng.randrange(6) * 64
+        death = rng.choice([None, c + 1 + rng.randrange(1, 60)])
+        rows.append(("t", c, addr, addr + rng.choice([1, 40, 64, 100, 300]), death))
+    want = {
+        a[1] for a in rows for b in rows
+        if b[1] < a[1] and (b[4] is None or b[4] > a[1]) and b[2] < a[3] and b[3] > a[2]
+    }
+    sizes, pairs = [], ranges._paired
+
+    def counted(newborn, living, *more):
+        sizes.append((newborn.count(), living.count()))
+        return pairs(newborn, living, *more)
+
+    monkeypatch.setattr(ranges, "_paired", counted)
+    got = ranges.births_in_live(spark.createDataFrame(rows, SCHEMA), 64, hot_rows, 4)
+    assert sorted(r.creator for r in got.collect()) == sorted(want)
+    assert len(sizes) == 1 and max(sizes[0]) < 300  # every row at every level would be 1,200 or more
+
+
 @pytest.mark.parametrize("limit", [64, 2, 0])
 def test_best_occupants(spark, limit):
     rows = intervals(4)
