@@ -188,6 +188,17 @@ def ghosts(trace: Trace, n: int, pair_limit: int = ranges.PAIR_LIMIT) -> DataFra
     Candidates are those that met a live region at birth; a holder is older and
     still live at the position.
     """
+    return ranges.innermost(*_ghosts_and_holders(trace, n), pair_limit)
+
+
+def ghost_pairs(trace: Trace, n: int) -> DataFrame:
+    """J6 in full: one row per ghost (``child``) and each of its holders (``parent``)."""
+    return ranges.contained(*_ghosts_and_holders(trace, n)).select(
+        "trace_id", F.col("creator").alias("parent"), "child"
+    )
+
+
+def _ghosts_and_holders(trace: Trace, n: int) -> tuple[DataFrame, DataFrame]:
     born = trace.overlaps.select("trace_id", "creator")
     gone = (
         trace.allocations.filter(F.col("death") < n)
@@ -198,7 +209,7 @@ def ghosts(trace: Trace, n: int, pair_limit: int = ranges.PAIR_LIMIT) -> DataFra
         )
     )
     holders = trace.allocations.filter(live_at(n)).select("trace_id", "creator", "addr", "end_span")
-    return ranges.innermost(gone, holders, pair_limit)
+    return gone, holders
 
 
 def at_address(allocations: DataFrame, address: int, n: int) -> DataFrame:

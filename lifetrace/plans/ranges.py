@@ -514,13 +514,7 @@ def innermost(children: DataFrame, holders: DataFrame, pair_limit: int = PAIR_LI
         return found.select("trace_id", "child", F.col("best.creator").alias("parent"), "holders")
     cell = ["trace_id", "level", "bin"]
     right = listed_own(out, levels, compact)
-    starts = F.array(
-        *[
-            F.struct(F.lit(lv).alias("level"), _bins_at(F.col("i_addr"), F.col("i_addr"), lv, compact)[0].alias("bin"))
-            for lv in levels
-        ]
-    )
-    left = inner.select("*", F.inline(starts))
+    left = _by_start(inner, levels, compact)
     met, left, right = _paired(
         left, right, cell, pair_limit, _holds, ("trace_id", "child", "addr", "end_span", "creator"), ("child", "creator")
     )
@@ -532,6 +526,36 @@ def innermost(children: DataFrame, holders: DataFrame, pair_limit: int = PAIR_LI
     return found.select("trace_id", "child", F.col("best.creator").alias("parent"), "holders")
 
 
+def contained(children: DataFrame, holders: DataFrame) -> DataFrame:
+    """Every pair of a child and one that holds it, as (trace_id, creator, child).
+
+    The rules are those of ``innermost``. The result itself has a row per pair; a bin's
+    larger side is dealt over parts of PART_ROWS rows, so one place is many tasks.
+    """
+    compact = is_compact(holders)
+    out = _with_levels(holders.select("trace_id", "creator", "addr", "end_span"), compact)
+    levels = levels_in(out, F.col("_lv"))
+    inner = children.select("trace_id", "child", "i_addr", "i_end")
+    if not levels:
+        return inner.join(out, "trace_id").select("trace_id", "creator", "child")
+    met, _, _ = _paired(
+        _by_start(inner, levels, compact), listed_own(out, levels, compact), ["trace_id", "level", "bin"],
+        (1 << 63) - 1, _holds, ("trace_id", "creator", "child"), ("child", "creator"),
+    )
+    return met
+
+
+def _by_start(children: DataFrame, levels: list[int], compact: bool) -> DataFrame:
+    """Each child once per level, in the bin of its start."""
+    starts = F.array(
+        *[
+            F.struct(F.lit(lv).alias("level"), _bins_at(F.col("i_addr"), F.col("i_addr"), lv, compact)[0].alias("bin"))
+            for lv in levels
+        ]
+    )
+    return children.select("*", F.inline(starts))
+
+
 def _holds() -> Column:
     return (
         (F.col("creator") < F.col("child"))

@@ -58,18 +58,26 @@ ENTRIES["J5_overlap_semi"] = (
            AND (b.death IS NULL OR b.death > a.creator)""",
     ),
 )
-for _n, _t in (("orders", orders), ("events", dirty)):
-    ENTRIES[f"J6_ghosts_{_n}"] = (
-        lambda s, d, t=_t: address.ghosts(t(s, d), half(t(s, d))).drop("trace_id"),
-        over(
-            _n,
-            f"""SELECT g.creator AS child, count(*) AS holders,
+ENTRIES["J6_ghosts_orders"] = (
+    lambda s, d: address.ghosts(orders(s, d), half(orders(s, d))).drop("trace_id"),
+    over(
+        "orders",
+        f"""SELECT g.creator AS child, count(*) AS holders,
                  arg_max(p.creator, {{'a': p.addr, 'e': -p.end_span, 'c': p.creator}}) AS parent
                FROM al g SEMI JOIN ovl o ON o.creator = g.creator
                JOIN al p ON p.addr <= g.addr AND g.end_span <= p.end_span AND g.creator > p.creator
                WHERE g.death < {HALF} AND p.creator < {HALF} AND (p.death IS NULL OR p.death >= {HALF}) GROUP BY ALL""",
-        ),
-    )
+    ),
+)
+ENTRIES["J6_ghosts_events"] = (
+    lambda s, d: address.ghost_pairs(dirty(s, d), half(dirty(s, d))).drop("trace_id"),
+    over(
+        "events",
+        f"""SELECT p.creator AS parent, g.creator AS child FROM al g SEMI JOIN ovl o ON o.creator = g.creator
+               JOIN al p ON p.addr <= g.addr AND g.end_span <= p.end_span AND g.creator > p.creator
+               WHERE g.death < {HALF} AND p.creator < {HALF} AND (p.death IS NULL OR p.death >= {HALF})""",
+    ),
+)
 ENTRIES["J7_events_touching"] = (
     lambda s, d: lineage.touching(
         dirty(s, d).events, where(dirty(s, d).allocations, malloc.site == "site_4"), landmarks=False

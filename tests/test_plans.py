@@ -196,6 +196,18 @@ def test_segments(spark):
     assert got == [(0, 5, 1), (5, 10, 3), (10, 15, 2), (20, 21, 1), (1 << 40, (1 << 40) + 4, 1)]
 
 
+def test_every_holder_of_a_child_is_returned(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "PART_ROWS", 5)
+    rows = intervals(12, 120)
+    children = [("t", c, a, e) for _, c, a, e, _ in intervals(13, 120)]
+    inner = spark.createDataFrame(children, "trace_id string, child bigint, i_addr bigint, i_end bigint")
+    want = sorted(
+        (h[1], c[1]) for h in rows for c in children if h[1] < c[1] and h[2] <= c[2] and c[3] <= h[3]
+    )
+    got = ranges.contained(inner, spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r.creator, r.child) for r in got.collect()) == want and len(want) > len({c for _, c in want})
+
+
 def test_layout_fills_short_runs_and_pins(spark):
     rows = spark.createDataFrame([("t", r) for r in (0, 1, 4, 20)], "trace_id string, row bigint")
     got = lambda df: sorted((r.row, r.gaps_before, r.filler) for r in df.collect())
