@@ -24,6 +24,9 @@ PART_ROWS = 200_000  # rows of a bin's larger side that one task pairs
 PARTS_BROADCAST = 100_000  # bins in several parts that are sent to every task
 OPEN = 63  # time level of lifetimes that never end
 TREE = 2  # bits per level of the time tree
+# Rows listed once per level are many times what the planner takes them for, and a side it
+# takes for small would go through the driver; the joins of listed rows are told to shuffle.
+SHUFFLED = "merge"
 
 
 def level_of(width: Column) -> Column:
@@ -234,7 +237,7 @@ def _paired(
         large = F.broadcast(large) if n_large <= PARTS_BROADCAST else large
         some = _in_parts(some, large, cell, by[0], F.col("_born"))
         others = _in_parts(others, large, cell, by[1], ~F.col("_born"))
-    met = some.join(others, key).filter(meets()).select(*kept)
+    met = some.join(others.hint(SHUFFLED), key).filter(meets()).select(*kept)
     if not left_over:
         return met, None, None
     return (
@@ -407,7 +410,7 @@ def best_occupants(
     if some_crowded:
         few, others = left.join(crowded, cell, "left_anti"), right.join(crowded, cell, "left_anti")
     found = (
-        few.join(others, cell)
+        few.join(others.hint(SHUFFLED), cell)
         .filter(
             (F.col("addr") <= F.col("p_addr"))
             & (F.col("end_span") > F.col("p_addr"))
@@ -486,7 +489,7 @@ def _best_by_nodes(points: DataFrame, dense: DataFrame, keys: list[str], compact
     )
     return (
         points.select("trace_id", *keys, F.inline(asks))
-        .join(nodes, ["trace_id", "xl", "xn", "tl", "tn"])
+        .join(nodes.hint(SHUFFLED), ["trace_id", "xl", "xn", "tl", "tn"])
         .groupBy("trace_id", *keys).agg(F.max("newest").alias("newest"), F.max("near").alias("near"))
     )
 

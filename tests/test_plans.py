@@ -196,6 +196,16 @@ def test_segments(spark):
     assert got == [(0, 5, 1), (5, 10, 3), (10, 15, 2), (20, 21, 1), (1 << 40, (1 << 40) + 4, 1)]
 
 
+def test_rows_listed_per_level_are_never_broadcast(spark):
+    """The planner takes them for as small as the table they come from."""
+    df = spark.createDataFrame(intervals(4), SCHEMA)
+    pts = df.selectExpr("trace_id", "creator AS i", "addr AS p_addr", "creator + 40 AS p_pos")
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    assert plan(ranges.best_occupants(pts, df, ["i"], 0)).count("SortMergeJoin") == 2
+    inner = df.selectExpr("trace_id", "creator AS child", "addr AS i_addr", "end_span AS i_end")
+    assert plan(ranges.contained(inner, df)).count("SortMergeJoin") == 1
+
+
 def test_every_holder_of_a_child_is_returned(spark, monkeypatch):
     monkeypatch.setattr(ranges, "PART_ROWS", 5)
     rows = intervals(12, 120)
