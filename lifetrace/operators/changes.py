@@ -125,9 +125,10 @@ def validated(
     """Clean changes, and rejects with a ``reason``.
 
     References are checked by joins: creators against the allocations, tags
-    against the definitions in force at the change's own revision.
+    against the definitions in force at the change's own revision. The log is read and
+    checked for shape once; the checks that follow, and both results, read written tables.
     """
-    rows = normalised(changes).withColumn("reason", _shape_problem())
+    rows = staged(normalised(changes).withColumn("reason", _shape_problem()), "shaped-changes")
     key = ["trace_id", "revision"]
     fine = rows.filter("reason is null")
 
@@ -177,7 +178,8 @@ def validated(
         missing.unionByName(unknown).unionByName(late).unionByName(excess)
         .groupBy(*key).agg(F.min_by("why", rank[F.col("why")]).alias("why"))
     )
-    joined = rows.join(found, key, "left").withColumn("reason", F.coalesce("reason", "why")).drop("why")
+    joined = rows.join(found, key, "left").withColumn("reason", F.coalesce("reason", "why"))
+    joined = staged(joined.select(*_KEEP, "reason"), "checked-changes")
     return joined.filter("reason is null").select(*_KEEP), joined.filter("reason is not null").select(*_KEEP, "reason")
 
 

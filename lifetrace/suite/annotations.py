@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lifetrace.functions.predicates import alloc, malloc
 from lifetrace.operators import annotate, changes
-from lifetrace.session import staged
 from lifetrace.sources import derive
 from lifetrace.suite.sql import over
 from lifetrace.suite.tables import dirty
@@ -20,8 +19,7 @@ def checked(s, d):
     key = (s.sparkContext.applicationId, d)
     if key not in _CLEAN:
         t = dirty(s, d)
-        good, bad = changes.validated(derive.change_log(s, d), t.allocations, t.events)
-        _CLEAN[key] = (staged(good, "changes"), staged(bad, "rejected-changes"))
+        _CLEAN[key] = changes.validated(derive.change_log(s, d), t.allocations, t.events)
     return _CLEAN[key]
 
 

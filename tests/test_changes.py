@@ -179,3 +179,15 @@ def test_since(spark):
     assert one(changes.since(full, 6)) == [(True, None)]
     assert one(changes.since(full, 0)) == [(True, None)]  # a change without payload
     assert one(changes.since(full.filter("revision > 3"), 2)) == [(True, None)]
+
+
+def test_a_log_is_read_and_checked_once(spark, tmp_path):
+    """What comes of a log reads the checked table, not the log again."""
+    path = str(tmp_path / "log")
+    rows = [{"type": "putTag", "id": "a", "name": "A", "color": "#000000"}, {"type": "setAllocationTag", "creator": 9, "id": "a", "present": True}]
+    log(spark, rows).write.parquet(path)
+    good, bad = changes.validated(spark.read.parquet(path), *context(spark))
+    state = changes.fold(good)
+    for result in (good, bad, state.tags, state.members, state.notes):
+        assert not [f for f in result.inputFiles() if path in f]
+    assert [r.reason for r in bad.collect()] == ["allocation not found"]
