@@ -42,7 +42,16 @@ _HELD = 1 << 22  # distinct pairs a task holds before it sends their counts
 WIDE = 1 << 16  # links from which on a group's pairs are taken once per distinct pair
 LONG = 400  # characters in a run from which on a text is encoded whole
 _LONG = re.compile(rf"[^ ]{{{LONG}}}|\s{{{LONG}}}")
-_BATCH = 4 << 20  # bytes of text, and of ids, that a task works on at once
+_BATCH = 3 << 19  # bytes of text that a task works on at once; its arrays are many times that
+_IDS = 1 << 20  # bytes of ids of A, the same
+
+
+def _pieces(batches, column: str, most: int):
+    """``slices``; between them Arrow gives back the memory it holds but does not use, which
+    for two tasks beside the JVM is a good part of what an executor may take."""
+    for piece in slices(batches, column, most):
+        yield piece
+        pa.default_memory_pool().release_unused()
 
 
 def common_ends(a: np.ndarray, b: np.ndarray, a_doc: np.ndarray, b_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +237,7 @@ def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
     def run(batches):
         both = _both(paths)
         row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text", _BATCH):
+        for batch in _pieces(batches, "text", _BATCH):
             (a, a_doc), (b, b_doc) = both([t or "" for t in batch.column("text").to_pylist()])
             cut_a, cut_b = common_ends(np.cumsum(both.lengths[0][a]), np.cumsum(both.lengths[1][b]), a_doc, b_doc)
             columns = []
@@ -336,7 +345,7 @@ def pair_counts(table: DataFrame) -> DataFrame:
                 part = slice(lo, lo + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(which[part]), pa.array(n[part])], ["pair", "n"])
 
-        for batch in slices(batches, "a_ids", _BATCH):
+        for batch in _pieces(batches, "a_ids", _IDS):
             _, pairs, _ = _distinct(_Groups(batch))
             which, n = np.unique(pairs, return_counts=True)
             held.append((which, n.astype(np.int64)))
@@ -391,7 +400,7 @@ def digest(table: DataFrame) -> DataFrame:
     def run(batches):
         known, n, highest = shared.value
         signs = None
-        for batch in slices(batches, "a_ids", _BATCH):
+        for batch in _pieces(batches, "a_ids", _IDS):
             groups = _Groups(batch)
             if signs is None or max((int(x.max()) for x in groups.ids if len(x)), default=0) >= len(signs) // 4:
                 entries = max(1 << 16, *(int(x.max()) + 1 for x in groups.ids if len(x))) if len(groups.ids[0]) else 1 << 16
@@ -458,7 +467,7 @@ def groups(table: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        for batch in slices(batches, "a_ids", _BATCH):
+        for batch in _pieces(batches, "a_ids", _IDS):
             found = _Groups(batch)
             per_row = np.diff(found.doc_group)
             of = pa.array(np.repeat(np.arange(found.rows), per_row))

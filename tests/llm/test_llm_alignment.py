@@ -122,3 +122,25 @@ def test_empty_table_and_repeated_rows(spark):
     assert [r["n_best"] == r["n_links"] > 0 for r in rows if r["doc_id"] == 7] == [True] * 4
     assert [(r["n_a"], r["groups_sha256"]) for r in rows if r["doc_id"] is None] == [(0, "")]
     assert {r["count_sum"] for r in rows if r["doc_id"] == 7} == {4 * rows[0]["n_links"] if rows[0]["doc_id"] == 7 else 4 * rows[1]["n_links"]}
+
+
+def test_work_on_a_large_batch_is_bounded(spark):
+    """What a task holds does not grow with the batches it is given, and Arrow keeps nothing unused."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows, n = 400, 10_000  # 16 MB of ids
+    ids = [rng.integers(0, 2000, n, "<u4").tobytes() for _ in range(2 * rows)]
+    ends = [np.packbits(np.ones(n, bool)).tobytes()] * rows
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (ids[:rows], ids[rows:], ends, ends)], ["a_ids", "b_ids", "a_cuts", "b_cuts"])
+    tracemalloc.start()
+    links = 0
+    for piece in alignment._pieces([batch], "a_ids", alignment._IDS):
+        assert piece.num_rows <= 27
+        links += int(alignment._distinct(alignment._Groups(piece))[2].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == rows * n
+    assert peak < 64 << 20
