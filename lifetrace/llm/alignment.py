@@ -42,8 +42,8 @@ _HELD = 1 << 22  # distinct pairs a task holds before it sends their counts
 WIDE = 1 << 16  # links from which on a group's pairs are taken once per distinct pair
 LONG = 400  # characters in a run from which on a text is encoded whole
 _LONG = re.compile(rf"[^ ]{{{LONG}}}|\s{{{LONG}}}")
-_BATCH = 3 << 19  # bytes of text that a task works on at once; its arrays are many times that
-_IDS = 1 << 20  # bytes of ids of A, the same
+_BATCH = 3 << 18  # bytes of text that a task works on at once; its arrays are many times that
+_IDS = 1 << 19  # bytes of ids of A, the same
 
 
 def _pieces(batches, column: str, most: int):
