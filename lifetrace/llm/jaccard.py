@@ -38,10 +38,12 @@ from lifetrace.session import staged
 SHINGLE = 4
 NUM, DEN = 85, 100  # a link: DEN * intersection >= NUM * union
 COUNTER_BITS = 22  # 4 million counters; their orders of magnitude take 4 MB
-CHUNK = 1 << 12  # counters in a row of the table of counters
-FILTER_BITS = 27  # bits of the filter that finds the texts to verify, 16 MB
+CHUNK = 1 << 12  # counters in a row of the table of counters, and words in one of a filter
+FILTER_BITS = 27  # bits of the filters that find the texts to verify and shared tokens, 16 MB
 PIVOTS = 4  # of a list, and partners of a set, in one round
-ROUNDS = 3  # with pivots, at most; what they leave is verified pair by pair
+ROUNDS = 5  # with pivots, at most; what they leave is verified pair by pair
+GAIN = 8  # a round that adds less than this part of the links is the last one with pivots
+MOVED = 1 << 19  # set ids that are broadcast, at most, so that only their sets are moved
 SKETCH = 512  # bits
 CROWDED = 64  # entries of a list from which on sketches decide inside the join
 _PIECE = 8 << 20  # bytes of a text whose words are held at once
@@ -216,6 +218,30 @@ def _likely(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(met.filter(_close(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b"), "jaccard-likely")
 
 
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A bit for every value of ``key``, by its last FILTER_BITS bits. Tasks make the words
+    that are dealt to them; to the driver come compressed chunks, 16 MB at most."""
+    words = 1 << (FILTER_BITS - 6)
+
+    def build(batches):
+        held = np.zeros(words, np.uint64)
+        for batch in batches:
+            at = np.unique(batch.column("key").to_numpy() & ((1 << FILTER_BITS) - 1))
+            if len(at):
+                first = np.flatnonzero(np.diff(at >> 6, prepend=-1))
+                held[at[first] >> 6] |= np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+        for lo in np.unique(np.flatnonzero(held) // CHUNK * CHUNK).tolist():
+            packed = pa.compress(held[lo : lo + CHUNK].tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([packed], pa.binary())], ["at", "bits"])
+
+    chunk = F.shiftright(F.shiftright("key", 6).bitwiseAND(words - 1), CHUNK.bit_length() - 1)
+    out = np.zeros(words, np.uint64)
+    for row in keys.select("key").repartition(chunk).mapInArrow(build, "at int, bits binary").collect():
+        part = out[row["at"] : row["at"] + CHUNK]
+        part |= np.frombuffer(pa.decompress(row["bits"], part.nbytes, codec="zstd", asbytes=True), np.uint64)
+    return out
+
+
 def _vectors(docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
     """(sid, tokens) of the sets ``ids``, hashed from their texts again.
 
@@ -225,13 +251,7 @@ def _vectors(docs: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     wanted = staged(sets.join(ids, "sid").select("sid", "s1", "s2", "text_hash"), "jaccard-wanted")
     words = 1 << (FILTER_BITS - 6)
-    bits = wanted.groupBy(F.shiftright("text_hash", 6).bitwiseAND(words - 1).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("text_hash").bitwiseAND(63).cast("int"))).alias("bits")
-    )
-    held = np.zeros(words, np.int64)
-    found = bits.toPandas()
-    held[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    filter_bits = spark.sparkContext.broadcast(held.view(np.uint64))
+    filter_bits = spark.sparkContext.broadcast(_filter_of(wanted.select(F.col("text_hash").alias("key"))))
 
     def run(batches):
         bits, sent = filter_bits.value, set()
@@ -261,19 +281,21 @@ class _Verifier:
     def __init__(self, docs: DataFrame, sets: DataFrame):
         self.docs, self.sets, self.vectors = docs, sets, None
 
-    def _known(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        if self.vectors is not None:
-            ids = staged(ids.join(self.vectors.select("sid"), "sid", "left_anti"), "jaccard-more")
-            if ids.isEmpty():
-                return self.vectors
-        more = _vectors(self.docs, self.sets, ids)
-        self.vectors = more if self.vectors is None else self.vectors.union(more)
-        return self.vectors
+    def _known(self, ids: DataFrame) -> DataFrame:
+        """Vectors of the sets ``ids``, a written table; of others too where it is long."""
+        if self.vectors is None:
+            self.vectors = _vectors(self.docs, self.sets, ids)
+            return self.vectors
+        more = staged(ids.join(self.vectors.select("sid"), "sid", "left_anti"), "jaccard-more")
+        if not more.isEmpty():
+            self.vectors = self.vectors.union(_vectors(self.docs, self.sets, more))
+        if ids.count() > MOVED:
+            return self.vectors
+        return self.vectors.join(F.broadcast(ids), "sid", "left_semi")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a, b), a written table of set ids."""
-        vectors = self._known(pairs)
+        vectors = self._known(staged(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "jaccard-asked"))
         a = vectors.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
         b = vectors.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
         common = F.size(F.array_intersect("ta", "tb"))
@@ -281,6 +303,28 @@ class _Verifier:
         return staged(pairs.join(b, "b").join(a, "a").filter(similar).select("a", "b"), "jaccard-links")
 
 
+def _posted(groups: DataFrame, shared: DataFrame) -> DataFrame:
+    """(gid, n, pos, key) of the tokens ``shared`` in prefixes; a filter drops nearly all
+    others before they are moved, the join after it is exact."""
+    shared_bits = groups.sparkSession.sparkContext.broadcast(_filter_of(shared))
+
+    def run(batches):
+        bits = shared_bits.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            keys, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            found = np.flatnonzero(bits[(keys >> 6) & (len(bits) - 1)] >> (keys & 63).astype(np.uint64) & np.uint64(1))
+            row = np.repeat(np.arange(len(sizes)), sizes)[found]
+            pos = found - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("gid").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(pos, pa.int64()), pa.array(keys[found])],
+                ["gid", "n", "pos", "key"],
+            )
+
+    tokens = groups.select("gid", "n", "prefix").mapInArrow(run, "gid bigint, n bigint, pos bigint, key bigint")
+    return tokens.join(shared, "key")
+
+
 def _lists(signed: DataFrame, sets: DataFrame) -> DataFrame:
     """Entries (kind, key, sid, n, pos): members of lists that two sets or more are in.
 
@@ -294,12 +338,10 @@ def _lists(signed: DataFrame, sets: DataFrame) -> DataFrame:
         "jaccard-groups",
     )
     members = staged(sets.join(groups.drop("n", "prefix"), ["g1", "g2"]).select("sid", "n", "gid"), "jaccard-members")
-    posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    met = staged(posted.join(shared, "key"), "jaccard-posted")
-    by_token = met.join(members.select("gid", "sid"), "gid").select(
-        F.lit(0).alias("kind"), "key", "sid", "n", F.col("pos").cast("bigint").alias("pos")
-    )
+    counted = groups.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    shared = staged(counted.filter("c > 1").select("key"), "jaccard-shared")
+    met = staged(_posted(groups, shared), "jaccard-posted")
+    by_token = met.join(members.select("gid", "sid"), "gid").select(F.lit(0).alias("kind"), "key", "sid", "n", "pos")
     several = members.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
     by_group = members.join(several, "gid").select(
         F.lit(1).alias("kind"), F.col("gid").alias("key"), "sid", "n", F.lit(0).cast("bigint").alias("pos")
@@ -312,6 +354,7 @@ def _open_lists(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         labelled = entries.withColumn("class", F.col("sid"))
     else:
+        entries = entries.drop("class", "size")
         labelled = staged(
             entries.join(labels, "sid", "left").select(*entries.columns, F.coalesce("label", "sid").alias("class")),
             "jaccard-labelled",
@@ -323,7 +366,7 @@ def _open_lists(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _hooked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after every set took the least one among its links.
+    """Labels after every set took the least one among its links, or of the set it is named after.
 
     Sets of one label are connected; not all that are connected have one label yet.
     """
@@ -333,7 +376,9 @@ def _hooked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         old = labels.unionByName(old.join(labels.select("sid"), "sid", "left_anti"))
     of_other = old.select(F.col("sid").alias("other"), F.col("label").alias("near"))
     near = both.join(of_other, "other").groupBy("sid").agg(F.min("near").alias("near"))
-    return staged(old.join(near, "sid", "left").select("sid", F.least("label", "near").alias("label")), "jaccard-labels")
+    hooked = staged(old.join(near, "sid", "left").select("sid", F.least("label", "near").alias("label")), "jaccard-hooked")
+    of_label = hooked.select(F.col("sid").alias("label"), F.col("label").alias("further"))
+    return staged(hooked.join(of_label, "label").select("sid", F.col("further").alias("label")), "jaccard-labels")
 
 
 def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
@@ -398,19 +443,25 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, root) of the sets that have a link; None where there is no link."""
     entries, verify = _lists(signed, sets), _Verifier(docs, sets)
-    links, labels = None, None
+    links, labels, n_links, last = None, None, 0, ROUNDS == 0
     for turn in range(ROUNDS + 1):
-        left = _open_lists(entries, labels)
+        last = last or turn == ROUNDS
+        entries = left = _open_lists(entries, labels)  # what is closed stays closed
         if left.isEmpty():
             break
-        last = turn == ROUNDS
         pairs = _cross_pairs(left, sets) if last else _likely(sets, _pivot_pairs(left, turn))
-        if pairs.isEmpty() and not last:
+        if not last and pairs.isEmpty():
+            last = True
             continue
         new = verify(pairs)
         links = new if links is None else links.union(new)
-        if not last:
-            labels = _hooked(_hooked(labels, new), new)
+        if last:
+            break
+        for _ in range(2):
+            labels = _hooked(labels, links)
+        n_new = new.count()
+        n_links += n_new
+        last = n_new * GAIN < n_links
     if links is None or links.isEmpty():
         return None
     return components(links)

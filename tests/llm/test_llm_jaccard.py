@@ -98,3 +98,28 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in rows) == [
         ("4", 2, 4), ("8", 0, 8), ("8", 0, 8), ("9", 2, 4), ("9", 2, 4), ("9", 2, 4), ("None", 2, 4),
     ]
+
+
+def test_hooking_joins_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(9, 8)], "a bigint, b bigint")
+    labels = None
+    for _ in range(2):
+        labels = jaccard._hooked(labels, links)
+    assert {r.sid: r.label for r in labels.collect()} == {**{i: 0 for i in range(7)}, 8: 8, 9: 8}
+
+
+def test_only_asked_sets_and_shared_tokens_are_moved(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = documents(spark, [prose(rng, 50) for _ in range(12)])
+    signed = jaccard._signed(docs)
+    sets = signed.selectExpr("doc_id AS sid", "n", "s1", "s2", "text_hash")
+    verify = jaccard._Verifier(docs, sets)
+    assert verify(spark.createDataFrame([(i, i + 1) for i in range(11)], "a bigint, b bigint")).count() == 0
+    few = spark.createDataFrame([(2,), (5,)], "sid bigint")
+    assert sorted(r.sid for r in verify._known(few).collect()) == [2, 5]
+    monkeypatch.setattr(jaccard, "MOVED", 1)
+    assert verify._known(few).count() == 12
+
+    groups = spark.createDataFrame([(0, 9, [5, -7, 1 << 62]), (1, 8, []), (2, 7, [-7, 6])], "gid bigint, n bigint, prefix array<bigint>")
+    shared = spark.createDataFrame([(-7,), (1 << 62,)], "key bigint")
+    assert sorted(map(tuple, jaccard._posted(groups, shared).select("gid", "n", "pos", "key").collect())) == [(0, 9, 1, -7), (0, 9, 2, 1 << 62), (2, 7, 0, -7)]
