@@ -41,8 +41,8 @@ COUNTER_BITS = 22  # 4 million counters; their orders of magnitude take 4 MB
 CHUNK = 1 << 12  # counters in a row of the table of counters, and words in one of a filter
 FILTER_BITS = 27  # bits of the filters that find the texts to verify and shared tokens, 16 MB
 PIVOTS = 4  # of a list, and partners of a set, in one round
-ROUNDS = 5  # with pivots, at most; what they leave is verified pair by pair
-GAIN = 8  # a round that adds less than this part of the links is the last one with pivots
+ROUNDS = 3  # with pivots, at most; what they leave is verified pair by pair
+GAIN = 8  # a round in which less than this part of the pairs are links is the last one with pivots
 MOVED = 1 << 19  # set ids that are broadcast, at most, so that only their sets are moved
 SKETCH = 512  # bits
 CROWDED = 64  # entries of a list from which on sketches decide inside the join
@@ -443,7 +443,7 @@ def _cross_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, root) of the sets that have a link; None where there is no link."""
     entries, verify = _lists(signed, sets), _Verifier(docs, sets)
-    links, labels, n_links, last = None, None, 0, ROUNDS == 0
+    links, labels, last = None, None, ROUNDS == 0
     for turn in range(ROUNDS + 1):
         last = last or turn == ROUNDS
         entries = left = _open_lists(entries, labels)  # what is closed stays closed
@@ -459,9 +459,7 @@ def classes(docs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame |
             break
         for _ in range(2):
             labels = _hooked(labels, links)
-        n_new = new.count()
-        n_links += n_new
-        last = n_new * GAIN < n_links
+        last = new.count() * GAIN < pairs.count()
     if links is None or links.isEmpty():
         return None
     return components(links)
