@@ -11,17 +11,25 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifetrace.functions.u64 import div_pow2, is_compact
 from lifetrace.plans import prefix, skew
+from lifetrace.plans.small import per_trace
 from lifetrace.session import staged
 
 STEP = 4  # bits per level
 PAIR_LIMIT = 64  # a bin joins by pairs while its smaller side is within this
 PART_ROWS = 200_000  # rows of a bin's larger side that one task pairs
 PARTS_BROADCAST = 100_000  # bins in several parts that are sent to every task
+CELLS_BROADCAST = 400_000  # cells that are sent to every task
+MERGE_POINTS = 8192  # points looked at to choose the levels of addresses
+MERGE_ALIVE = 32  # a level joins the one above while so many of it are alive beside a point
+STAND_INS = 14  # a stand-in is looked for among the next 2^13 of a start
+SLAB_ROWS = 64  # births in a slab of a crowded cell
+SLABS = 1 << 16  # slabs of one cell
+SLAB_PAIRS = 16  # a slab joins by pairs while its smaller side is within so many times the limit
 OPEN = 63  # time level of lifetimes that never end
 TREE = 2  # bits per level of the time tree
 # Rows listed once per level are many times what the planner takes them for, and a side it
@@ -352,82 +360,183 @@ def best_occupants(
 ) -> DataFrame:
     """Per point (trace_id, ``keys``) the latest born and the nearest cover.
 
-    ``points`` has p_addr and p_pos (events applied). Address and lifetime are
-    binned, so an address used again and again only meets the uses near the
-    position. Cells with a small side join by pairs. Where many are stacked up
-    alive at one place no pairs are made: see ``_best_by_nodes``. The result is
-    ``newest`` (creator) and ``near`` (addr, creator); uncovered points are absent.
+    ``points`` has p_addr and p_pos (events applied). A point is listed once for each
+    level of ``_merged_levels``, most often once in all, and cells with a small side
+    join by pairs. In the others only those count that no later one stands in for
+    (``_needed``), and time is cut into slabs, as many as leave an allocation in three
+    of them on average: a point is in one slab. What is stacked up alive in a slab
+    makes no pairs: see ``_best_by_nodes``. The result is ``newest`` (creator) and
+    ``near`` (addr, creator); uncovered points are absent.
     """
     compact = is_compact(allocations)
     slim = _with_levels(
         allocations.select("trace_id", "creator", "addr", "end_span", "death"), compact
-    ).withColumn("_tl", lifetime_level(F.col("creator"), F.col("death")))
-    present = slim.select("_lv", "_tl").distinct().collect()
-    alevels = sorted({r["_lv"] for r in present})
-    tlevels = sorted({r["_tl"] for r in present})
-
-    def point_at(level: int) -> list[Column]:
-        b, _ = _bins_at(F.col("p_addr"), F.col("p_addr"), level, compact)
-        return [
-            F.struct(
-                F.lit(level).alias("level"), b.alias("bin"), F.lit(tl).alias("tlevel"),
-                _shift(F.col("p_pos"), F.lit(tl)).alias("tbin"),
-            )
-            for tl in tlevels
-        ]
-
+    )
     best = [F.max("creator").alias("newest"), F.max(F.struct("addr", "creator")).alias("near")]
     asked = points.select("trace_id", *keys, "p_addr", "p_pos")
-    if not alevels:
+    levels = levels_in(slim, F.col("_lv"))
+    if not levels:
         return asked.join(slim, ["trace_id"]).groupBy("trace_id", *keys).agg(*best)
-    cell = ["trace_id", "level", "bin", "tlevel", "tbin"]
-    left = _spread(
-        asked, [c for level in alevels for c in point_at(level)], ["level", "bin", "tlevel", "tbin"]
-    )
-    lo, hi = _own_bins(alevels, compact)
-    t_lo, t_hi = _shift(F.col("creator"), F.col("_tl")), _shift(F.col("death"), F.col("_tl"))
-    t_hi = F.coalesce(t_hi, t_lo)
-    at = lambda b, t: F.struct(
-        F.col("_lv").alias("level"), b.alias("bin"), F.col("_tl").alias("tlevel"), t.alias("tbin")
-    )
-    right = _spread(
-        slim,
-        [
-            at(lo, t_lo), F.when(hi != lo, at(hi, t_lo)), F.when(t_hi != t_lo, at(lo, t_hi)),
-            F.when((hi != lo) & (t_hi != t_lo), at(hi, t_hi)),
-        ],
-        ["level", "bin", "tlevel", "tbin"],
-    ).drop("_lv", "_last", "_tl")
-    crowded = staged(
-        left.select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b"))
-        .unionByName(right.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
-        .groupBy(*cell).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        .filter(F.least("a", "b") > pair_limit).select(*cell),
-        "crowded-cells",
-    )
-    some_crowded = not crowded.isEmpty()
+    merged = _merged_levels(asked, slim, levels, compact)
+    used = sorted(set(merged.values()))
+    cell = ["trace_id", "level", "bin"]
+    left = _by_start(asked, used, compact, "p_addr")
+    lv = F.element_at(F.create_map(*[F.lit(x) for kv in merged.items() for x in kv]), F.col("_lv"))
+    right = listed_own(slim.withColumn("_lv", lv), used, compact).withColumnRenamed("death", "until")
+    full = _cells(right.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pair_limit), cell)
+    crowded = full and _cells(
+        left.join(full, cell, "left_semi").groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pair_limit), cell
+    )
+    slab = F.lit(0).cast("bigint")
+    stacked = None
+    if crowded is None:
+        left, right = left.withColumn("slab", slab), right.withColumn("slab", slab)
+    else:
+        needed = staged(_needed(right.join(crowded, cell, "left_semi"), cell, slim.count()), "needed")
+        top = points.agg(F.max("p_pos")).first()[0]
+        left, dense = _in_slabs(left, needed, cell, int(top))
+        right = right.join(crowded, cell, "left_anti").withColumn("slab", slab).unionByName(dense)
+        cell = [*cell, "slab"]
+        stacked = _cells(
+            left.join(crowded, cell[:-1], "left_semi").select(*cell, F.lit(1).alias("a"), F.lit(0).alias("b"))
+            .unionByName(dense.select(*cell, F.lit(0).alias("a"), F.lit(1).alias("b")))
+            .groupBy(*cell).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+            .filter(F.least("a", "b") > SLAB_PAIRS * pair_limit),
+            cell,
+        )
     few, others = left, right
-    if some_crowded:
-        few, others = left.join(crowded, cell, "left_anti"), right.join(crowded, cell, "left_anti")
+    if stacked is not None:
+        few, others = left.join(stacked, cell, "left_anti"), right.join(stacked, cell, "left_anti")
     found = (
-        few.join(others.hint(SHUFFLED), cell)
+        few.join(others.hint(SHUFFLED), [*cell, "slab"] if crowded is None else cell)
         .filter(
             (F.col("addr") <= F.col("p_addr"))
             & (F.col("end_span") > F.col("p_addr"))
             & (F.col("creator") < F.col("p_pos"))
-            & (F.col("death").isNull() | (F.col("death") >= F.col("p_pos")))
+            & (F.col("until").isNull() | (F.col("until") >= F.col("p_pos")))
         )
         .groupBy("trace_id", *keys).agg(*best)
     )
-    if some_crowded:
-        dense = staged(right.join(crowded, cell, "left_semi").select("trace_id", "creator", "addr", "end_span", "death").distinct(), "dense")
-        here = left.join(crowded, cell, "left_semi").select("trace_id", *keys, "p_addr", "p_pos").distinct()
-        found = found.unionByName(_best_by_nodes(here, dense, keys, compact)).groupBy("trace_id", *keys).agg(
-            F.max("newest").alias("newest"), F.max("near").alias("near")
+    if stacked is not None:
+        rows = right.join(stacked, cell, "left_semi").select(
+            "trace_id", "creator", "addr", "end_span", F.col("until").alias("death")
         )
+        here = left.join(stacked, cell, "left_semi").select("trace_id", *keys, "p_addr", "p_pos").distinct()
+        found = found.unionByName(
+            _best_by_nodes(here, staged(rows.distinct(), "dense"), keys, compact)
+        ).groupBy("trace_id", *keys).agg(F.max("newest").alias("newest"), F.max("near").alias("near"))
     return found
 
 
+def _cells(counted: DataFrame, cell: list[str]) -> DataFrame | None:
+    """The cells of ``counted`` as a stored table, sent to every task while they are
+    few; None when there are none."""
+    table = staged(counted.select(*cell), "cells")
+    n = table.count()
+    if not n:
+        return None
+    return F.broadcast(table) if n <= CELLS_BROADCAST else table
+
+
+def _merged_levels(points: DataFrame, slim: DataFrame, levels: list[int], compact: bool) -> dict[int, int]:
+    """For each level of addresses the one its allocations are listed at.
+
+    Every level kept lists all points once more; a level listed higher up than its own
+    lets a point meet more allocations. From the top, a level joins the one above it
+    while the allocations alive beside a point there stay few, or at most double. A
+    hash sample of the points decides, which cuts the work only.
+    """
+    if len(levels) == 1:
+        return {levels[0]: levels[0]}
+    some = points.select("trace_id", "p_addr", "p_pos").filter(
+        F.pmod(F.xxhash64("trace_id", "p_addr", "p_pos"), F.lit(max(1, points.count() // MERGE_POINTS))) == 0
+    )
+    asks = per_trace(
+        _by_start(some, levels, compact, "p_addr").groupBy("trace_id", "level", "bin").agg(F.count(F.lit(1)).alias("asks")),
+        "asks",
+    )
+    ends = per_trace(
+        slim.groupBy("trace_id").agg(
+            F.min("creator").alias("_from"), F.max(F.greatest("creator", "death")).alias("_to")
+        ),
+        "ends",
+    )
+    alive = (F.coalesce("death", "_to") - F.col("creator")) / (F.col("_to") - F.col("_from") + 1)
+    beside = (
+        listed(slim.withColumn("_own", F.col("_lv")), levels, compact)
+        .join(asks, ["trace_id", "level", "bin"]).join(ends, "trace_id")
+        .groupBy("level", F.col("_own").alias("own")).agg(F.sum(alive * F.col("asks")).alias("n"))
+    )
+    n = {(r["level"], r["own"]): r["n"] or 0.0 for r in beside.collect()}
+    sampled = max(1, some.count())
+    merged: dict[int, int] = {}
+    for own in reversed(levels):
+        top = min(merged.values(), default=own)
+        here = sum(n.get((top, x), 0.0) for x, at in merged.items() if at == top) / sampled
+        fits = n.get((top, own), 0.0) / sampled <= max(MERGE_ALIVE, here)
+        merged[own] = top if fits else own
+    return merged
+
+
+def _needed(
+    rows: DataFrame, cell: list[str], count: int, hot_rows: int = skew.HOT_ROWS, block_bits: int = prefix.BLOCK_BITS
+) -> DataFrame:
+    """The rows with ``until`` brought forward to where a later one stands in for them.
+
+    From its birth on, an allocation of the same start that is never freed and no
+    shorter answers for every older one: it covers whatever those cover, and is newer
+    and as near. The first such one is looked for among the next 1, 2, 4, ... of the
+    start; taking a later birth than the first one's only keeps a row longer.
+    """
+    keys = [*cell, "addr"]
+    hot = skew.hot_keys(rows, keys, count, "creator", hot_rows)
+    if hot is None:
+        return _stood_in(rows, keys)
+    # A start too large for a task goes by blocks first; what is left over at their ends is little.
+    marked = skew.mark_hot(rows, keys, hot).withColumn("_block", skew.hot_block(prefix.block_of("creator", block_bits)))
+    local = staged(_stood_in(marked, [*keys, "_block"]).drop("_block"), "blocks")
+    again = F.col("_hot") & F.col("until").isNull()
+    return local.filter(~again).unionByName(_stood_in(local.filter(again), keys)).drop("_hot")
+
+
+def _stood_in(rows: DataFrame, keys: list[str]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy("creator")
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    open_end = F.when(F.col("until").isNull(), F.col("end_span"))
+    found = rows.withColumns({
+        "_reach": F.lead(open_end).over(window), "_last": F.last("creator").over(whole),
+        "_by": F.lit(None).cast("bigint"),
+    })
+    for k in range(STAND_INS):
+        at = F.when(F.col("_reach") >= F.col("end_span"), F.coalesce(F.lead("creator", 1 << k).over(window), "_last"))
+        found = found.withColumns({
+            "_by": F.coalesce("_by", at),
+            "_reach": F.greatest("_reach", F.lead("_reach", 1 << k).over(window)),
+        })
+    return found.withColumn("until", F.least("until", "_by")).drop("_reach", "_last", "_by")
+
+
+def _in_slabs(left: DataFrame, needed: DataFrame, cell: list[str], top: int) -> tuple[DataFrame, DataFrame]:
+    """Points with their slab (0 in other cells), and the needed rows of the crowded
+    cells in every slab they are alive in.
+
+    A cell has at most one slab per SLAB_ROWS births and per birth that is alive at a
+    time, so its rows are listed three times on average at most, however long they live.
+    """
+    until = F.least("until", F.lit(top).cast("bigint"))
+    needed = needed.filter(until > F.col("creator"))
+    first = F.min("creator")
+    alive = F.sum((until - F.col("creator")).cast("double")) / (F.lit(top) - first)
+    slabs = F.greatest(F.lit(1.0), F.least(F.lit(float(SLABS)), F.count(F.lit(1)) / F.greatest(alive, F.lit(float(SLAB_ROWS)))))
+    width = F.greatest((F.lit(top) - first) / slabs, F.lit(1.0))
+    cut = staged(needed.groupBy(*cell).agg(F.ceil(F.log2(width)).cast("int").alias("_bits")), "slabs")
+    cut = F.broadcast(cut) if cut.count() <= CELLS_BROADCAST else cut
+    at = lambda c: F.call_function("shiftright", c, F.col("_bits"))
+    points = left.join(cut, cell, "left").withColumn("slab", F.coalesce(at(F.col("p_pos")), F.lit(0).cast("bigint"))).drop("_bits")
+    rows = needed.join(cut, cell).withColumn("slab", F.explode(F.sequence(at(F.col("creator") + 1), at(until)))).drop("_bits")
+    return points, rows
+
+
 def _cover(lo: Column, hi: Column, depth: int) -> Column:
     """[lo, hi) as (level, node) of a tree with TREE bits a level; a level has few."""
 
@@ -548,11 +657,11 @@ def contained(children: DataFrame, holders: DataFrame) -> DataFrame:
     return met
 
 
-def _by_start(children: DataFrame, levels: list[int], compact: bool) -> DataFrame:
+def _by_start(children: DataFrame, levels: list[int], compact: bool, start: str = "i_addr") -> DataFrame:
     """Each child once per level, in the bin of its start."""
     starts = F.array(
         *[
-            F.struct(F.lit(lv).alias("level"), _bins_at(F.col("i_addr"), F.col("i_addr"), lv, compact)[0].alias("bin"))
+            F.struct(F.lit(lv).alias("level"), _bins_at(F.col(start), F.col(start), lv, compact)[0].alias("bin"))
             for lv in levels
         ]
     )

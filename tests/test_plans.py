@@ -136,6 +136,60 @@ def test_best_occupants(spark, limit):
         assert {r.i: (r.newest, (int(r.near.addr), r.near.creator)) for r in got} == want and len(got) == len(want)
 
 
+def test_points_are_listed_once_where_few_allocations_lie(spark, monkeypatch):
+    """Widths and lifetimes of many levels, a few allocations side by side: no row per pair of levels."""
+    rng = random.Random(21)
+    rows = []
+    for c in range(1200):
+        addr = rng.randrange(300) * (1 << 21)
+        death = rng.choice([None, c + 1 + rng.randrange(20), c + 1 + rng.randrange(1000)])
+        rows.append(("t", c, addr, addr + rng.choice([100, 3000, 60_000, 900_000]), death))
+    alloc = spark.createDataFrame(rows, SCHEMA)
+    points = alloc.selectExpr("trace_id", "creator AS i", "addr + (end_span - addr) div 2 AS p_addr", "creator + 5 AS p_pos")
+    sizes, join = [], type(alloc).join
+
+    def counted(self, other, on=None, how=None):
+        if how is None and isinstance(on, list) and "bin" in on and "asks" not in other.columns:
+            sizes.append((self.count(), other.count()))
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(alloc), "join", counted)
+    got = ranges.best_occupants(points, alloc, ["i"])
+    monkeypatch.undo()
+    assert len(sizes) == 1 and sizes[0][0] == 1200 and sizes[0][1] < 2400
+    want = {}
+    for _, i, a, e, _ in rows:
+        x, p = a + (e - a) // 2, i + 5
+        over = [r for r in rows if r[2] <= x < r[3] and r[1] < p and (r[4] is None or r[4] >= p)]
+        if over:
+            want[i] = (max(r[1] for r in over), max((r[2], r[1]) for r in over))
+    assert {r.i: (r.newest, tuple(r.near)) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_stacks_of_one_start_are_cut_into_slabs(spark, monkeypatch, hot):
+    """2,000 on one start, most of them never freed, of any size: no rows per pair of tree nodes."""
+    rng = random.Random(22)
+    rows = []
+    for c in range(2000):
+        size = rng.randrange(1, 1 << 20)
+        rows.append(("t", c, 4096, 4096 + size, rng.choice([None, None, c + 1 + rng.randrange(30)])))
+    if hot:
+        needed = ranges._needed
+        monkeypatch.setattr(ranges, "_needed", lambda df, cell, count: needed(df, cell, count, 200, 6))
+    monkeypatch.setattr(ranges, "_best_by_nodes", lambda *_: pytest.fail("rows per pair of tree nodes"))
+    alloc = spark.createDataFrame(rows, SCHEMA)
+    points = [("t", i, 4096 + rng.randrange(1 << 20), rng.randrange(2100)) for i in range(2000)]
+    asked = spark.createDataFrame(points, "trace_id string, i bigint, p_addr bigint, p_pos bigint")
+    want = {}
+    for _, i, x, p in points:
+        over = [r[1] for r in rows if r[2] <= x < r[3] and r[1] < p and (r[4] is None or r[4] >= p)]
+        if over:
+            want[i] = (max(over), (4096, max(over)))
+    got = ranges.best_occupants(asked, alloc, ["i"]).collect()
+    assert {r.i: (r.newest, tuple(r.near)) for r in got} == want and len(got) == len(want)
+
+
 def test_many_open_allocations_at_one_address_make_no_pairs(spark):
     n = 20_000
     alloc = spark.range(n).select(
