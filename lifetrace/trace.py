@@ -28,7 +28,7 @@ def write_table(df: DataFrame, path: str, name: str, spans: DataFrame | None = N
             df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         else:
             df = _placed(df, spans, keys[1]).sortWithinPartitions(*keys)
-    df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
